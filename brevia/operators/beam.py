@@ -15,9 +15,12 @@ from brevia.constants import BEAM_WIDTH, LENGTH_ALPHA, NGRAM_SIZE, SUMMARY_LENGT
 from brevia.functions.scoring import length_norm, log_prob, rank_score
 from brevia.functions.sequences import first_position
 from brevia.functions.text import ngrams
-from brevia.operators.joins import fits_broadcast, skew_join
+from brevia.operators.joins import BROADCAST_ROWS, fits_broadcast, skew_join
 from brevia.session import stage
 
+# Documents per task: the state of a document grows with every step, so tasks are cut by documents and not by bytes.
+TASK_DOCUMENTS = 20_000
+
 FAILED = "fewer than k candidates"
 
 
@@ -26,46 +29,49 @@ def page_rows(k: int) -> int:
     return 2 * (k + 1)
 
 
-def rank_candidates(scores: DataFrame, k: int) -> DataFrame:
-    """Candidates of each (key, prev) by falling probability, ties to the lower id, cut into numbered pages.
+def rank_candidates(scores: DataFrame) -> DataFrame:
+    """Candidates of each (key, prev) ranked by falling probability, ties to the lower id.
 
-    A hypothesis reads as many pages as it can need, which is nearly always one. A group holds each word at most once.
+    A group holds each word of the vocabulary at most once.
     """
-    group = Window.partitionBy("key", "prev")
-    ranked = scores.filter(F.col("prob") > 0).withColumn(
-        "rank", F.row_number().over(group.orderBy(F.col("prob").desc(), "token_id"))
+    group = Window.partitionBy("key", "prev").orderBy(F.col("prob").desc(), "token_id")
+    return scores.filter(F.col("prob") > 0).select(
+        "key", "prev", F.row_number().over(group).alias("rank"), "token_id", log_prob(F.col("prob")).alias("log_prob")
     )
+
+
+def page_candidates(scores: DataFrame, k: int) -> DataFrame:
+    """Ranked candidates in numbered pages, one row per (key, prev, page) with at most ``page_rows(k)`` of them.
+
+    A hypothesis reads as many pages as it can need, which is nearly always one.
+    """
     page = F.floor((F.col("rank") - 1) / F.lit(page_rows(k))).cast("int")
-    return ranked.select(
-        "key", "prev", page.alias("page"), "rank", "token_id", log_prob(F.col("prob")).alias("log_prob")
-    )
+    entries = F.sort_array(F.collect_list(F.struct("rank", "token_id", "log_prob")))
+    return rank_candidates(scores).groupBy("key", "prev", page.alias("page")).agg(entries.alias("cands"))
 
 
-def candidate_join(hyps: DataFrame, ranked: DataFrame, small: bool) -> DataFrame:
-    """Hypotheses with the candidates on their pages. Many documents may stand at the same word of the same key."""
-    return skew_join(hyps, ranked, ["key", "prev", "page"], ["doc_id"], small)
+def candidate_join(hyps: DataFrame, pages: DataFrame, small: bool) -> DataFrame:
+    """Hypotheses with their candidate pages. Many documents may stand at the same word of the same key."""
+    return skew_join(hyps, pages, ["key", "prev", "page"], ["doc_id"], small)
 
 
 def _gram(tokens: Column, n: int) -> Column:
     return ngrams(tokens.cast("array<string>"), n)
 
 
-def beam_seed(seeds: DataFrame, ranked: DataFrame, k: int = BEAM_WIDTH, small: bool = True) -> DataFrame:
+def beam_seed(seeds: DataFrame, pages: DataFrame, k: int = BEAM_WIDTH, small: bool = True) -> DataFrame:
     """The k best first words of each document (``doc_id``, ``key``, ``prev`` = its start word), slot = rank.
 
     Nothing is blocked here. A document with fewer than k candidates is left out.
     """
-    pages = F.explode(F.sequence(F.lit(0), F.floor(F.lit((k - 1) // page_rows(k))).cast("int")))
-    firsts = ranked.filter(F.col("rank") <= k)
-    hyps = candidate_join(seeds.select("doc_id", "key", "prev", pages.alias("page")), firsts, small)
-    beam = F.struct(
-        (F.col("rank") - 1).cast("int").alias("slot"),
-        F.array(F.col("prev"), F.col("token_id")).alias("tokens"),
-        F.col("log_prob").alias("score"),
-    )
-    state = hyps.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(beam)).alias("beams"))
-    empty = F.array_repeat(F.array().cast("array<string>"), k)
-    return state.filter(F.size("beams") == k).withColumn("memory", empty)
+    firsts = candidate_join(seeds.select("doc_id", "key", "prev", F.lit(0).alias("page")), pages, small)
+    beams = F.transform(F.slice("cands", 1, k), lambda c: F.struct(
+        (c["rank"] - 1).cast("int").alias("slot"),
+        F.array(F.col("prev"), c["token_id"]).alias("tokens"),
+        c["log_prob"].alias("score"),
+    ))
+    state = firsts.filter(F.size("cands") >= k).select("doc_id", "key", beams.alias("beams"))
+    return state.withColumn("memory", F.array_repeat(F.array().cast("array<string>"), k))
 
 
 def open_slots(state: DataFrame, position: int, n: int, memory: str = "slot") -> DataFrame:
@@ -92,22 +98,15 @@ def _prefix(tokens: Column, n: int) -> Column:
     return F.concat(F.array_join(last.cast("array<string>"), " "), F.lit(" "))
 
 
-def block_ngrams(cands: DataFrame, n: int) -> DataFrame:
+def block_ngrams(cands: Column, prev: Column, prefix: Column, seen: Column) -> Column:
     """Drop candidates that repeat the last word or would complete an n-gram seen in their slot."""
-    gram = F.concat(F.col("_prefix"), F.col("token_id").cast("string"))
-    return cands.filter((F.col("token_id") != F.col("prev")) & ~F.array_contains("seen", gram))
-
-
-def topk_per_hypothesis(cands: DataFrame, k: int) -> DataFrame:
-    """The k best candidates of each hypothesis, numbered by ``col`` from 0."""
-    best = Window.partitionBy("doc_id", "slot").orderBy("rank")
-    return cands.withColumn("_nth", F.row_number().over(best)).filter(F.col("_nth") <= k).withColumn(
-        "col", F.col("_nth") - 1
-    ).drop("_nth")
+    return F.filter(cands, lambda c: (c["token_id"] != prev) & ~F.array_contains(
+        seen, F.concat(prefix, c["token_id"].cast("string"))
+    ))
 
 
-def extend(state: DataFrame, ranked: DataFrame, position: int, k: int, n: int, small: bool, memory: str) -> DataFrame:
-    """The k best allowed candidates of every hypothesis, with the hypothesis they extend.
+def extend(state: DataFrame, pages: DataFrame, position: int, k: int, n: int, small: bool, memory: str) -> DataFrame:
+    """Per hypothesis and page read: the allowed candidates among which its k best are, in ``best``.
 
     Blocked candidates are at most the last word and the seen n-grams that start with the hypothesis's last n - 1 words,
     so that many more than k are read and the k best allowed ones are always among them.
@@ -115,45 +114,73 @@ def extend(state: DataFrame, ranked: DataFrame, position: int, k: int, n: int, s
     hyps = open_slots(state, position, n, memory)
     blocking = n > 1 and position >= n + 1
     if blocking:
-        hyps = hyps.withColumn("_prefix", _prefix(F.col("tokens"), n))
-        blocked = F.size(F.filter("seen", lambda g: F.startswith(g, F.col("_prefix")))) + 1
+        hyps = hyps.withColumn("prefix", _prefix(F.col("tokens"), n))
+        blocked = F.size(F.filter("seen", lambda g: F.startswith(g, F.col("prefix")))) + 1
+        allowed = block_ngrams(F.col("cands"), F.col("prev"), F.col("prefix"), F.col("seen"))
     else:
-        blocked = F.lit(0)
+        blocked, allowed = F.lit(0), F.col("cands")
     last_page = F.floor((blocked + F.lit(k - 1)) / F.lit(page_rows(k))).cast("int")
-    cands = candidate_join(hyps.withColumn("page", F.explode(F.sequence(F.lit(0), last_page))), ranked, small)
-    if blocking:
-        cands = block_ngrams(cands, n).drop("_prefix")
-    return topk_per_hypothesis(cands, k)
+    read = candidate_join(hyps.withColumn("page", F.explode(F.sequence(F.lit(0), last_page))), pages, small)
+    return read.select("doc_id", "key", "slot", "page", "tokens", "score", "seen", F.slice(allowed, 1, k).alias("best"))
 
 
-def merge_topk(cands: DataFrame, k: int) -> DataFrame:
+def _hypothesis_pages(extended: DataFrame) -> DataFrame:
+    """One row per document with its hypotheses' pages in slot and page order: ``rows``; and the first ones: ``heads``.
+
+    A document has k hypotheses of mostly one page, each with at most k candidates.
+    """
+    row = F.struct("slot", "page", "tokens", "score", "seen", "best")
+    documents = extended.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    return documents.withColumn("heads", F.filter("rows", lambda r: r["page"] == 0))
+
+
+def _topk_of(head: Column, k: int) -> Column:
+    pages = F.filter("rows", lambda r: r["slot"] == head["slot"])
+    return F.slice(F.flatten(F.transform(pages, lambda r: r["best"])), 1, k)
+
+
+def topk_per_hypothesis(extended: DataFrame, k: int) -> DataFrame:
+    """The k best allowed candidates of each hypothesis, numbered by ``col`` from 0."""
+    documents = _hypothesis_pages(extended)
+    tops = F.transform("heads", lambda h: F.struct(h["slot"].alias("slot"), _topk_of(h, k).alias("top")))
+    hyps = documents.select("doc_id", F.explode(tops).alias("h"))
+    return hyps.select("doc_id", "h.slot", F.posexplode("h.top").alias("col", "c")).select(
+        "doc_id", "slot", "col", "c.token_id", "c.log_prob"
+    )
+
+
+def merge_topk(extended: DataFrame, k: int) -> DataFrame:
     """Best k of each document's k x k candidates; ties go to the lower slot, then the lower column.
 
     A document in which some hypothesis has fewer than k candidates is left out: it has failed.
     """
-    document = Window.partitionBy("doc_id")
-    total = cands.withColumn("total", F.col("score") + F.col("log_prob"))
-    total = total.withColumn("_all", F.count(F.lit(1)).over(document)).filter(F.col("_all") == k * k)
-    order = document.orderBy(rank_score(F.col("total")).desc(), "slot", "col")
-    placed = total.withColumn("_place", F.row_number().over(order) - 1)
-    beam = F.struct(
-        F.col("_place").alias("slot"),
-        F.concat("tokens", F.array("token_id")).alias("tokens"),
-        F.col("total").alias("score"),
-    )
-    kept = F.sort_array(F.collect_list(F.when(F.col("_place") < k, beam)))
-    memory = F.sort_array(F.collect_list(F.when(F.col("col") == 0, F.struct("slot", "seen"))))
-    return placed.groupBy("doc_id", "key").agg(
-        kept.alias("beams"), F.transform(memory, lambda m: m["seen"]).alias("memory")
+    def candidates(head: Column) -> Column:
+        return F.transform(_topk_of(head, k), lambda c, col: F.struct(
+            (-rank_score(head["score"] + c["log_prob"])).alias("order"),
+            head["slot"].alias("slot"),
+            col.alias("col"),
+            c["token_id"].alias("token_id"),
+            (head["score"] + c["log_prob"]).alias("total"),
+        ))
+
+    documents = _hypothesis_pages(extended)
+    documents = documents.withColumn("merged", F.sort_array(F.flatten(F.transform("heads", candidates))))
+    beams = F.transform(F.slice("merged", 1, k), lambda m, place: F.struct(
+        place.alias("slot"),
+        F.concat(F.get("heads", m["slot"])["tokens"], F.array(m["token_id"])).alias("tokens"),
+        m["total"].alias("score"),
+    ))
+    return documents.filter(F.size("merged") == k * k).select(
+        "doc_id", "key", beams.alias("beams"), F.transform("heads", lambda h: h["seen"]).alias("memory")
     )
 
 
 def beam_step(
-    state: DataFrame, ranked: DataFrame, position: int, k: int = BEAM_WIDTH, n: int = NGRAM_SIZE, small: bool = True,
+    state: DataFrame, pages: DataFrame, position: int, k: int = BEAM_WIDTH, n: int = NGRAM_SIZE, small: bool = True,
     memory: str = "slot",
 ) -> DataFrame:
     """Extend every document's hypotheses by one word at ``position``."""
-    return merge_topk(extend(state, ranked, position, k, n, small, memory), k)
+    return merge_topk(extend(state, pages, position, k, n, small, memory), k)
 
 
 def beam_decode(
@@ -162,16 +189,19 @@ def beam_decode(
 ) -> DataFrame:
     """Decode every document to ``length`` positions. Finished hypotheses keep growing past their stop.
 
-    Candidates are ranked once. Every ``cut_every`` steps, or after every one when the candidates are too many to
-    broadcast, the state is staged, so the plan stays short. Documents that fail are absent from the result.
+    Candidates are ranked once. Documents are spread once by their number; with broadcast candidates the following steps
+    need no shuffle. Every ``cut_every`` steps, or after every one when the candidates are too many to broadcast, the
+    state is staged, so the plan stays short. Documents that fail are absent from the result.
     """
-    ranked = stage(rank_candidates(scores, k), "candidates")
-    small = fits_broadcast(ranked, ("key",))
-    state = beam_seed(seeds, ranked, k, small)
+    pages = stage(page_candidates(scores, k), "candidates")
+    small = fits_broadcast(pages, ("key",), BROADCAST_ROWS // page_rows(k))
+    seeds = stage(seeds.select("doc_id", "key", "prev"), "seeds")
+    tasks = max(seeds.sparkSession.sparkContext.defaultParallelism, -(-seeds.count() // TASK_DOCUMENTS))
+    state = beam_seed(seeds.repartition(tasks, "doc_id"), pages, k, small)
     for step, position in enumerate(range(2, length), start=1):
-        state = beam_step(state, ranked, position, k, n, small, memory)
+        state = beam_step(state, pages, position, k, n, small, memory)
         if position < length - 1 and (not small or step % cut_every == 0):
-            state = stage(state, "beams")
+            state = stage(state, "beams").repartition(tasks, "doc_id")
     return state
 
 

@@ -148,7 +148,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Padding needs no lookup: the prediction after padding is padding.
     words, padding = rows.filter(F.col("prev") != 0), rows.filter(F.col("prev") == 0)
     small = fits_broadcast(scores, ("key",))
-    best = rank_candidates(scores, 1).filter(F.col("rank") == 1).select("key", "prev", F.col("token_id").alias("best"))
+    best = rank_candidates(scores).filter(F.col("rank") == 1).select("key", "prev", F.col("token_id").alias("best"))
     label = scores.select("key", "prev", F.col("token_id").alias("real"), "prob")
     scored = skew_join(words, label, ["key", "prev", "real"], ["doc_id", "pos"], small, "left")
     scored = skew_join(scored, best, ["key", "prev"], ["doc_id", "pos"], small, "left")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from brevia.constants import STOP_WORD, UNKNOWN_WORD
 from brevia.functions import scoring, sequences as seq, text
 from brevia.operators import batching, beam, encoding, metrics, repeats, vocabulary
+from brevia.operators.joins import fits_broadcast
 from brevia.plans import fixtures as fx
 from brevia.session import stage, staged_path
 from brevia.sources import corpus as source, results, vocabulary as stored
@@ -444,10 +445,10 @@ def beam_decode(spark, sf_dir):
 
 
 def _position(spark, sf_dir, position):
-    """Beams before ``position`` and the ranked candidates."""
+    """Beams before ``position`` and the candidate pages."""
     vocab, scores = fx.scorer(spark, sf_dir)
     state = beam.beam_decode(fx.seeds(spark, sf_dir, vocab), scores, position, fx.BEAM_WIDTH, fx.NGRAM_SIZE)
-    return state, beam.rank_candidates(scores, fx.BEAM_WIDTH)
+    return state, stage(beam.page_candidates(scores, fx.BEAM_WIDTH), "candidates")
 
 
 @query
@@ -459,10 +460,11 @@ def ngram_memory(spark, sf_dir):
 
 @query
 def topk_per_hypothesis(spark, sf_dir):
-    state, ranked = _position(spark, sf_dir, 4)
-    small = fx.fits_broadcast(ranked, ("key",))
-    best = beam.extend(state, ranked, 4, fx.BEAM_WIDTH, fx.NGRAM_SIZE, small, "slot")
-    return best.select("doc_id", "slot", "col", "token_id", F.round("log_prob", 6).alias("log_prob"))
+    state, pages = _position(spark, sf_dir, 4)
+    small = fits_broadcast(pages, ("key",))
+    extended = beam.extend(state, pages, 4, fx.BEAM_WIDTH, fx.NGRAM_SIZE, small, "slot")
+    best = beam.topk_per_hypothesis(extended, fx.BEAM_WIDTH)
+    return best.withColumn("log_prob", F.round("log_prob", 6))
 
 
 @query
