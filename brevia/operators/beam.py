@@ -251,9 +251,7 @@ def pick_best(
     )
 
 
-def beam_failures(documents: DataFrame, state: DataFrame) -> DataFrame:
-    """All documents with an ``error`` for those the decoding lost."""
-    kept = state.select("doc_id", F.lit(True).alias("_kept"))
-    return documents.join(kept, "doc_id", "left").withColumn(
-        "error", F.when(F.col("_kept").isNull(), F.lit(FAILED))
-    ).drop("_kept")
+def beam_failures(documents: DataFrame, results: DataFrame, text: str) -> DataFrame:
+    """All documents with their result text, and an ``error`` for those the decoding lost."""
+    found = documents.join(results.select("doc_id", text), "doc_id", "left")
+    return found.withColumn("error", F.when(F.col(text).isNull(), F.lit(FAILED)))

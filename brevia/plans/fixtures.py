@@ -167,9 +167,9 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def done_rows(corpus_df: DataFrame) -> DataFrame:
+def done_rows(documents: DataFrame, num: str = "doc_id") -> DataFrame:
     """``num, tag`` as if a run had stopped: both texts, one text or none, by turns."""
     tags = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("encoder"), F.lit("decoder"))).when(
         F.col("doc_id") % 3 == 1, F.array(F.lit("encoder"))
     ).otherwise(F.array().cast("array<string>"))
-    return corpus_df.select(F.col("doc_id").alias("num"), F.explode(tags).alias("tag"))
+    return documents.select(F.col(num).alias("num"), F.explode(tags).alias("tag"))

@@ -369,3 +369,17 @@ FROM summaries, (VALUES ('encoder'), ('decoder')) t(tag) WHERE error IS NULL"""
 ORACLE["route_failures"] = _with("summaries") + f"""
 SELECT num, {_NAME} AS name, articles AS doc, gold, error FROM summaries WHERE error IS NOT NULL"""
 ORACLE["resume_skip"] = _with("corpus") + "SELECT doc_id AS num, abstracts FROM corpus WHERE doc_id % 3 <> 0"
+ORACLE["summarise_resumed"] = _with("summaries") + f""",
+todo AS (SELECT * FROM summaries WHERE (num - 999000) % 3 <> 0),
+words AS (SELECT num, list_filter(string_split(generated, ' '), lambda x: x <> '') AS w FROM todo WHERE error IS NULL),
+grams AS (SELECT num, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram,
+                 unnest(range(1, len(w))) AS spot FROM words),
+twice AS (SELECT num, gram, min(spot) AS spot FROM grams GROUP BY num, gram HAVING count(*) > 1),
+repeats AS (SELECT num, string_agg(gram, '|' ORDER BY spot) AS repeated FROM twice GROUP BY num)
+SELECT t.num, tag, CASE WHEN tag = 'encoder' THEN gold ELSE generated END AS text, coalesce(repeated, '') AS repeated
+FROM todo t CROSS JOIN (VALUES ('encoder'), ('decoder')) k(tag) LEFT JOIN repeats USING (num) WHERE error IS NULL
+UNION ALL SELECT num, 'failure', error, NULL FROM todo WHERE error IS NOT NULL"""
+ORACLE["training_set"] = _with("batches", "doc_padded", "sum_padded") + f"""
+SELECT epoch, CAST(spot // {fx.BATCH_SIZE} AS BIGINT) AS batch, CAST(spot % {fx.BATCH_SIZE} AS INTEGER) AS place,
+       b.doc_id, {_JOIN('d.ids')} AS input, {_JOIN('s.ids')} AS target
+FROM batches b JOIN doc_padded d USING (doc_id) JOIN sum_padded s USING (doc_id)"""

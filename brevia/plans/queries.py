@@ -10,7 +10,7 @@ from brevia.constants import STOP_WORD, UNKNOWN_WORD
 from brevia.functions import scoring, sequences as seq, text
 from brevia.operators import batching, beam, encoding, metrics, repeats, vocabulary
 from brevia.operators.joins import fits_broadcast
-from brevia.plans import fixtures as fx
+from brevia.plans import fixtures as fx, summaries, training
 from brevia.session import stage, staged_path
 from brevia.sources import corpus as source, results, vocabulary as stored
 from brevia.streaming.incremental import encode_stream
@@ -332,6 +332,19 @@ def prefix_curriculum_both(spark, sf_dir):
     return _curriculum(spark, sf_dir, both=True)
 
 
+@query
+def training_set(spark, sf_dir):
+    """Encoded pairs of every epoch in shuffled batches, vocabularies fitted and saved on the way."""
+    settings = training.Settings(
+        document_length=fx.DOCUMENT_LENGTH, summary_length=fx.SUMMARY_LENGTH, document_cap=fx.CAP, summary_cap=fx.CAP,
+        batch_size=fx.BATCH_SIZE, epochs=fx.EPOCHS, seed=fx.SEED,
+    )
+    rows = training.training_set(fx.corpus(spark, sf_dir), staged_path(spark, "vocabularies"), settings)
+    return rows.select(
+        "epoch", "batch", "place", "doc_id", joined("input").alias("input"), joined("target").alias("target")
+    )
+
+
 @query
 def batch_assign(spark, sf_dir):
     return batching.assign_batches(fx.corpus(spark, sf_dir), fx.BATCH_SIZE, fx.EPOCHS, fx.SEED)
@@ -515,16 +528,21 @@ def cut_summary(spark, sf_dir):
     return cut.select("doc_id", "slot", joined("summary").alias("summary"))
 
 
+def _documents(spark, sf_dir):
+    return fx.corpus(spark, sf_dir).select(
+        "doc_id", (F.col("doc_id") + 999_000).alias("num"), "articles", F.col("abstracts").alias("gold")
+    )
+
+
+def _decoding():
+    return summaries.Decoding(fx.BEAM_LENGTH, fx.BEAM_WIDTH, fx.NGRAM_SIZE, cap=fx.CAP)
+
+
 def _summaries(spark, sf_dir):
     """Number, article, gold summary, generated summary and error of every document."""
-    vocab, best = _picked(spark, sf_dir, "length_norm")
-    stop = fx.word_id(vocab, STOP_WORD)
-    cut = best.select("doc_id", seq.cut_summary(F.col("tokens"), stop).alias("ids"))
-    words = encoding.decode(cut, vocab, fx.CAP, text="generated")
-    pairs = fx.corpus(spark, sf_dir)
-    marked = beam.beam_failures(pairs, words).join(words, "doc_id", "left")
-    return marked.select(
-        (F.col("doc_id") + 999_000).alias("num"), "articles", F.col("abstracts").alias("gold"), "generated", "error"
+    vocab, scores = fx.scorer(spark, sf_dir)
+    return summaries.generate_summaries(
+        _documents(spark, sf_dir), fx.seeds(spark, sf_dir, vocab), scores, vocab, _decoding()
     )
 
 
@@ -542,6 +560,21 @@ def write_pairs(spark, sf_dir):
     return spark.read.parquet(path).select("num", "tag", "name", "text")
 
 
+@query
+def summarise_resumed(spark, sf_dir):
+    """A second run after one that stopped: only documents without both texts are decoded and written."""
+    vocab, scores = fx.scorer(spark, sf_dir)
+    documents = _documents(spark, sf_dir)
+    done = fx.done_rows(documents, "num")
+    path, failures = staged_path(spark, "pairs"), staged_path(spark, "failures")
+    repeated = summaries.summarise_pending(
+        documents, fx.seeds(spark, sf_dir, vocab), scores, vocab, path, failures, done, _decoding()
+    ).select("num", F.array_join("repeated", "|").alias("repeated"))
+    written = spark.read.parquet(path).select("num", "tag", "text")
+    failed = spark.read.parquet(failures).select("num", F.lit("failure").alias("tag"), F.col("error").alias("text"))
+    return written.unionByName(failed).join(repeated, "num", "left")
+
+
 @query
 def route_failures(spark, sf_dir):
     _, bad = results.split_failures(_summaries(spark, sf_dir))
