@@ -20,6 +20,7 @@ from brevia.session import stage
 
 # Documents per task: the state of a document grows with every step, so tasks are cut by documents and not by bytes.
 TASK_DOCUMENTS = 20_000
+MOST_TASKS = 50_000
 
 FAILED = "fewer than k candidates"
 
@@ -196,7 +197,8 @@ def beam_decode(
     pages = stage(page_candidates(scores, k), "candidates")
     small = fits_broadcast(pages, ("key",), BROADCAST_ROWS // page_rows(k))
     seeds = stage(seeds.select("doc_id", "key", "prev"), "seeds")
-    tasks = max(seeds.sparkSession.sparkContext.defaultParallelism, -(-seeds.count() // TASK_DOCUMENTS))
+    cores = seeds.sparkSession.sparkContext.defaultParallelism
+    tasks = max(cores, min(MOST_TASKS, -(-seeds.count() // TASK_DOCUMENTS)))
     state = beam_seed(seeds.repartition(tasks, "doc_id"), pages, k, small)
     for step, position in enumerate(range(2, length), start=1):
         state = beam_step(state, pages, position, k, n, small, memory)

@@ -12,8 +12,9 @@ from brevia.session import stage
 _POSITION_BITS = 24
 _DOCUMENT_BITS = 39
 
-# Largest cap whose words are ranked in one task.
-ONE_TASK_WORDS = 1_000_000
+# Words that may meet in one task for ranking.
+ONE_TASK_WORDS = 4_000_000
+_BUCKETS_PER_DOUBLING = 8
 
 
 def _packed(doc: Column, pos: Column) -> Column:
@@ -49,23 +50,48 @@ def distinct_words(tokens: DataFrame, key: str = "doc_id", words: str = "tokens"
     return tokens.select(F.col(key), F.explode(F.array_distinct(words)).alias("token"))
 
 
+def _reducers(df: DataFrame) -> int:
+    """Most partitions an aggregation may have."""
+    conf = df.sparkSession.conf
+    partitions = conf.get("spark.sql.shuffle.partitions")
+    return max(int(partitions), int(conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", partitions)))
+
+
+def _frequent(words: DataFrame, wanted: int) -> DataFrame:
+    """The words frequent enough to be among the ``wanted`` first, and few more.
+
+    Counts are put into fine logarithmic buckets, of which at most a few hundred exist, and the lowest bucket needed is
+    read off their sizes.
+    """
+    bucket = F.floor(F.log2("n") * F.lit(_BUCKETS_PER_DOUBLING)).cast("int")
+    sizes = words.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("words")).collect()
+    lowest, found = 0, 0
+    for size in sorted(sizes, key=lambda row: -row["bucket"]):
+        lowest, found = size["bucket"], found + size["words"]
+        if found >= wanted:
+            break
+    return words.filter(bucket >= lowest)
+
+
 def rank_vocab(stats: DataFrame, cap: int = -1) -> DataFrame:
     """Ids from 2 by falling count, ties by first appearance; with a cap only ids below it.
 
-    Id 1 is reserved for the unknown word: that word itself is never ranked. A usual cap is a top-k followed by a window
-    over at most ``cap`` rows; without one the whole word list is numbered in parallel.
+    Id 1 is reserved for the unknown word: that word itself is never ranked. A small cap is a top-k, in which each
+    partition sends at most ``cap`` words to one task. Where those would be too many, words too rare for the cap are
+    left out first and the rest, or without a cap all words, are numbered in parallel.
     """
     if cap != -1 and cap < FIRST_WORD_ID:
         raise ValueError("the cap must be -1 or at least 2")
     real = stats.filter(F.col("token") != UNKNOWN_WORD)
     order = [F.col("n").desc(), F.col("first")]
-    if cap == -1 or cap > ONE_TASK_WORDS:
-        ranked = rank_rows(real, order, "token_id", start=FIRST_WORD_ID)
-        if cap != -1:
-            ranked = ranked.filter(F.col("token_id") < cap)
-    else:
+    if cap != -1 and cap * _reducers(stats) <= ONE_TASK_WORDS:
         top = real.orderBy(*order).limit(cap - FIRST_WORD_ID)
         ranked = top.withColumn("token_id", F.row_number().over(Window.orderBy(*order)) + F.lit(FIRST_WORD_ID - 1))
+    elif cap != -1:
+        frequent = _frequent(stage(real, "words"), cap - FIRST_WORD_ID)
+        ranked = rank_rows(frequent, order, "token_id", start=FIRST_WORD_ID).filter(F.col("token_id") < cap)
+    else:
+        ranked = rank_rows(real, order, "token_id", start=FIRST_WORD_ID)
     return ranked.select("token", F.col("token_id").cast("int").alias("token_id"), "n", "df")
 
 

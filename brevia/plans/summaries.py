@@ -10,6 +10,7 @@ from brevia.constants import BEAM_WIDTH, NGRAM_SIZE, STOP_WORD, SUMMARY_LENGTH
 from brevia.functions.sequences import cut_summary
 from brevia.operators.beam import beam_decode, beam_failures, pick_best
 from brevia.operators.encoding import decode
+from brevia.operators.joins import fits_broadcast
 from brevia.operators.repeats import repeated_ngrams
 from brevia.session import stage
 from brevia.sources.results import failure_rows, pending, split_failures, write_failures, write_pairs
@@ -40,20 +41,30 @@ def generate_summaries(
     return beam_failures(documents, texts, "generated")
 
 
+def _with_articles(bad: DataFrame, documents: DataFrame) -> DataFrame:
+    """The failed documents' texts. Few documents fail as a rule: their keys are then broadcast to the articles."""
+    articles = documents.select("doc_id", "articles")
+    if fits_broadcast(bad, ("gold", "error")):
+        return articles.join(F.broadcast(bad), "doc_id")
+    return articles.join(bad, "doc_id")
+
+
 def summarise_pending(
     documents: DataFrame, seeds: DataFrame, scores: DataFrame, vocab: DataFrame, path: str, failures: str,
     done: DataFrame | None = None, settings: Decoding = Decoding(),
 ) -> DataFrame:
     """Summarise the documents (``doc_id, num, articles, gold``) that ``done`` does not hold yet.
 
-    Both texts go to ``path`` and failed documents to ``failures``. Returns the repeated n-grams of each summary.
+    Both texts go to ``path`` and failed documents to ``failures``; articles are read again for the latter only. Returns
+    the repeated n-grams of each summary.
     """
     todo = documents if done is None else pending(documents, done)
     wanted = seeds.join(todo.select("doc_id"), "doc_id", "left_semi")
-    results = stage(generate_summaries(todo, wanted, scores, vocab, settings), "summaries")
+    kept = todo.select("doc_id", "num", "gold")
+    results = stage(generate_summaries(kept, wanted, scores, vocab, settings), "summaries")
     good, bad = split_failures(results)
     write_pairs(good, path)
-    write_failures(failure_rows(bad), failures)
+    write_failures(failure_rows(_with_articles(bad.drop("generated"), documents)), failures)
     if settings.ngram_size < 1:
         return good.select("num", F.array().cast("array<string>").alias("repeated"))
     return repeated_ngrams(good.select("num", "generated"), settings.ngram_size, "generated").select("num", "repeated")
