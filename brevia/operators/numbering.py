@@ -34,9 +34,9 @@ def running_total(
     """Running sum of ``value`` in each group, ``order`` being a whole number from 0.
 
     Totals are taken inside chunks of the order first and the total of the earlier chunks is added, so a group with most
-    of the rows is still shared between tasks.
+    of the rows is still shared between tasks. The rows are read twice and staged for it.
     """
-    keyed = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)))
+    keyed = stage(df, "running").withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)))
     inside = Window.partitionBy(*group, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = keyed.groupBy(*group, "_chunk").agg(F.sum(value).alias("_sum"))

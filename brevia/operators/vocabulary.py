@@ -104,6 +104,6 @@ def fit_vocab(
 
 def vocab_size(vocab: DataFrame, cap: int = -1) -> DataFrame:
     """The cap where there is one, even if fewer words exist; else all words, the unknown word and padding."""
-    words = F.count(F.lit(1)) + F.lit(FIRST_WORD_ID)
-    size = words if cap == -1 else F.coalesce(F.lit(cap), words)
-    return vocab.agg(size.cast("bigint").alias("vocab_size"))
+    if cap != -1:
+        return vocab.sparkSession.range(1).select(F.lit(cap).cast("bigint").alias("vocab_size"))
+    return vocab.agg((F.count(F.lit(1)) + F.lit(FIRST_WORD_ID)).alias("vocab_size"))

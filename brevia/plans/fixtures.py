@@ -37,14 +37,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, articles, abstracts, lang``."""
-    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
+def pairs(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    """``doc_id, articles, abstracts, lang``; ``wide`` spreads a scan of few splits for work on every word."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    documents = spread(documents, "doc_id") if wide else documents
     return documents.select(
         "doc_id", F.col("text").alias("articles"), F.substring_index("text", "\n", 1).alias("abstracts"), "lang"
     )
 
 
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(spark, sf_dir, wide=True)
+
+
 def tokens(corpus_df: DataFrame, text: Column, *others: str, mode: str = "filters") -> DataFrame:
     return corpus_df.select("doc_id", *others, tokenise(text, mode).alias("tokens"))
 
@@ -119,11 +124,11 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def seeds(spark: SparkSession, sf_dir: str, vocab: DataFrame) -> DataFrame:
     """``doc_id, key, prev``: each document starts from the last known word of its summary."""
-    pairs = corpus(spark, sf_dir)
-    ids = encode(tokens(pairs, F.col("abstracts")), vocab, cap=CAP)
+    documents = corpus(spark, sf_dir)
+    ids = encode(tokens(documents, F.col("abstracts")), vocab, cap=CAP)
     known = F.filter("ids", lambda x: x > UNKNOWN_ID)
     last = ids.select("doc_id", F.get(known, F.size(known) - 1).alias("prev"))
-    keyed = pairs.select("doc_id", F.col("lang").alias("key"))
+    keyed = documents.select("doc_id", F.col("lang").alias("key"))
     return keyed.join(last, "doc_id").filter(F.col("prev").isNotNull())
 
 
@@ -140,30 +145,28 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``pred`` is the likeliest follower of the input word, ``loss`` the negative log probability of the label.
     """
     vocab, scores = scorer(spark, sf_dir)
-    pairs = corpus(spark, sf_dir)
-    ids = encode(tokens(pairs, wrap_target(F.col("abstracts"))), vocab, SUMMARY_LENGTH, CAP)
+    documents = corpus(spark, sf_dir)
+    ids = encode(tokens(documents, wrap_target(F.col("abstracts"))), vocab, SUMMARY_LENGTH, CAP)
     ids = ids.select("doc_id", pad_truncate(F.col("ids"), SUMMARY_LENGTH).alias("ids"))
-    keyed = pairs.select("doc_id", F.col("lang").alias("key")).join(ids, "doc_id")
+    keyed = documents.select("doc_id", F.col("lang").alias("key")).join(ids, "doc_id")
     rows = next_token_rows(keyed, ["doc_id", "key"])
-    # Padding needs no lookup: the prediction after padding is padding.
-    words, padding = rows.filter(F.col("prev") != 0), rows.filter(F.col("prev") == 0)
     small = fits_broadcast(scores, ("key",))
     best = rank_candidates(scores).filter(F.col("rank") == 1).select("key", "prev", F.col("token_id").alias("best"))
     label = scores.select("key", "prev", F.col("token_id").alias("real"), "prob")
-    scored = skew_join(words, label, ["key", "prev", "real"], ["doc_id", "pos"], small, "left")
+    scored = skew_join(rows, label, ["key", "prev", "real"], ["doc_id", "pos"], small, "left")
     scored = skew_join(scored, best, ["key", "prev"], ["doc_id", "pos"], small, "left")
-    unscored = padding.select("*", F.lit(None).cast("double").alias("prob"), F.lit(None).cast("int").alias("best"))
-    base = scored.unionByName(unscored)
-    batches = assign_batches(pairs, BATCH_SIZE, EPOCHS, SEED).select("doc_id", "epoch", "batch")
+    loss = -F.ln(F.greatest(F.coalesce("prob", F.lit(0.0)), F.lit(LOSS_FLOOR)))
+    batches = assign_batches(documents, BATCH_SIZE, EPOCHS, SEED).select("doc_id", "epoch", "batch")
+    base = scored.withColumn("loss", loss).join(batches, "doc_id")
     size = step_size(SUMMARY_LENGTH, STEPS)
-    expanded = base.join(batches, "doc_id").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(STEPS))))
+    expanded = base.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(STEPS))))
     kept = F.col("step") * F.lit(size)
     return expanded.select(
         "epoch", "step", "batch", "doc_id", "pos",
         F.when(F.col("pos") + 1 < kept, F.col("real")).otherwise(F.lit(0)).alias("real"),
         F.when((F.col("pos") >= kept) | (F.col("prev") == 0), F.lit(0))
         .otherwise(F.coalesce("best", F.lit(UNKNOWN_ID))).alias("pred"),
-        (-F.ln(F.greatest(F.coalesce("prob", F.lit(0.0)), F.lit(LOSS_FLOOR)))).alias("loss"),
+        "loss",
     )
 
 

@@ -38,14 +38,14 @@ def corpus_scan(spark, sf_dir):
 
 @query
 def corpus_project(spark, sf_dir):
-    pairs = fx.corpus(spark, sf_dir).withColumnRenamed("doc_id", "id_articles")
-    return source.project_corpus(pairs)
+    documents = fx.pairs(spark, sf_dir).withColumnRenamed("doc_id", "id_articles")
+    return source.project_corpus(documents)
 
 
 def _with_missing(spark, sf_dir):
     """Articles of a single line have no summary beyond themselves: it counts as missing."""
-    pairs = fx.corpus(spark, sf_dir).select("doc_id", "articles", "abstracts")
-    return pairs.withColumn("abstracts", F.nullif(F.col("abstracts"), F.col("articles")))
+    documents = fx.pairs(spark, sf_dir).select("doc_id", "articles", "abstracts")
+    return documents.withColumn("abstracts", F.nullif(F.col("abstracts"), F.col("articles")))
 
 
 @query
@@ -60,15 +60,15 @@ def null_drop(spark, sf_dir):
 
 @query
 def null_strict(spark, sf_dir):
-    pairs = fx.corpus(spark, sf_dir).select("doc_id", "articles", "abstracts")
-    return source.apply_null_policy(pairs, "strict")
+    documents = fx.pairs(spark, sf_dir).select("doc_id", "articles", "abstracts")
+    return source.apply_null_policy(documents, "strict")
 
 
 @query
 def shard_number(spark, sf_dir):
-    pairs = fx.corpus(spark, sf_dir).select("doc_id", "lang")
+    documents = fx.pairs(spark, sf_dir).select("doc_id", "lang")
     path = F.concat(F.lit("eval/"), F.col("lang"), F.lit("_"), F.length("lang") * 1000, F.lit("_end.xlsx"))
-    return source.number_rows(pairs.select("doc_id", path.alias("path")), "doc_id", "path")
+    return source.number_rows(documents.select("doc_id", path.alias("path")), "doc_id", "path")
 
 
 @query
@@ -91,7 +91,7 @@ def vocab_round_trip(spark, sf_dir):
 
 @query
 def wrap_target(spark, sf_dir):
-    return fx.corpus(spark, sf_dir).select("doc_id", text.wrap_target(F.col("abstracts")).alias("target"))
+    return fx.pairs(spark, sf_dir).select("doc_id", text.wrap_target(F.col("abstracts")).alias("target"))
 
 
 def _tokenise(spark, sf_dir, mode):
@@ -116,7 +116,7 @@ def strip_chars(spark, sf_dir):
 
 @query
 def char_length(spark, sf_dir):
-    return fx.corpus(spark, sf_dir).select(
+    return fx.pairs(spark, sf_dir).select(
         "doc_id", text.char_length(F.col("articles")).alias("article_chars"),
         text.char_length(F.col("abstracts")).alias("abstract_chars"),
     )
@@ -125,13 +125,13 @@ def char_length(spark, sf_dir):
 @query
 def length_stats(spark, sf_dir):
     sides = {"articles": text.char_length(F.col("articles")), "abstracts": text.char_length(F.col("abstracts"))}
-    stats = source.length_stats(fx.corpus(spark, sf_dir), sides)
+    stats = source.length_stats(fx.pairs(spark, sf_dir), sides)
     return stats.withColumn("mean_length", F.round("mean_length", 6))
 
 
 @query
 def corpus_size(spark, sf_dir):
-    return source.corpus_size(fx.corpus(spark, sf_dir))
+    return source.corpus_size(fx.pairs(spark, sf_dir))
 
 
 @query
@@ -303,7 +303,7 @@ def concat_chunks(spark, sf_dir):
 
 @query
 def curriculum_step_size(spark, sf_dir):
-    lengths = fx.corpus(spark, sf_dir).select("doc_id", text.char_length(F.col("articles")).alias("length"))
+    lengths = fx.pairs(spark, sf_dir).select("doc_id", text.char_length(F.col("articles")).alias("length"))
     return lengths.select(
         "doc_id", "length", seq.step_size_column(F.col("length"), F.lit(fx.CURRICULUM_STEPS)).alias("size")
     )
@@ -347,7 +347,7 @@ def training_set(spark, sf_dir):
 
 @query
 def batch_assign(spark, sf_dir):
-    return batching.assign_batches(fx.corpus(spark, sf_dir), fx.BATCH_SIZE, fx.EPOCHS, fx.SEED)
+    return batching.assign_batches(fx.pairs(spark, sf_dir), fx.BATCH_SIZE, fx.EPOCHS, fx.SEED)
 
 
 # Evaluation
@@ -529,7 +529,7 @@ def cut_summary(spark, sf_dir):
 
 
 def _documents(spark, sf_dir):
-    return fx.corpus(spark, sf_dir).select(
+    return fx.pairs(spark, sf_dir).select(
         "doc_id", (F.col("doc_id") + 999_000).alias("num"), "articles", F.col("abstracts").alias("gold")
     )
 
@@ -583,8 +583,8 @@ def route_failures(spark, sf_dir):
 
 @query
 def resume_skip(spark, sf_dir):
-    pairs = fx.corpus(spark, sf_dir)
-    return results.pending(pairs.select(F.col("doc_id").alias("num"), "abstracts"), fx.done_rows(pairs))
+    documents = fx.pairs(spark, sf_dir)
+    return results.pending(documents.select(F.col("doc_id").alias("num"), "abstracts"), fx.done_rows(documents))
 
 
 @query
