@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brevia.constants import FIRST_WORD_ID, UNKNOWN_ID, UNKNOWN_WORD
 from brevia.functions.sequences import unknown_count
-from brevia.operators.joins import BROADCAST_BYTES, fits_broadcast
+from brevia.operators.joins import BROADCAST_BYTES, fits_broadcast, skew_join
 
 # Words that may be broadcast: at most this many, and none longer than this in a part of a larger vocabulary.
 BROADCAST_WORDS = 200_000
@@ -26,15 +26,17 @@ def lookup(items: DataFrame, vocab: DataFrame, on: str) -> DataFrame:
     """Left join of ``items`` with the vocabulary on ``token`` or ``token_id``.
 
     A vocabulary that is checked to be small is broadcast. A larger one is taken in two parts: its most frequent words,
-    bounded in size, are broadcast, and only the items not found there are shuffled to meet the rest. Those are the
-    rare ones, so no frequent word becomes a hot key. Items without a key meet nothing and are not shuffled.
+    bounded in size, are broadcast, and only the items not found there are shuffled to meet the rest. Those are rare
+    words, and where a frequent one is new to the vocabulary its items are split. Items without a key meet nothing and
+    are not shuffled.
     """
     if fits_broadcast(vocab, ("token",), BROADCAST_WORDS, BROADCAST_BYTES):
         return items.join(F.broadcast(vocab), on, "left")
     head = _head(vocab)
     tail = vocab.join(F.broadcast(head.select("token_id")), "token_id", "left_anti").select(*vocab.columns)
     keyed, keyless = items.filter(F.col(on).isNotNull()), items.filter(F.col(on).isNull())
-    others = keyed.join(F.broadcast(head.select(on)), on, "left_anti").join(tail, on, "left")
+    others = keyed.join(F.broadcast(head.select(on)), on, "left_anti")
+    others = skew_join(others, tail, [on], [name for name in items.columns if name != on], False, "left")
     unmatched = keyless.join(F.broadcast(head.limit(0)), on, "left")
     return keyed.join(F.broadcast(head), on).unionByName(others).unionByName(unmatched)
 

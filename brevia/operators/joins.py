@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 # Up to this many rows and text bytes a table may be broadcast.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-# A join key with more left rows than this is split over several tasks.
+# A join key with more left rows than this is split over several tasks, the most frequent keys first.
 HOT_ROWS = 200_000
+HOT_KEYS = 1000
+MOST_PARTS = 1000
 
 
 def fits_broadcast(
@@ -26,22 +28,25 @@ def skew_join(
     left: DataFrame, right: DataFrame, on: list[str], by: list[str], small: bool, how: str = "inner",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Join a table with repeated keys to a lookup table.
+    """Join a table with repeated keys to a lookup table with one row, or few, for each key.
 
     A small lookup table is broadcast. Otherwise the left rows of each key are counted; a key with more than
-    ``hot_rows`` is split into as many parts as needed by a hash of ``by``, and only that key's lookup rows are copied to
-    each part. At most one key per ``hot_rows`` left rows can be hot, which bounds the list of them.
+    ``hot_rows`` is split into parts by a hash of ``by``, and only that key's lookup rows are copied to each part. The
+    ``HOT_KEYS`` most frequent keys are split, so any other holds less than a thousandth of the rows, and the list of them
+    is bounded: it names keys by hash. Two keys of one hash are only both split.
     """
     if small:
         return left.join(F.broadcast(right), on, how)
-    hot = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows).select(
-        *on, F.ceil(F.col("_rows") / F.lit(hot_rows)).cast("int").alias("_parts")
+    key = F.xxhash64(*on)
+    counts = left.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
+    hot = counts.orderBy(F.desc("_rows"), "_key").limit(HOT_KEYS).select(
+        "_key", F.least(F.ceil(F.col("_rows") / F.lit(hot_rows)), F.lit(MOST_PARTS)).cast("int").alias("_parts")
     )
     parts = F.coalesce("_parts", F.lit(1))
-    split = left.join(F.broadcast(hot), on, "left").withColumn(
+    split = left.withColumn("_key", key).join(F.broadcast(hot), "_key", "left").withColumn(
         "_part", F.pmod(F.xxhash64(*by), parts).cast("int")
-    ).drop("_parts")
-    copies = right.join(F.broadcast(hot), on, "left").withColumn(
+    ).drop("_key", "_parts")
+    copies = right.withColumn("_key", key).join(F.broadcast(hot), "_key", "left").withColumn(
         "_part", F.explode(F.sequence(F.lit(0), parts - 1))
-    ).drop("_parts")
+    ).drop("_key", "_parts")
     return split.join(copies, [*on, "_part"], how).drop("_part")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from brevia.operators.joins import fits_broadcast, skew_join
 from brevia.operators.numbering import rank_rows
 
 CORPUS_COLUMNS = ("id_articles", "articles", "abstracts")
@@ -54,14 +55,13 @@ def number_rows(df: DataFrame, order_by: str, path: str, start: int | None = Non
     """Number the rows of each file in key order from the number its name carries, or from ``start``.
 
     A file may hold most rows, so no file is handled by one task: rows are ranked over all files at once, and the
-    lowest rank of each file is taken off.
+    lowest rank of each file is taken off. Files may be many or few.
     """
     ranked = rank_rows(df, [F.col(path), F.col(order_by)], "_rank")
-    first = ranked.groupBy(F.col(path).alias("_path")).agg(F.min("_rank").alias("_first"))
+    first = ranked.groupBy(path).agg(F.min("_rank").alias("_first"))
     base = F.lit(start).cast("bigint") if start is not None else start_number(F.col(path))
-    return ranked.join(first, F.col(path) == F.col("_path")).select(
-        *df.columns, (base + F.col("_rank") - F.col("_first")).alias(name)
-    )
+    placed = skew_join(ranked, first, [path], [order_by], fits_broadcast(first, (path,)))
+    return placed.select(*df.columns, (base + F.col("_rank") - F.col("_first")).alias(name))
 
 
 def corpus_size(df: DataFrame) -> DataFrame:

@@ -72,7 +72,9 @@ def test_read_corpus_as_strings(spark, tmp_path, fmt):
     assert source.project_corpus(found).first().doc_id == 7
 
 
-def test_number_rows_from_file_names(spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_number_rows_from_file_names(spark, monkeypatch, small):
+    monkeypatch.setattr(source, "fits_broadcast", lambda *_: small)
     rows = [(i, f"/d/x.y/test_{start}_{start + 9}.v2.xlsx") for start in (2499, 10) for i in range(start, start + 5)]
     df = spark.createDataFrame(rows, "doc_id BIGINT, path STRING").repartition(3)
     assert all(r.num == r.doc_id for r in source.number_rows(df, "doc_id", "path").collect())

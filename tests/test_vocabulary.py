@@ -137,3 +137,15 @@ def test_running_total_in_chunks(spark):
     df = spark.createDataFrame(rows, "g INT, i BIGINT, v DOUBLE").repartition(5)
     for row in running_total(df, ["g"], "i", "v", "total", chunk=4).collect():
         assert row.total == sum(i + row.g for i in range(row.i + 1))
+
+
+def test_frequent_word_new_to_the_vocabulary(spark, tokens, monkeypatch):
+    monkeypatch.setattr(encoding, "BROADCAST_WORDS", 4)
+    split = encoding.skew_join
+    monkeypatch.setattr(encoding, "skew_join", lambda *a: split(*a, hot_rows=5))
+    vocab = vocabulary.fit_vocab(tokens)
+    model = models.vocabulary([t.split() for t in DOCUMENTS])
+    texts = {i: ["new"] * 9 + ["c", "solo", "k"] for i in range(6)}
+    fresh = spark.createDataFrame(list(texts.items()), "doc_id BIGINT, tokens ARRAY<STRING>")
+    found = dict(encoding.encode(fresh, vocab).collect())
+    assert found == {i: models.encode(t, model) for i, t in texts.items()}
