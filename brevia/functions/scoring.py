@@ -6,6 +6,8 @@ from pyspark.sql import Column, functions as F
 
 from brevia.constants import LENGTH_ALPHA
 
+SCORE_DIGITS = 9
+
 
 def log_prob(prob: Column) -> Column:
     """Natural logarithm; NULL for zero, which callers route to the failure table."""
@@ -19,4 +21,4 @@ def length_norm(score: Column, length: Column, alpha: float = LENGTH_ALPHA) -> C
 
 def rank_score(score: Column) -> Column:
     """Rounded score to rank on: sums of logarithms may differ in the last bit between orders of addition."""
-    return F.round(score, 9)
+    return F.round(score, SCORE_DIGITS)

@@ -53,6 +53,7 @@ def ngrams(words: Column, n: int) -> Column:
     """All runs of ``n`` neighbouring items, joined by a space."""
     if n < 1:
         raise ValueError("n must be at least 1")
-    starts = F.sequence(F.lit(1), F.size(words) - F.lit(n - 1))
-    grams = F.transform(starts, lambda at: F.array_join(F.slice(words, at, n), " "))
-    return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
+    starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - F.lit(n - 1), F.lit(0)))
+    return F.transform(
+        starts, lambda first, at: F.concat_ws(" ", first, *[F.get(words, at + F.lit(i)) for i in range(1, n)])
+    )

@@ -12,9 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brevia.constants import BEAM_WIDTH, LENGTH_ALPHA, NGRAM_SIZE, SUMMARY_LENGTH
-from brevia.functions.scoring import length_norm, log_prob, rank_score
+from brevia.functions.scoring import SCORE_DIGITS, length_norm, log_prob, rank_score
 from brevia.functions.sequences import first_position
-from brevia.functions.text import ngrams
 from brevia.operators.joins import BROADCAST_ROWS, fits_broadcast, skew_join
 from brevia.session import stage
 
@@ -56,10 +55,6 @@ def candidate_join(hyps: DataFrame, pages: DataFrame, small: bool) -> DataFrame:
     return skew_join(hyps, pages, ["key", "prev", "page"], ["doc_id"], small)
 
 
-def _gram(tokens: Column, n: int) -> Column:
-    return ngrams(tokens.cast("array<string>"), n)
-
-
 def beam_seed(seeds: DataFrame, pages: DataFrame, k: int = BEAM_WIDTH, small: bool = True) -> DataFrame:
     """The k best first words of each document (``doc_id``, ``key``, ``prev`` = its start word), slot = rank.
 
@@ -83,27 +78,24 @@ def open_slots(state: DataFrame, position: int, n: int, memory: str = "slot") ->
     """
     if memory not in ("slot", "lineage"):
         raise ValueError("memory must be slot or lineage")
-    rows = state.select("doc_id", "key", F.posexplode(F.arrays_zip("beams", "memory")).alias("slot", "_b"))
-    rows = rows.select(
-        "doc_id", "key", "slot", F.col("_b.beams.tokens").alias("tokens"), F.col("_b.beams.score").alias("score"),
-        F.col("_b.memory").alias("seen"),
-    ).withColumn("prev", F.element_at("tokens", -1))
+    seen = "b.memory"
     if n > 1 and position >= n + 1:
-        now = _gram(F.col("tokens"), n)
-        rows = rows.withColumn("seen", F.array_union("seen", now) if memory == "slot" else F.array_distinct(now))
-    return rows
-
+        grams = f"""transform(slice(b.beams.tokens, 1, size(b.beams.tokens) - {n - 1}),
+                              (t, i) -> array_join(cast(slice(b.beams.tokens, i + 1, {n}) AS array<string>), ' '))"""
+        seen = f"array_union(b.memory, {grams})" if memory == "slot" else f"array_distinct({grams})"
+    return state.selectExpr("doc_id", "key", "posexplode(arrays_zip(beams, memory)) AS (slot, b)").selectExpr(
+        "doc_id", "key", "slot", "b.beams.tokens AS tokens", "b.beams.score AS score", f"{seen} AS seen",
+        "element_at(b.beams.tokens, -1) AS prev",
+    )
 
-def _prefix(tokens: Column, n: int) -> Column:
-    last = F.slice(tokens, F.size(tokens) - F.lit(n - 2), F.lit(n - 1))
-    return F.concat(F.array_join(last.cast("array<string>"), " "), F.lit(" "))
 
-
-def block_ngrams(cands: Column, prev: Column, prefix: Column, seen: Column) -> Column:
-    """Drop candidates that repeat the last word or would complete an n-gram seen in their slot."""
-    return F.filter(cands, lambda c: (c["token_id"] != prev) & ~F.array_contains(
-        seen, F.concat(prefix, c["token_id"].cast("string"))
-    ))
+def block_ngrams(n: int) -> tuple[str, str]:
+    """SQL for the prefix of the n-grams a hypothesis can complete, and for the candidates left to it: those that neither
+    repeat the last word nor complete an n-gram seen in their slot."""
+    prefix = f"concat(array_join(cast(slice(tokens, -{n - 1}, {n - 1}) AS array<string>), ' '), ' ')"
+    allowed = """filter(cands, c -> c.token_id <> prev
+                        AND NOT array_contains(seen, concat(prefix, cast(c.token_id AS string))))"""
+    return prefix, allowed
 
 
 def extend(state: DataFrame, pages: DataFrame, position: int, k: int, n: int, small: bool, memory: str) -> DataFrame:
@@ -113,16 +105,17 @@ def extend(state: DataFrame, pages: DataFrame, position: int, k: int, n: int, sm
     so that many more than k are read and the k best allowed ones are always among them.
     """
     hyps = open_slots(state, position, n, memory)
-    blocking = n > 1 and position >= n + 1
-    if blocking:
-        hyps = hyps.withColumn("prefix", _prefix(F.col("tokens"), n))
-        blocked = F.size(F.filter("seen", lambda g: F.startswith(g, F.col("prefix")))) + 1
-        allowed = block_ngrams(F.col("cands"), F.col("prev"), F.col("prefix"), F.col("seen"))
+    if n > 1 and position >= n + 1:
+        prefix, allowed = block_ngrams(n)
+        hyps = hyps.selectExpr("*", f"{prefix} AS prefix")
+        blocked = "1 + size(filter(seen, g -> startswith(g, prefix)))"
     else:
-        blocked, allowed = F.lit(0), F.col("cands")
-    last_page = F.floor((blocked + F.lit(k - 1)) / F.lit(page_rows(k))).cast("int")
-    read = candidate_join(hyps.withColumn("page", F.explode(F.sequence(F.lit(0), last_page))), pages, small)
-    return read.select("doc_id", "key", "slot", "page", "tokens", "score", "seen", F.slice(allowed, 1, k).alias("best"))
+        blocked, allowed = "0", "cands"
+    last_page = f"cast(floor(({blocked} + {k - 1}) / {page_rows(k)}) AS int)"
+    read = candidate_join(hyps.selectExpr("*", f"explode(sequence(0, {last_page})) AS page"), pages, small)
+    return read.selectExpr(
+        "doc_id", "key", "slot", "page", "tokens", "score", "seen", f"slice({allowed}, 1, {k}) AS best"
+    )
 
 
 def _hypothesis_pages(extended: DataFrame) -> DataFrame:
@@ -130,22 +123,21 @@ def _hypothesis_pages(extended: DataFrame) -> DataFrame:
 
     A document has k hypotheses of mostly one page, each with at most k candidates.
     """
-    row = F.struct("slot", "page", "tokens", "score", "seen", "best")
-    documents = extended.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    return documents.withColumn("heads", F.filter("rows", lambda r: r["page"] == 0))
+    row = F.expr("sort_array(collect_list(struct(slot, page, tokens, score, seen, best)))")
+    documents = extended.groupBy("doc_id", "key").agg(row.alias("rows"))
+    return documents.selectExpr("doc_id", "key", "rows", "filter(rows, r -> r.page = 0) AS heads")
 
 
-def _topk_of(head: Column, k: int) -> Column:
-    pages = F.filter("rows", lambda r: r["slot"] == head["slot"])
-    return F.slice(F.flatten(F.transform(pages, lambda r: r["best"])), 1, k)
+def _topk_of_head(k: int) -> str:
+    """SQL for the k best allowed candidates of hypothesis ``h`` over all its pages."""
+    return f"slice(flatten(transform(filter(rows, r -> r.slot = h.slot), r -> r.best)), 1, {k})"
 
 
 def topk_per_hypothesis(extended: DataFrame, k: int) -> DataFrame:
     """The k best allowed candidates of each hypothesis, numbered by ``col`` from 0."""
-    documents = _hypothesis_pages(extended)
-    tops = F.transform("heads", lambda h: F.struct(h["slot"].alias("slot"), _topk_of(h, k).alias("top")))
-    hyps = documents.select("doc_id", F.explode(tops).alias("h"))
-    return hyps.select("doc_id", "h.slot", F.posexplode("h.top").alias("col", "c")).select(
+    tops = f"inline(transform(heads, h -> named_struct('slot', h.slot, 'top', {_topk_of_head(k)})))"
+    hyps = _hypothesis_pages(extended).selectExpr("doc_id", tops)
+    return hyps.selectExpr("doc_id", "slot", "posexplode(top) AS (col, c)").selectExpr(
         "doc_id", "slot", "col", "c.token_id", "c.log_prob"
     )
 
@@ -153,26 +145,17 @@ def topk_per_hypothesis(extended: DataFrame, k: int) -> DataFrame:
 def merge_topk(extended: DataFrame, k: int) -> DataFrame:
     """Best k of each document's k x k candidates; ties go to the lower slot, then the lower column.
 
-    A document in which some hypothesis has fewer than k candidates is left out: it has failed.
+    Totals are ranked rounded: sums of logarithms may differ in the last bit between orders of addition. A document in
+    which some hypothesis has fewer than k candidates is left out: it has failed.
     """
-    def candidates(head: Column) -> Column:
-        return F.transform(_topk_of(head, k), lambda c, col: F.struct(
-            (-rank_score(head["score"] + c["log_prob"])).alias("order"),
-            head["slot"].alias("slot"),
-            col.alias("col"),
-            c["token_id"].alias("token_id"),
-            (head["score"] + c["log_prob"]).alias("total"),
-        ))
-
-    documents = _hypothesis_pages(extended)
-    documents = documents.withColumn("merged", F.sort_array(F.flatten(F.transform("heads", candidates))))
-    beams = F.transform(F.slice("merged", 1, k), lambda m, place: F.struct(
-        place.alias("slot"),
-        F.concat(F.get("heads", m["slot"])["tokens"], F.array(m["token_id"])).alias("tokens"),
-        m["total"].alias("score"),
-    ))
-    return documents.filter(F.size("merged") == k * k).select(
-        "doc_id", "key", beams.alias("beams"), F.transform("heads", lambda h: h["seen"]).alias("memory")
+    merged = f"""sort_array(flatten(transform(heads, h -> transform({_topk_of_head(k)}, (c, col) -> named_struct(
+        'order', -round(h.score + c.log_prob, {SCORE_DIGITS}), 'slot', h.slot, 'col', col,
+        'token_id', c.token_id, 'total', h.score + c.log_prob)))))"""
+    beams = f"""transform(slice(merged, 1, {k}), (m, place) -> named_struct(
+        'slot', place, 'tokens', concat(heads[m.slot].tokens, array(m.token_id)), 'score', m.total))"""
+    documents = _hypothesis_pages(extended).selectExpr("doc_id", "key", "heads", f"{merged} AS merged")
+    return documents.filter(f"size(merged) = {k * k}").selectExpr(
+        "doc_id", "key", f"{beams} AS beams", "transform(heads, h -> h.seen) AS memory"
     )
 
 

@@ -9,7 +9,7 @@ from brevia.functions.sequences import unknown_count
 from brevia.operators.joins import BROADCAST_BYTES, fits_broadcast, skew_join
 
 # Words that may be broadcast: at most this many, and none longer than this in a part of a larger vocabulary.
-BROADCAST_WORDS = 200_000
+BROADCAST_WORDS = 500_000
 BROADCAST_WORD_BYTES = 4096
 
 
