@@ -170,9 +170,10 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def done_rows(documents: DataFrame, num: str = "doc_id") -> DataFrame:
-    """``num, tag`` as if a run had stopped: both texts, one text or none, by turns."""
-    tags = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("encoder"), F.lit("decoder"))).when(
-        F.col("doc_id") % 3 == 1, F.array(F.lit("encoder"))
-    ).otherwise(F.array().cast("array<string>"))
-    return documents.select(F.col(num).alias("num"), F.explode(tags).alias("tag"))
+def done_rows(spark: SparkSession, sf_dir: str, offset: int = 0) -> DataFrame:
+    """``num, tag`` as if a run had stopped: a labelled document has its gold text, one labelled good both texts."""
+    tags = F.when(F.col("quality") == 1, F.array(F.lit("encoder"), F.lit("decoder"))).otherwise(
+        F.array(F.lit("encoder"))
+    )
+    labels = table(spark, sf_dir, "labels")
+    return labels.select((F.col("doc_id") + offset).alias("num"), F.explode(tags).alias("tag"))

@@ -368,9 +368,10 @@ SELECT num, tag, {_NAME} || '_' || tag || '.txt' AS name, CASE WHEN tag = 'encod
 FROM summaries, (VALUES ('encoder'), ('decoder')) t(tag) WHERE error IS NULL"""
 ORACLE["route_failures"] = _with("summaries") + f"""
 SELECT num, {_NAME} AS name, articles AS doc, gold, error FROM summaries WHERE error IS NOT NULL"""
-ORACLE["resume_skip"] = _with("corpus") + "SELECT doc_id AS num, abstracts FROM corpus WHERE doc_id % 3 <> 0"
+ORACLE["resume_skip"] = _with("corpus") + """
+SELECT doc_id AS num, abstracts FROM corpus WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)"""
 ORACLE["summarise_resumed"] = _with("summaries") + f""",
-todo AS (SELECT * FROM summaries WHERE (num - 999000) % 3 <> 0),
+todo AS (SELECT * FROM summaries WHERE num - 999000 NOT IN (SELECT doc_id FROM labels WHERE quality = 1)),
 words AS (SELECT num, list_filter(string_split(generated, ' '), lambda x: x <> '') AS w FROM todo WHERE error IS NULL),
 grams AS (SELECT num, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram,
                  unnest(range(1, len(w))) AS spot FROM words),

@@ -18,6 +18,8 @@ from brevia.streaming.incremental import encode_stream
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+NUMBER_OFFSET = 999_000  # result numbers then have six and seven digits
+
 
 def query(function: Query) -> Query:
     QUERIES[function.__name__] = function
@@ -530,7 +532,7 @@ def cut_summary(spark, sf_dir):
 
 def _documents(spark, sf_dir):
     return fx.pairs(spark, sf_dir).select(
-        "doc_id", (F.col("doc_id") + 999_000).alias("num"), "articles", F.col("abstracts").alias("gold")
+        "doc_id", (F.col("doc_id") + NUMBER_OFFSET).alias("num"), "articles", F.col("abstracts").alias("gold")
     )
 
 
@@ -565,7 +567,7 @@ def summarise_resumed(spark, sf_dir):
     """A second run after one that stopped: only documents without both texts are decoded and written."""
     vocab, scores = fx.scorer(spark, sf_dir)
     documents = _documents(spark, sf_dir)
-    done = fx.done_rows(documents, "num")
+    done = fx.done_rows(spark, sf_dir, NUMBER_OFFSET)
     path, failures = staged_path(spark, "pairs"), staged_path(spark, "failures")
     repeated = summaries.summarise_pending(
         documents, fx.seeds(spark, sf_dir, vocab), scores, vocab, path, failures, done, _decoding()
@@ -583,8 +585,8 @@ def route_failures(spark, sf_dir):
 
 @query
 def resume_skip(spark, sf_dir):
-    documents = fx.pairs(spark, sf_dir)
-    return results.pending(documents.select(F.col("doc_id").alias("num"), "abstracts"), fx.done_rows(documents))
+    documents = fx.pairs(spark, sf_dir).select(F.col("doc_id").alias("num"), "abstracts")
+    return results.pending(documents, fx.done_rows(spark, sf_dir))
 
 
 @query

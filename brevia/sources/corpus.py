@@ -55,7 +55,7 @@ def number_rows(df: DataFrame, order_by: str, path: str, start: int | None = Non
     """Number the rows of each file in key order from the number its name carries, or from ``start``.
 
     A file may hold most rows, so no file is handled by one task: rows are ranked over all files at once, and the
-    lowest rank of each file is taken off. Files may be many or few.
+    lowest rank of each file is taken off. The rows are laid out anew for it, so pass the columns that are needed only.
     """
     ranked = rank_rows(df, [F.col(path), F.col(order_by)], "_rank")
     first = ranked.groupBy(path).agg(F.min("_rank").alias("_first"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+# Fixed value: characters that become a space.
 FILTERS = set('!"#$%&()*+,-./:;=?@[\\]^_`{|}~\t\n')
 
 
@@ -30,9 +31,10 @@ def encode(document, vocab, length=None):
 
 
 def repeated(text, n):
-    parts = text.split()
-    counts = Counter(" ".join(parts[i:i + n]) for i in range(len(parts) - n + 1))
-    return [gram for gram, count in counts.items() if count > 1]
+    parts, places = text.split(), {}
+    for at in range(len(parts) - n + 1):
+        places.setdefault(tuple(parts[at:at + n]), []).append(at)
+    return [" ".join(gram) for gram, found in places.items() if len(found) > 1]
 
 
 def beam(scores, key, start, length, k, n, lineage=False):
