@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brevia.llm.common import fresh
+from brevia.llm.common import fresh, others
 from brevia.session import stage
 
 # A line on more than this share of a site's pages is boilerplate.
@@ -76,11 +76,11 @@ def drop_boilerplate(
     )
     before, after = (F.coalesce(F.size(F.col(c)), F.lit(0)) for c in (rows, kept))
     return split.select(
-        *(c for c in df.columns if c not in (text, lines, dropped)),
+        *others(df, text, lines, dropped),
         F.array_join(kept, "\n").alias(text),
         F.when(F.col(rows).isNull(), F.lit(0)).otherwise(before).cast("bigint").alias(lines),
         F.when(F.col(rows).isNull(), F.lit(0)).otherwise(before - after).cast("bigint").alias(dropped),
-    ).select(*(c for c in df.columns if c not in (lines, dropped)), lines, dropped)
+    ).select(*others(df, lines, dropped), lines, dropped)
 
 
 SQL = f"""

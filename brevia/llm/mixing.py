@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brevia.llm.common import fresh, word_count
+from brevia.llm.common import fresh, others, word_count
 from brevia.operators.numbering import rank_rows
 from brevia.session import stage
 
@@ -16,6 +16,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_REPEATS = 2
 SEED = 42
+NEW = ("size", "source_size", "target", "copies")
 _DIGITS = 13  # hex digits of a digest that make a draw; 52 bits are exact in a double
 
 
@@ -77,8 +78,7 @@ def with_copies(
     site = fresh(docs, "site_")[0]
     sizes = docs.groupBy(F.col(source).alias("source")).agg(F.sum(word_count(F.col(text))).alias("source_size"))
     targets = stage(source_targets(sizes, weights, share, most), "targets").withColumnRenamed("source", site)
-    new = ("size", "source_size", "target", "copies")
-    joined = docs.select(*(c for c in docs.columns if c not in new)).join(
+    joined = docs.select(*others(docs, *NEW)).join(
         targets, F.col(source).eqNullSafe(F.col(site)), "left"
     ).drop(site)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -91,8 +91,7 @@ def with_copies(
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """The mixed rows with the columns of ``docs``: each document as often as ``with_copies`` says. Settings as there."""
     copies, turn, *held = fresh(docs, "copies_", "turn_", "h0_", "h1_", "h2_", "h3_")
-    new = ("size", "source_size", "target", "copies")
-    clash = {c: held[i] for i, c in enumerate(c for c in docs.columns if c in new)}
+    clash = dict(zip((c for c in docs.columns if c.lower() in NEW), held))
     planned = with_copies(docs.withColumnsRenamed(clash), **settings).withColumnRenamed("copies", copies)
     emitted = planned.filter(F.col(copies) > 0).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
     return emitted.select(*(F.col(clash.get(c, c)).alias(c) for c in docs.columns))
