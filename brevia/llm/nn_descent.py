@@ -127,11 +127,15 @@ def _table_pairs(vectors: DataFrame, seeds: range, dim: int, most: int) -> DataF
         compare, _PAIRS)
 
 
-def _lists(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The nearest neighbours of each vector, as many as its size says; equal cosines by hash."""
+def _lists(pairs: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """The nearest neighbours of each vector, as many as its size, ``most`` at most, says; equal cosines by hash.
+
+    The bound on the place lets Spark drop the others before the shuffle, so a vector near to many costs no more.
+    """
     tie = F.xxhash64("rep", "near")
     nearest = Window.partitionBy("rep").orderBy(F.desc("cosine"), tie)
-    ranked = pairs.groupBy("rep", "near").agg(F.max("cosine").alias("cosine")).withColumn("place", F.row_number().over(nearest))
+    ranked = pairs.groupBy("rep", "near").agg(F.max("cosine").alias("cosine")).withColumn(
+        "place", F.row_number().over(nearest)).filter(F.col("place") <= most)
     kept = ranked.join(sizes, "rep", "left").withColumn("size", F.coalesce("size", F.lit(NEIGHBOURS)))
     return kept.filter(F.col("place") <= F.col("size")).select("rep", "near", "cosine", "size")
 
@@ -146,7 +150,7 @@ def _grown(lists: DataFrame, limit: float) -> DataFrame:
         F.when(F.col("found") >= F.col("size"), F.col("least")).otherwise(F.lit(-2.0)).cast("float").alias("least"))
 
 
-def _descend(vectors: DataFrame, lists: DataFrame, limit: float) -> DataFrame:
+def _descend(vectors: DataFrame, lists: DataFrame, limit: float, most: int) -> DataFrame:
     """One round: the neighbours of each vector, both ways, are compared with each other, and lists keep the best."""
     sizes = stage(_grown(lists, limit), "sizes")
     forward = lists.select(F.col("rep").alias("hub"), F.col("near").alias("rep"))
@@ -169,7 +173,7 @@ def _descend(vectors: DataFrame, lists: DataFrame, limit: float) -> DataFrame:
 
     found = rows.select("hub", "rep", "short", "least").repartition("hub").sortWithinPartitions("hub").mapInArrow(
         compare, _PAIRS)
-    return stage(_lists(found.union(lists.select("rep", "near", "cosine")), sizes.select("rep", "size")), "lists")
+    return stage(_lists(found.union(lists.select("rep", "near", "cosine")), sizes.select("rep", "size"), most), "lists")
 
 
 def _compare_members(members: DataFrame, dim: int, threshold: float, block: int) -> DataFrame:
@@ -316,7 +320,7 @@ def near_duplicates(
 
     schema = vectors.withColumn("rep", F.lit(0).cast("bigint")).schema.add("short", "binary")
     vectors = stage(vectors.withColumn("rep", F.monotonically_increasing_id()).mapInArrow(shorten, schema), "vectors")
-    limit, seen, recall = threshold - SLACK, 0, 0.0
+    limit, seen, recall, most = threshold - SLACK, 0, 0.0, NEIGHBOURS
     sizes = spark.createDataFrame([], "rep bigint, size int")
     lists = None
     for audit in range(MOST_AUDITS):
@@ -325,9 +329,10 @@ def near_duplicates(
         if lists is not None:
             sizes = lists.groupBy("rep").agg(F.max("size").alias("size"))
             pairs = pairs.union(lists.select("rep", "near", "cosine"))
-        lists = stage(_lists(pairs, sizes), "lists")
+        lists = stage(_lists(pairs, sizes, most), "lists")
         for _ in range(ROUNDS):
-            lists = _descend(vectors, lists, limit)
+            most *= 2
+            lists = _descend(vectors, lists, limit, most)
         near = lists.filter(F.col("cosine") >= limit).select(F.col("rep").alias("a"), F.col("near").alias("b"))
         found = stage(components(near).withColumnRenamed("node", "rep"), "found")
         compared = _compare_members(found.join(vectors.select("rep", "copies", "embedding"), "rep"), dim, threshold, block)
