@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import Column, DataFrame, functions as F
 
+from brevia.llm.common import fresh
+
 # Texts longer than this are split at safe boundaries, in pieces of about this many characters.
 CHUNK_CHARS = 1 << 16
+# Bytes of texts that are encoded before their ids are handed back to Spark.
+GROUP = 1 << 22
 # No match of a pattern holds white space after something else, and none looks back: a text may be cut before a space
 # or line break that follows another character, and the matches of the parts are those of the whole.
 _BOUNDARY = re.compile(r"(?<=\S)(?=[ \n])")
@@ -44,17 +49,37 @@ def ids_of(codec: tiktoken.Encoding, text: str, size: int = CHUNK_CHARS) -> np.n
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
+def _slices(sizes: Iterable[int], limit: int = GROUP) -> Iterator[tuple[int, int]]:
+    """Neighbouring rows of about ``limit`` together, so that a task never holds the ids of a whole Arrow batch twice."""
+    start = total = at = 0
+    for at, size in enumerate(sizes, start=1):
+        total += size
+        if total >= limit:
+            yield start, at
+            start, total = at, 0
+    if at > start or at == 0:
+        yield start, at
+
+
+def _id_lists(found: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, found)])
+    ids = np.concatenate([np.empty(0, np.uint32), *found]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+
+
+def _encode(codec: tiktoken.Encoding, batches: Iterator[pa.Array], size: int) -> Iterator[list[np.ndarray]]:
+    for batch in batches:
+        for start, end in _slices(pc.fill_null(pc.binary_length(batch), 0).to_pylist()):
+            yield [ids_of(codec, text.as_py() or "", size) for text in batch[start:end]]
+
+
 def encoded(text: Column, path: str, pattern: str, size: int = CHUNK_CHARS) -> Column:
     """array<int> of the ids of each text; of a null text as of an empty one, no ids."""
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = encoding(path, pattern)
-        for batch in batches:
-            found = [ids_of(codec, text or "", size) for text in batch.to_pylist()]
-            ends = np.cumsum([0, *map(len, found)])
-            ids = np.concatenate([np.empty(0, np.uint32), *found]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+        for found in _encode(encoding(path, pattern), batches, size):
+            yield _id_lists(found)
 
     return encode(text)
 
@@ -69,13 +94,24 @@ def decoded(ids: Column, path: str, pattern: str) -> Column:
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = encoding(path, pattern)
         for batch in batches:
-            yield pa.array(
-                [None if row is None else codec.decode_bytes(row) for row in batch.to_pylist()], pa.binary()
-            )
+            yield pa.array([None if not row.is_valid else codec.decode_bytes(row.as_py()) for row in batch], pa.binary())
 
     return decode(ids)
 
 
+def round_trip(text: Column, path: str, pattern: str, size: int = CHUNK_CHARS) -> Column:
+    """A struct (ids, raw) for each text: its ids, and the bytes decoded from them, by one Python worker."""
+
+    @F.arrow_udf("ids array<int>, raw binary")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = encoding(path, pattern)
+        for found in _encode(codec, batches, size):
+            raw = pa.array([codec.decode_bytes(ids.tolist()) for ids in found], pa.binary())
+            yield pa.StructArray.from_arrays([_id_lists(found), raw], ["ids", "raw"])
+
+    return both(text)
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """The rows with the ids of the whole of ``text`` in ``ids``, a column that is replaced if there."""
     return df.withColumn(ids, encoded(F.col(text), path, pattern))
@@ -84,3 +120,12 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", raw: str = "raw") -> DataFrame:
     """The rows with the bytes of ``ids`` in ``raw``, a column that is replaced if there."""
     return df.withColumn(raw, decoded(F.col(ids), path, pattern))
+
+
+def encode_and_decode(
+    df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", raw: str = "raw"
+) -> DataFrame:
+    """The rows with the ids of ``text`` and the bytes of these ids, as ``encode`` and ``decode`` after it give."""
+    found = fresh(df, "found_")[0]
+    return df.withColumn(found, round_trip(F.col(text), path, pattern)).withColumns(
+        {ids: F.col(f"{found}.ids"), raw: F.col(f"{found}.raw")}).drop(found)

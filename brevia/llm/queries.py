@@ -63,8 +63,8 @@ def bpe_settings() -> tuple[str, str]:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = bpe_settings()
-    docs = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).drop("text")
-    return byte_bpe.decode(docs, path, pattern).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_bpe.encode_and_decode(docs, path, pattern).select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2(F.col("raw"), 256).alias("decoded_sha256"),

@@ -37,9 +37,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of the documents with the ids of each text and the bytes that the ids stand for."""
     ship_package(spark)
     path, pattern = bpe_settings()
-    encoded = byte_bpe.encode(docs, path, pattern)
-    return byte_bpe.decode(encoded, path, pattern).withColumn("n_tokens", F.size("ids").cast("bigint")).select(
-        *others(docs, "ids", "raw", "n_tokens"), "ids", "n_tokens", F.col("raw").alias("decoded"))
+    found = byte_bpe.encode_and_decode(docs, path, pattern, raw="decoded")
+    return found.withColumn("n_tokens", F.size("ids").cast("bigint")).select(
+        *others(docs, "ids", "decoded", "n_tokens"), "ids", "n_tokens", "decoded")
 
 
 STAGES = [
