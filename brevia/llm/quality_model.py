@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from brevia.llm.boosted_trees import Forest, Settings, train
 from brevia.llm.common import fresh, others
 
-# The forest is fitted on at most this many labelled rows, those with the smallest hashes.
+# The forest is fitted on at most this many labelled rows, those whose ids have the smallest hashes.
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
 SYMBOLS = b"#*$%&|<>"
@@ -65,13 +65,17 @@ def fit(
     """A forest over the statistics of labelled documents.
 
     ``labels`` has (doc_id, label of 0 or 1); rows with a null in either are left out, and of several labels of one id
-    the mean decides, 1 if it is a half or more. The ``sample`` documents with the smallest hashes of id and text are
-    taken; each task sends its best ones only. Texts without words are documents like any other.
+    the mean decides, 1 if it is a half or more. The ``sample`` labelled ids with the smallest hashes among those that
+    have a document are taken, and of their documents, if ids repeat, as many again by the hash of the text. The ids are
+    chosen before any text is read, and sent to the texts: a sample of that size is all that is broadcast or collected.
+    Texts without words are documents like any other.
     """
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("label")).dropna().groupBy("doc_id").agg(
         (F.avg("label") >= 0.5).cast("int").alias("label")
     )
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(known, "doc_id")
+    there = known.join(docs.select(F.col(doc_id).alias("doc_id")), "doc_id", "left_semi")
+    ids = there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(ids), "doc_id")
     chosen = rows.select(
         F.xxhash64("doc_id", "text").alias("hash"), "label", features(F.col("text")).alias("features")
     ).orderBy("hash", "label", "features").limit(sample).collect()
