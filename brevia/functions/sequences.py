@@ -7,13 +7,23 @@ from pyspark.sql import Column, functions as F
 from brevia.constants import PADDING_ID, UNKNOWN_ID
 
 
-def pad_truncate(ids: Column, length: int) -> Column:
+def pad_truncate(ids: Column, length: int | Column) -> Column:
     """Keep the first ``length`` ids and fill the tail with padding."""
-    kept = F.slice(ids, 1, length)
+    kept = F.slice(ids, F.lit(1), F.lit(length).cast("int"))
     missing = F.greatest(F.lit(length) - F.size(ids), F.lit(0))
     return F.concat(kept, F.array_repeat(F.lit(PADDING_ID), missing)).cast("array<int>")
 
 
+def whole_length(ids: Column, parts: int) -> Column:
+    """The length of a sequence rounded up to a multiple of ``parts``, at least one of each."""
+    return (F.greatest(F.ceil(F.size(ids) / F.lit(parts)), F.lit(1)) * F.lit(parts)).cast("int")
+
+
+def pad_whole(ids: Column, parts: int) -> Column:
+    """All ids, padded so that they divide into equal parts."""
+    return pad_truncate(ids, whole_length(ids, parts))
+
+
 def padding_mask(ids: Column) -> Column:
     """1.0 where the id is padding, else 0.0."""
     return F.transform(ids, lambda x: F.when(x == PADDING_ID, F.lit(1.0)).otherwise(F.lit(0.0)).cast("float"))
@@ -46,18 +56,25 @@ def chunk_step(length: int, chunks: int) -> int:
     return length // chunks
 
 
-def split_chunks(values: Column, length: int, chunks: int) -> Column:
-    """Cut an array of ``length`` values (ids or mask) into equal neighbouring slices."""
-    step = chunk_step(length, chunks)
-    return F.array(*[F.slice(values, i * step + 1, step) for i in range(chunks)])
+def split_chunks(values: Column, length: int | None, chunks: int) -> Column:
+    """Cut an array of ``length`` values (ids or mask) into equal neighbouring slices.
+
+    Without a length each array is cut by its own, which must divide evenly too.
+    """
+    if length is not None:
+        step = F.lit(chunk_step(length, chunks))
+    else:
+        uneven = F.raise_error(F.lit(f"a length is not divisible into {chunks} equal chunks")).cast("int")
+        step = F.when(F.size(values) % chunks == 0, (F.size(values) / F.lit(chunks)).cast("int")).otherwise(uneven)
+    return F.array(*[F.slice(values, F.lit(i) * step + 1, step) for i in range(chunks)])
 
 
-def chunk_number(pos: Column, step: int) -> Column:
+def chunk_number(pos: Column, step: int | Column) -> Column:
     """Which slice a position falls into."""
     return F.floor(pos / F.lit(step)).cast("int")
 
 
-def chunk_position(pos: Column, step: int) -> Column:
+def chunk_position(pos: Column, step: int | Column) -> Column:
     """The position inside its slice, from 0 in each one."""
     return (pos % F.lit(step)).cast("int")
 
@@ -72,7 +89,7 @@ def step_size_column(length: Column, steps: Column) -> Column:
     return F.bround(length / steps, 0).cast("int")
 
 
-def prefix_keep(ids: Column, step: Column, size: int) -> Column:
+def prefix_keep(ids: Column, step: Column, size: int | Column) -> Column:
     """Keep the first ``step * size`` ids, pad the rest."""
     kept = F.least(step * F.lit(size), F.size(ids)).cast("int")
     return F.concat(

@@ -1,7 +1,8 @@
 """Beam decoding of many documents together over a table of scored candidates.
 
 ``scores(key, prev, token_id, prob)`` holds the probability of each word after ``prev`` for a document or for any group
-of documents. It may be filled by any job.
+of documents. It may be filled by any job. A scorer that needs more than the last word is given as a function instead: it
+gets ``doc_id, key, slot, tokens`` of all open hypotheses and returns ``doc_id, slot, token_id, prob``.
 
 State between steps is one row per document: ``beams``, its k hypotheses in slot order, and ``memory``, the n-grams seen
 in each slot. Both are bounded by k and the summary length.
@@ -9,6 +10,8 @@ in each slot. Both are bounded by k and the summary length.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brevia.constants import BEAM_WIDTH, LENGTH_ALPHA, NGRAM_SIZE, SUMMARY_LENGTH
@@ -19,9 +22,12 @@ from brevia.session import stage
 
 # Documents per task: the state of a document grows with every step, so tasks are cut by documents and not by bytes.
 TASK_DOCUMENTS = 20_000
-MOST_TASKS = 50_000
 
 FAILED = "fewer than k candidates"
+NOT_SEEDED = "no start word"
+
+
+Scorer = Callable[[DataFrame], DataFrame]
 
 
 def page_rows(k: int) -> int:
@@ -118,6 +124,46 @@ def extend(state: DataFrame, pages: DataFrame, position: int, k: int, n: int, sm
     )
 
 
+def _best_scored(hyps: DataFrame, scorer: Scorer, k: int, allowed: Column | None = None) -> DataFrame:
+    """The hypotheses with their k best allowed candidates in ``best``; ties go to the lower id."""
+    scored = scorer(hyps.select("doc_id", "key", "slot", "tokens")).filter(F.col("prob") > 0)
+    rows = hyps.join(scored, ["doc_id", "slot"])
+    rows = rows if allowed is None else rows.filter(allowed)
+    order = Window.partitionBy("doc_id", "slot").orderBy(F.col("prob").desc(), "token_id")
+    top = rows.select("doc_id", "slot", "token_id", "prob", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= k)
+    entry = F.struct("rank", "token_id", log_prob(F.col("prob")).alias("log_prob"))
+    best = top.groupBy("doc_id", "slot").agg(F.sort_array(F.collect_list(entry)).alias("best"))
+    return hyps.join(best, ["doc_id", "slot"], "left")
+
+
+def extend_scored(state: DataFrame, scorer: Scorer, position: int, k: int, n: int, memory: str) -> DataFrame:
+    """``extend`` with a scorer: all candidates of a hypothesis are at hand, so none is read in pages."""
+    hyps, allowed = open_slots(state, position, n, memory), None
+    if n > 1 and position >= n + 1:
+        prefix, _ = block_ngrams(n)
+        hyps = hyps.selectExpr("*", f"{prefix} AS prefix")
+        allowed = F.expr("token_id <> prev AND NOT array_contains(seen, concat(prefix, cast(token_id AS string)))")
+    found = _best_scored(hyps, scorer, k, allowed)
+    return found.select(
+        "doc_id", "key", "slot", F.lit(0).alias("page"), "tokens", "score", "seen",
+        F.coalesce("best", F.expr("cast(array() AS array<struct<rank:int,token_id:int,log_prob:double>>)")).alias("best"),
+    )
+
+
+def _decode_scored(seeds: DataFrame, scorer: Scorer, length: int, k: int, n: int, memory: str) -> DataFrame:
+    """Decode with a scorer. It reads the state as well as the step, so the state is staged after each one."""
+    first = seeds.select("doc_id", "key", F.lit(0).alias("slot"), F.array("prev").alias("tokens"))
+    beams = F.transform("best", lambda c: F.struct(
+        (c["rank"] - 1).cast("int").alias("slot"), F.concat("tokens", F.array(c["token_id"])).alias("tokens"),
+        c["log_prob"].alias("score"),
+    ))
+    state = _best_scored(first, scorer, k).filter(F.size("best") >= k).select("doc_id", "key", beams.alias("beams"))
+    state = stage(state.withColumn("memory", F.array_repeat(F.array().cast("array<string>"), k)), "beams")
+    for position in range(2, length):
+        state = stage(merge_topk(extend_scored(state, scorer, position, k, n, memory), k), "beams")
+    return state
+
+
 def _hypothesis_pages(extended: DataFrame) -> DataFrame:
     """One row per document with its hypotheses' pages in slot and page order: ``rows``; and the first ones: ``heads``.
 
@@ -168,20 +214,24 @@ def beam_step(
 
 
 def beam_decode(
-    seeds: DataFrame, scores: DataFrame, length: int = SUMMARY_LENGTH, k: int = BEAM_WIDTH, n: int = NGRAM_SIZE,
-    memory: str = "slot", cut_every: int = 8,
+    seeds: DataFrame, scores: DataFrame | Scorer, length: int = SUMMARY_LENGTH, k: int = BEAM_WIDTH, n: int = NGRAM_SIZE,
+    memory: str = "slot", cut_every: int = 8, broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Decode every document to ``length`` positions. Finished hypotheses keep growing past their stop.
 
     Candidates are ranked once. Documents are spread once by their number; with broadcast candidates the following steps
     need no shuffle. Every ``cut_every`` steps, or after every one when the candidates are too many to broadcast, the
-    state is staged, so the plan stays short. Documents that fail are absent from the result.
+    state is staged, so the plan stays short. ``scores`` may be a function, see above. Documents that fail are absent from
+    the result; ``beam_failures`` names them and their cause.
     """
+    if callable(scores):
+        return _decode_scored(stage(seeds.select("doc_id", "key", "prev"), "seeds"), scores, length, k, n, memory)
     pages = stage(page_candidates(scores, k), "candidates")
-    small = fits_broadcast(pages, ("key",), BROADCAST_ROWS // page_rows(k))
+    limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
+    small = fits_broadcast(pages, ("key",), limit // page_rows(k))
     seeds = stage(seeds.select("doc_id", "key", "prev"), "seeds")
     cores = seeds.sparkSession.sparkContext.defaultParallelism
-    tasks = max(cores, min(MOST_TASKS, -(-seeds.count() // TASK_DOCUMENTS)))
+    tasks = max(cores, -(-seeds.count() // TASK_DOCUMENTS))
     state = beam_seed(seeds.repartition(tasks, "doc_id"), pages, k, small)
     for step, position in enumerate(range(2, length), start=1):
         state = beam_step(state, pages, position, k, n, small, memory)
@@ -236,7 +286,12 @@ def pick_best(
     )
 
 
-def beam_failures(documents: DataFrame, results: DataFrame, text: str) -> DataFrame:
-    """All documents with their result text, and an ``error`` for those the decoding lost."""
+def beam_failures(documents: DataFrame, results: DataFrame, text: str, seeds: DataFrame | None = None) -> DataFrame:
+    """All documents with their result text, and an ``error`` with the cause for those that have none."""
     found = documents.join(results.select("doc_id", text), "doc_id", "left")
-    return found.withColumn("error", F.when(F.col(text).isNull(), F.lit(FAILED)))
+    if seeds is None:
+        return found.withColumn("error", F.when(F.col(text).isNull(), F.lit(FAILED)))
+    started = seeds.select("doc_id", F.lit(True).alias("_started"))
+    cause = F.when(F.col("_started"), F.lit(FAILED)).otherwise(F.lit(NOT_SEEDED))
+    found = found.join(started, "doc_id", "left")
+    return found.withColumn("error", F.when(F.col(text).isNull(), cause)).drop("_started")

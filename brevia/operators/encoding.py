@@ -7,38 +7,41 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from brevia.constants import FIRST_WORD_ID, UNKNOWN_ID, UNKNOWN_WORD
 from brevia.functions.sequences import unknown_count
 from brevia.operators.joins import BROADCAST_BYTES, fits_broadcast, skew_join
+from brevia.session import stage
 
 # Words that may be broadcast: at most this many, and none longer than this in a part of a larger vocabulary.
 BROADCAST_WORDS = 500_000
 BROADCAST_WORD_BYTES = 4096
 
 
-def _head(vocab: DataFrame) -> DataFrame:
+def _head(vocab: DataFrame, most_words: int | None = None) -> DataFrame:
     """The most frequent words, bounded in number and bytes whatever the vocabulary holds."""
+    most_words = BROADCAST_WORDS if most_words is None else most_words
     short = vocab.filter(
-        (F.col("token_id") < BROADCAST_WORDS) & (F.octet_length("token") <= BROADCAST_WORD_BYTES)
+        (F.col("token_id") < most_words) & (F.octet_length("token") <= BROADCAST_WORD_BYTES)
     )
     running = F.sum(F.octet_length("token")).over(Window.orderBy("token_id"))
     return short.withColumn("_bytes", running).filter(F.col("_bytes") <= BROADCAST_BYTES).drop("_bytes")
 
 
-def lookup(items: DataFrame, vocab: DataFrame, on: str) -> DataFrame:
+def lookup(items: DataFrame, vocab: DataFrame, on: str, most_words: int | None = None) -> DataFrame:
     """Left join of ``items`` with the vocabulary on ``token`` or ``token_id``.
 
-    A vocabulary that is checked to be small is broadcast. A larger one is taken in two parts: its most frequent words,
+    A vocabulary that is checked to be small, at most ``most_words`` (or the default), is broadcast. A larger one is taken in two parts: its most frequent words,
     bounded in size, are broadcast, and only the items not found there are shuffled to meet the rest. Those are rare
     words, and where a frequent one is new to the vocabulary its items are split. Items without a key meet nothing and
     are not shuffled.
     """
-    if fits_broadcast(vocab, ("token",), BROADCAST_WORDS, BROADCAST_BYTES):
+    limit = BROADCAST_WORDS if most_words is None else most_words
+    if fits_broadcast(vocab, ("token",), limit, BROADCAST_BYTES):
         return items.join(F.broadcast(vocab), on, "left")
-    head = _head(vocab)
+    head = stage(_head(vocab, most_words), "head")
     tail = vocab.join(F.broadcast(head.select("token_id")), "token_id", "left_anti").select(*vocab.columns)
-    keyed, keyless = items.filter(F.col(on).isNotNull()), items.filter(F.col(on).isNull())
-    others = keyed.join(F.broadcast(head.select(on)), on, "left_anti")
-    others = skew_join(others, tail, [on], [name for name in items.columns if name != on], False, "left")
-    unmatched = keyless.join(F.broadcast(head.limit(0)), on, "left")
-    return keyed.join(F.broadcast(head), on).unionByName(others).unionByName(unmatched)
+    # One pass over the items: the few that the head does not hold are staged and go on.
+    met = items.join(F.broadcast(head.withColumn("_met", F.lit(True))), on, "left")
+    rest = stage(met.filter(F.col("_met").isNull() & F.col(on).isNotNull()).select(*items.columns), "rare")
+    others = skew_join(rest, tail, [on], [name for name in items.columns if name != on], False, "left")
+    return met.filter(F.col("_met").isNotNull() | F.col(on).isNull()).drop("_met").unionByName(others)
 
 
 def _ids_below(vocab: DataFrame, cap: int) -> DataFrame:
@@ -56,43 +59,46 @@ def _unpacked_id(packed: Column) -> Column:
 
 def encode_long(
     tokens: DataFrame, vocab: DataFrame, length: int | None = None, cap: int = -1,
-    key: str = "doc_id", words: str = "tokens",
+    key: str = "doc_id", words: str = "tokens", carry: tuple[str, ...] = (), most_words: int | None = None,
 ) -> DataFrame:
-    """One row per kept word: key, position from 0, id. Words outside the vocabulary or the cap get the unknown id.
+    """One row per kept word: key, row, position from 0, id. Words outside the vocabulary or the cap get the unknown id.
 
     Every word gives exactly one id, so cutting the words to ``length`` before the lookup is exact and keeps the cut
-    tail out of it. A document without words gives one row without position and id.
+    tail out of it. A document without words gives one row without position and id. ``_row`` tells rows of one key apart.
     """
     kept = F.slice(words, 1, length) if length is not None else F.col(words)
-    placed = tokens.select(F.col(key), F.posexplode_outer(kept).alias("pos", "token"))
-    found = lookup(placed, _ids_below(vocab, cap), "token")
+    numbered = tokens.select(F.col(key), *carry, F.monotonically_increasing_id().alias("_row"), kept.alias("_words"))
+    placed = numbered.select(key, *carry, "_row", F.posexplode_outer("_words").alias("pos", "token"))
+    found = lookup(placed, _ids_below(vocab, cap), "token", most_words)
     token_id = F.when(F.col("pos").isNotNull(), F.coalesce("token_id", F.lit(UNKNOWN_ID))).cast("int")
-    return found.select(key, "pos", token_id.alias("token_id"))
+    return found.select(key, *carry, "_row", "pos", token_id.alias("token_id"))
 
 
 def encode(
     tokens: DataFrame, vocab: DataFrame, length: int | None = None, cap: int = -1,
-    key: str = "doc_id", words: str = "tokens", ids: str = "ids",
+    key: str = "doc_id", words: str = "tokens", ids: str = "ids", carry: tuple[str, ...] = (),
+    most_words: int | None = None,
 ) -> DataFrame:
-    """The id sequence of each document; an empty document gives an empty sequence.
+    """The id sequence of each row; an empty document gives an empty sequence, and rows of one key stay apart. Columns
+    named in ``carry`` come along.
 
     Position and id travel as one BIGINT. The map side already joins up a document's ids, so a document is shuffled as
     one row of at most ``length`` numbers, and not at all when the input is partitioned by the key.
     """
-    long = encode_long(tokens, vocab, length, cap, key, words)
+    long = encode_long(tokens, vocab, length, cap, key, words, carry, most_words)
     packed = F.sort_array(F.collect_list(_packed(F.col("pos"), F.col("token_id"))))
-    return long.groupBy(key).agg(F.transform(packed, _unpacked_id).alias(ids))
+    return long.groupBy(key, *carry, "_row").agg(F.transform(packed, _unpacked_id).alias(ids)).drop("_row")
 
 
 def encode_lengthwise(
     tokens: DataFrame, vocab: DataFrame, length: int | None = None, cap: int = -1,
     key: str = "doc_id", words: str = "tokens",
 ) -> DataFrame:
-    """Kept words and unknown words per document, without building the sequences."""
+    """Kept words and unknown words per row, without building the sequences."""
     long = encode_long(tokens, vocab, length, cap, key, words)
-    return long.groupBy(key).agg(
+    return long.groupBy(key, "_row").agg(
         F.count("token_id").alias("kept"), F.count_if(F.col("token_id") == UNKNOWN_ID).alias("unknown")
-    )
+    ).drop("_row")
 
 
 def decode(
@@ -100,14 +106,15 @@ def decode(
 ) -> DataFrame:
     """The text of each id sequence, words joined by a space. Padding and ids outside the vocabulary or cap give the
     unknown word."""
-    placed = sequences.select(F.col(key), F.posexplode_outer(ids).alias("pos", "token_id"))
+    numbered = sequences.select(F.col(key), F.monotonically_increasing_id().alias("_row"), F.col(ids).alias("_ids"))
+    placed = numbered.select(key, "_row", F.posexplode_outer("_ids").alias("pos", "token_id"))
     # Reserved ids are never in the vocabulary; without a key they are not looked up.
     placed = placed.withColumn("token_id", F.when(F.col("token_id") >= FIRST_WORD_ID, F.col("token_id")))
     found = lookup(placed, _ids_below(vocab, cap), "token_id")
     token = F.coalesce("token", F.lit(UNKNOWN_WORD))
     entries = F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", token.alias("token"))))
     ordered = F.transform(F.sort_array(entries), lambda x: x["token"])
-    return found.groupBy(key).agg(F.array_join(ordered, " ").alias(text))
+    return found.groupBy(key, "_row").agg(F.array_join(ordered, " ").alias(text)).drop("_row")
 
 
 def pair_sides(inputs: DataFrame, targets: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -7,10 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 # Up to this many rows and text bytes a table may be broadcast.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-# A join key with more left rows than this is split over several tasks, the most frequent keys first.
+# A join key with more left rows than this, and more than an even share of them, is split over several tasks.
 HOT_ROWS = 200_000
-HOT_KEYS = 1000
-MOST_PARTS = 1000
 
 
 def fits_broadcast(
@@ -31,17 +29,18 @@ def skew_join(
     """Join a table with repeated keys to a lookup table with one row, or few, for each key.
 
     A small lookup table is broadcast. Otherwise the left rows of each key are counted; a key with more than
-    ``hot_rows`` is split into parts by a hash of ``by``, and only that key's lookup rows are copied to each part. The
-    ``HOT_KEYS`` most frequent keys are split, so any other holds less than a thousandth of the rows, and the list of them
-    is bounded: it names keys by hash. Two keys of one hash are only both split.
+    ``hot_rows``, and more than the rows over the number of shuffle partitions, is split into parts of that size by a hash
+    of ``by``, and only that key's lookup rows are copied to each part. By that limit there are fewer hot keys, and fewer
+    parts of one, than partitions, whatever the data. Hot keys are named by hash; two keys of one hash are only both
+    split.
     """
     if small:
         return left.join(F.broadcast(right), on, how)
     key = F.xxhash64(*on)
-    counts = left.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
-    hot = counts.orderBy(F.desc("_rows"), "_key").limit(HOT_KEYS).select(
-        "_key", F.least(F.ceil(F.col("_rows") / F.lit(hot_rows)), F.lit(MOST_PARTS)).cast("int").alias("_parts")
-    )
+    partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(hot_rows, -(-left.count() // partitions))
+    counts = left.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > share)
+    hot = counts.select("_key", F.ceil(F.col("_rows") / F.lit(share)).cast("int").alias("_parts"))
     parts = F.coalesce("_parts", F.lit(1))
     split = left.withColumn("_key", key).join(F.broadcast(hot), "_key", "left").withColumn(
         "_part", F.pmod(F.xxhash64(*by), parts).cast("int")

@@ -91,6 +91,12 @@ def epoch_report(losses: DataFrame, preds: DataFrame) -> DataFrame:
     return epoch_loss(losses).join(accuracy, "epoch")
 
 
+def curriculum_epoch_report(losses: DataFrame, preds: DataFrame, mode: str = "as_printed") -> DataFrame:
+    """One report row per epoch of curriculum training: loss, batches and the never-reset accuracy in percent."""
+    accuracy = running_accuracy(preds).groupBy("epoch").agg((F.max_by("accuracy", "step") * 100).alias("accuracy"))
+    return curriculum_loss(losses, mode).join(accuracy, "epoch")
+
+
 def curriculum_report(losses: DataFrame, preds: DataFrame) -> DataFrame:
     """One report row per epoch and step: loss, batches and the never-reset accuracy in percent."""
     accuracy = running_accuracy(preds).select("epoch", "step", (F.col("accuracy") * 100).alias("accuracy"))

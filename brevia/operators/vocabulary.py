@@ -24,13 +24,15 @@ def _packed(doc: Column, pos: Column) -> Column:
     return F.when(fits, packed).otherwise(too_large)
 
 
-def word_stats(tokens: DataFrame, key: str = "doc_id", words: str = "tokens", wide: bool = False) -> DataFrame:
+def word_stats(tokens: DataFrame, key: str = "doc_id", words: str = "tokens", wide: bool | None = None) -> DataFrame:
     """Per word: occurrences ``n``, documents ``df`` and its ``first`` appearance by (document, position).
 
     Each document is one row, so its distinct words are listed behind its words and both are counted in one
-    aggregation by word. Only per-task word counts are shuffled. ``wide`` keeps ``first`` as a struct, for string keys
-    or ids beyond 39 bits.
+    aggregation by word. Only per-task word counts are shuffled. ``wide`` keeps ``first`` as a struct: always for keys that
+    are not whole numbers, and to be asked for where ids are negative or need more than 39 bits.
     """
+    if wide is None:
+        wide = tokens.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long")
     listed = tokens.select(
         F.col(key).alias("_doc"),
         F.size(words).alias("_size"),
@@ -96,7 +98,7 @@ def rank_vocab(stats: DataFrame, cap: int = -1) -> DataFrame:
 
 
 def fit_vocab(
-    tokens: DataFrame, cap: int = -1, key: str = "doc_id", words: str = "tokens", wide: bool = False
+    tokens: DataFrame, cap: int = -1, key: str = "doc_id", words: str = "tokens", wide: bool | None = None
 ) -> DataFrame:
     """Count, rank and stage a vocabulary: fitted once, read by every later encode."""
     return stage(rank_vocab(word_stats(tokens, key, words, wide), cap), "vocab")

@@ -1,15 +1,18 @@
 """Operator inputs derived from the supplied tables, over all rows and whole texts.
 
-The documents stand in for the corpus, with their first line as the summary. Relative bigram frequencies stand in for a
-model's next-word probabilities.
+The documents stand in for the corpus, with their first line as the summary. Relative bigram frequencies, unknown words
+among them, stand in for a model's next-word probabilities. Texts are cut only where an operator's feature is a fixed
+length, and then at the default one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from brevia.constants import STOP_WORD, UNKNOWN_ID
-from brevia.functions.sequences import pad_truncate, step_size
+from brevia.constants import BATCH_SIZE, CURRICULUM_STEPS, DOCUMENT_LENGTH, ENCODERS, STOP_WORD, SUMMARY_LENGTH, UNKNOWN_ID
+from brevia.functions.sequences import pad_truncate, pad_whole
 from brevia.functions.text import tokenise, wrap_target
 from brevia.operators.batching import assign_batches, next_token_rows
 from brevia.operators.beam import beam_decode, rank_candidates
@@ -19,17 +22,14 @@ from brevia.operators.vocabulary import fit_vocab
 from brevia.session import spread, stage
 
 CAP = 500
-DOCUMENT_LENGTH = 200
-SUMMARY_LENGTH = 24
-CHUNKS = 4
-BATCH_SIZE = 32
+CHUNKS = ENCODERS
 EPOCHS = 2
 STEPS = 3
-CURRICULUM_STEPS = 8
 SEED = 7
 BEAM_WIDTH = 3
 NGRAM_SIZE = 2
 BEAM_LENGTH = 8
+SCORED_LENGTH = 5
 LOSS_FLOOR = 1e-9
 
 
@@ -75,6 +75,17 @@ def padded_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", pad_truncate(F.col("ids"), SUMMARY_LENGTH).alias("ids"))
 
 
+def whole_documents(spark: SparkSession, sf_dir: str, parts: int = CHUNKS) -> DataFrame:
+    """``doc_id, ids``: whole documents, each padded to a multiple of ``parts``."""
+    words = document_tokens(spark, sf_dir)
+    return encode(words, fit_vocab(words, CAP), cap=CAP).withColumn("ids", pad_whole(F.col("ids"), parts))
+
+
+def whole_summaries(spark: SparkSession, sf_dir: str, parts: int = 1) -> DataFrame:
+    words = summary_tokens(spark, sf_dir)
+    return encode(words, fit_vocab(words, CAP), cap=CAP).withColumn("ids", pad_whole(F.col("ids"), parts))
+
+
 def lines_text() -> Column:
     """A document as a sequence in which every line ends in the stop word."""
     return wrap_target(F.replace(F.col("articles"), F.lit("\n"), F.lit(f" {STOP_WORD} ")))
@@ -89,17 +100,10 @@ def word_id(vocab: DataFrame, word: str) -> int:
 
 
 def bigram_counts(words: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``key, prev, token_id, n``: neighbouring known words per language. Pairs come from inside each row."""
-    pairs = F.arrays_zip(
-        F.slice("tokens", F.lit(1), F.greatest(F.size("tokens") - 1, F.lit(0))).alias("a"),
-        F.slice("tokens", F.lit(2), F.greatest(F.size("tokens") - 1, F.lit(0))).alias("b"),
-    )
-    rows = words.select(F.col("lang").alias("key"), F.explode(pairs).alias("p")).select("key", "p.a", "p.b")
-    # At most CAP rows on the broadcast sides.
-    first = vocab.select(F.col("token").alias("a"), F.col("token_id").alias("prev"))
-    second = vocab.select(F.col("token").alias("b"), "token_id")
-    known = rows.join(F.broadcast(first), "a").join(F.broadcast(second), "b")
-    return known.groupBy("key", "prev", "token_id").agg(F.count(F.lit(1)).alias("n"))
+    """``key, prev, token_id, n``: neighbouring words per language, also unknown ones. Pairs come from inside each row."""
+    ids = encode(words, vocab, cap=CAP, carry=("lang",)).select(F.col("lang").alias("key"), "ids")
+    rows = next_token_rows(ids, ["key"]).select("key", "prev", F.col("real").alias("token_id"))
+    return rows.groupBy("key", "prev", "token_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def as_scores(counts: DataFrame) -> DataFrame:
@@ -117,19 +121,42 @@ def scorer(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return vocab, stage(as_scores(bigram_counts(words, vocab)), "scores")
 
 
+def trigram_scorer(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Vocabulary and a scorer of the last two words of a hypothesis; at its start, of the last word."""
+    words = lines_tokens(spark, sf_dir)
+    vocab = fit_vocab(words, CAP)
+    ids = encode(words, vocab, cap=CAP, carry=("lang",))
+    padded = ids.select(F.col("lang").alias("key"), F.concat(F.array(F.lit(0)), "ids").alias("before"), "ids")
+    places = F.transform(F.sequence(F.lit(1), F.size("ids") - 1), lambda i: F.struct(
+        F.get("before", i - 1).alias("first"), F.get("ids", i - 1).alias("prev"), F.get("ids", i).alias("token_id")))
+    rows = padded.filter(F.size("ids") > 1).select("key", F.explode(places).alias("p")).select("key", "p.*")
+    # The bigrams stand in for hypotheses of one word: their first word is 0.
+    rows = rows.filter("first <> 0").union(rows.select("key", F.lit(0), "prev", "token_id"))
+    found = rows.groupBy("key", "first", "prev", "token_id").agg(F.count(F.lit(1)).alias("n"))
+    totals = found.groupBy("key", "first", "prev").agg(F.sum("n").alias("total"))
+    scores = stage(found.join(totals, ["key", "first", "prev"]).select(
+        "key", "first", "prev", "token_id", (F.col("n") / F.col("total")).alias("prob")), "trigrams")
+
+    def score(hyps: DataFrame) -> DataFrame:
+        at = hyps.select(
+            "doc_id", "slot", "key", F.element_at("tokens", -1).alias("prev"),
+            F.coalesce(F.try_element_at("tokens", F.lit(-2)), F.lit(0)).alias("first"))
+        return at.join(scores, ["key", "first", "prev"]).select("doc_id", "slot", "token_id", "prob")
+
+    return vocab, score
+
+
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lines_tokens(spark, sf_dir)
     return bigram_counts(words, fit_vocab(words, CAP))
 
 
 def seeds(spark: SparkSession, sf_dir: str, vocab: DataFrame) -> DataFrame:
-    """``doc_id, key, prev``: each document starts from the last known word of its summary."""
-    documents = corpus(spark, sf_dir)
-    ids = encode(tokens(documents, F.col("abstracts")), vocab, cap=CAP)
-    known = F.filter("ids", lambda x: x > UNKNOWN_ID)
-    last = ids.select("doc_id", F.get(known, F.size(known) - 1).alias("prev"))
-    keyed = documents.select("doc_id", F.col("lang").alias("key"))
-    return keyed.join(last, "doc_id").filter(F.col("prev").isNotNull())
+    """``doc_id, key, prev``: each document with words in its summary starts from the last of them."""
+    words = tokens(corpus(spark, sf_dir), F.col("abstracts"), "lang")
+    ids = encode(words, vocab, cap=CAP, carry=("lang",))
+    last = ids.select("doc_id", F.col("lang").alias("key"), F.get("ids", F.size("ids") - 1).alias("prev"))
+    return last.filter(F.col("prev").isNotNull())
 
 
 def decoded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -140,16 +167,19 @@ def decoded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``epoch, step, batch, doc_id, pos, real, pred, loss`` for summary tokens under a prefix curriculum.
+    """``epoch, step, batch, doc_id, pos, real, pred, loss`` for all summary tokens under a prefix curriculum.
 
+    Each summary is padded to a multiple of the steps, and every step adds an equal part of it.
     ``pred`` is the likeliest follower of the input word, ``loss`` the negative log probability of the label.
     """
     vocab, scores = scorer(spark, sf_dir)
     documents = corpus(spark, sf_dir)
-    ids = encode(tokens(documents, wrap_target(F.col("abstracts"))), vocab, SUMMARY_LENGTH, CAP)
-    ids = ids.select("doc_id", pad_truncate(F.col("ids"), SUMMARY_LENGTH).alias("ids"))
-    keyed = documents.select("doc_id", F.col("lang").alias("key")).join(ids, "doc_id")
-    rows = next_token_rows(keyed, ["doc_id", "key"])
+    words = tokens(documents, wrap_target(F.col("abstracts")), "lang")
+    ids = encode(words, vocab, cap=CAP, carry=("lang",)).select(
+        "doc_id", F.col("lang").alias("key"), pad_whole(F.col("ids"), STEPS).alias("ids")
+    )
+    sized = ids.withColumn("size", (F.size("ids") / F.lit(STEPS)).cast("int"))
+    rows = next_token_rows(sized, ["doc_id", "key", "size"])
     small = fits_broadcast(scores, ("key",))
     best = rank_candidates(scores).filter(F.col("rank") == 1).select("key", "prev", F.col("token_id").alias("best"))
     label = scores.select("key", "prev", F.col("token_id").alias("real"), "prob")
@@ -158,9 +188,8 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     loss = -F.ln(F.greatest(F.coalesce("prob", F.lit(0.0)), F.lit(LOSS_FLOOR)))
     batches = assign_batches(documents, BATCH_SIZE, EPOCHS, SEED).select("doc_id", "epoch", "batch")
     base = scored.withColumn("loss", loss).join(batches, "doc_id")
-    size = step_size(SUMMARY_LENGTH, STEPS)
     expanded = base.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(STEPS))))
-    kept = F.col("step") * F.lit(size)
+    kept = F.col("step") * F.col("size")
     return expanded.select(
         "epoch", "step", "batch", "doc_id", "pos",
         F.when(F.col("pos") + 1 < kept, F.col("real")).otherwise(F.lit(0)).alias("real"),

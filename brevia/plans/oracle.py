@@ -7,8 +7,6 @@ from brevia.plans import fixtures as fx
 
 ORACLE: dict[str, str] = {}
 
-_SIZE = fx.SUMMARY_LENGTH // fx.STEPS
-
 
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
@@ -84,16 +82,26 @@ def _encoded(name: str, side: str, vocab: str, length: int | None) -> None:
 
 
 _encoded("doc", "doc", "doc_vocab", fx.DOCUMENT_LENGTH)
+_encoded("whole", "doc", "doc_vocab", None)
+_encoded("gist", "sum", "sum_vocab", None)
+_encoded("lines", "line", "line_vocab", None)
 _encoded("full", "doc", "doc_all", None)
 _encoded("sum", "sum", "sum_vocab", fx.SUMMARY_LENGTH)
-_encoded("target", "sum", "line_vocab", fx.SUMMARY_LENGTH)
+_encoded("target", "sum", "line_vocab", None)
 _encoded("start", "bare", "line_vocab", None)
 
-for _name, _length in (("doc", fx.DOCUMENT_LENGTH), ("sum", fx.SUMMARY_LENGTH), ("target", fx.SUMMARY_LENGTH)):
+for _name, _length in (("doc", fx.DOCUMENT_LENGTH), ("sum", fx.SUMMARY_LENGTH)):
     _part(f"{_name}_padded", f"""
   SELECT doc_id, lang, list_concat(ids, list_resize(CAST([] AS INTEGER[]), {_length} - len(ids), 0)) AS ids
   FROM {_name}_ids""", f"{_name}_ids")
 
+for _name, _parts in (("whole", fx.CHUNKS), ("gist", 1), ("target", fx.STEPS)):
+    _part(f"{_name}_padded", f"""
+  SELECT doc_id, lang,
+         list_concat(ids, list_resize(CAST([] AS INTEGER[]),
+                     CAST(greatest(ceil(len(ids) / {_parts}), 1) * {_parts} - len(ids) AS BIGINT), 0)) AS ids
+  FROM {_name}_ids""", f"{_name}_ids")
+
 _JOIN = "array_to_string({}, ' ')".format
 
 ORACLE["corpus_scan"] = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang FROM documents"
@@ -150,9 +158,29 @@ UNION ALL SELECT count(*) + 2, 'uncapped' FROM doc_all"""
 ORACLE["encode_documents"] = _with("doc_padded") + f"SELECT doc_id, {_JOIN('ids')} AS ids FROM doc_padded"
 ORACLE["encode_summaries"] = _with("sum_padded") + f"SELECT doc_id, {_JOIN('ids')} AS ids FROM sum_padded"
 ORACLE["encode_uncapped"] = _with("full_ids") + f"SELECT doc_id, {_JOIN('ids')} AS ids FROM full_ids"
-ORACLE["incremental_encode"] = ORACLE["encode_documents"]
-ORACLE["decode_documents"] = _with("doc_padded", "doc_vocab") + """,
-rows AS (SELECT doc_id, unnest(ids) AS token_id, generate_subscripts(ids, 1) AS pos FROM doc_padded)
+for _name in ("incremental_encode", "incremental_encode_restarted"):
+    ORACLE[_name] = ORACLE["encode_documents"]
+ORACLE["encode_uncapped_large"] = ORACLE["encode_uncapped"]
+ORACLE["corpus_csv"] = _with("corpus") + "SELECT CAST(doc_id AS VARCHAR) AS doc_id, articles, abstracts FROM corpus"
+ORACLE["numbered_corpus"] = """
+SELECT doc_id, CAST(999000 + row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS num FROM documents"""
+_part("eval_tokens", f"""
+  SELECT doc_id, lang, {_words("coalesce(nullif(abstracts, articles), 'nan')")} AS tokens FROM corpus""", "corpus")
+_part("eval_rows", """
+  SELECT doc_id, lang, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS pos FROM eval_tokens""",
+      "eval_tokens")
+_encoded("eval", "eval", "sum_vocab", fx.SUMMARY_LENGTH)
+_UNKNOWN = "CAST(len(list_filter({}, lambda x: x = 1)) AS INTEGER)".format
+ORACLE["evaluation_set"] = _with("doc_padded", "eval_ids") + f"""
+SELECT d.doc_id, {_JOIN('d.ids')} AS input,
+       {_JOIN(f"list_concat(e.ids, list_resize(CAST([] AS INTEGER[]), {fx.SUMMARY_LENGTH} - len(e.ids), 0))")} AS target,
+       {_UNKNOWN('d.ids')} AS unknown_input, {_UNKNOWN('e.ids')} AS unknown_target
+FROM doc_padded d JOIN eval_ids e USING (doc_id)"""
+ORACLE["evaluation_unknowns"] = _with("doc_long", "eval_long") + """
+SELECT (SELECT count(*) FROM doc_long WHERE token_id = 1) AS unknown_input,
+       (SELECT count(*) FROM eval_long WHERE token_id = 1) AS unknown_target"""
+ORACLE["decode_documents"] = _with("whole_padded", "doc_vocab") + """,
+rows AS (SELECT doc_id, unnest(ids) AS token_id, generate_subscripts(ids, 1) AS pos FROM whole_padded)
 SELECT doc_id, string_agg(coalesce(token, '<unk>'), ' ' ORDER BY pos) AS text
 FROM rows LEFT JOIN doc_vocab USING (token_id) GROUP BY doc_id"""
 ORACLE["pair_sides"] = """
@@ -169,47 +197,45 @@ SELECT (SELECT count(*) FROM doc_long WHERE token_id = 1) AS unknown_inputs,
 
 ORACLE["pad_truncate"] = _with("doc_tokens") + f"""
 SELECT doc_id, {_JOIN("list_resize(list_transform(tokens, lambda t: length(t)), 300, 0)")} AS ids FROM doc_tokens"""
-ORACLE["padding_mask"] = _with("doc_padded") + """
+ORACLE["padding_mask"] = _with("whole_padded") + """
 SELECT doc_id, array_to_string(list_transform(ids, lambda x: CASE WHEN x = 0 THEN 1 ELSE 0 END), '') AS mask,
-       CAST(len(list_filter(ids, lambda x: x <> 0)) AS INTEGER) AS valid FROM doc_padded"""
-ORACLE["next_token_pairs"] = _with("sum_padded") + f"""
-SELECT doc_id, {_JOIN('ids[1:len(ids) - 1]')} AS input_ids, {_JOIN('ids[2:]')} AS label_ids FROM sum_padded"""
-ORACLE["next_token_rows"] = _with("sum_padded") + """,
-rows AS (SELECT doc_id, unnest(ids) AS prev, CAST(generate_subscripts(ids, 1) - 1 AS INTEGER) AS pos FROM sum_padded),
+       CAST(len(list_filter(ids, lambda x: x <> 0)) AS INTEGER) AS valid FROM whole_padded"""
+ORACLE["next_token_pairs"] = _with("gist_padded") + f"""
+SELECT doc_id, {_JOIN('ids[1:len(ids) - 1]')} AS input_ids, {_JOIN('ids[2:]')} AS label_ids FROM gist_padded"""
+ORACLE["next_token_rows"] = _with("gist_padded") + """,
+rows AS (SELECT doc_id, unnest(ids) AS prev, CAST(generate_subscripts(ids, 1) - 1 AS INTEGER) AS pos FROM gist_padded),
 pairs AS (SELECT *, lead(prev) OVER (PARTITION BY doc_id ORDER BY pos) AS real FROM rows)
 SELECT doc_id, pos, prev, real FROM pairs WHERE real IS NOT NULL"""
-_STEP = fx.DOCUMENT_LENGTH // fx.CHUNKS
 _part("doc_chunks", f"""
-  SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, ids[chunk * {_STEP} + 1:(chunk + 1) * {_STEP}] AS ids
-  FROM doc_padded, range({fx.CHUNKS}) r(chunk)""", "doc_padded")
+  SELECT doc_id, CAST(chunk AS INTEGER) AS chunk,
+         ids[chunk * (len(ids) // {fx.CHUNKS}) + 1:(chunk + 1) * (len(ids) // {fx.CHUNKS})] AS ids
+  FROM whole_padded, range({fx.CHUNKS}) r(chunk)""", "whole_padded")
 ORACLE["split_chunks"] = _with("doc_chunks") + f"SELECT doc_id, chunk, {_JOIN('ids')} AS ids FROM doc_chunks"
 ORACLE["chunk_mask"] = _with("doc_chunks") + """
 SELECT doc_id, chunk,
        array_to_string(list_transform(ids, lambda x: CASE WHEN x = 0 THEN 1 ELSE 0 END), '') AS mask FROM doc_chunks"""
-ORACLE["chunk_position"] = _with("doc_padded") + f""",
-rows AS (SELECT doc_id, unnest(ids) AS token_id, CAST(generate_subscripts(ids, 1) - 1 AS INTEGER) AS pos
-         FROM doc_padded)
-SELECT doc_id, pos, token_id, CAST(pos // {_STEP} AS INTEGER) AS chunk, CAST(pos % {_STEP} AS INTEGER) AS chunk_pos
-FROM rows"""
-ORACLE["concat_chunks"] = ORACLE["encode_documents"]
+ORACLE["chunk_position"] = _with("whole_padded") + f""",
+rows AS (SELECT doc_id, len(ids) // {fx.CHUNKS} AS step, unnest(ids) AS token_id,
+                CAST(generate_subscripts(ids, 1) - 1 AS INTEGER) AS pos FROM whole_padded)
+SELECT doc_id, pos, token_id, CAST(pos // step AS INTEGER) AS chunk, CAST(pos % step AS INTEGER) AS chunk_pos FROM rows"""
+ORACLE["concat_chunks"] = _with("whole_padded") + f"SELECT doc_id, {_JOIN('ids')} AS ids FROM whole_padded"
 ORACLE["curriculum_step_size"] = _with("corpus") + f"""
 SELECT doc_id, CAST(length(articles) AS INTEGER) AS length,
        CAST(round_even(length(articles) / {fx.CURRICULUM_STEPS}, 0) AS INTEGER) AS size FROM corpus"""
 
 
-def _prefix(column: str, length: int, cut: bool) -> str:
+def _prefix(column: str, cut: bool) -> str:
     if not cut:
         return f"{column}.ids"
-    size = round(length / fx.CURRICULUM_STEPS)
-    return f"list_resize({column}.ids[1:least(step * {size}, {length})], {length}, 0)"
+    size = f"CAST(round_even(len({column}.ids) / {fx.CURRICULUM_STEPS}, 0) AS BIGINT)"
+    return f"list_resize({column}.ids[1:least(step * {size}, len({column}.ids))], len({column}.ids), 0)"
 
 
 for _name, _both in (("prefix_curriculum", False), ("prefix_curriculum_both", True)):
-    ORACLE[_name] = _with("doc_padded", "sum_padded") + f"""
+    ORACLE[_name] = _with("whole_padded", "gist_padded") + f"""
 SELECT d.doc_id, 1 AS epoch, CAST(step AS INTEGER) AS step,
-       {_JOIN(_prefix('d', fx.DOCUMENT_LENGTH, _both))} AS input,
-       {_JOIN(_prefix('s', fx.SUMMARY_LENGTH, True))} AS target
-FROM doc_padded d JOIN sum_padded s USING (doc_id), range(1, {fx.CURRICULUM_STEPS + 1}) r(step)"""
+       {_JOIN(_prefix('d', _both))} AS input, {_JOIN(_prefix('s', True))} AS target
+FROM whole_padded d JOIN gist_padded s USING (doc_id), range(1, {fx.CURRICULUM_STEPS + 1}) r(step)"""
 
 _part("batches", f"""
   SELECT epoch, doc_id, row_number() OVER (PARTITION BY epoch ORDER BY k, doc_id) - 1 AS spot
@@ -220,14 +246,40 @@ ORACLE["batch_assign"] = _with("batches") + f"""
 SELECT epoch, doc_id, CAST(spot // {fx.BATCH_SIZE} AS BIGINT) AS batch, CAST(spot % {fx.BATCH_SIZE} AS INTEGER) AS place
 FROM batches"""
 
+_part("passes", f"""
+  SELECT p, doc_id, row_number() OVER (PARTITION BY p ORDER BY k, doc_id) - 1 AS spot
+  FROM (SELECT p, doc_id, md5(CAST(doc_id AS VARCHAR) || '-' || CAST(p AS VARCHAR) || '-{fx.SEED}') AS k
+        FROM documents, range(1, {fx.EPOCHS * fx.STEPS + 1}) r(p))""")
+ORACLE["curriculum_set"] = _with("passes", "sum_padded") + f"""
+SELECT CAST((p - 1) // {fx.STEPS} + 1 AS INTEGER) AS epoch, CAST((p - 1) % {fx.STEPS} + 1 AS INTEGER) AS step,
+       CAST(spot // {fx.BATCH_SIZE} AS BIGINT) AS batch, CAST(spot % {fx.BATCH_SIZE} AS INTEGER) AS place, doc_id,
+       {_JOIN(f"list_resize(ids[1:((p - 1) % {fx.STEPS} + 1) * {round(fx.SUMMARY_LENGTH / fx.STEPS)}], {fx.SUMMARY_LENGTH}, 0)")} AS target
+FROM passes JOIN sum_padded USING (doc_id)"""
+ORACLE["training_set_sliced"] = _with("batches", "doc_padded") + f"""
+SELECT epoch, CAST(spot // {fx.BATCH_SIZE} AS BIGINT) AS batch, CAST(spot % {fx.BATCH_SIZE} AS INTEGER) AS place, doc_id,
+       CAST(e AS INTEGER) AS encoder, {_JOIN("part")} AS input,
+       array_to_string(list_transform(part, lambda x: CASE WHEN x = 0 THEN 1 ELSE 0 END), '') AS mask
+FROM (SELECT b.*, e, ids[e * {fx.DOCUMENT_LENGTH // fx.CHUNKS} + 1:(e + 1) * {fx.DOCUMENT_LENGTH // fx.CHUNKS}] AS part
+      FROM batches b JOIN doc_padded USING (doc_id), range({fx.CHUNKS}) r(e) WHERE epoch = 1)"""
+for _side, _length in (("doc", fx.DOCUMENT_LENGTH), ("sum", fx.SUMMARY_LENGTH)):
+    _part(f"named_{_side}_vocab", f"""
+  SELECT token, token_id FROM
+  (SELECT token, CAST(1 + row_number() OVER (ORDER BY n DESC, first) AS INTEGER) AS token_id FROM
+   (SELECT token, count(*) AS n, min(row('PMC' || CAST(doc_id AS VARCHAR), pos)) AS first FROM {_side}_rows
+    WHERE token <> '<unk>' GROUP BY token)) WHERE token_id < {fx.CAP}""", f"{_side}_rows")
+    _encoded(f"named_{_side}", _side, f"named_{_side}_vocab", _length)
+    _part(f"named_{_side}_padded", f"""
+  SELECT doc_id, list_concat(ids, list_resize(CAST([] AS INTEGER[]), {_length} - len(ids), 0)) AS ids
+  FROM named_{_side}_ids""", f"named_{_side}_ids")
+ORACLE["training_set_string_ids"] = _with("named_doc_padded", "named_sum_padded") + f"""
+SELECT 'PMC' || CAST(doc_id AS VARCHAR) AS doc_id, {_JOIN('d.ids')} AS input, {_JOIN('s.ids')} AS target
+FROM named_doc_padded d JOIN named_sum_padded s USING (doc_id), range(2)"""
+
 # Scores
-_part("pairs", """
-  SELECT lang AS key, a, b FROM
-  (SELECT lang, token AS a, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM line_rows)
-  WHERE b IS NOT NULL""", "line_rows")
 _part("counts", """
-  SELECT key, x.token_id AS prev, y.token_id AS token_id, count(*) AS n
-  FROM pairs JOIN line_vocab x ON x.token = a JOIN line_vocab y ON y.token = b GROUP BY ALL""", "pairs", "line_vocab")
+  SELECT lang AS key, prev, token_id, count(*) AS n FROM
+  (SELECT lang, token_id AS prev, lead(token_id) OVER (PARTITION BY doc_id ORDER BY pos) AS token_id FROM lines_long)
+  WHERE token_id IS NOT NULL GROUP BY ALL""", "lines_long")
 _part("scores", """
   SELECT key, prev, token_id, n / sum(n) OVER (PARTITION BY key, prev) AS prob FROM counts""", "counts")
 _part("ranked", """
@@ -238,15 +290,16 @@ SELECT key, prev, round(ln(CAST(sum(n) AS DOUBLE)) - ln(arg_max(n, token_id)), 6
 FROM counts GROUP BY key, prev"""
 
 # Predictions
-_part("targets", """
-  SELECT doc_id, lang AS key, pos, prev, real FROM
-  (SELECT doc_id, lang, pos, prev, lead(prev) OVER (PARTITION BY doc_id ORDER BY pos) AS real FROM
-   (SELECT doc_id, lang, unnest(ids) AS prev, generate_subscripts(ids, 1) - 1 AS pos FROM target_padded))
+_part("targets", f"""
+  SELECT doc_id, lang AS key, size, pos, prev, real FROM
+  (SELECT doc_id, lang, size, pos, prev, lead(prev) OVER (PARTITION BY doc_id ORDER BY pos) AS real FROM
+   (SELECT doc_id, lang, len(ids) // {fx.STEPS} AS size, unnest(ids) AS prev,
+           generate_subscripts(ids, 1) - 1 AS pos FROM target_padded))
   WHERE real IS NOT NULL""", "target_padded")
 _part("preds", f"""
   SELECT epoch, step, spot // {fx.BATCH_SIZE} AS batch,
-         CASE WHEN pos + 1 < step * {_SIZE} THEN real ELSE 0 END AS real,
-         CASE WHEN pos >= step * {_SIZE} OR t.prev = 0 THEN 0 ELSE coalesce(best, 1) END AS pred,
+         CASE WHEN pos + 1 < step * size THEN real ELSE 0 END AS real,
+         CASE WHEN pos >= step * size OR t.prev = 0 THEN 0 ELSE coalesce(best, 1) END AS pred,
          -ln(greatest(coalesce(prob, 0), {fx.LOSS_FLOOR})) AS loss
   FROM targets t
   LEFT JOIN (SELECT key, prev, token_id, prob FROM scores) s ON s.key = t.key AND s.prev = t.prev AND s.token_id = real
@@ -287,41 +340,76 @@ JOIN (SELECT epoch, step, round(100 * sum(correct) OVER (ORDER BY epoch, step)
                                 / sum(positions) OVER (ORDER BY epoch, step), 4) AS accuracy FROM hits) a
 USING (epoch, step)"""
 
+ORACLE["epoch_report"] = _with("losses", "hits") + """
+SELECT l.epoch, l.loss, l.batches, a.accuracy
+FROM (SELECT epoch, round(avg(loss), 6) AS loss, count(*) AS batches FROM losses GROUP BY epoch) l
+JOIN (SELECT epoch, round(100 * sum(correct) / sum(positions), 4) AS accuracy FROM hits GROUP BY epoch) a USING (epoch)"""
+ORACLE["curriculum_epoch_report"] = _with("running", "hits") + """
+SELECT l.epoch, l.loss, l.batches, a.accuracy
+FROM (SELECT epoch, round(sum(running_loss) / count(*), 4) AS loss, count(*) AS batches FROM running GROUP BY epoch) l
+JOIN (SELECT epoch, round(100 * max_by(share, step), 4) AS accuracy FROM
+      (SELECT epoch, step, sum(correct) OVER (ORDER BY epoch, step) / sum(positions) OVER (ORDER BY epoch, step) AS share
+       FROM hits) GROUP BY epoch) a USING (epoch)"""
+
 # Decoding, one set of expressions per position
 _K, _N = fx.BEAM_WIDTH, fx.NGRAM_SIZE
 _part("seeds", """
-  SELECT doc_id, lang AS key, list_filter(ids, lambda x: x > 1)[-1] AS prev FROM start_ids
-  WHERE len(list_filter(ids, lambda x: x > 1)) > 0""", "start_ids")
-_part("beams_2", f"""
+  SELECT doc_id, lang AS key, ids[-1] AS prev FROM start_ids WHERE len(ids) > 0""", "start_ids")
+_part("trigrams", """
+  SELECT lang AS key, p.first AS first, p.prev AS prev, token_id, count(*) AS n FROM
+  (SELECT lang, token_id, unnest([{'first': first, 'prev': prev}, {'first': 0, 'prev': prev}]) AS p FROM
+   (SELECT lang, token_id, lag(token_id) OVER w AS prev, coalesce(lag(token_id, 2) OVER w, -1) AS first FROM lines_long
+    WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE prev IS NOT NULL)
+  WHERE p.first >= 0 GROUP BY ALL""", "lines_long")
+_part("ranked_trigrams", """
+  SELECT *, row_number() OVER (PARTITION BY key, first, prev ORDER BY prob DESC, token_id) AS rank FROM
+  (SELECT *, n / sum(n) OVER (PARTITION BY key, first, prev) AS prob FROM trigrams)""", "trigrams")
+
+
+def _beam_parts(prefix: str, length: int, ranked: str, at_start: str = "", at_step: str = "") -> None:
+    """The parts of each position, named by a prefix, for candidates joined by the last word and a further condition."""
+    _part(f"{prefix}beams_2", f"""
   SELECT doc_id, key, rank - 1 AS slot, [prev, token_id] AS tokens, ln(prob) AS score, CAST([] AS VARCHAR[]) AS seen
   FROM (SELECT s.doc_id, s.key, s.prev, r.token_id, r.prob, r.rank, count(*) OVER (PARTITION BY doc_id) AS found
-        FROM seeds s JOIN ranked r ON r.key = s.key AND r.prev = s.prev WHERE rank <= {_K})
-  WHERE found = {_K}""", "seeds", "ranked")
-for _i in range(2, fx.BEAM_LENGTH):
-    _blocking = _i >= _N + 1
-    _grams = f"list_transform(range(1, len(tokens) - {_N - 2}), lambda i: array_to_string(tokens[i:i + {_N - 1}], ' '))"
-    _seen = f"list_distinct(list_concat(seen, {_grams}))" if _blocking else "seen"
-    _part(f"open_{_i}", f"""
-  SELECT doc_id, key, slot, tokens, score, {_seen} AS seen FROM beams_{_i}""", f"beams_{_i}")
-    _allowed = (
-        f"r.token_id <> o.tokens[-1] AND NOT list_contains(o.seen, "
-        f"array_to_string(list_append(o.tokens[-{_N - 1}:], r.token_id), ' '))" if _blocking else "true"
-    )
-    _part(f"best_{_i}", f"""
+        FROM seeds s JOIN {ranked} r ON r.key = s.key AND r.prev = s.prev {at_start} WHERE rank <= {_K})
+  WHERE found = {_K}""", "seeds", ranked)
+    for i in range(2, length):
+        blocking = i >= _N + 1
+        grams = f"list_transform(range(1, len(tokens) - {_N - 2}), lambda i: array_to_string(tokens[i:i + {_N - 1}], ' '))"
+        seen = f"list_distinct(list_concat(seen, {grams}))" if blocking else "seen"
+        now, opened, best = (f"{prefix}{kind}_{i}" for kind in ("beams", "open", "best"))
+        _part(opened, f"SELECT doc_id, key, slot, tokens, score, {seen} AS seen FROM {now}", now)
+        allowed = (
+            f"r.token_id <> o.tokens[-1] AND NOT list_contains(o.seen, "
+            f"array_to_string(list_append(o.tokens[-{_N - 1}:], r.token_id), ' '))" if blocking else "true"
+        )
+        _part(best, f"""
   SELECT * FROM (
     SELECT o.doc_id, o.key, o.slot, o.tokens, o.score, r.token_id, ln(r.prob) AS log_prob,
            row_number() OVER (PARTITION BY o.doc_id, o.slot ORDER BY r.rank) - 1 AS col
-    FROM open_{_i} o JOIN ranked r ON r.key = o.key AND r.prev = o.tokens[-1] WHERE {_allowed})
-  WHERE col < {_K}""", f"open_{_i}", "ranked")
-    _part(f"beams_{_i + 1}", f"""
+    FROM {opened} o JOIN {ranked} r ON r.key = o.key AND r.prev = o.tokens[-1] {at_step} WHERE {allowed})
+  WHERE col < {_K}""", opened, ranked)
+        _part(f"{prefix}beams_{i + 1}", f"""
   SELECT p.doc_id, p.key, p.place AS slot, list_append(p.tokens, p.token_id) AS tokens, p.total AS score, o.seen
   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(total, 9) DESC, slot, col) - 1 AS place
-        FROM (SELECT *, score + log_prob AS total, count(*) OVER (PARTITION BY doc_id) AS found FROM best_{_i})
+        FROM (SELECT *, score + log_prob AS total, count(*) OVER (PARTITION BY doc_id) AS found FROM {best})
         WHERE found = {_K * _K}) p
-  JOIN open_{_i} o ON o.doc_id = p.doc_id AND o.slot = p.place WHERE p.place < {_K}""", f"best_{_i}", f"open_{_i}")
+  JOIN {opened} o ON o.doc_id = p.doc_id AND o.slot = p.place WHERE p.place < {_K}""", best, opened)
+
+
+_beam_parts("", fx.BEAM_LENGTH, "ranked")
+_beam_parts("scored_", fx.SCORED_LENGTH, "ranked_trigrams", "AND r.first = 0", "AND r.first = o.tokens[-2]")
 _BEAM = "SELECT doc_id, CAST(slot AS INTEGER) AS slot, {} AS tokens, round(score, 6) AS score FROM {}".format
 ORACLE["beam_seed"] = _with("beams_2") + _BEAM(_JOIN("tokens"), "beams_2")
 ORACLE["beam_step"] = _with("beams_3") + _BEAM(_JOIN("tokens"), "beams_3")
+ORACLE["beam_decode_large"] = _with("beams_4") + _BEAM(_JOIN("tokens"), "beams_4")
+_SCORED = f"scored_beams_{fx.SCORED_LENGTH}"
+ORACLE["beam_decode_scored"] = _with(_SCORED, "seeds", "corpus") + f"""
+SELECT doc_id, CAST(slot AS INTEGER) AS slot, {_JOIN("tokens")} AS tokens, round(score, 6) AS score,
+       CAST(NULL AS VARCHAR) AS error FROM {_SCORED}
+UNION ALL SELECT c.doc_id, NULL, NULL, NULL,
+       CASE WHEN s.doc_id IS NULL THEN 'no start word' ELSE 'fewer than k candidates' END
+FROM corpus c LEFT JOIN seeds s USING (doc_id) WHERE c.doc_id NOT IN (SELECT doc_id FROM {_SCORED})"""
 _LAST = f"beams_{fx.BEAM_LENGTH}"
 ORACLE["beam_decode"] = _with(_LAST) + _BEAM(_JOIN("tokens"), _LAST)
 ORACLE["ngram_memory"] = _with("open_4") + """
@@ -353,14 +441,15 @@ ORACLE["cut_summary"] = _with("stops") + f"""
 SELECT doc_id, CAST(slot AS INTEGER) AS slot, {_JOIN('tokens[2:coalesce(stop_at, len(tokens))]')} AS summary FROM stops"""
 _part("summaries", """
   SELECT c.doc_id + 999000 AS num, articles, abstracts AS gold,
-         CASE WHEN p.doc_id IS NULL THEN 'fewer than k candidates' END AS error,
+         CASE WHEN p.doc_id IS NULL AND d.doc_id IS NULL THEN 'no start word'
+              WHEN p.doc_id IS NULL THEN 'fewer than k candidates' END AS error,
          CASE WHEN p.doc_id IS NOT NULL THEN coalesce((
            SELECT string_agg(coalesce(token, '<unk>'), ' ' ORDER BY i) FROM
            (SELECT unnest(s.tokens[2:coalesce(s.stop_at, len(s.tokens))]) AS token_id,
                    unnest(range(len(s.tokens[2:coalesce(s.stop_at, len(s.tokens))]))) AS i)
            LEFT JOIN line_vocab USING (token_id)), '') END AS generated
-  FROM corpus c LEFT JOIN picked p USING (doc_id) LEFT JOIN stops s ON s.doc_id = p.doc_id AND s.slot = p.slot""",
-      "corpus", "picked", "stops", "line_vocab")
+  FROM corpus c LEFT JOIN picked p USING (doc_id) LEFT JOIN stops s ON s.doc_id = p.doc_id AND s.slot = p.slot
+  LEFT JOIN seeds d ON d.doc_id = c.doc_id""", "corpus", "picked", "stops", "line_vocab", "seeds")
 _NAME = "CASE WHEN num > 999999 THEN CAST(num AS VARCHAR) ELSE lpad(CAST(num AS VARCHAR), 6, '0') END"
 ORACLE["summarise"] = _with("summaries") + "SELECT num, generated, error FROM summaries"
 ORACLE["write_pairs"] = _with("summaries") + f"""
@@ -376,9 +465,16 @@ words AS (SELECT num, list_filter(string_split(generated, ' '), lambda x: x <> '
 grams AS (SELECT num, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram,
                  unnest(range(1, len(w))) AS spot FROM words),
 twice AS (SELECT num, gram, min(spot) AS spot FROM grams GROUP BY num, gram HAVING count(*) > 1),
-repeats AS (SELECT num, string_agg(gram, '|' ORDER BY spot) AS repeated FROM twice GROUP BY num)
-SELECT t.num, tag, CASE WHEN tag = 'encoder' THEN gold ELSE generated END AS text, coalesce(repeated, '') AS repeated
-FROM todo t CROSS JOIN (VALUES ('encoder'), ('decoder')) k(tag) LEFT JOIN repeats USING (num) WHERE error IS NULL
+repeats AS (SELECT num, string_agg(gram, '|' ORDER BY spot) AS repeated FROM twice GROUP BY num),
+fresh AS (SELECT t.num, tag, CASE WHEN tag = 'encoder' THEN gold ELSE generated END AS text,
+                 coalesce(repeated, '') AS repeated
+          FROM todo t CROSS JOIN (VALUES ('encoder'), ('decoder')) k(tag) LEFT JOIN repeats USING (num)
+          WHERE error IS NULL),
+earlier AS (SELECT DISTINCT doc_id + 999000 AS num, tag, 'earlier ' || tag AS text
+            FROM labels, (VALUES ('encoder'), ('decoder')) k(tag) WHERE tag = 'encoder' OR quality = 1)
+SELECT * FROM fresh
+UNION ALL SELECT num, tag, text, NULL FROM earlier e
+WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.num = e.num AND f.tag = e.tag)
 UNION ALL SELECT num, 'failure', error, NULL FROM todo WHERE error IS NOT NULL"""
 ORACLE["training_set"] = _with("batches", "doc_padded", "sum_padded") + f"""
 SELECT epoch, CAST(spot // {fx.BATCH_SIZE} AS BIGINT) AS batch, CAST(spot % {fx.BATCH_SIZE} AS INTEGER) AS place,

@@ -50,6 +50,23 @@ def _with_missing(spark, sf_dir):
     return documents.withColumn("abstracts", F.nullif(F.col("abstracts"), F.col("articles")))
 
 
+@query
+def corpus_csv(spark, sf_dir):
+    """Documents written as CSV with the columns in another order, and read again by their names."""
+    path = staged_path(spark, "csv")
+    rows = fx.pairs(spark, sf_dir).select(F.col("doc_id").alias("id_articles"), "lang", "abstracts", "articles")
+    rows.write.option("header", "true").option("escape", '"').csv(path)
+    return source.project_corpus(source.read_corpus(spark, path, "csv", emptyValue="", nullValue="\\N"), key_type="string")
+
+
+@query
+def numbered_corpus(spark, sf_dir):
+    """Rows of the file numbered from the name of their file on."""
+    found = source.read_corpus(spark, f"{sf_dir}/documents.parquet", columns=("doc_id",), path_column="path")
+    keyed = found.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit("documents.parquet").alias("path"))
+    return source.number_rows(keyed, "doc_id", "path", start=NUMBER_OFFSET).select("doc_id", "num")
+
+
 @query
 def null_literal(spark, sf_dir):
     return source.apply_null_policy(_with_missing(spark, sf_dir), "literal")
@@ -200,13 +217,20 @@ def encode_uncapped(spark, sf_dir):
     return encoding.encode(words, vocabulary.fit_vocab(words)).select("doc_id", joined("ids").alias("ids"))
 
 
+@query
+def encode_uncapped_large(spark, sf_dir):
+    """As if the vocabulary were too large to broadcast: the most frequent words first, then the others by key."""
+    words = fx.document_tokens(spark, sf_dir)
+    ids = encoding.encode(words, vocabulary.fit_vocab(words), most_words=1000)
+    return ids.select("doc_id", joined("ids").alias("ids"))
+
+
 @query
 def decode_documents(spark, sf_dir):
     words = fx.document_tokens(spark, sf_dir)
     vocab = vocabulary.fit_vocab(words, fx.CAP)
-    ids = encoding.encode(words, vocab, fx.DOCUMENT_LENGTH, fx.CAP)
-    padded = ids.select("doc_id", seq.pad_truncate(F.col("ids"), fx.DOCUMENT_LENGTH).alias("ids"))
-    return encoding.decode(padded, vocab, fx.CAP)
+    ids = encoding.encode(words, vocab, cap=fx.CAP).withColumn("ids", seq.pad_whole(F.col("ids"), fx.CHUNKS))
+    return encoding.decode(ids, vocab, fx.CAP)
 
 
 @query
@@ -250,7 +274,7 @@ def pad_truncate(spark, sf_dir):
 
 @query
 def padding_mask(spark, sf_dir):
-    ids = fx.padded_documents(spark, sf_dir)
+    ids = fx.whole_documents(spark, sf_dir)
     mask = F.transform(seq.padding_mask(F.col("ids")), lambda x: x.cast("int"))
     return ids.select(
         "doc_id", F.array_join(mask.cast("array<string>"), "").alias("mask"),
@@ -260,46 +284,46 @@ def padding_mask(spark, sf_dir):
 
 @query
 def next_token_pairs(spark, sf_dir):
-    pairs = batching.next_token_pairs(fx.padded_summaries(spark, sf_dir))
+    pairs = batching.next_token_pairs(fx.whole_summaries(spark, sf_dir))
     return pairs.select("doc_id", joined("input_ids").alias("input_ids"), joined("label_ids").alias("label_ids"))
 
 
 @query
 def next_token_rows(spark, sf_dir):
-    return batching.next_token_rows(fx.padded_summaries(spark, sf_dir), ["doc_id"])
+    return batching.next_token_rows(fx.whole_summaries(spark, sf_dir), ["doc_id"])
 
 
 def _chunked(df, column):
-    chunks = seq.split_chunks(F.col(column), fx.DOCUMENT_LENGTH, fx.CHUNKS)
+    chunks = seq.split_chunks(F.col(column), None, fx.CHUNKS)
     return df.select("doc_id", F.posexplode(chunks).alias("chunk", "ids"))
 
 
 @query
 def split_chunks(spark, sf_dir):
-    chunks = _chunked(fx.padded_documents(spark, sf_dir), "ids")
+    chunks = _chunked(fx.whole_documents(spark, sf_dir), "ids")
     return chunks.select("doc_id", "chunk", joined("ids").alias("ids"))
 
 
 @query
 def chunk_mask(spark, sf_dir):
-    masked = fx.padded_documents(spark, sf_dir).withColumn("mask", seq.padding_mask(F.col("ids")))
+    masked = fx.whole_documents(spark, sf_dir).withColumn("mask", seq.padding_mask(F.col("ids")))
     mask = F.transform("ids", lambda x: x.cast("int")).cast("array<string>")
     return _chunked(masked, "mask").select("doc_id", "chunk", F.array_join(mask, "").alias("mask"))
 
 
 @query
 def chunk_position(spark, sf_dir):
-    step = seq.chunk_step(fx.DOCUMENT_LENGTH, fx.CHUNKS)
-    rows = fx.padded_documents(spark, sf_dir).select("doc_id", F.posexplode("ids").alias("pos", "token_id"))
+    step = (F.size("ids") / F.lit(fx.CHUNKS)).cast("int")
+    rows = fx.whole_documents(spark, sf_dir).select("doc_id", step.alias("step"), F.posexplode("ids").alias("pos", "token_id"))
     return rows.select(
-        "doc_id", "pos", "token_id", seq.chunk_number(F.col("pos"), step).alias("chunk"),
-        seq.chunk_position(F.col("pos"), step).alias("chunk_pos"),
+        "doc_id", "pos", "token_id", seq.chunk_number(F.col("pos"), F.col("step")).alias("chunk"),
+        seq.chunk_position(F.col("pos"), F.col("step")).alias("chunk_pos"),
     )
 
 
 @query
 def concat_chunks(spark, sf_dir):
-    chunks = _chunked(fx.padded_documents(spark, sf_dir), "ids")
+    chunks = _chunked(fx.whole_documents(spark, sf_dir), "ids")
     return batching.concat_chunks(chunks).select("doc_id", joined("ids").alias("ids"))
 
 
@@ -313,13 +337,16 @@ def curriculum_step_size(spark, sf_dir):
 
 def _curriculum(spark, sf_dir, both):
     pairs = encoding.pair_sides(
-        fx.padded_documents(spark, sf_dir).withColumnRenamed("ids", "input"),
-        fx.padded_summaries(spark, sf_dir).withColumnRenamed("ids", "target"),
+        fx.whole_documents(spark, sf_dir).withColumnRenamed("ids", "input"),
+        fx.whole_summaries(spark, sf_dir).withColumnRenamed("ids", "target"),
     )
-    expanded = batching.expand_steps(pairs, fx.CURRICULUM_STEPS)
+    steps = F.lit(fx.CURRICULUM_STEPS)
+    sized = pairs.withColumns({
+        "input_size": seq.step_size_column(F.size("input"), steps), "target_size": seq.step_size_column(F.size("target"), steps),
+    })
     cut = batching.prefix_curriculum(
-        expanded, seq.step_size(fx.SUMMARY_LENGTH, fx.CURRICULUM_STEPS),
-        input_size=seq.step_size(fx.DOCUMENT_LENGTH, fx.CURRICULUM_STEPS) if both else None,
+        batching.expand_steps(sized, fx.CURRICULUM_STEPS), F.col("target_size"),
+        input_size=F.col("input_size") if both else None,
     )
     return cut.select("doc_id", "epoch", "step", joined("input").alias("input"), joined("target").alias("target"))
 
@@ -334,19 +361,69 @@ def prefix_curriculum_both(spark, sf_dir):
     return _curriculum(spark, sf_dir, both=True)
 
 
+def _settings(**changes):
+    return training.Settings(**{
+        "document_length": fx.DOCUMENT_LENGTH, "summary_length": fx.SUMMARY_LENGTH, "document_cap": fx.CAP,
+        "summary_cap": fx.CAP, "batch_size": fx.BATCH_SIZE, "epochs": fx.EPOCHS, "seed": fx.SEED, **changes,
+    })
+
+
 @query
 def training_set(spark, sf_dir):
     """Encoded pairs of every epoch in shuffled batches, vocabularies fitted and saved on the way."""
-    settings = training.Settings(
-        document_length=fx.DOCUMENT_LENGTH, summary_length=fx.SUMMARY_LENGTH, document_cap=fx.CAP, summary_cap=fx.CAP,
-        batch_size=fx.BATCH_SIZE, epochs=fx.EPOCHS, seed=fx.SEED,
-    )
-    rows = training.training_set(fx.corpus(spark, sf_dir), staged_path(spark, "vocabularies"), settings)
+    rows = training.training_set(fx.corpus(spark, sf_dir), staged_path(spark, "vocabularies"), _settings())
     return rows.select(
         "epoch", "batch", "place", "doc_id", joined("input").alias("input"), joined("target").alias("target")
     )
 
 
+@query
+def training_set_sliced(spark, sf_dir):
+    """One epoch's rows for several encoders, a row for each encoder's slice."""
+    settings = _settings(epochs=1)
+    rows = training.training_set(fx.corpus(spark, sf_dir), staged_path(spark, "vocabularies"), settings)
+    slices = F.posexplode(F.arrays_zip("inputs", "masks")).alias("encoder", "s")
+    mask = F.array_join(F.transform("s.masks", lambda x: x.cast("int")).cast("array<string>"), "")
+    return training.sliced(rows, settings, fx.CHUNKS).select("epoch", "batch", "place", "doc_id", slices).select(
+        "epoch", "batch", "place", "doc_id", "encoder", joined("s.inputs").alias("input"), mask.alias("mask")
+    )
+
+
+@query
+def training_set_string_ids(spark, sf_dir):
+    """Ids of any form, each twice: rows of one id stay rows of their own."""
+    pairs = fx.corpus(spark, sf_dir).withColumn("doc_id", F.concat(F.lit("PMC"), F.col("doc_id").cast("string")))
+    rows = training.prepare(pairs.unionAll(pairs), staged_path(spark, "vocabularies"), _settings())
+    return rows.select("doc_id", joined("input").alias("input"), joined("target").alias("target"))
+
+
+@query
+def curriculum_set(spark, sf_dir):
+    """Every step of every epoch in an order of its own, with the prefix of the target that it has reached."""
+    settings = _settings()
+    encoded = training.prepare(fx.corpus(spark, sf_dir), staged_path(spark, "vocabularies"), settings)
+    rows = training.curriculum_set(encoded, settings, fx.EPOCHS, fx.STEPS)
+    return rows.select("epoch", "step", "batch", "place", "doc_id", joined("target").alias("target"))
+
+
+def _evaluation(spark, sf_dir):
+    path = staged_path(spark, "vocabularies")
+    training.fit_vocabularies(fx.corpus(spark, sf_dir), path, _settings())
+    return training.evaluation_set(_with_missing(spark, sf_dir), path, _settings())
+
+
+@query
+def evaluation_set(spark, sf_dir):
+    return _evaluation(spark, sf_dir).select(
+        "doc_id", joined("input").alias("input"), joined("target").alias("target"), "unknown_input", "unknown_target"
+    )
+
+
+@query
+def evaluation_unknowns(spark, sf_dir):
+    return encoding.unknown_totals(_evaluation(spark, sf_dir), ["input", "target"])
+
+
 @query
 def batch_assign(spark, sf_dir):
     return batching.assign_batches(fx.pairs(spark, sf_dir), fx.BATCH_SIZE, fx.EPOCHS, fx.SEED)
@@ -431,6 +508,25 @@ def metrics_sink(spark, sf_dir):
     )
 
 
+def _report(spark, sf_dir, report):
+    preds = stage(fx.predictions(spark, sf_dir), "predictions")
+    return report(metrics.batch_loss(preds), preds)
+
+
+@query
+def epoch_report(spark, sf_dir):
+    return _report(spark, sf_dir, metrics.epoch_report).select(
+        "epoch", F.round("loss", 6).alias("loss"), "batches", F.round("accuracy", 4).alias("accuracy")
+    )
+
+
+@query
+def curriculum_epoch_report(spark, sf_dir):
+    return _report(spark, sf_dir, metrics.curriculum_epoch_report).select(
+        "epoch", F.round("loss", 4).alias("loss"), "batches", F.round("accuracy", 4).alias("accuracy")
+    )
+
+
 # Decoding
 
 
@@ -459,6 +555,26 @@ def beam_decode(spark, sf_dir):
     return _beams(_decoder(spark, sf_dir, fx.BEAM_LENGTH))
 
 
+@query
+def beam_decode_large(spark, sf_dir):
+    """Candidates joined by key, as if they were too many to broadcast."""
+    vocab, scores = fx.scorer(spark, sf_dir)
+    return _beams(beam.beam_decode(
+        fx.seeds(spark, sf_dir, vocab), scores, 4, fx.BEAM_WIDTH, fx.NGRAM_SIZE, broadcast_rows=0))
+
+
+@query
+def beam_decode_scored(spark, sf_dir):
+    """Decoding with a scorer of whole hypotheses; documents that fail are named with their cause."""
+    vocab, scorer = fx.trigram_scorer(spark, sf_dir)
+    seeds = fx.seeds(spark, sf_dir, vocab)
+    state = beam.beam_decode(seeds, scorer, fx.SCORED_LENGTH, fx.BEAM_WIDTH, fx.NGRAM_SIZE)
+    found = _beams(state)
+    failed = beam.beam_failures(fx.pairs(spark, sf_dir).select("doc_id"), state.select("doc_id", F.lit("").alias("x")), "x", seeds)
+    return found.withColumn("error", F.lit(None).cast("string")).unionByName(
+        failed.filter(F.col("error").isNotNull()).select("doc_id", "error"), allowMissingColumns=True)
+
+
 def _position(spark, sf_dir, position):
     """Beams before ``position`` and the candidate pages."""
     vocab, scores = fx.scorer(spark, sf_dir)
@@ -559,21 +675,27 @@ def write_pairs(spark, sf_dir):
     good, _ = results.split_failures(_summaries(spark, sf_dir))
     path = staged_path(spark, "pairs")
     results.write_pairs(good, path)
-    return spark.read.parquet(path).select("num", "tag", "name", "text")
+    return results.read_pairs(spark, path).select("num", "tag", "name", "text")
 
 
 @query
 def summarise_resumed(spark, sf_dir):
-    """A second run after one that stopped: only documents without both texts are decoded and written."""
+    """A second run over the folder of one that stopped: documents without both texts there are decoded, and what they
+    had is replaced."""
     vocab, scores = fx.scorer(spark, sf_dir)
-    documents = _documents(spark, sf_dir)
-    done = fx.done_rows(spark, sf_dir, NUMBER_OFFSET)
     path, failures = staged_path(spark, "pairs"), staged_path(spark, "failures")
+    earlier = fx.done_rows(spark, sf_dir, NUMBER_OFFSET).select(
+        "num", "tag", F.concat(F.lit("earlier "), "tag").alias("text"), F.lit("").alias("name")
+    )
+    results.write_texts(earlier, path)
     repeated = summaries.summarise_pending(
-        documents, fx.seeds(spark, sf_dir, vocab), scores, vocab, path, failures, done, _decoding()
+        _documents(spark, sf_dir), fx.seeds(spark, sf_dir, vocab), scores, vocab, path, failures,
+        results.read_pairs(spark, path), _decoding(),
     ).select("num", F.array_join("repeated", "|").alias("repeated"))
-    written = spark.read.parquet(path).select("num", "tag", "text")
-    failed = spark.read.parquet(failures).select("num", F.lit("failure").alias("tag"), F.col("error").alias("text"))
+    written = results.read_pairs(spark, path).select("num", "tag", "text")
+    failed = results.read_failures(spark, failures, written).select(
+        "num", F.lit("failure").alias("tag"), F.col("error").alias("text")
+    )
     return written.unionByName(failed).join(repeated, "num", "left")
 
 
@@ -589,13 +711,29 @@ def resume_skip(spark, sf_dir):
     return results.pending(documents, fx.done_rows(spark, sf_dir))
 
 
+def _stream(spark, sf_dir, vocab, sink, failures, wanted=None):
+    schema = "doc_id BIGINT, text STRING, lang STRING"
+    files = spark.readStream.schema(schema).option("pathGlobFilter", "documents*.parquet").parquet(sf_dir)
+    files = files if wanted is None else files.filter(wanted)
+    arriving = files.select("doc_id", F.col("text").alias("articles"))
+    progress = staged_path(spark, "progress")
+    encode_stream(arriving, vocab, sink, failures, progress, fx.DOCUMENT_LENGTH, fx.CAP).awaitTermination()
+
+
 @query
 def incremental_encode(spark, sf_dir):
     """The documents arriving as a stream of files, encoded with a saved vocabulary."""
     vocab = vocabulary.fit_vocab(fx.document_tokens(spark, sf_dir), fx.CAP)
-    schema = "doc_id BIGINT, text STRING"
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "documents*.parquet").parquet(sf_dir)
-    arriving = files.select("doc_id", F.col("text").alias("articles"))
-    sink, failures, checkpoint = (staged_path(spark, name) for name in ("sink", "failures", "progress"))
-    encode_stream(arriving, vocab, sink, failures, checkpoint, fx.DOCUMENT_LENGTH, fx.CAP).awaitTermination()
+    sink, failures = (staged_path(spark, name) for name in ("sink", "failures"))
+    _stream(spark, sf_dir, vocab, sink, failures)
+    return spark.read.parquet(sink).select("doc_id", joined("ids").alias("ids"))
+
+
+@query
+def incremental_encode_restarted(spark, sf_dir):
+    """Two streams with checkpoints of their own write to one sink: of the second only what the first has not brought."""
+    vocab = vocabulary.fit_vocab(fx.document_tokens(spark, sf_dir), fx.CAP)
+    sink, failures = (staged_path(spark, name) for name in ("sink", "failures"))
+    _stream(spark, sf_dir, vocab, sink, failures, F.col("lang") == "en")
+    _stream(spark, sf_dir, vocab, sink, failures)
     return spark.read.parquet(sink).select("doc_id", joined("ids").alias("ids"))

@@ -38,7 +38,7 @@ def generate_summaries(
     best = pick_best(state, stop["token_id"], settings.choice)
     ids = best.select("doc_id", cut_summary(F.col("tokens"), stop["token_id"]).alias("ids"))
     texts = decode(ids, vocab, settings.cap, text="generated")
-    return beam_failures(documents, texts, "generated")
+    return beam_failures(documents, texts, "generated", seeds)
 
 
 def _with_articles(bad: DataFrame, documents: DataFrame) -> DataFrame:

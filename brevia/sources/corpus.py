@@ -12,22 +12,34 @@ NULL_MODES = ("strict", "literal", "drop")
 
 
 def read_corpus(
-    spark: SparkSession, path: str, fmt: str = "parquet", columns: tuple[str, ...] = CORPUS_COLUMNS, **options: str
+    spark: SparkSession, path: str, fmt: str = "parquet", columns: tuple[str, ...] = CORPUS_COLUMNS,
+    path_column: str | None = None, **options: str,
 ) -> DataFrame:
-    """Read the named columns, every one as a string and without type inference."""
-    reader = spark.read.options(**options)
-    if fmt in ("csv", "json"):
-        schema = T.StructType([T.StructField(name, T.StringType()) for name in columns])
-        return reader.schema(schema).format(fmt).load(path)
-    return reader.format(fmt).load(path).select(*[F.col(name).cast("string").alias(name) for name in columns])
+    """Read the named columns, every one as a string and without type inference.
+
+    A column that is not there is an error. CSV columns are found by the header's names, in whatever order they stand;
+    quoted texts may hold line breaks, and quotes in them are doubled. ``path_column`` adds the file of each row.
+    """
+    if fmt == "csv":
+        options = {"header": "true", "multiLine": "true", "escape": '"', "inferSchema": "false", **options}
+    reader = spark.read.options(**options).format(fmt)
+    if fmt == "json":
+        reader = reader.schema(T.StructType([T.StructField(name, T.StringType()) for name in columns]))
+    names = [F.col(name).cast("string").alias(name) for name in columns]
+    found = [F.col("_metadata.file_path").alias(path_column)] if path_column else []
+    return reader.load(path).select(*names, *found)
 
 
 def project_corpus(
-    df: DataFrame, key: str = "id_articles", article: str = "articles", abstract: str = "abstracts"
+    df: DataFrame, key: str = "id_articles", article: str = "articles", abstract: str = "abstracts",
+    key_type: str = "bigint",
 ) -> DataFrame:
-    """Keep the key, the article and the abstract; the key replaces pairing by row order."""
+    """Keep the key, the article and the abstract; the key replaces pairing by row order.
+
+    ``key_type`` is ``string`` for ids of any form. Ids may repeat: later operators keep such rows apart.
+    """
     return df.select(
-        F.col(key).cast("bigint").alias("doc_id"), F.col(article).alias("articles"), F.col(abstract).alias("abstracts")
+        F.col(key).cast(key_type).alias("doc_id"), F.col(article).alias("articles"), F.col(abstract).alias("abstracts")
     )
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Tags of the two texts of a result and the width of its number.
 GOLD_TAG = "encoder"
 GENERATED_TAG = "decoder"
 NUMBER_WIDTH = 6
 
+# Column with the number of the run that wrote a row.
+RUN = "run"
+
 
 def padded_number(num: Column) -> Column:
     """Zero-padded to six digits; longer numbers stay whole."""
@@ -26,9 +30,44 @@ def pair_rows(df: DataFrame, num: str = "num", gold: str = "gold", generated: st
     return rows.withColumn("name", F.concat(padded_number(F.col("num")), F.lit("_"), F.col("tag"), F.lit(".txt")))
 
 
-def write_pairs(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Write the texts of all results, one folder per tag."""
-    pair_rows(df).write.mode(mode).partitionBy("tag").parquet(path)
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """What runs have written to a folder; None if there is no such folder yet. Other faults are not hidden."""
+    try:
+        stored = spark.read.option("mergeSchema", "true").parquet(path)
+        return stored if RUN in stored.columns else stored.withColumn(RUN, F.lit(None).cast("int"))
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _next_run(spark: SparkSession, path: str) -> int:
+    """Number of the next run, one above all that are there."""
+    stored = _stored(spark, path)
+    return 1 if stored is None else (stored.agg(F.max(RUN)).first()[0] or 0) + 1
+
+
+def _latest(stored: DataFrame, keys: list[str]) -> DataFrame:
+    """The row of the last run for each key; rows without a run are older than any."""
+    rest = [c for c in stored.columns if c not in (*keys, RUN)]
+    last = stored.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.coalesce(RUN, F.lit(0)), *rest)).alias("_row"))
+    return last.select(*keys, *(F.col(f"_row.{c}").alias(c) for c in rest))
+
+
+def write_pairs(df: DataFrame, path: str) -> None:
+    """Write the texts of all results, one folder per tag. A text written again replaces the earlier one."""
+    write_texts(pair_rows(df), path)
+
+
+def write_texts(rows: DataFrame, path: str) -> None:
+    """Write rows ``num, tag, text, name`` as a run of its own."""
+    run = _next_run(rows.sparkSession, path)
+    rows.withColumn(RUN, F.lit(run)).write.mode("append").partitionBy("tag").parquet(path)
+
+
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """``num, tag, text, name``: one row for each number and tag, the one written last."""
+    return _latest(_stored(spark, path), ["num", "tag"])
 
 
 def split_failures(df: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:
@@ -46,9 +85,16 @@ def failure_rows(bad: DataFrame, num: str = "num", doc: str = "articles", gold:
     )
 
 
-def write_failures(bad: DataFrame, path: str, mode: str = "append") -> None:
-    """Write the failure table."""
-    bad.write.mode(mode).parquet(path)
+def write_failures(bad: DataFrame, path: str) -> None:
+    """Write the failure table. A document that fails again replaces its earlier row."""
+    run = _next_run(bad.sparkSession, path)
+    bad.withColumn(RUN, F.lit(run)).write.mode("append").parquet(path)
+
+
+def read_failures(spark: SparkSession, path: str, done: DataFrame | None = None) -> DataFrame:
+    """One row for each failed number, the one written last; without those that ``done`` holds both texts of by now."""
+    latest = _latest(_stored(spark, path), ["num"])
+    return latest if done is None else latest.join(finished(done), "num", "left_anti")
 
 
 def finished(done: DataFrame) -> DataFrame:

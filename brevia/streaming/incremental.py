@@ -2,43 +2,70 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from brevia.functions.sequences import pad_truncate
 from brevia.functions.text import tokenise
 from brevia.operators.encoding import encode
+from brevia.session import stage
 
 MISSING = "missing text"
+# Documents are laid out by a hash of their id, so that a micro-batch reads the keys of the buckets it touches only.
+BUCKETS = 64
+_QUERY_ID = "sql.streaming.queryId"
 
 
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What the sink holds; nothing where it does not exist yet. Other faults are not hidden."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
+def known_keys(arrived: DataFrame, sink: str, run: str, number: int) -> DataFrame:
+    """The documents of a micro-batch that other micro-batches have written, found in the buckets it touches."""
+    spark = arrived.sparkSession
+    touched = [row[0] for row in arrived.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+    stored = _stored(spark, sink, "doc_id BIGINT, run STRING, batch BIGINT, bucket INT")
+    own = (F.col("run") == run) & (F.col("batch") == number)
+    done = stored.filter(F.col("bucket").isin(touched) & ~own).select("doc_id")
+    return done.join(arrived.select("doc_id"), "doc_id", "left_semi").distinct()
+
+
 def encode_batch(
-    batch: DataFrame, number: int, vocab: DataFrame, sink: str, failures: str, length: int, cap: int, mode: str
+    batch: DataFrame, number: int, vocab: DataFrame, sink: str, failures: str, length: int, cap: int, mode: str,
+    run: str = "run",
 ) -> None:
     """Encode the documents of one micro-batch that the sink does not hold yet; rows without text go to ``failures``.
 
-    Each micro-batch owns one folder and replaces it, so a replay after a crash writes the same rows again instead of
-    adding them. Only the sink's key column is read, and only keys of this batch leave the scan.
+    Each micro-batch owns one folder, named by its run and number, and replaces nothing else: a replay after a crash
+    writes the same rows again, and the micro-batches of another checkpoint, whose numbers start anew, have a run of their
+    own. Of several texts for one id in a micro-batch the first in order counts. The micro-batch is read once.
     """
     spark = batch.sparkSession
-    folder = F.col("batch") != F.lit(number)
-    arrived = batch.dropDuplicates(["doc_id"])
-    done = _stored(spark, sink, "doc_id BIGINT, batch BIGINT").filter(folder).select("doc_id")
-    known = done.join(arrived.select("doc_id"), "doc_id", "left_semi").distinct()
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
+    arrived = stage(batch.groupBy("doc_id").agg(F.min("articles").alias("articles")).withColumn("bucket", bucket), "arrived")
+    known = known_keys(arrived, sink, run, number)
     new = arrived.filter(F.col("articles").isNotNull()).join(known, "doc_id", "left_anti")
-    tokens = new.select("doc_id", tokenise(F.col("articles"), mode).alias("tokens"))
-    ids = encode(tokens, vocab, length, cap).withColumn("ids", pad_truncate(F.col("ids"), length))
-    ids.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+    tokens = new.select("doc_id", "bucket", tokenise(F.col("articles"), mode).alias("tokens"))
+    ids = encode(tokens, vocab, length, cap, carry=("bucket",)).withColumn("ids", pad_truncate(F.col("ids"), length))
+    folder = f"run={run}/batch={number}"
+    ids.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{sink}/{folder}")
     failed = arrived.filter(F.col("articles").isNull()).select("doc_id", F.lit(MISSING).alias("error"))
-    failed.write.mode("overwrite").parquet(f"{failures}/batch={number}")
+    failed.write.mode("overwrite").parquet(f"{failures}/{folder}")
+
+
+def _run_id(spark: SparkSession, checkpoint: str) -> str:
+    """Name of the run: Spark's id of the query, which a checkpoint keeps over restarts and a new one gets anew."""
+    query = spark.sparkContext.getLocalProperty(_QUERY_ID)
+    return hashlib.md5(f"{checkpoint}|{query or ''}".encode()).hexdigest()
 
 
 def encode_stream(
@@ -47,7 +74,8 @@ def encode_stream(
 ) -> StreamingQuery:
     """Start encoding a stream of ``doc_id, articles`` with a saved vocabulary."""
     def write(batch: DataFrame, number: int) -> None:
-        encode_batch(batch, number, vocab, sink, failures, length, cap, mode)
+        run = _run_id(batch.sparkSession, checkpoint)
+        encode_batch(batch, number, vocab, sink, failures, length, cap, mode, run)
 
     writer = source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

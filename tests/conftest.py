@@ -11,6 +11,6 @@ from brevia.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, memory="4g")
+    session = local_session(os.environ.get("BREVIA_TEST_CPUS", "4"), memory="4g")
     yield session
     session.stop()

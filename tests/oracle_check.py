@@ -64,7 +64,7 @@ def main() -> int:
     args = sys.argv[1:]
     sf_dir = args[0] if args else "/root/testdata/sf0.01"
     wanted = args[1:] or list(entry.queries())
-    spark, con, bad = local_session(8), connect(sf_dir), 0
+    spark, con, bad = local_session(os.environ.get("BREVIA_TEST_CPUS", "8")), connect(sf_dir), 0
     for name in wanted:
         started = time.time()
         try:

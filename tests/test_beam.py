@@ -156,3 +156,39 @@ def test_fits_broadcast(spark):
     df = spark.createDataFrame([("abc",), (None,)], "t STRING")
     assert joins.fits_broadcast(df, ("t",), rows=2, size=3)
     assert not joins.fits_broadcast(df, ("t",), rows=1) and not joins.fits_broadcast(df, ("t",), size=2)
+
+
+def test_a_scorer_of_the_whole_prefix(spark):
+    """The scorer forbids what the prefix holds already, which no table of the last word could."""
+    words = spark.createDataFrame([(t, 0.5 - t / 100) for t in range(2, 9)], "token_id INT, prob DOUBLE")
+
+    def scorer(hyps):
+        every = F.expr("explode(sequence(2, 8))")
+        rows = hyps.select("doc_id", "slot", "tokens", every.alias("token_id")).join(words, "token_id")
+        return rows.filter(~F.array_contains("tokens", F.col("token_id"))).select("doc_id", "slot", "token_id", "prob")
+
+    seeds = spark.createDataFrame([(1, "k", 2), (2, "k", 5)], "doc_id BIGINT, key STRING, prev INT")
+    state = beam.beam_decode(seeds, scorer, 5, 2, 2)
+    found = beam.hypotheses(state).collect()
+    assert len(found) == 4 and all(len(set(r.tokens)) == 5 for r in found)
+    assert {tuple(r.tokens) for r in found if r.doc_id == 1 and r.slot == 0} == {(2, 3, 4, 5, 6)}
+    # Nothing is left to three of the words: the document fails and is named.
+    assert beam.beam_decode(seeds, scorer, 9, 2, 2).count() == 0
+    documents = spark.createDataFrame([(1,), (2,), (3,)], "doc_id BIGINT")
+    lost = beam.beam_failures(documents, state.filter("doc_id = 1").select("doc_id", F.lit("t").alias("text")), "text", seeds)
+    assert {r.doc_id: r.error for r in lost.collect()} == {1: None, 2: beam.FAILED, 3: beam.NOT_SEEDED}
+
+
+def test_scored_and_tabled_decoding_agree(spark):
+    scores = [("x", p, t, 0.3 - t / 100) for p in range(2, 8) for t in range(2, 8) if t != p]
+    table = spark.createDataFrame(scores, "key STRING, prev INT, token_id INT, prob DOUBLE")
+
+    def scorer(hyps):
+        at = hyps.withColumn("prev", F.element_at("tokens", -1))
+        return at.join(table, ["key", "prev"]).select("doc_id", "slot", "token_id", "prob")
+
+    seeds = spark.createDataFrame([(i, "x", 2 + i % 4) for i in range(6)], "doc_id BIGINT, key STRING, prev INT")
+    tabled, scored, large = (
+        sorted(map(tuple, beam.hypotheses(beam.beam_decode(seeds, source, 6, 3, 2, **more)).collect()))
+        for source, more in ((table, {}), (scorer, {}), (table, {"broadcast_rows": 0})))
+    assert tabled == scored == large and tabled

@@ -154,3 +154,105 @@ def test_summarise_pending(spark, tmp_path):
     written = {(r.num, r.tag) for r in spark.read.parquet(path).collect()}
     assert written == {(n, t) for n in (11, 13) for t in ("encoder", "decoder")}
     assert [r.num for r in spark.read.parquet(failures).collect()] == [12]
+
+
+def test_summaries_written_again_replace_the_earlier_ones(spark, tmp_path):
+    path, failures = str(tmp_path / "pairs"), str(tmp_path / "bad")
+    docs = spark.createDataFrame([(n, f"g{n}", f"s{n}") for n in range(3)], "num INT, gold STRING, generated STRING")
+    half = spark.createDataFrame([(1, "encoder", "half", "x")], "num INT, tag STRING, text STRING, name STRING")
+    results.write_texts(half, path)
+    results.write_pairs(docs, path)
+    results.write_pairs(docs.filter("num = 2").withColumn("generated", F.lit("again")), path)
+    found = {(r.num, r.tag): r.text for r in results.read_pairs(spark, path).collect()}
+    assert results.read_pairs(spark, path).count() == 6
+    assert found[1, "encoder"] == "g1" and found[2, "decoder"] == "again" and found[0, "decoder"] == "s0"
+    bad = spark.createDataFrame([(7, "000007", "d", "g", "first"), (2, "000002", "d", "g", "first")],
+                                "num INT, name STRING, doc STRING, gold STRING, error STRING")
+    for cause in ("first", "second"):
+        results.write_failures(bad.withColumn("error", F.lit(cause)), failures)
+    assert {(r.num, r.error) for r in results.read_failures(spark, failures).collect()} == {(7, "second"), (2, "second")}
+    still = results.read_failures(spark, failures, results.read_pairs(spark, path)).collect()
+    assert [(r.num, r.error) for r in still] == [(7, "second")]
+
+
+def test_only_a_missing_folder_counts_as_empty(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    with pytest.raises(AnalysisException):
+        results.write_texts(spark.createDataFrame([(1, "encoder", "t", "n")], "num INT, tag STRING, text STRING, name STRING"),
+                            str(broken))
+
+
+def test_streams_with_checkpoints_of_their_own_share_a_sink(spark, tmp_path):
+    sink, failed = str(tmp_path / "out"), str(tmp_path / "bad")
+    schema = "doc_id BIGINT, articles STRING"
+    vocab = fit_vocab(spark.createDataFrame([(0, ["a", "b", "c"])], "doc_id BIGINT, tokens ARRAY<STRING>"))
+
+    def run(name, *batches):
+        for docs in batches:
+            spark.createDataFrame(docs, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+            stream = spark.readStream.schema(schema).parquet(str(tmp_path / name))
+            encode_stream(stream, vocab, sink, failed, str(tmp_path / f"{name}-progress"), 3).awaitTermination()
+
+    run("first", [(1, "a"), (2, "b b")], [(4, "c"), (4, "a")])
+    run("second", [(3, "c"), (1, "a")], [(5, None), (2, "b b")])
+    found = sorted((r.doc_id, tuple(r.ids)) for r in spark.read.parquet(sink).collect())
+    assert found == [(1, (2, 0, 0)), (2, (3, 3, 0)), (3, (4, 0, 0)), (4, (2, 0, 0))]
+    assert [r.doc_id for r in spark.read.parquet(failed).collect()] == [5]
+
+
+def test_the_sink_is_read_by_bucket(spark, tmp_path):
+    from brevia.streaming import incremental
+
+    sink = str(tmp_path / "sink")
+    rows = spark.range(1000).select(
+        F.col("id").alias("doc_id"), F.lit("r").alias("run"), F.lit(0).alias("batch"),
+        F.pmod(F.xxhash64("id"), F.lit(incremental.BUCKETS)).cast("int").alias("bucket"))
+    rows.repartition("bucket").write.partitionBy("run", "batch", "bucket").parquet(sink)
+    arrived = rows.filter("doc_id = 7").select("doc_id", "bucket")
+    found = incremental.known_keys(arrived, sink, "other", 0)
+    assert [r.doc_id for r in found.collect()] == [7]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_rows_of_one_id_stay_apart(spark, tmp_path):
+    pairs = spark.createDataFrame(
+        [("x", "a b c", "one"), ("x", "x y z", "two"), ("y", "a", "one")], "doc_id STRING, articles STRING, abstracts STRING")
+    settings = training.Settings(document_length=4, summary_length=4, document_cap=20, summary_cap=20, batch_size=2)
+    encoded = training.prepare(pairs, str(tmp_path / "v"), settings)
+    assert sorted(r.doc_id for r in encoded.collect()) == ["x", "x", "y"]
+    assert {len({i for i in r.input if i}) for r in encoded.collect()} == {3, 1}
+    batches = training.batches_of(encoded, settings).collect()
+    assert len(batches) == 3 and {(r.batch, r.place) for r in batches} == {(0, 0), (0, 1), (1, 0)}
+    texts = spark.createDataFrame([(1, ["a", "b"]), (1, ["c"]), (None, ["a"]), (None, [])], "doc_id BIGINT, tokens ARRAY<STRING>")
+    vocab = fit_vocab(texts.filter("doc_id = 1"))
+    found = sorted((r.doc_id or 0, len(r.ids)) for r in encode(texts, vocab).collect())
+    assert found == [(0, 0), (0, 1), (1, 1), (1, 2)]
+
+
+def test_training_reads_the_pairs_once_for_the_fit_and_once_for_the_encoding(spark, pairs, tmp_path):
+    path = str(tmp_path / "pairs")
+    pairs.write.parquet(path)
+    stored = spark.read.parquet(path)
+    settings = training.Settings(document_length=8, summary_length=6, document_cap=12, summary_cap=8)
+    training.fit_vocabularies(stored, str(tmp_path / "v"), settings)
+    vocabularies = training.load_vocabularies(spark, str(tmp_path / "v"), settings)
+    plan = training.encode_pairs(stored, vocabularies, settings)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("articles#") and plan.count("Relation [doc_id") == 1
+
+
+def test_sliced_and_curriculum_rows(spark, pairs, tmp_path):
+    settings = training.Settings(document_length=8, summary_length=6, document_cap=12, summary_cap=8, batch_size=16)
+    encoded = training.prepare(pairs, str(tmp_path / "v"), settings)
+    rows = training.sliced(encoded, settings, 4).collect()
+    assert {len(r.inputs) for r in rows} == {4} and {len(s) for r in rows for s in r.inputs} == {2}
+    assert all(m == (1.0 if i == 0 else 0.0) for r in rows for s, k in zip(r.inputs, r.masks) for i, m in zip(s, k))
+    steps = training.curriculum_set(encoded, settings, epochs=2, steps=3, both=True).collect()
+    assert len(steps) == 40 * 6
+    orders = {(e, s): tuple(r.doc_id for r in sorted(
+        (r for r in steps if (r.epoch, r.step) == (e, s)), key=lambda r: (r.batch, r.place))) for e in (1, 2) for s in (1, 2, 3)}
+    assert len(set(orders.values())) == 6
+    assert all(not any(r.target[2 * r.step:]) for r in steps) and all(not any(r.input[3 * r.step:]) for r in steps)

@@ -86,3 +86,15 @@ def test_length_stats(spark):
     df = spark.createDataFrame([("a" * n,) for n in (1, 2, 2, 9)], "t STRING")
     row = source.length_stats(df, {"t": text.char_length(F.col("t"))}).first()
     assert (row.documents, row.shortest, row.longest, row.mean_length, row.median_length) == (4, 1, 9, 3.5, 2.0)
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    path = tmp_path / "c.csv"
+    path.write_text('id_articles,abstracts,articles\nPMC1,short,"long ""quoted""\ntext"\n')
+    found = source.read_corpus(spark, str(path), "csv", path_column="file")
+    row = found.first()
+    assert (row.id_articles, row.articles, row.abstracts) == ("PMC1", 'long "quoted"\ntext', "short")
+    assert row.file.endswith("c.csv") and found.count() == 1
+    assert source.project_corpus(found, key_type="string").first().doc_id == "PMC1"
+    with pytest.raises(Exception, match="missing"):
+        source.read_corpus(spark, str(path), "csv", columns=("id_articles", "missing")).collect()
