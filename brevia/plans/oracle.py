@@ -455,8 +455,11 @@ ORACLE["summarise"] = _with("summaries") + "SELECT num, generated, error FROM su
 ORACLE["write_pairs"] = _with("summaries") + f"""
 SELECT num, tag, {_NAME} || '_' || tag || '.txt' AS name, CASE WHEN tag = 'encoder' THEN gold ELSE generated END AS text
 FROM summaries, (VALUES ('encoder'), ('decoder')) t(tag) WHERE error IS NULL"""
-ORACLE["route_failures"] = _with("summaries") + f"""
-SELECT num, {_NAME} AS name, articles AS doc, gold, error FROM summaries WHERE error IS NOT NULL"""
+ORACLE["route_failures"] = _with(_SCORED, "seeds", "corpus") + f"""
+SELECT num, {_NAME} AS name, doc, gold, error FROM
+(SELECT c.doc_id + 999000 AS num, articles AS doc, abstracts AS gold,
+        CASE WHEN s.doc_id IS NULL THEN 'no start word' ELSE 'fewer than k candidates' END AS error
+ FROM corpus c LEFT JOIN seeds s USING (doc_id) WHERE c.doc_id NOT IN (SELECT doc_id FROM {_SCORED}))"""
 ORACLE["resume_skip"] = _with("corpus") + """
 SELECT doc_id AS num, abstracts FROM corpus WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)"""
 ORACLE["summarise_resumed"] = _with("summaries") + f""",

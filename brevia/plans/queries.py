@@ -701,7 +701,13 @@ def summarise_resumed(spark, sf_dir):
 
 @query
 def route_failures(spark, sf_dir):
-    _, bad = results.split_failures(_summaries(spark, sf_dir))
+    """Documents that a scorer of two words leaves without enough candidates."""
+    vocab, scorer = fx.trigram_scorer(spark, sf_dir)
+    settings = summaries.Decoding(fx.SCORED_LENGTH, fx.BEAM_WIDTH, fx.NGRAM_SIZE, cap=fx.CAP)
+    found = summaries.generate_summaries(
+        _documents(spark, sf_dir), fx.seeds(spark, sf_dir, vocab), scorer, vocab, settings
+    )
+    _, bad = results.split_failures(found)
     return results.failure_rows(bad)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from brevia.constants import BEAM_WIDTH, NGRAM_SIZE, STOP_WORD, SUMMARY_LENGTH
 from brevia.functions.sequences import cut_summary
-from brevia.operators.beam import beam_decode, beam_failures, pick_best
+from brevia.operators.beam import Scorer, beam_decode, beam_failures, pick_best
 from brevia.operators.encoding import decode
 from brevia.operators.joins import fits_broadcast
 from brevia.operators.repeats import repeated_ngrams
@@ -28,9 +28,12 @@ class Decoding:
 
 
 def generate_summaries(
-    documents: DataFrame, seeds: DataFrame, scores: DataFrame, vocab: DataFrame, settings: Decoding = Decoding()
+    documents: DataFrame, seeds: DataFrame, scores: DataFrame | Scorer, vocab: DataFrame, settings: Decoding = Decoding()
 ) -> DataFrame:
-    """``documents`` with the ``generated`` text, or the ``error`` that kept a document from having one."""
+    """``documents`` with the ``generated`` text, or the ``error`` that kept a document from having one.
+
+    ``scores`` is a table of candidates or a scorer, as in ``beam_decode``.
+    """
     stop = vocab.filter(F.col("token") == STOP_WORD).first()
     if stop is None:
         raise ValueError(f"the vocabulary does not hold {STOP_WORD}")
@@ -50,7 +53,7 @@ def _with_articles(bad: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def summarise_pending(
-    documents: DataFrame, seeds: DataFrame, scores: DataFrame, vocab: DataFrame, path: str, failures: str,
+    documents: DataFrame, seeds: DataFrame, scores: DataFrame | Scorer, vocab: DataFrame, path: str, failures: str,
     done: DataFrame | None = None, settings: Decoding = Decoding(),
 ) -> DataFrame:
     """Summarise the documents (``doc_id, num, articles, gold``) that ``done`` does not hold yet.
