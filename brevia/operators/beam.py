@@ -18,7 +18,7 @@ from brevia.constants import BEAM_WIDTH, LENGTH_ALPHA, NGRAM_SIZE, SUMMARY_LENGT
 from brevia.functions.scoring import SCORE_DIGITS, length_norm, log_prob, rank_score
 from brevia.functions.sequences import first_position
 from brevia.operators.joins import BROADCAST_ROWS, fits_broadcast, skew_join
-from brevia.session import stage
+from brevia.session import restage, stage
 
 # Documents per task: the state of a document grows with every step, so tasks are cut by documents and not by bytes.
 TASK_DOCUMENTS = 20_000
@@ -158,9 +158,9 @@ def _decode_scored(seeds: DataFrame, scorer: Scorer, length: int, k: int, n: int
         c["log_prob"].alias("score"),
     ))
     state = _best_scored(first, scorer, k).filter(F.size("best") >= k).select("doc_id", "key", beams.alias("beams"))
-    state = stage(state.withColumn("memory", F.array_repeat(F.array().cast("array<string>"), k)), "beams")
+    state = restage(state.withColumn("memory", F.array_repeat(F.array().cast("array<string>"), k)), "beams")
     for position in range(2, length):
-        state = stage(merge_topk(extend_scored(state, scorer, position, k, n, memory), k), "beams")
+        state = restage(merge_topk(extend_scored(state, scorer, position, k, n, memory), k), "beams", state)
     return state
 
 
@@ -221,7 +221,7 @@ def beam_decode(
 
     Candidates are ranked once. Documents are spread once by their number; with broadcast candidates the following steps
     need no shuffle. Every ``cut_every`` steps, or after every one when the candidates are too many to broadcast, the
-    state is staged, so the plan stays short. ``scores`` may be a function, see above. Documents that fail are absent from
+    state is staged in place of the one before, so the plan stays short. ``scores`` may be a function, see above. Documents that fail are absent from
     the result; ``beam_failures`` names them and their cause.
     """
     if callable(scores):
@@ -232,11 +232,12 @@ def beam_decode(
     seeds = stage(seeds.select("doc_id", "key", "prev"), "seeds")
     cores = seeds.sparkSession.sparkContext.defaultParallelism
     tasks = max(cores, -(-seeds.count() // TASK_DOCUMENTS))
-    state = beam_seed(seeds.repartition(tasks, "doc_id"), pages, k, small)
+    state, staged = beam_seed(seeds.repartition(tasks, "doc_id"), pages, k, small), None
     for step, position in enumerate(range(2, length), start=1):
         state = beam_step(state, pages, position, k, n, small, memory)
         if position < length - 1 and (not small or step % cut_every == 0):
-            state = stage(state, "beams").repartition(tasks, "doc_id")
+            staged = restage(state, "beams", staged)
+            state = staged.repartition(tasks, "doc_id")
     return state
 
 

@@ -8,20 +8,35 @@ from brevia.constants import PADDING_ID
 from brevia.operators.numbering import running_total
 
 
+def _sum(values: str) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
+
+
 def softmax(df: DataFrame, keys: list[str], score: str = "logit", out: str = "prob") -> DataFrame:
-    """Scores to probabilities among the candidates of each key, at most one per word of the vocabulary."""
-    group = Window.partitionBy(*keys)
-    raised = df.withColumn("_raised", F.exp(F.col(score) - F.max(score).over(group)))
-    return raised.withColumn(out, F.col("_raised") / F.sum("_raised").over(group)).drop("_raised")
+    """Scores to probabilities among the candidates of each key, at most one per word of the vocabulary.
+
+    A key's candidates meet in one row, so they are shuffled once and never sorted.
+    """
+    rows = df.groupBy(*keys).agg(F.collect_list(F.struct(*(c for c in df.columns if c not in keys))).alias("_rows"))
+    shifted = F.transform("_rows", lambda r: F.exp(r[score] - F.col("_top")))
+    rows = rows.withColumn("_top", F.array_max(F.transform("_rows", lambda r: r[score]))).withColumn("_raised", shifted)
+    rows = rows.withColumn("_total", _sum("_raised")).select(
+        *keys, "_total", F.inline(F.arrays_zip("_rows", "_raised")).alias("_row", "_part"))
+    others = (F.col(f"_row.{c}").alias(c) for c in df.columns if c not in keys)
+    return rows.select(*keys, *others, (F.col("_part") / F.col("_total")).alias(out)).select(*df.columns, out)
 
 
 def token_loss(df: DataFrame, keys: list[str], score: str = "logit", is_real: str = "is_real") -> DataFrame:
-    """Cross entropy of each position from raw scores: logsumexp less the label's score."""
-    top = F.max(score).over(Window.partitionBy(*keys))
-    raised = df.withColumn("_top", top).withColumn("_raised", F.exp(F.col(score) - F.col("_top")))
-    return raised.groupBy(*keys).agg(
-        (F.ln(F.sum("_raised")) + F.max("_top") - F.max(F.when(F.col(is_real), F.col(score)))).alias("loss")
+    """Cross entropy of each position from raw scores: logsumexp less the label's score.
+
+    A position's scores, at most one per word of the vocabulary, meet in one row and are not sorted.
+    """
+    rows = df.groupBy(*keys).agg(
+        F.collect_list(score).alias("_scores"), F.max(score).alias("_top"),
+        F.max(F.when(F.col(is_real), F.col(score))).alias("_real"),
     )
+    raised = rows.withColumn("_raised", F.transform("_scores", lambda x: F.exp(x - F.col("_top"))))
+    return raised.select(*keys, (F.ln(_sum("_raised")) + F.col("_top") - F.col("_real")).alias("loss"))
 
 
 def batch_loss(preds: DataFrame, keys: tuple[str, ...] = ("epoch", "step", "batch")) -> DataFrame:

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, tempfile.TemporaryDirectory] = {}
+_restaged: dict[int, tuple[DataFrame, str]] = {}
 
 
 def local_session(cpus: int | str = "*", app: str = "brevia", memory: str = "8g", **conf: str) -> SparkSession:
@@ -64,6 +65,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def restage(df: DataFrame, name: str, old: DataFrame | None = None) -> DataFrame:
+    """``stage`` for a table that replaces an earlier one: the files of ``old``, itself a result of this function, are
+    removed once the new ones are written. Only for tables that nothing else reads."""
+    spark = df.sparkSession
+    path = staged_path(spark, name)
+    df.write.parquet(path)
+    new = spark.read.schema(df.schema).parquet(path)
+    _restaged[id(new)] = (new, path)
+    if old is not None and id(old) in _restaged:
+        _, gone = _restaged.pop(id(old))
+        folder = spark._jvm.org.apache.hadoop.fs.Path(gone)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return new
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash-partition a bare scan by ``key`` when it has too few splits to use the cluster.
 

@@ -192,3 +192,18 @@ def test_scored_and_tabled_decoding_agree(spark):
         sorted(map(tuple, beam.hypotheses(beam.beam_decode(seeds, source, 6, 3, 2, **more)).collect()))
         for source, more in ((table, {}), (scorer, {}), (table, {"broadcast_rows": 0})))
     assert tabled == scored == large and tabled
+
+
+def test_staged_states_replace_each_other(spark, monkeypatch):
+    import glob
+
+    from brevia import session
+
+    folder = session.shared_folder(spark).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/brevia/*/beams-*"))
+    scores = [("x", p, t, 0.3 - t / 100) for p in range(2, 8) for t in range(2, 8) if t != p]
+    table = spark.createDataFrame(scores, "key STRING, prev INT, token_id INT, prob DOUBLE")
+    seeds = spark.createDataFrame([(i, "x", 2 + i % 4) for i in range(6)], "doc_id BIGINT, key STRING, prev INT")
+    state = beam.beam_decode(seeds, table, 12, 2, 3, cut_every=2)
+    assert len(set(glob.glob(f"{folder}/brevia/*/beams-*")) - before) == 1
+    assert beam.hypotheses(state).count() == 12
