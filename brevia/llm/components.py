@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from brevia.session import stage
+from brevia.session import restage
 
 
 def _linked(edges: DataFrame) -> tuple[int, int]:
@@ -23,12 +23,12 @@ def components(links: DataFrame) -> DataFrame:
     every node hangs on its root alone. The number of rounds grows with the logarithm of the longest path. Links of equal
     nodes and repeats do nothing; links with a null are left out. A star's centre may have any number of neighbours: its
     smallest is found by a partial minimum, and the join back has one row a centre, which Spark broadcasts or splits the
-    other side for. The links of a round are staged, so a lost executor costs one round at most.
+    other side for. The links of a round are staged in place of those before, so a lost executor costs one round at most.
     """
     edges = links.select(
         F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")
     ).filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).distinct()
-    edges = stage(edges, "links")
+    edges = restage(edges, "links")
     state = _linked(edges)
     while state[0]:
         both = edges.select(F.col("high").alias("node"), F.col("low").alias("near")).union(
@@ -39,7 +39,7 @@ def components(links: DataFrame) -> DataFrame:
             F.col("near").alias("high"), F.col("least").alias("low")).distinct()
         lowest = wide.groupBy("high").agg(F.min("low").alias("least"))
         narrow = wide.join(lowest, "high").filter("low > least").select(F.col("low").alias("high"), F.col("least").alias("low"))
-        edges = stage(narrow.union(lowest.select("high", F.col("least").alias("low"))).distinct(), "links")
+        edges = restage(narrow.union(lowest.select("high", F.col("least").alias("low"))).distinct(), "links", edges)
         before, state = state, _linked(edges)
         if state == before:
             break
