@@ -13,7 +13,8 @@ from brevia.llm.huffman import BLOCK_IDS, MOST_BITS, Code, code_lengths, pack, u
 from brevia.llm.word_tokenizer import tokenizer
 from brevia.session import stage
 
-# Documents are encoded in groups of about this many characters, packed and unpacked in groups of as many ids.
+# Documents are encoded in groups of about this many characters, and packed and unpacked in groups of so many ids.
+TEXT_GROUP = 1 << 22
 GROUP = 1 << 20
 _CODE, _DOCS, _PARTS = "code", "documents", "parts"
 
@@ -39,7 +40,7 @@ def token_ids(
         codec = tokenizer(tokenizer_path, end_id)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for group in _groups([len(t or "") for t in texts]):
+            for group in _groups([len(t or "") for t in texts], TEXT_GROUP):
                 ids = pa.array(codec.encode(texts[group]), pa.binary())
                 keys = batch.column("doc_id")[group.start:group.stop]
                 yield pa.RecordBatch.from_arrays([keys, ids], ["doc_id", "ids"])
@@ -54,8 +55,9 @@ def id_counts(ids: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            for raw in batch.column("ids"):
-                found = np.bincount(np.frombuffer(raw.as_buffer(), "<u4").astype(np.int64), minlength=len(counts))
+            raws = batch.column("ids").to_pylist()
+            for group in _groups([len(raw) // 4 for raw in raws]):
+                found = np.bincount(np.frombuffer(b"".join(raws[group]), "<u4"), minlength=len(counts))
                 found[: len(counts)] += counts
                 counts = found
         used = np.flatnonzero(counts)

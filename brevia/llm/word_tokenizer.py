@@ -3,20 +3,47 @@
 from __future__ import annotations
 
 import os
+import re
+import struct
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
 
-# Words kept with their ids, in two generations of this size; longer words are not kept.
-KEPT_WORDS = 200_000
+# Words, and pieces of words, kept with their ids; once there are more all are forgotten. Longer ones are not kept.
+KEPT_WORDS = 400_000
+KEPT_PIECES = 300_000
 KEPT_BYTES = 64
+# Below this code point a text is its own normal form, and lower case needs no context.
+_PLAIN = 0x100
+
+
+def _plain(kind: str) -> str:
+    """The plain characters of a Unicode category, for a character class."""
+    return "".join(re.escape(chr(c)) for c in range(_PLAIN) if unicodedata.category(chr(c)).startswith(kind))
+
+
+# The pattern at which the tokenizer's file cuts a lower-cased text into pieces, for plain characters.
+_LETTERS, _NUMBERS, _WHITE = _plain("L"), _plain("N"), "\t-\r \x85\xa0"
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_WHITE}{_LETTERS}{_NUMBERS}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The plain characters as a byte-level model writes their UTF-8 bytes: a visible byte as its own character, the
+    others, in order, as those from U+0100 on."""
+    visible = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    hidden = [b for b in range(256) if b not in visible]
+    shown = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return {c: "".join(shown[b] for b in chr(c).encode()) for c in range(_PLAIN)}
 
 
 class WordTokenizer:
     """Encodes texts word by word, each different word once in a while.
 
     The file's tokenizer must drop white space and never join what white space parts, so that the ids of a text are those
-    of its words in order. Then a word's ids can be kept; in prose nine of ten words were seen shortly before.
+    of its words in order. Then a word's ids can be kept; in prose nine of ten words were seen shortly before. A new word
+    of plain characters is cut at the tokenizer's own pattern and its pieces, most of them seen before, go to the library's
+    model; any other goes through the library's whole tokenizer.
     """
 
     def __init__(self, path: str, end_id: int | None = None):
@@ -27,35 +54,53 @@ class WordTokenizer:
         self.tokenizer.encode_special_tokens = True  # strings of special tokens in a text are text
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.long: list[str] = []  # pieces to be forgotten
+
+    def _plain_word(self, text: str) -> bytes:
+        known = self.pieces
+        pieces = PIECES.findall(text.lower())
+        for piece in pieces:
+            if piece not in known:
+                letters = piece if piece.isascii() and piece.isprintable() else piece.translate(self.letters)
+                ids = [token.id for token in self.model.tokenize(letters)]
+                known[piece] = struct.pack(f"<{len(ids)}I", *ids)
+                if len(piece) > KEPT_BYTES:
+                    self.long.append(piece)
+        return b"".join([known[piece] for piece in pieces])
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return {word: np.array(one.ids, "<u4").tobytes() for word, one in zip(words, encoded)}
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of new words."""
+        learnt, others = {}, []
+        for word in words:
+            text = word.decode()
+            if text.isascii() or ord(max(text)) < _PLAIN:
+                learnt[word] = self._plain_word(text)
+            else:
+                others.append(word)
+        if others:
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False)
+            learnt.update((word, struct.pack(f"<{len(one.ids)}I", *one.ids)) for word, one in zip(others, found))
+        return learnt
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each whole text, then the end id; a null text is empty."""
         split = [(text or "").encode().split() for text in texts]
-        known: dict[bytes, bytes] = {}
-        missing = []
-        for word in set().union(*split):
-            ids = self.young.get(word)
-            if ids is None:
-                ids = self.old.get(word)
-                if ids is None:
-                    missing.append(word)
-                    continue
-                self.young[word] = ids
-            known[word] = ids
-        if missing:
-            learnt = self._learn(missing)
-            known.update(learnt)
-            self.young.update((w, ids) for w, ids in learnt.items() if len(w) <= KEPT_BYTES)
-        if len(self.young) > KEPT_WORDS:
-            self.old, self.young = self.young, {}
-        return [b"".join(map(known.__getitem__, words)) + self.end for words in split]
+        learnt = self._learn(set().union(*split).difference(self.words))
+        self.words.update(learnt)
+        encoded = [b"".join(map(self.words.__getitem__, words)) + self.end for words in split]
+        long = [word for word in learnt if len(word) > KEPT_BYTES]
+        for kept, most, some in ((self.words, KEPT_WORDS, long), (self.pieces, KEPT_PIECES, self.long)):
+            if len(kept) > most:
+                kept.clear()
+            else:
+                for text in some:
+                    del kept[text]
+        self.long = []
+        return encoded
 
 
 @lru_cache(maxsize=2)

@@ -72,7 +72,10 @@ def test_words_give_the_ids_of_the_whole_text(monkeypatch):
     from brevia.llm import word_tokenizer
 
     monkeypatch.setattr(word_tokenizer, "KEPT_WORDS", 5)
+    monkeypatch.setattr(word_tokenizer, "KEPT_PIECES", 3)
     codec = WordTokenizer(PATH, 1)
+    every = ["".join(chr(c) for c in range(32, 256)), *(f"a{chr(c)}B'{chr(c)}S" for c in range(1, 256))]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in codec.encode(every)] == whole(every)
     for _ in range(3):
         assert [np.frombuffer(ids, "<u4").tolist() for ids in codec.encode(TEXTS)] == whole(TEXTS)
 
