@@ -12,11 +12,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _shipped: set[str] = set()
+# Rows and bytes of an Arrow batch, in place of Spark's defaults: a task holds some batches of texts at a time.
+_BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b"),
+}
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package's modules to the Python workers, once an application, for sessions started without them."""
+    """Send this package's modules to the Python workers, once an application, for sessions started without them.
+
+    Arrow batches of texts are made smaller than Spark's defaults; settings of the user's own are left alone.
+    """
     context = spark.sparkContext
+    for name, (default, smaller) in _BATCHES.items():
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, smaller)
     if context.applicationId in _shipped:
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
