@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Iterator
 
@@ -17,10 +18,15 @@ THRESHOLD = 0.9
 NEIGHBOURS = 12
 ROUNDS = 2
 # The graph starts from tables of random hyperplanes: rows are sorted by their signs, neighbours of a chunk compared.
+# At least this many tables, more for more rows; as many are laid out at a time.
 TABLES = 8
 CHUNK = 128
-# The recall is measured for this many vectors against all; below the target the graph is refined again.
+# The recall is measured for this many vectors of each kind against all; below the target the graph is refined again.
 AUDITED = 512
+# Vectors without a link are audited in proportion to those with few, up to this many times ``AUDITED``.
+MOST_ALONE = 16
+# Components of more vectors than this are large: their vectors are audited apart from the others.
+LARGE = 32
 TARGET = 0.97
 MOST_AUDITS = 4
 # Members of a component are compared in blocks of this size.
@@ -94,6 +100,15 @@ def _pairs(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, kinds)], ["rep", "near", "cosine"])
 
 
+def _tables(rows: int, threshold: float, target: float) -> int:
+    """Tables that bring a lone pair at the threshold into one chunk with a chance of ``target``, ``TABLES`` at least."""
+    agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    together = agree ** max(0.0, math.log2(max(rows, 1) / CHUNK))
+    if together >= 1 or not 0 < target < 1:
+        return TABLES
+    return max(TABLES, math.ceil(math.log(1 - target) / math.log(1 - together)))
+
+
 def _table_pairs(vectors: DataFrame, seeds: range, dim: int, most: int) -> DataFrame:
     """Pairs of vectors that are close in the order of one of several tables of hyperplanes."""
 
@@ -177,19 +192,22 @@ def _descend(vectors: DataFrame, lists: DataFrame, limit: float, most: int) -> D
 
 
 def _compare_members(members: DataFrame, dim: int, threshold: float, block: int) -> DataFrame:
-    """(a, b, links): links of each member inside its component, summed by parts where b is null, and a forest of links.
+    """(a, b, links, near): links of each member inside its component and the distinct vectors they lead to, summed by
+    parts where b is null, and a forest of links.
 
     Members of a component are compared all with all: that is the list of a vector enlarged to all its neighbours'
     neighbours. Components above ``block`` are cut in blocks, and tasks compare two blocks each. Counts are returned, and
     never more links than members.
     """
-    out = ["a", "b", "links", "root", "block", "data"]
+    out = ["a", "b", "links", "near", "root", "block", "data"]
 
-    def result(a: np.ndarray, b: np.ndarray | None, links: np.ndarray | None) -> pa.RecordBatch:
+    def result(
+        a: np.ndarray, b: np.ndarray | None, links: np.ndarray | None = None, near: np.ndarray | None = None,
+    ) -> pa.RecordBatch:
         n = len(a)
         none = pa.nulls(n, pa.int64())
-        b, links = (none if v is None else pa.array(v, pa.int64()) for v in (b, links))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), b, links, none, none, pa.nulls(n, pa.binary())], out)
+        b, links, near = (none if v is None else pa.array(v, pa.int64()) for v in (b, links, near))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), b, links, near, none, none, pa.nulls(n, pa.binary())], out)
 
     def compare(x: tuple, y: tuple, same: bool) -> Iterator[pa.RecordBatch]:
         (reps, copies, rows), (others, more, columns) = x, y
@@ -197,12 +215,12 @@ def _compare_members(members: DataFrame, dim: int, threshold: float, block: int)
         if same:
             np.fill_diagonal(link, True)
         counts = link @ more
-        yield result(reps, None, counts - copies if same else counts)
+        yield result(reps, None, counts - copies if same else counts, link.sum(axis=1) - same)
         if not same:
-            yield result(others, None, link.T @ copies)
+            yield result(others, None, link.T @ copies, link.sum(axis=0))
         r, c = spanning(link)
         a, b = reps[r], others[c]
-        yield result(a[a != b], b[a != b], None)
+        yield result(a[a != b], b[a != b])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, number, held = None, 0, []
@@ -211,7 +229,7 @@ def _compare_members(members: DataFrame, dim: int, threshold: float, block: int)
             none = pa.nulls(1, pa.int64())
             data = b"".join(np.ascontiguousarray(v).tobytes() for v in x)
             return pa.RecordBatch.from_arrays(
-                [none, none, none, pa.array([root], pa.int64()), pa.array([at], pa.int64()), pa.array([data], pa.binary())], out)
+                [none, none, none, none, pa.array([root], pa.int64()), pa.array([at], pa.int64()), pa.array([data], pa.binary())], out)
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, number
@@ -249,37 +267,62 @@ def _compare_members(members: DataFrame, dim: int, threshold: float, block: int)
             for x, y, same in zip(*(batch.column(c) for c in ("x", "y", "same"))):
                 yield from compare(unpack(x.as_py()), unpack(y.as_py()), same.as_py())
 
-    schema = "a bigint, b bigint, links bigint, root bigint, block bigint, data binary"
+    schema = "a bigint, b bigint, links bigint, near bigint, root bigint, block bigint, data binary"
     found = stage(members.select("root", "rep", "copies", "embedding").repartition("root").sortWithinPartitions(
         "root").mapInArrow(work, schema), "members")
     large = found.filter(F.col("data").isNotNull())
     x, y = (large.select("root", F.col("block").alias(f"{n}_block"), F.col("data").alias(n)) for n in ("x", "y"))
     pairs = x.join(y, "root").filter("x_block <= y_block").repartition("root", "x_block", "y_block").select(
         "x", "y", (F.col("x_block") == F.col("y_block")).alias("same"))
-    return stage(found.filter(F.col("a").isNotNull()).union(pairs.mapInArrow(across, schema)).select("a", "b", "links"), "compared")
+    return stage(found.filter(F.col("a").isNotNull()).union(pairs.mapInArrow(across, schema)).select("a", "b", "links", "near"), "compared")
+
 
+def _audit(vectors: DataFrame, counts: DataFrame, roots: DataFrame, dim: int, threshold: float, audited: int) -> float:
+    """Recall of the graph by brute force for a bounded set of vectors, the lesser one of two.
 
-def _audit(vectors: DataFrame, counts: DataFrame, dim: int, threshold: float, audited: int) -> float:
-    """Share of the links of a bounded set of vectors, found by comparing them with all, that the graph has."""
-    chosen = vectors.orderBy(F.xxhash64("rep", F.lit(SEED)), "rep").limit(audited).select("rep", "embedding").collect()
+    A vector's recall is the share of the distinct vectors it links with that the graph has; each linked vector counts
+    alike, however many links it has. The recall is the mean in large components, and the mean elsewhere. Vectors that
+    have few links and that have none so far are drawn apart and weighted by what they stand for, enough of the latter that
+    a loss shows beside the former.
+    """
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    large = roots.join(sizes.filter(F.col("size") > LARGE), "root").select("rep", F.lit(True).alias("large"))
+    kinds = stage(vectors.select("rep").join(counts.filter("near > 0").select("rep", "near"), "rep", "left").join(
+        large, "rep", "left").select("rep", F.coalesce("near", F.lit(0)).alias("near"), F.when(
+            F.col("near").isNull(), "alone").when(F.col("large"), "large").otherwise("small").alias("kind")), "kinds")
+    total = {row["kind"]: row["count"] for row in kinds.groupBy("kind").count().collect()}
+    few, alone = total.get("small", 0), total.get("alone", 0)
+    draws = {"large": audited, "small": audited, "alone": max(
+        audited, min(MOST_ALONE * audited, -(-audited * alone // few) if few else MOST_ALONE * audited))}
+    chosen = []
+    for kind in total:
+        drawn = kinds.filter(F.col("kind") == kind).orderBy(F.xxhash64("rep", F.lit(SEED)), "rep").limit(draws[kind])
+        chosen += drawn.join(vectors.select("rep", "embedding"), "rep").select("rep", "near", "kind", "embedding").collect()
     if not chosen:
         return 1.0
     reps = np.array([row["rep"] for row in chosen])
     units = _unit(np.array([row["embedding"] for row in chosen], np.float64))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(reps), np.int64)
+        true = np.zeros(len(reps), np.int64)
         for batch in batches:
-            others = batch.column("rep").to_numpy()
-            link = units @ _unit(_matrix(batch.column("embedding"), dim)).T >= threshold
-            link &= reps[:, None] != others
-            total += link @ batch.column("copies").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(total)], ["rep", "links"])
-
-    true = vectors.select("rep", "copies", "embedding").mapInArrow(work, "rep bigint, links bigint").groupBy("rep").agg(
-        F.sum("links").alias("true"))
-    row = true.join(counts, "rep", "left").agg(F.sum("true"), F.sum(F.coalesce("links", F.lit(0)))).first()
-    return row[1] / row[0] if row[0] else 1.0
+            others, rows = batch.column("rep").to_numpy(), _unit(_matrix(batch.column("embedding"), dim)).T
+            for at in range(0, len(reps), BLOCK):
+                part = slice(at, at + BLOCK)
+                true[part] += ((units[part] @ rows >= threshold) & (reps[part, None] != others)).sum(axis=1)
+        linked = np.flatnonzero(true)
+        yield pa.RecordBatch.from_arrays([pa.array(reps[linked]), pa.array(true[linked])], ["rep", "true"])
+
+    found = vectors.select("rep", "embedding").mapInArrow(work, "rep bigint, true bigint").groupBy("rep").agg(F.sum("true"))
+    true = {rep: n for rep, n in found.collect()}
+    held, linked = {"large": 0.0, "other": 0.0}, {"large": 0.0, "other": 0.0}
+    for row in chosen:
+        kind = row["kind"] if row["kind"] == "large" else "other"
+        if n := true.get(row["rep"]):
+            weight = total[row["kind"]] / min(total[row["kind"]], draws[row["kind"]])
+            held[kind] += weight * min(1.0, row["near"] / n)
+            linked[kind] += weight
+    return min(held[kind] / linked[kind] if linked[kind] else 1.0 for kind in held)
 
 
 def near_duplicates(
@@ -295,8 +338,9 @@ def near_duplicates(
 
     A first graph comes from tables of random hyperplanes; rounds of NN-descent refine it on 8-bit vectors, and lists that
     are full of links double. Components of what is near the threshold are then compared in double precision, so no link
-    is below it, and a dense group has all its links however small the lists were. The recall is audited against brute
-    force for ``AUDITED`` vectors; below ``target`` more tables and rounds follow, and a warning if they do not reach it.
+    is below it, and a dense group has all its links however small the lists were. The number of tables follows from the
+    rows. The recall of single vectors is audited against brute force, in large components and elsewhere; below ``target``
+    in one of them more tables and rounds follow, and a warning if they do not reach it.
     """
     spark = df.sparkSession
     rows = df.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding"))
@@ -323,21 +367,25 @@ def near_duplicates(
     limit, seen, recall, most = threshold - SLACK, 0, 0.0, NEIGHBOURS
     sizes = spark.createDataFrame([], "rep bigint, size int")
     lists = None
+    tables = _tables(vectors.count(), threshold, target)
     for audit in range(MOST_AUDITS):
-        pairs = _table_pairs(vectors, range(seen, seen + TABLES), dim, NEIGHBOURS // 2)
-        seen += TABLES
-        if lists is not None:
-            sizes = lists.groupBy("rep").agg(F.max("size").alias("size"))
-            pairs = pairs.union(lists.select("rep", "near", "cosine"))
-        lists = stage(_lists(pairs, sizes, most), "lists")
+        last = seen + tables
+        while seen < last:
+            pairs = _table_pairs(vectors, range(seen, min(seen + TABLES, last)), dim, NEIGHBOURS // 2)
+            seen = min(seen + TABLES, last)
+            if lists is not None:
+                sizes = lists.groupBy("rep").agg(F.max("size").alias("size"))
+                pairs = pairs.union(lists.select("rep", "near", "cosine"))
+            lists = stage(_lists(pairs, sizes, most), "lists")
         for _ in range(ROUNDS):
             most *= 2
             lists = _descend(vectors, lists, limit, most)
         near = lists.filter(F.col("cosine") >= limit).select(F.col("rep").alias("a"), F.col("near").alias("b"))
         found = stage(components(near).withColumnRenamed("node", "rep"), "found")
         compared = _compare_members(found.join(vectors.select("rep", "copies", "embedding"), "rep"), dim, threshold, block)
-        counts = compared.filter(F.col("b").isNull()).groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "rep")
-        recall = _audit(vectors, counts, dim, threshold, AUDITED)
+        counts = compared.filter(F.col("b").isNull()).groupBy("a").agg(
+            F.sum("links").alias("links"), F.sum("near").alias("near")).withColumnRenamed("a", "rep")
+        recall = _audit(vectors, counts, found, dim, threshold, AUDITED)
         if recall >= target:
             break
     else:

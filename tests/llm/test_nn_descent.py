@@ -52,3 +52,42 @@ def test_empty_table_and_no_usable_vector(spark):
     assert nn_descent.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([(1, None, 0), (1, [0.0], 0)], SCHEMA)
     assert sorted(map(tuple, nn_descent.near_duplicates(df).collect())) == [(1, 0, 1, True)] * 2
+
+
+def grouped_and_pairs(seed=3, dim=24):
+    """A dense group of a third of the vectors, and lone pairs."""
+    pick = np.random.default_rng(seed)
+    centre = pick.standard_normal(dim)
+    rows = [centre + 0.03 * pick.standard_normal(dim) for _ in range(200)]
+    for _ in range(200):
+        one = pick.standard_normal(dim)
+        rows += [one, one + 0.3 * pick.standard_normal(dim)]
+    return list(enumerate([[float(np.float32(x)) for x in row] for row in rows]))
+
+
+def shares(df, rows, **settings):
+    """Found and true links of each vector that has some."""
+    expected = brute.embedding_links(rows)
+    found = {r.vec_id: r for r in nn_descent.near_duplicates(df, **settings).collect()}
+    return {v: found[v].n_links / n for v, (n, _) in expected.items() if n}
+
+
+def poor_graph(monkeypatch):
+    for name, value in {"TABLES": 1, "CHUNK": 16, "ROUNDS": 0}.items():
+        monkeypatch.setattr(nn_descent, name, value)
+
+
+def test_lone_pairs_count_beside_a_dense_group(spark, monkeypatch):
+    poor_graph(monkeypatch)
+    monkeypatch.setattr(nn_descent, "MOST_AUDITS", 40)
+    rows = grouped_and_pairs()
+    found = shares(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA), rows)
+    assert np.mean([share for v, share in found.items() if v >= 200]) >= 0.95
+
+
+def test_tables_follow_from_the_rows():
+    agree = 1 - math.acos(0.9) / math.pi
+    for rows in (10**3, 10**6, 10**8):
+        together = agree ** math.log2(rows / nn_descent.CHUNK)
+        assert 1 - (1 - together) ** nn_descent._tables(rows, 0.9, 0.97) >= 0.97
+    assert nn_descent._tables(0, 0.9, 0.97) == nn_descent._tables(100, 0.9, 0.97) == nn_descent.TABLES
