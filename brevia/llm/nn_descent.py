@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,6 @@ MOST_ALONE = 16
 # Components of more vectors than this are large: their vectors are audited apart from the others.
 LARGE = 32
 TARGET = 0.97
-MOST_AUDITS = 4
 # Members of a component are compared in blocks of this size.
 BLOCK = 1024
 # Lists are made from 8-bit vectors; what they bring this close to the threshold is compared in double precision.
@@ -191,13 +189,13 @@ def _descend(vectors: DataFrame, lists: DataFrame, limit: float, most: int) -> D
     return stage(_lists(found.union(lists.select("rep", "near", "cosine")), sizes.select("rep", "size"), most), "lists")
 
 
-def _compare_members(members: DataFrame, dim: int, threshold: float, block: int) -> DataFrame:
+def _compare_members(members: DataFrame, dim: int, threshold: float, block: int, whole: bool = False) -> DataFrame:
     """(a, b, links, near): links of each member inside its component and the distinct vectors they lead to, summed by
     parts where b is null, and a forest of links.
 
     Members of a component are compared all with all: that is the list of a vector enlarged to all its neighbours'
     neighbours. Components above ``block`` are cut in blocks, and tasks compare two blocks each. Counts are returned, and
-    never more links than members.
+    never more links than members. ``whole`` takes all rows as one component, cut in blocks where they lie.
     """
     out = ["a", "b", "links", "near", "root", "block", "data"]
 
@@ -222,15 +220,24 @@ def _compare_members(members: DataFrame, dim: int, threshold: float, block: int)
         a, b = reps[r], others[c]
         yield result(a[a != b], b[a != b])
 
+    def pack(root: int, at: int, x: tuple) -> pa.RecordBatch:
+        none = pa.nulls(1, pa.int64())
+        data = b"".join(np.ascontiguousarray(v).tobytes() for v in x)
+        return pa.RecordBatch.from_arrays(
+            [none, none, none, none, pa.array([root], pa.int64()), pa.array([at], pa.int64()), pa.array([data], pa.binary())], out)
+
+    def read(batch: pa.RecordBatch) -> tuple:
+        return batch.column("rep").to_numpy(), batch.column("copies").to_numpy(), _unit(_matrix(batch.column("embedding"), dim))
+
+    def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = read(batch)
+            for at in range(0, len(batch), block):
+                yield pack(0, 0, tuple(v[at:at + block] for v in x))
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, number, held = None, 0, []
 
-        def pack(root: int, at: int, x: tuple) -> pa.RecordBatch:
-            none = pa.nulls(1, pa.int64())
-            data = b"".join(np.ascontiguousarray(v).tobytes() for v in x)
-            return pa.RecordBatch.from_arrays(
-                [none, none, none, none, pa.array([root], pa.int64()), pa.array([at], pa.int64()), pa.array([data], pa.binary())], out)
-
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, number
             x = tuple(np.concatenate([h[i] for h in held]) for i in range(3))
@@ -244,8 +251,7 @@ def _compare_members(members: DataFrame, dim: int, threshold: float, block: int)
 
         for batch in batches:
             roots = batch.column("root").to_numpy()
-            x = (batch.column("rep").to_numpy(), batch.column("copies").to_numpy(), _unit(_matrix(batch.column("embedding"), dim)))
-            starts = _starts(roots)
+            x, starts = read(batch), _starts(roots)
             for s, e in zip(starts, np.r_[starts[1:], len(roots)]):
                 if held and roots[s] != cut:
                     yield from flush(True)
@@ -268,12 +274,20 @@ def _compare_members(members: DataFrame, dim: int, threshold: float, block: int)
                 yield from compare(unpack(x.as_py()), unpack(y.as_py()), same.as_py())
 
     schema = "a bigint, b bigint, links bigint, near bigint, root bigint, block bigint, data binary"
-    found = stage(members.select("root", "rep", "copies", "embedding").repartition("root").sortWithinPartitions(
-        "root").mapInArrow(work, schema), "members")
+    if whole:
+        cut = members.select("rep", "copies", "embedding").mapInArrow(cut_all, schema)
+        found = stage(cut.withColumn("block", F.monotonically_increasing_id()), "members")
+    else:
+        found = stage(members.select("root", "rep", "copies", "embedding").repartition("root").sortWithinPartitions(
+            "root").mapInArrow(work, schema), "members")
     large = found.filter(F.col("data").isNotNull())
+    large = large.repartition("block") if whole else large
     x, y = (large.select("root", F.col("block").alias(f"{n}_block"), F.col("data").alias(n)) for n in ("x", "y"))
-    pairs = x.join(y, "root").filter("x_block <= y_block").repartition("root", "x_block", "y_block").select(
-        "x", "y", (F.col("x_block") == F.col("y_block")).alias("same"))
+    if whole:
+        pairs = x.crossJoin(y.drop("root")).filter("x_block <= y_block")
+    else:
+        pairs = x.join(y, "root").filter("x_block <= y_block").repartition("root", "x_block", "y_block")
+    pairs = pairs.select("x", "y", (F.col("x_block") == F.col("y_block")).alias("same"))
     return stage(found.filter(F.col("a").isNotNull()).union(pairs.mapInArrow(across, schema)).select("a", "b", "links", "near"), "compared")
 
 
@@ -340,7 +354,8 @@ def near_duplicates(
     are full of links double. Components of what is near the threshold are then compared in double precision, so no link
     is below it, and a dense group has all its links however small the lists were. The number of tables follows from the
     rows. The recall of single vectors is audited against brute force, in large components and elsewhere; below ``target``
-    in one of them more tables and rounds follow, and a warning if they do not reach it.
+    in one of them more tables and rounds follow. Once these no longer help, or have compared a vector with as many others
+    as there are, all vectors are compared with all, in blocks, and no link is missed.
     """
     spark = df.sparkSession
     rows = df.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding"))
@@ -364,12 +379,13 @@ def near_duplicates(
 
     schema = vectors.withColumn("rep", F.lit(0).cast("bigint")).schema.add("short", "binary")
     vectors = stage(vectors.withColumn("rep", F.monotonically_increasing_id()).mapInArrow(shorten, schema), "vectors")
-    limit, seen, recall, most = threshold - SLACK, 0, 0.0, NEIGHBOURS
+    limit, seen, most = threshold - SLACK, 0, NEIGHBOURS
     sizes = spark.createDataFrame([], "rep bigint, size int")
     lists = None
-    tables = _tables(vectors.count(), threshold, target)
-    for audit in range(MOST_AUDITS):
-        last = seen + tables
+    n = vectors.count()
+    tables, recall = _tables(n, threshold, target), -1.0
+    while True:
+        last = seen + max(seen, tables)
         while seen < last:
             pairs = _table_pairs(vectors, range(seen, min(seen + TABLES, last)), dim, NEIGHBOURS // 2)
             seen = min(seen + TABLES, last)
@@ -385,11 +401,14 @@ def near_duplicates(
         compared = _compare_members(found.join(vectors.select("rep", "copies", "embedding"), "rep"), dim, threshold, block)
         counts = compared.filter(F.col("b").isNull()).groupBy("a").agg(
             F.sum("links").alias("links"), F.sum("near").alias("near")).withColumnRenamed("a", "rep")
-        recall = _audit(vectors, counts, found, dim, threshold, AUDITED)
+        before, recall = recall, _audit(vectors, counts, found, dim, threshold, AUDITED)
         if recall >= target:
             break
-    else:
-        warnings.warn(f"NN-descent reached a recall of {recall:.3f}, the target is {target}", stacklevel=2)
+        if recall <= before or seen * CHUNK >= n:
+            compared = _compare_members(vectors, dim, threshold, block, whole=True)
+            counts = compared.filter(F.col("b").isNull()).groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed(
+                "a", "rep")
+            break
     linked = components(compared.filter(F.col("b").isNotNull()).select("a", "b")).withColumnRenamed("node", "rep")
     nodes = vectors.select("rep", "h1", "h2", "copies", "least").join(counts, "rep", "left").join(linked, "rep", "left").withColumn(
         "root", F.coalesce("root", "rep"))

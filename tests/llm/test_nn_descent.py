@@ -1,5 +1,6 @@
 import math
 import random
+import warnings
 
 import brute
 import numpy as np
@@ -79,7 +80,6 @@ def poor_graph(monkeypatch):
 
 def test_lone_pairs_count_beside_a_dense_group(spark, monkeypatch):
     poor_graph(monkeypatch)
-    monkeypatch.setattr(nn_descent, "MOST_AUDITS", 40)
     rows = grouped_and_pairs()
     found = shares(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA), rows)
     assert np.mean([share for v, share in found.items() if v >= 200]) >= 0.95
@@ -91,3 +91,13 @@ def test_tables_follow_from_the_rows():
         together = agree ** math.log2(rows / nn_descent.CHUNK)
         assert 1 - (1 - together) ** nn_descent._tables(rows, 0.9, 0.97) >= 0.97
     assert nn_descent._tables(0, 0.9, 0.97) == nn_descent._tables(100, 0.9, 0.97) == nn_descent.TABLES
+
+
+def test_all_links_where_the_target_is_not_reached(spark):
+    rows = grouped_and_pairs()
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA).repartition(3)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        out = nn_descent.near_duplicates(df, target=1.1, block=50)
+    found = {r.vec_id: (r.n_links, r.component_id) for r in out.collect()}
+    assert found == brute.embedding_links(rows)
