@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brevia.llm import (
-    byte_bpe, chat_format, language_id, line_dedup, mixing, nn_descent, quality_model, quality_rules, simhash, token_files,
+    byte_bpe, centroids, chat_format, filter_audit, imatch, language_id, line_dedup, mixing, nn_descent, quality_model,
+    quality_rules, simhash, token_files,
 )
 from brevia.llm.common import crc32_mod, table
 from brevia.session import staged_path
@@ -126,6 +127,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         "formatted_chars bigint")
 
 
+def op11_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return imatch.compare_edited(docs, imatch.fit_lexicon(docs))
+
+
+def op12_orchard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return filter_audit.audit(docs, table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
@@ -137,6 +152,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nn_descent": op8_nn_descent,
     "op9_quality_model": op9_quality_model,
     "op10_chat_format": op10_chat_format,
+    "op11_imatch": op11_imatch,
+    "op12_orchard": op12_orchard,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLE: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op6_mixing": mixing.SQL}
+ORACLE: dict[str, str] = {
+    "op1_line_dedup": line_dedup.SQL, "op6_mixing": mixing.SQL, "op12_orchard": centroids.SQL,
+    "op13_filter_audit": filter_audit.SQL,
+}
