@@ -9,9 +9,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
 from brevia.llm.common import ship_package
 from brevia.session import stage
@@ -70,8 +71,8 @@ def _digests(keys: np.ndarray) -> np.ndarray:
     return found
 
 
-def fingerprint(text: str | None, lexicon: np.ndarray) -> str:
-    """The hashes of a text's lexicon terms, as hexadecimal digits; ``lexicon`` holds the sorted keys of its terms.
+def fingerprint(text: str | None, lexicon: np.ndarray) -> bytes:
+    """The hashes of a text's lexicon terms, two bytes each; ``lexicon`` holds the sorted keys of its terms.
 
     A text without a lexicon term is hashed by all its terms, so that it still equals its copies; one without any term has
     zeros only.
@@ -80,10 +81,10 @@ def fingerprint(text: str | None, lexicon: np.ndarray) -> str:
     if len(keys) and len(lexicon):
         kept = lexicon[np.minimum(np.searchsorted(lexicon, keys), len(lexicon) - 1)] == keys
         keys = keys[kept] if kept.any() else keys
-    return _digests(keys).astype(">u2").tobytes().hex()
+    return _digests(keys).astype(">u2").tobytes()
 
 
-def likeness(one: str, other: str) -> float:
+def likeness(one: bytes, other: bytes) -> float:
     """How alike two fingerprints are, from 0 to 1: the share of equal hashes among the subsets that hold a term of either.
 
     A subset so large that it always holds a term says little beside one that holds a few, so the subsets of a share weigh
@@ -92,7 +93,7 @@ def likeness(one: str, other: str) -> float:
     """
     if one == other:
         return 1.0
-    a, b = (np.frombuffer(bytes.fromhex(f), ">u2") for f in (one, other))
+    a, b = (np.frombuffer(f, ">u2") for f in (one, other))
     some = (a != 0) | (b != 0)
     equal = some & (a == b)
     each_some, each_equal = (v[1:].reshape(DRAWS, len(SHARES)).sum(axis=0) for v in (some, equal))
@@ -138,7 +139,8 @@ def fit_lexicon(
 
 
 def fingerprints(df: DataFrame, lexicon: np.ndarray, text: str = "text", name: str = "fingerprint") -> DataFrame:
-    """The rows with the fingerprint of the whole of ``text`` in ``name``, a column that is replaced if there.
+    """The rows with the fingerprint of the whole of ``text``, as hexadecimal digits, in ``name``, a column that is replaced
+    if there.
 
     Equal texts have equal fingerprints, a null text that of an empty one. Rows are taken one by one and nothing is shuffled.
     """
@@ -148,7 +150,7 @@ def fingerprints(df: DataFrame, lexicon: np.ndarray, text: str = "text", name: s
     @F.arrow_udf("string")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([fingerprint(value.as_py(), shared.value) for value in batch], pa.string())
+            yield pa.array([fingerprint(value.as_py(), shared.value).hex() for value in batch], pa.string())
 
     return df.withColumn(name, of(F.col(text).cast("string")))
 
@@ -160,12 +162,12 @@ def edited_text(text: str, following: str) -> str:
 
 
 _FOUND = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
-_KINDS = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+_KINDS = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
 _FIELDS = [StructField(name, kind) for name, kind in zip(_FOUND, (
-    LongType(), StringType(), StringType(), StringType(), DoubleType(), DoubleType()))]
+    LongType(), StringType(), BinaryType(), BinaryType(), DoubleType(), DoubleType()))]
 
 
-def _compared(text: str, mark: str, following: str, next_mark: str, lexicon: np.ndarray) -> tuple:
+def _compared(text: str, mark: bytes, following: str, next_mark: bytes, lexicon: np.ndarray) -> tuple:
     edited = edited_text(text, following)
     edited_mark = fingerprint(edited, lexicon)
     return (
@@ -180,60 +182,75 @@ def compare_edited(df: DataFrame, lexicon: np.ndarray, doc_id: str = "doc_id", t
     last, so that a single row follows itself. Rows without id come first, rows of one id stand in the order of a hash of
     their text. A null text is empty.
 
-    Rows are laid out in ranges once, and each task reads its range in order with one text in hand. The last row of a range
-    meets the first of the next afterwards: these are two rows for each partition.
+    Texts are compressed and laid out in ranges once; each task reads its range in order with one text in hand. The last
+    row of a range meets the first of the next afterwards: two rows for each partition.
     """
     spark = df.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(lexicon)
     key = df.schema[doc_id].dataType
 
+    def pack_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor().compress
+        for batch in batches:
+            packed = pa.array([pack((value.as_py() or "").encode()) for value in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), packed], ["doc_id", "tie", "packed"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, out = TaskContext.get().partitionId(), None, []
+        unpack = zstandard.ZstdDecompressor().decompress
 
         def rows(kind: pa.DataType) -> pa.RecordBatch:
             columns = list(zip(*out)) or [()] * 10
-            kinds = [pa.string(), pa.int64(), kind, pa.string(), *_KINDS]
+            kinds = [pa.string(), pa.int64(), kind, pa.binary(), *_KINDS]
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], ["kind", "part", "doc_id", "text", *_FOUND])
+                [pa.array(c, k) for c, k in zip(columns, kinds)], ["kind", "part", "doc_id", "packed", *_FOUND])
+
+        def edge(kind: str, one: object, packed: bytes, mark: bytes) -> tuple:
+            return kind, part, one, packed, None, None, mark, None, None, None
 
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            for one, value in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                now = value.as_py() or ""
+            for one, packed in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packed"))):
+                now = unpack(packed).decode()
                 mark = fingerprint(now, shared.value)
-                if held is None:
-                    out.append(("first", part, one, now, None, None, mark, None, None, None))
-                else:
-                    out.append(("whole", part, held[0], None, *_compared(*held[1:], now, mark, shared.value)))
-                held = (one, now, mark)
+                out.append(edge("first", one, packed, mark) if held is None else (
+                    "whole", part, held[0], None, *_compared(held[1], held[2], now, mark, shared.value)))
+                held, last = (one, now, mark), packed
             yield rows(kind)
             out.clear()
         if held is not None:
-            out.append(("last", part, held[0], held[1], None, None, held[2], None, None, None))
+            out.append(edge("last", held[0], last, held[2]))
             yield rows(kind)
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            texts = zip(*(batch.column(c).to_pylist() for c in ("text", "fingerprint", "next_text", "next_fingerprint")))
-            columns = list(zip(*(_compared(*row, shared.value) for row in texts))) or [()] * len(_FOUND)
+            found = [
+                _compared(unpack(packed).decode(), mark, unpack(following).decode(), next_mark, shared.value)
+                for packed, mark, following, next_mark in zip(*(
+                    batch.column(c).to_pylist() for c in ("packed", "mark", "next_packed", "next_mark")))]
+            columns = list(zip(*found)) or [()] * len(_FOUND)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, _KINDS))], ["doc_id", *_FOUND])
 
-    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    tie = F.xxhash64("text")
-    laid = rows.repartitionByRange(F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie, F.col("text"))
+    whole = F.col(text).cast("string")
+    rows = df.select(F.col(doc_id).alias("doc_id"), whole.alias("text"), F.xxhash64(whole).alias("tie")).mapInArrow(
+        pack_all, StructType([
+            StructField("doc_id", key), StructField("tie", LongType()), StructField("packed", BinaryType())]))
+    laid = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "packed")
     found = stage(laid.mapInArrow(work, StructType([
         StructField("kind", StringType()), StructField("part", LongType()), StructField("doc_id", key),
-        StructField("text", StringType()), *_FIELDS])), "fingerprints")
+        StructField("packed", BinaryType()), *_FIELDS])), "fingerprints")
     firsts = found.filter("kind = 'first'")
     # One row for each partition that has rows.
     order = Window.orderBy("part")
     following = firsts.select("part", F.coalesce(F.lead("part").over(order), F.min("part").over(
         order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("next"))
-    lasts = found.filter("kind = 'last'").select("part", "doc_id", "text", "fingerprint").join(following, "part").join(
-        firsts.select(F.col("part").alias("next"), F.col("text").alias("next_text"),
-                      F.col("fingerprint").alias("next_fingerprint")), "next")
-    closed = lasts.select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint").mapInArrow(
+    lasts = found.filter("kind = 'last'").select("part", "doc_id", "packed", F.col("fingerprint").alias("mark")).join(
+        following, "part").join(firsts.select(
+            F.col("part").alias("next"), F.col("packed").alias("next_packed"), F.col("fingerprint").alias("next_mark")), "next")
+    closed = lasts.select("doc_id", "packed", "mark", "next_packed", "next_mark").mapInArrow(
         close, StructType([StructField("doc_id", key), *_FIELDS]))
-    return found.filter("kind = 'whole'").select("doc_id", *_FOUND).union(closed)
+    both = found.filter("kind = 'whole'").select("doc_id", *_FOUND).union(closed)
+    return both.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
