@@ -483,3 +483,28 @@ ORACLE["training_set"] = _with("batches", "doc_padded", "sum_padded") + f"""
 SELECT epoch, CAST(spot // {fx.BATCH_SIZE} AS BIGINT) AS batch, CAST(spot % {fx.BATCH_SIZE} AS INTEGER) AS place,
        b.doc_id, {_JOIN('d.ids')} AS input, {_JOIN('s.ids')} AS target
 FROM batches b JOIN doc_padded d USING (doc_id) JOIN sum_padded s USING (doc_id)"""
+
+# Files that arrive, and what is left out of them
+ORACLE["corpus_rejected"] = _with("corpus") + """,
+rows AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, doc_id % 7 AS kind, articles, abstracts, format
+         FROM corpus, (VALUES ('json'), ('csv')) f(format))
+SELECT CASE WHEN kind NOT IN (3, 5) THEN doc_id END AS doc_id, CASE WHEN kind NOT IN (3, 5) THEN articles END AS articles,
+       CASE WHEN kind NOT IN (3, 4, 5) THEN abstracts END AS abstracts, format,
+       CASE WHEN kind IN (3, 5) THEN 'malformed record' WHEN kind = 4 THEN 'missing text in column abstracts' END AS error,
+       CASE WHEN kind = 3 AND format = 'json' THEN '{"doc_id": "' || doc_id || '", "articles": "cut'
+            WHEN kind IN (3, 5) THEN doc_id || CASE WHEN kind = 5 AND format = 'csv' THEN ',one,two,three' ELSE '' END END AS raw
+FROM rows"""
+ORACLE["incremental_encode_repeats"] = _with("doc_padded", "corpus") + f""",
+arriving AS (SELECT doc_id // 3 AS id, doc_id % 2 AS half, articles, doc_id FROM corpus),
+least AS (SELECT id, half, min(articles) AS articles FROM arriving GROUP BY id, half),
+taken AS (SELECT id, arg_min(articles, half) AS articles FROM least GROUP BY id),
+source AS (SELECT t.id, t.articles, min(doc_id) AS doc_id FROM taken t JOIN arriving a ON a.id = t.id AND a.articles = t.articles
+           GROUP BY ALL)
+SELECT s.id AS doc_id, {_JOIN('ids')} AS ids, NULL AS articles, NULL AS error FROM source s JOIN doc_padded USING (doc_id)
+UNION ALL SELECT id, NULL, articles, 'repeated id' FROM
+(SELECT DISTINCT a.id, a.half, a.articles FROM arriving a JOIN taken t ON t.id = a.id WHERE t.articles <> a.articles)"""
+for _name in ("numbered_shards", "numbered_shards_csv"):
+    ORACLE[_name] = """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(999000 + 100000 * (doc_id % 8)
+       + row_number() OVER (PARTITION BY doc_id % 8 ORDER BY md5(CAST(doc_id AS VARCHAR))) - 1 AS BIGINT) AS num
+FROM documents"""

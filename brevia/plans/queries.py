@@ -59,6 +59,36 @@ def corpus_csv(spark, sf_dir):
     return source.project_corpus(source.read_corpus(spark, path, "csv", emptyValue="", nullValue="\\N"), key_type="string")
 
 
+@query
+def corpus_rejected(spark, sf_dir):
+    """Documents as lines of JSON and as CSV, some broken, some without a summary: rows, and what is left out and why."""
+    documents = fx.pairs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), "articles", "abstracts")
+    kind = F.col("doc_id").cast("bigint") % 7
+    quoted = [F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"')) for c in ("articles", "abstracts")]
+    lines = {
+        "json": F.when(kind == 3, F.concat(F.lit('{"doc_id": "'), F.col("doc_id"), F.lit('", "articles": "cut')))
+        .when(kind == 5, F.col("doc_id"))
+        .otherwise(F.to_json(F.struct("doc_id", "articles", F.when(kind != 4, F.col("abstracts")).alias("abstracts")))),
+        "csv": F.when(kind == 3, F.col("doc_id")).when(kind == 5, F.concat("doc_id", F.lit(",one,two,three")))
+        .otherwise(F.concat_ws(",", "doc_id", quoted[0], F.when(kind != 4, quoted[1]).otherwise("\\N"))),
+    }
+    out = None
+    for fmt, line in lines.items():
+        path, options = staged_path(spark, fmt), {}
+        rows = documents.select((F.col("doc_id").cast("bigint") % 4).alias("part"), F.lit(1).alias("place"), line.alias("line"))
+        if fmt == "csv":
+            options = {"emptyValue": "", "nullValue": "\\N"}
+            heads = spark.range(4).select("id", F.lit(0), F.lit("doc_id,articles,abstracts"))
+            rows = heads.union(rows).toDF("part", "place", "line").repartition("part").sortWithinPartitions("part", "place")
+        rows.select("part", "line").write.partitionBy("part").text(path)
+        names = ("doc_id", "articles", "abstracts")
+        good, bad = source.read_checked(spark, path, fmt, names, names[1:], **options)
+        for found in (good, bad.select(*names, "raw", "error")):
+            found = found.withColumn("format", F.lit(fmt))
+            out = found if out is None else out.unionByName(found, allowMissingColumns=True)
+    return out
+
+
 @query
 def numbered_corpus(spark, sf_dir):
     """Rows of the file numbered from the name of their file on."""
@@ -67,6 +97,34 @@ def numbered_corpus(spark, sf_dir):
     return source.number_rows(keyed, "doc_id", "path", start=NUMBER_OFFSET).select("doc_id", "num")
 
 
+def _shards(spark, sf_dir, fmt):
+    """The ids of the documents in files of this format, each named by a number: its rows in an order of their own."""
+    path, shards = staged_path(spark, "shards"), 8
+    rows = fx.pairs(spark, sf_dir).select(
+        F.col("doc_id").cast("string").alias("doc_id"), (F.col("doc_id") % shards).alias("shard"))
+    laid = rows.repartition("shard").sortWithinPartitions("shard", F.md5("doc_id"))
+    laid.write.partitionBy("shard").option("header", "true").format(fmt).save(f"{path}/written")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop(f"{path}/named"))
+    for shard in range(shards):
+        found = files.globStatus(hadoop(f"{path}/written/shard={shard}/part-*"))
+        for at, status in enumerate(found):
+            files.rename(status.getPath(), hadoop(f"{path}/named/eval{at}_{NUMBER_OFFSET + 100_000 * shard}_x.{fmt}"))
+    return f"{path}/named"
+
+
+@query
+def numbered_shards(spark, sf_dir):
+    """Rows of several files, numbered by their place from the number in the file's name on."""
+    return source.read_numbered(spark, _shards(spark, sf_dir, "parquet"), "parquet", ("doc_id",))
+
+
+@query
+def numbered_shards_csv(spark, sf_dir):
+    return source.read_numbered(spark, _shards(spark, sf_dir, "csv"), "csv", ("doc_id",))
+
+
 @query
 def null_literal(spark, sf_dir):
     return source.apply_null_policy(_with_missing(spark, sf_dir), "literal")
@@ -743,3 +801,19 @@ def incremental_encode_restarted(spark, sf_dir):
     _stream(spark, sf_dir, vocab, sink, failures, F.col("lang") == "en")
     _stream(spark, sf_dir, vocab, sink, failures)
     return spark.read.parquet(sink).select("doc_id", joined("ids").alias("ids"))
+
+
+@query
+def incremental_encode_repeats(spark, sf_dir):
+    """Three documents share an id each, in one micro-batch or in two: every text is in the sink or named with a cause."""
+    vocab = vocabulary.fit_vocab(fx.document_tokens(spark, sf_dir), fx.CAP)
+    source, sink, failures, progress = (staged_path(spark, name) for name in ("arriving", "sink", "failures", "progress"))
+    documents = fx.pairs(spark, sf_dir)
+    schema = "doc_id BIGINT, articles STRING"
+    for half in (0, 1):
+        arriving = documents.filter(F.col("doc_id") % 2 == half)
+        arriving.select(F.expr("doc_id div 3").alias("doc_id"), "articles").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        encode_stream(stream, vocab, sink, failures, progress, fx.DOCUMENT_LENGTH, fx.CAP).awaitTermination()
+    failed = spark.read.schema(schema + ", error STRING").parquet(failures).select("doc_id", "articles", "error")
+    return spark.read.parquet(sink).select("doc_id", joined("ids").alias("ids")).unionByName(failed, allowMissingColumns=True)

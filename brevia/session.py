@@ -73,11 +73,18 @@ def restage(df: DataFrame, name: str, old: DataFrame | None = None) -> DataFrame
     df.write.parquet(path)
     new = spark.read.schema(df.schema).parquet(path)
     _restaged[id(new)] = (new, path)
-    if old is not None and id(old) in _restaged:
+    if old is not None:
+        discard(old)
+    return new
+
+
+def discard(old: DataFrame) -> None:
+    """Remove the files of a result of ``restage`` that nothing reads any more."""
+    if id(old) in _restaged:
         _, gone = _restaged.pop(id(old))
+        spark = old.sparkSession
         folder = spark._jvm.org.apache.hadoop.fs.Path(gone)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    return new
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

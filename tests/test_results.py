@@ -108,7 +108,7 @@ def test_stream_equals_batch_also_after_restart_and_replay(spark, tmp_path):
     assert run("p") == expected
     # A lost checkpoint replays everything: nothing is written twice.
     assert run("new") == expected
-    assert {r.doc_id for r in spark.read.parquet(failed).collect()} == {2}
+    assert {(r.doc_id, r.error) for r in spark.read.parquet(failed).collect()} == {(2, "missing text")}
 
 
 PAIRS = [(i, f"word{i % 5} common text\nline {i}", f"common word{i % 3}") for i in range(40)]
@@ -200,22 +200,60 @@ def test_streams_with_checkpoints_of_their_own_share_a_sink(spark, tmp_path):
     run("second", [(3, "c"), (1, "a")], [(5, None), (2, "b b")])
     found = sorted((r.doc_id, tuple(r.ids)) for r in spark.read.parquet(sink).collect())
     assert found == [(1, (2, 0, 0)), (2, (3, 3, 0)), (3, (4, 0, 0)), (4, (2, 0, 0))]
-    assert [r.doc_id for r in spark.read.parquet(failed).collect()] == [5]
+    assert _failed(spark, failed) == [(4, "c", "repeated id"), (5, "", "missing text")]
 
 
-def test_the_sink_is_read_by_bucket(spark, tmp_path):
+def _failed(spark, path):
+    return sorted((r.doc_id or 0, r.articles or "", r.error) for r in spark.read.parquet(path).collect())
+
+
+def test_every_row_of_a_stream_is_in_the_sink_or_fails(spark, tmp_path):
+    sink, failed, source = (str(tmp_path / d) for d in ("out", "bad", "in"))
+    schema = "doc_id STRING, articles STRING"
+    vocab = fit_vocab(spark.createDataFrame([(0, ["a", "b", "c"])], "doc_id BIGINT, tokens ARRAY<STRING>"))
+    batches = [
+        [("x", "b"), ("x", "a"), ("x", "a"), (None, "c"), (None, None), ("y", None), ("", "c")],
+        [("x", "a"), ("x", "c"), ("y", "b"), ("y", "c"), ("z", "a"), (None, "c")],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        encode_stream(stream, vocab, sink, failed, str(tmp_path / "progress"), 2).awaitTermination()
+    found = sorted((r.doc_id, r.ids[0]) for r in spark.read.parquet(sink).collect())
+    assert found == [("", 4), ("x", 2), ("y", 3), ("z", 2)]
+    assert sorted((r.doc_id or "-", r.articles or "", r.error) for r in spark.read.parquet(failed).collect()) == sorted([
+        ("x", "b", "repeated id"), ("x", "c", "repeated id"), ("y", "c", "repeated id"), ("-", "c", "missing id"),
+        ("-", "c", "missing id"), ("-", "", "missing text"), ("y", "", "missing text")])
+
+
+def test_an_id_with_many_texts_in_one_micro_batch(spark, tmp_path, monkeypatch):
     from brevia.streaming import incremental
 
-    sink = str(tmp_path / "sink")
-    rows = spark.range(1000).select(
-        F.col("id").alias("doc_id"), F.lit("r").alias("run"), F.lit(0).alias("batch"),
-        F.pmod(F.xxhash64("id"), F.lit(incremental.BUCKETS)).cast("int").alias("bucket"))
-    rows.repartition("bucket").write.partitionBy("run", "batch", "bucket").parquet(sink)
-    arrived = rows.filter("doc_id = 7").select("doc_id", "bucket")
-    found = incremental.known_keys(arrived, sink, "other", 0)
-    assert [r.doc_id for r in found.collect()] == [7]
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    monkeypatch.setattr(incremental, "HELD", 5)
+    sink, failed, source = (str(tmp_path / d) for d in ("out", "bad", "in"))
+    schema = "doc_id BIGINT, articles STRING"
+    vocab = fit_vocab(spark.createDataFrame([(0, ["a"])], "doc_id BIGINT, tokens ARRAY<STRING>"))
+    spark.createDataFrame([(1, f"text{i:03}") for i in range(200)] * 2, schema).write.parquet(source)
+    encode_stream(spark.readStream.schema(schema).parquet(source), vocab, sink, failed, str(tmp_path / "p"), 2).awaitTermination()
+    assert spark.read.parquet(sink).count() == 1
+    assert {text for _, text, _ in _failed(spark, failed)} == {f"text{i:03}" for i in range(1, 200)}
+
+
+def test_a_later_micro_batch_reads_no_more_than_the_second(spark, tmp_path):
+    """Rows that come out of the sources of each micro-batch: the arriving ones, and of the sink what was not read before."""
+    sink, failed, source = (str(tmp_path / d) for d in ("out", "bad", "in"))
+    schema = "doc_id BIGINT, articles STRING"
+    vocab = fit_vocab(spark.createDataFrame([(0, ["a"])], "doc_id BIGINT, tokens ARRAY<STRING>"))
+    rows = []
+    for n in range(5):
+        spark.createDataFrame([(20 * n + i, "a") for i in range(20)], schema).coalesce(1).write.mode("append").parquet(source)
+        query = encode_stream(
+            spark.readStream.schema(schema).parquet(source), vocab, sink, failed, str(tmp_path / "p"), 2)
+        query.awaitTermination()
+        rows.append(sum(p.numInputRows for p in query.recentProgress))
+        assert sum(s.numRowsTotal for s in query.lastProgress.stateOperators) == 20 * (n + 1)
+    assert spark.read.parquet(sink).count() == 100
+    assert rows[0] == 20 and max(rows[1:]) <= 40
 
 
 def test_rows_of_one_id_stay_apart(spark, tmp_path):
