@@ -4,8 +4,12 @@
 of documents. It may be filled by any job. A scorer that needs more than the last word is given as a function instead: it
 gets ``doc_id, key, slot, tokens`` of all open hypotheses and returns ``doc_id, slot, token_id, prob``.
 
+A table of one shared distribution, the tail, may back it off: then each word's probability is the greater one of its own
+after ``prev`` and the discounted one of the tail, and no hypothesis runs out of words.
+
 State between steps is one row per document: ``beams``, its k hypotheses in slot order, and ``memory``, the n-grams seen
-in each slot. Both are bounded by k and the summary length.
+in each slot. A hypothesis carries its own n-grams and the slot that it comes from, so a step adds one n-gram to a slot
+whose hypothesis goes on, and takes those of another one as they are. All are bounded by k and the summary length.
 """
 
 from __future__ import annotations
@@ -23,6 +27,9 @@ from brevia.session import restage, stage
 # Documents per task: the state of a document grows with every step, so tasks are cut by documents and not by bytes.
 TASK_DOCUMENTS = 20_000
 
+# What the tail's probabilities count for beside those after a word.
+DISCOUNT = 0.4
+
 FAILED = "fewer than k candidates"
 NOT_SEEDED = "no start word"
 
@@ -42,7 +49,7 @@ def rank_candidates(scores: DataFrame) -> DataFrame:
     """
     group = Window.partitionBy("key", "prev").orderBy(F.col("prob").desc(), "token_id")
     return scores.filter(F.col("prob") > 0).select(
-        "key", "prev", F.row_number().over(group).alias("rank"), "token_id", log_prob(F.col("prob")).alias("log_prob")
+        "key", "prev", F.row_number().over(group).alias("rank"), "token_id", log_prob(F.col("prob")).alias("log_prob"), "prob"
     )
 
 
@@ -52,76 +59,157 @@ def page_candidates(scores: DataFrame, k: int) -> DataFrame:
     A hypothesis reads as many pages as it can need, which is nearly always one.
     """
     page = F.floor((F.col("rank") - 1) / F.lit(page_rows(k))).cast("int")
-    entries = F.sort_array(F.collect_list(F.struct("rank", "token_id", "log_prob")))
+    entries = F.sort_array(F.collect_list(F.struct("rank", "token_id", "log_prob", "prob")))
     return rank_candidates(scores).groupBy("key", "prev", page.alias("page")).agg(entries.alias("cands"))
 
 
-def candidate_join(hyps: DataFrame, pages: DataFrame, small: bool) -> DataFrame:
+def rank_tail(tail: DataFrame, k: int, length: int, discount: float = DISCOUNT) -> DataFrame:
+    """One row with the first words of the tail (``token_id, prob``), ranked and discounted, in ``tail``.
+
+    All hypotheses of a document together gain k n-grams a step, so no slot can block more than k times the length: that many
+    words and k more are all that a hypothesis can ever reach, however large the vocabulary is.
+    """
+    prob = F.col("prob") * F.lit(discount)
+    first = tail.filter(F.col("prob") > 0).orderBy(F.col("prob").desc(), "token_id").limit(k * length + k + 1)
+    entry = F.struct((-prob).alias("order"), "token_id", log_prob(prob).alias("log_prob"), prob.alias("prob"))
+    return first.agg(F.sort_array(F.collect_list(entry)).alias("tail"))
+
+
+def candidate_join(hyps: DataFrame, pages: DataFrame, small: bool, how: str = "inner") -> DataFrame:
     """Hypotheses with their candidate pages. Many documents may stand at the same word of the same key."""
-    return skew_join(hyps, pages, ["key", "prev", "page"], ["doc_id"], small)
+    return skew_join(hyps, pages, ["key", "prev", "page"], ["doc_id"], small, how)
+
+
+def _gram_type(n: int) -> str:
+    return "bigint" if n == 2 else "string"
+
+
+def _gram(n: int, words: str, last: str) -> str:
+    """SQL for the n-gram of the last n - 1 of ``words`` and ``last``: two ids make one number, more of them a text."""
+    return f"({_gram_prefix(n, words)} | cast({last} AS bigint))" if n == 2 else (
+        f"concat({_gram_prefix(n, words)}, cast({last} AS string))")
+
+
+def _gram_prefix(n: int, words: str) -> str:
+    if n == 2:
+        return f"shiftleft(cast(element_at({words}, -1) AS bigint), 32)"
+    return f"concat(array_join(cast(slice({words}, -{n - 1}, {n - 1}) AS array<string>), ' '), ' ')"
+
+
+def gram_texts(grams: str, n: int) -> Column:
+    """The n-grams of a column as ids joined by spaces."""
+    if n != 2:
+        return F.col(grams)
+    return F.expr(f"transform({grams}, g -> concat(shiftright(g, 32), ' ', g & 4294967295))")
+
+
+def _first_beam(n: int, slot: str, start: str, token: str, score: str) -> str:
+    """SQL for a hypothesis of a start word and its first follower."""
+    grams = f"array({_gram(n, f'array({start})', token)})" if n == 2 else "array()"
+    return f"""named_struct('slot', cast({slot} AS int), 'tokens', array({start}, {token}), 'score', {score},
+                            'grams', cast({grams} AS array<{_gram_type(n)}>), 'parent', cast({slot} AS int))"""
+
+
+def _with_memory(state: DataFrame, k: int, n: int) -> DataFrame:
+    return state.withColumn("memory", F.array_repeat(F.array().cast(f"array<{_gram_type(n)}>"), k))
+
 
+def _backed(own: str, k: int) -> str:
+    """SQL for the k best of the ``own`` candidates and those of ``tail``, each word once with its better probability; ties
+    go to the lower id."""
+    entries = f"""sort_array(concat(transform({own}, c -> named_struct(
+        'order', -c.prob, 'token_id', c.token_id, 'log_prob', c.log_prob, 'prob', c.prob)), tail))"""
+    return f"""aggregate({entries}, slice(tail, 1, 0), (found, c) -> if(
+        size(found) >= {k} OR exists(found, f -> f.token_id = c.token_id), found, array_append(found, c)))"""
 
-def beam_seed(seeds: DataFrame, pages: DataFrame, k: int = BEAM_WIDTH, small: bool = True) -> DataFrame:
+
+def beam_seed(
+    seeds: DataFrame, pages: DataFrame, k: int = BEAM_WIDTH, small: bool = True, n: int = NGRAM_SIZE,
+    tail: DataFrame | None = None,
+) -> DataFrame:
     """The k best first words of each document (``doc_id``, ``key``, ``prev`` = its start word), slot = rank.
 
     Nothing is blocked here. A document with fewer than k candidates is left out.
     """
-    firsts = candidate_join(seeds.select("doc_id", "key", "prev", F.lit(0).alias("page")), pages, small)
-    beams = F.transform(F.slice("cands", 1, k), lambda c: F.struct(
-        (c["rank"] - 1).cast("int").alias("slot"),
-        F.array(F.col("prev"), c["token_id"]).alias("tokens"),
-        c["log_prob"].alias("score"),
-    ))
-    state = firsts.filter(F.size("cands") >= k).select("doc_id", "key", beams.alias("beams"))
-    return state.withColumn("memory", F.array_repeat(F.array().cast("array<string>"), k))
+    starts = seeds.select("doc_id", "key", "prev", F.lit(0).alias("page"))
+    if tail is None:
+        firsts = candidate_join(starts, pages, small).withColumn("first", F.slice("cands", 1, k))
+    else:
+        firsts = candidate_join(starts, pages, small, "left").join(F.broadcast(tail))
+        own = f"coalesce(slice(cands, 1, {k}), array())"
+        firsts = firsts.withColumn("tail", F.slice("tail", 1, k)).withColumn("first", F.expr(_backed(own, k)))
+    beams = f"transform(first, (c, place) -> {_first_beam(n, 'place', 'prev', 'c.token_id', 'c.log_prob')})"
+    state = firsts.filter(F.size("first") >= k).selectExpr("doc_id", "key", f"{beams} AS beams")
+    return _with_memory(state, k, n)
 
 
 def open_slots(state: DataFrame, position: int, n: int, memory: str = "slot") -> DataFrame:
     """One row per hypothesis about to be extended at ``position``, with its slot's n-gram memory.
 
-    From position n + 1 on, and only for n > 1, the n-grams of the hypothesis now in a slot are added to that slot's
-    memory. The memory stays with the slot when hypotheses move (``slot``) or follows the hypothesis (``lineage``).
+    From position n + 1 on, and only for n > 1, the n-grams of the hypothesis now in a slot are in that slot's memory: the
+    new one is added where it goes on from this slot, and all it has where it comes from another. The memory stays with
+    the slot when hypotheses move (``slot``) or is that of the hypothesis (``lineage``).
     """
     if memory not in ("slot", "lineage"):
         raise ValueError("memory must be slot or lineage")
     seen = "b.memory"
     if n > 1 and position >= n + 1:
-        grams = f"""transform(slice(b.beams.tokens, 1, size(b.beams.tokens) - {n - 1}),
-                              (t, i) -> array_join(cast(slice(b.beams.tokens, i + 1, {n}) AS array<string>), ' '))"""
-        seen = f"array_union(b.memory, {grams})" if memory == "slot" else f"array_distinct({grams})"
+        last = "element_at(b.beams.grams, -1)"
+        follows = f"b.beams.parent = slot AND {position} > {n + 1}"
+        added = f"if(array_contains(b.memory, {last}), b.memory, array_append(b.memory, {last}))"
+        seen = "b.beams.grams" if memory == "lineage" else f"if({follows}, {added}, array_union(b.memory, b.beams.grams))"
     return state.selectExpr("doc_id", "key", "posexplode(arrays_zip(beams, memory)) AS (slot, b)").selectExpr(
-        "doc_id", "key", "slot", "b.beams.tokens AS tokens", "b.beams.score AS score", f"{seen} AS seen",
-        "element_at(b.beams.tokens, -1) AS prev",
+        "doc_id", "key", "slot", "b.beams.tokens AS tokens", "b.beams.score AS score", "b.beams.grams AS grams",
+        f"{seen} AS seen", "element_at(b.beams.tokens, -1) AS prev",
     )
 
 
 def block_ngrams(n: int) -> tuple[str, str]:
-    """SQL for the prefix of the n-grams a hypothesis can complete, and for the candidates left to it: those that neither
-    repeat the last word nor complete an n-gram seen in their slot."""
-    prefix = f"concat(array_join(cast(slice(tokens, -{n - 1}, {n - 1}) AS array<string>), ' '), ' ')"
-    allowed = """filter(cands, c -> c.token_id <> prev
-                        AND NOT array_contains(seen, concat(prefix, cast(c.token_id AS string))))"""
-    return prefix, allowed
+    """SQL for the n-grams of a slot's memory that a hypothesis could complete, counted, and for the candidates left to it:
+    those that neither repeat the last word nor complete a seen n-gram."""
+    if n == 2:
+        count = "size(filter(seen, g -> shiftright(g, 32) = prev))"
+    else:
+        count = "size(filter(seen, g -> startswith(g, prefix)))"
+    completed = "(prefix | cast(c.token_id AS bigint))" if n == 2 else "concat(prefix, cast(c.token_id AS string))"
+    return count, f"filter({{}}, c -> c.token_id <> prev AND NOT array_contains(seen, {completed}))"
+
+
+def _opened(state: DataFrame, position: int, n: int, memory: str) -> tuple[DataFrame, str, str]:
+    """``open_slots``, the number of candidates that are blocked at most, and the filter of the allowed ones."""
+    hyps = open_slots(state, position, n, memory)
+    if n < 2 or position < n + 1:
+        return hyps, "0", "{}"
+    count, allowed = block_ngrams(n)
+    hyps = hyps.selectExpr("*", f"{_gram_prefix(n, 'tokens')} AS prefix").selectExpr("*", f"1 + {count} AS blocked")
+    return hyps, "blocked", allowed
+
 
+_PAGE = "array<struct<rank:int,token_id:int,log_prob:double,prob:double>>"
+_TAIL = "array<struct<order:double,token_id:int,log_prob:double,prob:double>>"
 
-def extend(state: DataFrame, pages: DataFrame, position: int, k: int, n: int, small: bool, memory: str) -> DataFrame:
-    """Per hypothesis and page read: the allowed candidates among which its k best are, in ``best``.
+
+def extend(
+    state: DataFrame, pages: DataFrame, position: int, k: int, n: int, small: bool, memory: str,
+    tail: DataFrame | None = None,
+) -> DataFrame:
+    """Per hypothesis and page read: the allowed candidates among which its k best are, in ``best``, and of the tail in
+    ``tail``.
 
     Blocked candidates are at most the last word and the seen n-grams that start with the hypothesis's last n - 1 words,
-    so that many more than k are read and the k best allowed ones are always among them.
+    so that many more than k are read and the k best allowed ones are always among them. The tail goes with the first page.
     """
-    hyps = open_slots(state, position, n, memory)
-    if n > 1 and position >= n + 1:
-        prefix, allowed = block_ngrams(n)
-        hyps = hyps.selectExpr("*", f"{prefix} AS prefix")
-        blocked = "1 + size(filter(seen, g -> startswith(g, prefix)))"
-    else:
-        blocked, allowed = "0", "cands"
+    hyps, blocked, allowed = _opened(state, position, n, memory)
     last_page = f"cast(floor(({blocked} + {k - 1}) / {page_rows(k)}) AS int)"
-    read = candidate_join(hyps.selectExpr("*", f"explode(sequence(0, {last_page})) AS page"), pages, small)
-    return read.selectExpr(
-        "doc_id", "key", "slot", "page", "tokens", "score", "seen", f"slice({allowed}, 1, {k}) AS best"
-    )
+    hyps = hyps.selectExpr("*", f"explode(sequence(0, {last_page})) AS page")
+    read = candidate_join(hyps, pages, small, "inner" if tail is None else "left")
+    columns = ["doc_id", "key", "slot", "page", "tokens", "score", "grams", "seen"]
+    if tail is None:
+        return read.selectExpr(*columns, f"slice({allowed.format('cands')}, 1, {k}) AS best", f"cast(array() AS {_TAIL}) AS tail")
+    own = f"coalesce(slice({allowed.format('cands')}, 1, {k}), cast(array() AS {_PAGE}))"
+    ahead = allowed.format(f"slice(tail, 1, {blocked} + {k})")
+    return read.join(F.broadcast(tail)).selectExpr(
+        *columns, f"{own} AS best", f"if(page = 0, slice({ahead}, 1, {k}), cast(array() AS {_TAIL})) AS tail")
 
 
 def _best_scored(hyps: DataFrame, scorer: Scorer, k: int, allowed: Column | None = None) -> DataFrame:
@@ -131,36 +219,32 @@ def _best_scored(hyps: DataFrame, scorer: Scorer, k: int, allowed: Column | None
     rows = rows if allowed is None else rows.filter(allowed)
     order = Window.partitionBy("doc_id", "slot").orderBy(F.col("prob").desc(), "token_id")
     top = rows.select("doc_id", "slot", "token_id", "prob", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= k)
-    entry = F.struct("rank", "token_id", log_prob(F.col("prob")).alias("log_prob"))
+    entry = F.struct("rank", "token_id", log_prob(F.col("prob")).alias("log_prob"), "prob")
     best = top.groupBy("doc_id", "slot").agg(F.sort_array(F.collect_list(entry)).alias("best"))
     return hyps.join(best, ["doc_id", "slot"], "left")
 
 
 def extend_scored(state: DataFrame, scorer: Scorer, position: int, k: int, n: int, memory: str) -> DataFrame:
     """``extend`` with a scorer: all candidates of a hypothesis are at hand, so none is read in pages."""
-    hyps, allowed = open_slots(state, position, n, memory), None
-    if n > 1 and position >= n + 1:
-        prefix, _ = block_ngrams(n)
-        hyps = hyps.selectExpr("*", f"{prefix} AS prefix")
-        allowed = F.expr("token_id <> prev AND NOT array_contains(seen, concat(prefix, cast(token_id AS string)))")
-    found = _best_scored(hyps, scorer, k, allowed)
+    hyps, _, allowed = _opened(state, position, n, memory)
+    if allowed != "{}":
+        word = "named_struct('token_id', token_id)"
+        allowed = F.expr(f"size({allowed.format(f'array({word})')}) > 0")
+    found = _best_scored(hyps, scorer, k, None if isinstance(allowed, str) else allowed)
     return found.select(
-        "doc_id", "key", "slot", F.lit(0).alias("page"), "tokens", "score", "seen",
-        F.coalesce("best", F.expr("cast(array() AS array<struct<rank:int,token_id:int,log_prob:double>>)")).alias("best"),
+        "doc_id", "key", "slot", F.lit(0).alias("page"), "tokens", "score", "grams", "seen",
+        F.coalesce("best", F.expr(f"cast(array() AS {_PAGE})")).alias("best"), F.expr(f"cast(array() AS {_TAIL})").alias("tail"),
     )
 
 
 def _decode_scored(seeds: DataFrame, scorer: Scorer, length: int, k: int, n: int, memory: str) -> DataFrame:
     """Decode with a scorer. It reads the state as well as the step, so the state is staged after each one."""
     first = seeds.select("doc_id", "key", F.lit(0).alias("slot"), F.array("prev").alias("tokens"))
-    beams = F.transform("best", lambda c: F.struct(
-        (c["rank"] - 1).cast("int").alias("slot"), F.concat("tokens", F.array(c["token_id"])).alias("tokens"),
-        c["log_prob"].alias("score"),
-    ))
-    state = _best_scored(first, scorer, k).filter(F.size("best") >= k).select("doc_id", "key", beams.alias("beams"))
-    state = restage(state.withColumn("memory", F.array_repeat(F.array().cast("array<string>"), k)), "beams")
+    beams = f"transform(best, c -> {_first_beam(n, 'c.rank - 1', 'tokens[0]', 'c.token_id', 'c.log_prob')})"
+    state = _best_scored(first, scorer, k).filter(F.size("best") >= k).selectExpr("doc_id", "key", f"{beams} AS beams")
+    state = restage(_with_memory(state, k, n), "beams")
     for position in range(2, length):
-        state = restage(merge_topk(extend_scored(state, scorer, position, k, n, memory), k), "beams", state)
+        state = restage(merge_topk(extend_scored(state, scorer, position, k, n, memory), k, n), "beams", state)
     return state
 
 
@@ -169,7 +253,7 @@ def _hypothesis_pages(extended: DataFrame) -> DataFrame:
 
     A document has k hypotheses of mostly one page, each with at most k candidates.
     """
-    row = F.expr("sort_array(collect_list(struct(slot, page, tokens, score, seen, best)))")
+    row = F.expr("sort_array(collect_list(struct(slot, page, tokens, score, grams, seen, best, tail)))")
     documents = extended.groupBy("doc_id", "key").agg(row.alias("rows"))
     return documents.selectExpr("doc_id", "key", "rows", "filter(rows, r -> r.page = 0) AS heads")
 
@@ -188,53 +272,74 @@ def topk_per_hypothesis(extended: DataFrame, k: int) -> DataFrame:
     )
 
 
-def merge_topk(extended: DataFrame, k: int) -> DataFrame:
-    """Best k of each document's k x k candidates; ties go to the lower slot, then the lower column.
+def merge_topk(extended: DataFrame, k: int, n: int = NGRAM_SIZE, backed: bool = False) -> DataFrame:
+    """Best k of each document's candidates, k for each hypothesis; ties go to the lower slot, then the better candidate.
 
     Totals are ranked rounded: sums of logarithms may differ in the last bit between orders of addition. A document in
-    which some hypothesis has fewer than k candidates is left out: it has failed.
+    which some hypothesis has fewer than k candidates is left out: it has failed. With ``backed`` a word may be both a
+    hypothesis's own candidate and one of the tail: its better probability counts.
     """
-    merged = f"""sort_array(flatten(transform(heads, h -> transform({_topk_of_head(k)}, (c, col) -> named_struct(
-        'order', -round(h.score + c.log_prob, {SCORE_DIGITS}), 'slot', h.slot, 'col', col,
-        'token_id', c.token_id, 'total', h.score + c.log_prob)))))"""
-    beams = f"""transform(slice(merged, 1, {k}), (m, place) -> named_struct(
-        'slot', place, 'tokens', concat(heads[m.slot].tokens, array(m.token_id)), 'score', m.total))"""
+    own = f"transform(heads, h -> transform({_topk_of_head(k)}, (c, col) -> named_struct({{}})))"
+    total = f"'order', -round(h.score + c.log_prob, {SCORE_DIGITS}), 'slot', h.slot, "
+    rest = "'token_id', c.token_id, 'total', h.score + c.log_prob"
+    enough = f"size(merged) = {k * k}"
+    if backed:
+        fields = f"{total}'col', -c.prob, {rest}"
+        words = "transform(filter(merged, m -> m.slot = h.slot), m -> m.token_id)"
+        merged = f"sort_array(flatten(concat({own.format(fields)}, transform(heads, h -> transform(h.tail, c -> named_struct({fields}))))))"
+        enough = f"forall(heads, h -> size(h.tail) >= {k} OR size(array_distinct({words})) >= {k})"
+        best = f"""aggregate(merged, slice(merged, 1, 0), (found, c) -> if(size(found) >= {k} OR exists(
+            found, f -> f.slot = c.slot AND f.token_id = c.token_id), found, array_append(found, c)))"""
+    else:
+        merged = f"sort_array(flatten({own.format(f'{total}{chr(39)}col{chr(39)}, col, {rest}')}))"
+        best = f"slice(merged, 1, {k})"
+    gram = _gram(n, "heads[m.slot].tokens", "m.token_id")
+    grams = "heads[m.slot].grams"
+    if n > 1:
+        grams = f"""if(size(heads[m.slot].tokens) + 1 < {n} OR array_contains({grams}, {gram}), {grams},
+                       array_append({grams}, {gram}))"""
+    beams = f"""transform({best}, (m, place) -> named_struct(
+        'slot', place, 'tokens', array_append(heads[m.slot].tokens, m.token_id), 'score', m.total, 'grams', {grams},
+        'parent', m.slot))"""
     documents = _hypothesis_pages(extended).selectExpr("doc_id", "key", "heads", f"{merged} AS merged")
-    return documents.filter(f"size(merged) = {k * k}").selectExpr(
+    return documents.filter(enough).selectExpr(
         "doc_id", "key", f"{beams} AS beams", "transform(heads, h -> h.seen) AS memory"
     )
 
 
 def beam_step(
     state: DataFrame, pages: DataFrame, position: int, k: int = BEAM_WIDTH, n: int = NGRAM_SIZE, small: bool = True,
-    memory: str = "slot",
+    memory: str = "slot", tail: DataFrame | None = None,
 ) -> DataFrame:
     """Extend every document's hypotheses by one word at ``position``."""
-    return merge_topk(extend(state, pages, position, k, n, small, memory), k)
+    return merge_topk(extend(state, pages, position, k, n, small, memory, tail), k, n, tail is not None)
 
 
 def beam_decode(
     seeds: DataFrame, scores: DataFrame | Scorer, length: int = SUMMARY_LENGTH, k: int = BEAM_WIDTH, n: int = NGRAM_SIZE,
-    memory: str = "slot", cut_every: int = 8, broadcast_rows: int | None = None,
+    memory: str = "slot", cut_every: int = 8, broadcast_rows: int | None = None, tail: DataFrame | None = None,
+    discount: float = DISCOUNT,
 ) -> DataFrame:
     """Decode every document to ``length`` positions. Finished hypotheses keep growing past their stop.
 
     Candidates are ranked once. Documents are spread once by their number; with broadcast candidates the following steps
     need no shuffle. Every ``cut_every`` steps, or after every one when the candidates are too many to broadcast, the
-    state is staged in place of the one before, so the plan stays short. ``scores`` may be a function, see above. Documents that fail are absent from
-    the result; ``beam_failures`` names them and their cause.
+    state is staged in place of the one before, so the plan stays short. ``scores`` may be a function, see above. ``tail``
+    (``token_id, prob``) backs the scores of a table off, see above; it is never joined with the contexts. Documents that
+    fail are absent from the result; ``beam_failures`` names them and their cause.
     """
     if callable(scores):
         return _decode_scored(stage(seeds.select("doc_id", "key", "prev"), "seeds"), scores, length, k, n, memory)
     pages = stage(page_candidates(scores, k), "candidates")
+    tail = None if tail is None else stage(rank_tail(tail, k, length, discount), "tail")
     limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     small = fits_broadcast(pages, ("key",), limit // page_rows(k))
     seeds = stage(seeds.select("doc_id", "key", "prev"), "seeds")
     cores = seeds.sparkSession.sparkContext.defaultParallelism
     tasks = max(cores, -(-seeds.count() // TASK_DOCUMENTS))
-    state, staged = beam_seed(seeds.repartition(tasks, "doc_id"), pages, k, small), None
+    state, staged = beam_seed(seeds.repartition(tasks, "doc_id"), pages, k, small, n, tail), None
     for step, position in enumerate(range(2, length), start=1):
-        state = beam_step(state, pages, position, k, n, small, memory)
+        state = beam_step(state, pages, position, k, n, small, memory, tail)
         if position < length - 1 and (not small or step % cut_every == 0):
             staged = restage(state, "beams", staged)
             state = staged.repartition(tasks, "doc_id")

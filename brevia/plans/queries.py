@@ -644,7 +644,8 @@ def _position(spark, sf_dir, position):
 def ngram_memory(spark, sf_dir):
     state, _ = _position(spark, sf_dir, 4)
     rows = beam.open_slots(state, 4, fx.NGRAM_SIZE)
-    return rows.select("doc_id", "slot", F.array_join(F.array_sort("seen"), "|").alias("seen"))
+    seen = F.array_sort(beam.gram_texts("seen", fx.NGRAM_SIZE))
+    return rows.select("doc_id", "slot", F.array_join(seen, "|").alias("seen"))
 
 
 @query

@@ -53,6 +53,44 @@ def test_decode_like_python(spark, k, n, length):
     assert check(state, scores, plain, length, k, n) > 0
 
 
+class Backed(dict):
+    """Scores of every context, known or not: the greater one of its own and the discounted tail's."""
+
+    def __init__(self, scores, tail, discount=0.4):
+        super().__init__(scores)
+        self.tail = {t: discount * p for t, p in tail.items()}
+
+    def get(self, context, default=None):
+        own = super().get(context, {})
+        return {t: max(own.get(t, 0.0), self.tail.get(t, 0.0)) for t in {*own, *self.tail}}
+
+
+@pytest.mark.parametrize("k, n, length, memory, broadcast_rows", [
+    (2, 2, 16, "slot", None), (3, 2, 14, "lineage", None), (3, 3, 9, "slot", None), (2, 1, 6, "slot", None), (2, 2, 5, "slot", 0)])
+def test_a_tail_backs_off_the_scores(spark, k, n, length, memory, broadcast_rows):
+    scores = {c: f for c, f in table(k + n, words=12).items() if c[1] % 4}  # some contexts are unknown
+    tail = {t: w / 100 for t, w in zip(range(2, 26), [9, 9, 9, 8, 30] * 5)}
+    seeds, rows, plain = frames(spark, scores, 12)
+    tail_rows = spark.createDataFrame(list(tail.items()), "token_id INT, prob DOUBLE")
+    state = beam.beam_decode(
+        seeds, rows, length, k, n, memory=memory, cut_every=3, broadcast_rows=broadcast_rows, tail=tail_rows)
+    backed = Backed(scores, tail)
+    assert check(state, backed, plain, length, k, n, lineage=memory == "lineage") == len(plain)
+
+
+def test_the_tail_is_cut_to_what_can_be_reached(spark):
+    tail = spark.range(2, 5000).select(F.col("id").cast("int").alias("token_id"), (1 / F.col("id")).alias("prob"))
+    row = beam.rank_tail(tail, 3, 20).collect()
+    assert len(row) == 1 and [c.token_id for c in row[0].tail] == list(range(2, 2 + 3 * 20 + 4))
+
+
+def test_a_document_fails_where_tail_and_followers_are_too_few(spark):
+    seeds = spark.createDataFrame([(1, "x", 2), (2, "x", 3)], "doc_id BIGINT, key STRING, prev INT")
+    rows = spark.createDataFrame([("x", 2, 5, 0.5), ("x", 3, 6, 0.5)], "key STRING, prev INT, token_id INT, prob DOUBLE")
+    tail = spark.createDataFrame([(5, 0.1), (9, 0.0)], "token_id INT, prob DOUBLE")
+    assert [r.doc_id for r in beam.beam_decode(seeds, rows, 2, 2, 2, tail=tail).collect()] == [2]
+
+
 def test_lineage_memory(spark):
     scores = table(5, words=12)
     seeds, rows, plain = frames(spark, scores, 12)
@@ -76,15 +114,17 @@ def test_many_blocked_candidates_need_further_pages(spark):
     followers = {t: (60 - t) / 2000 for t in range(10, 50)}
     scores = {("x", t): followers for t in [2, *range(10, 50)]}
     tokens = [2, 10]
-    seen = [f"10 {t}" for t in range(11, 31)]
-    state = spark.createDataFrame([(1, "x", [(0, tokens, -1.0), (1, tokens, -2.0)], [seen, []])], STATE)
+    seen = [10 << 32 | t for t in range(11, 31)]
+    state = spark.createDataFrame(
+        [(1, "x", [(0, tokens, -1.0), (1, tokens, -2.0)], [seen, []])], STATE.replace("ARRAY<ARRAY<STRING>>", "ARRAY<ARRAY<BIGINT>>"))
     rows = spark.createDataFrame(
         [(k, p, t, prob) for (k, p), f in scores.items() for t, prob in f.items()],
         "key STRING, prev INT, token_id INT, prob DOUBLE",
     )
     pages = beam.page_candidates(rows, 2)
     state = state.withColumn("beams", F.transform("beams", lambda b: F.struct(
-        b["slot"].alias("slot"), F.concat(F.lit([2]), b["tokens"]).alias("tokens"), b["score"].alias("score"))))
+        b["slot"].alias("slot"), F.concat(F.lit([2]), b["tokens"]).alias("tokens"), b["score"].alias("score"),
+        F.array(F.lit(2 << 32 | 2), F.lit(2 << 32 | 10)).alias("grams"), b["slot"].alias("parent"))))
     best = beam.topk_per_hypothesis(beam.extend(state, pages, 3, 2, 2, True, "slot"), 2).collect()
     assert {(r.slot, r.col): r.token_id for r in best} == {(0, 0): 31, (0, 1): 32, (1, 0): 11, (1, 1): 12}
 
