@@ -15,7 +15,8 @@ ROLES = {"system": "System", "user": "User", "assistant": "Assistant"}
 START, END = "###", "</turn>"
 # A conversation's text is cut between turns into parts of about this many characters; nearly all have one part.
 PART_CHARS = 4_000_000
-_CONTROL = re.compile(r"(\\*)(###|</turn>)")
+# A run of backslashes is looked at from its start only and never given back, so that a long one costs its length once.
+_CONTROL = re.compile(r"(?<!\\)(\\*+)(###|</turn>)")
 _HEADER = re.compile(r'### (System|User|Assistant|null|"(?:[^"\\]|\\.)*"): ', re.DOTALL)
 _NAMES = {shown: role for role, shown in ROLES.items()}
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from brevia.llm import chat_format
@@ -67,3 +68,12 @@ def test_conversations_and_edge_cases(spark, part_chars):
 def test_string_ids(spark):
     df = spark.createDataFrame([("c-1", 0, "user", "x")], SCHEMA.replace("conv_id BIGINT", "conv_id STRING"))
     assert chat_format.format_conversations(df).first().conv_id == "c-1"
+
+
+@pytest.mark.parametrize("text", [
+    "\\" * 5_000_000, "\\" * 5_000_000 + "###", "a" + "\\" * 5_000_000 + "</turn>" + "\\" * 1_000_000, "\\#" * 2_000_000])
+def test_long_runs_of_backslashes_take_their_length(text):
+    started = time.perf_counter()
+    turn, start, end = chat_format.render("user", text)
+    assert chat_format.unescape(turn[start:end]) == text
+    assert time.perf_counter() - started < 60
