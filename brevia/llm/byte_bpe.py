@@ -22,6 +22,10 @@ GROUP = 1 << 22
 # No match of a pattern holds white space after something else, and none looks back: a text may be cut before a space
 # or line break that follows another character, and the matches of the parts are those of the whole.
 _BOUNDARY = re.compile(r"(?<=\S)(?=[ \n])")
+# How patterns of this family end. A run of white space is then one match, without its last character if text follows: the
+# library would walk back over the run and give up on a long one, so these are found here.
+RUNS = r"|\s+(?!\S)|\s+"
+_LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
 @lru_cache(maxsize=4)
@@ -44,8 +48,30 @@ def chunks(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
+def _around_runs(text: str) -> Iterator[tuple[str, bool]]:
+    """Parts of a text, and for each whether it is a long match of white space."""
+    start = 0
+    for found in _LONG_RUN.finditer(text):
+        end = found.end() if found.end() == len(text) else found.end() - 1
+        if found.start() > start:
+            yield text[start:found.start()], False
+        yield text[found.start():end], True
+        start = end
+    if start < len(text) or not text:
+        yield text[start:], False
+
+
 def ids_of(codec: tiktoken.Encoding, text: str, size: int = CHUNK_CHARS) -> np.ndarray:
-    parts = [codec.encode_to_numpy(part, disallowed_special=()) for part in chunks(text, size)]
+    """The ids of a whole text. Patterns that end in ``RUNS`` may meet white space of any length."""
+    if not codec._pat_str.endswith(RUNS):
+        parts = [codec.encode_to_numpy(part, disallowed_special=()) for part in chunks(text, size)]
+    else:
+        parts = []
+        for piece, run in _around_runs(text):
+            if run:
+                parts.append(np.array(codec._encode_single_piece(piece), np.uint32))
+            else:
+                parts += [codec.encode_to_numpy(part, disallowed_special=()) for part in chunks(piece, size)]
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
@@ -113,12 +139,14 @@ def round_trip(text: Column, path: str, pattern: str, size: int = CHUNK_CHARS) -
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """The rows with the ids of the whole of ``text`` in ``ids``, a column that is replaced if there."""
+    """The rows with the ids of the whole of ``text`` in ``ids``, a column that is replaced if there. Rows are taken one by
+    one: repeated rows stay, and an empty table stays empty."""
     return df.withColumn(ids, encoded(F.col(text), path, pattern))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", raw: str = "raw") -> DataFrame:
-    """The rows with the bytes of ``ids`` in ``raw``, a column that is replaced if there."""
+    """The rows with the bytes of ``ids`` in ``raw``, a column that is replaced if there; repeated rows stay, and an empty
+    table stays empty."""
     return df.withColumn(raw, decoded(F.col(ids), path, pattern))
 
 

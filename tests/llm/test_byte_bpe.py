@@ -48,3 +48,32 @@ def test_decoding_part_of_a_character_and_nulls(spark):
     df = spark.createDataFrame([(ids[:1],), (None,), ([],)], "ids ARRAY<INT>")
     got = [r.raw if r.raw is None else bytes(r.raw) for r in byte_bpe.decode(df, PATH, PATTERN).collect()]
     assert got[1:] == [None, b""] and "😀".encode().startswith(got[0])
+
+
+LONG = 5_000_000
+
+
+@pytest.mark.parametrize("run", [" " * LONG, "\n" * LONG, "\t" * LONG, " \n\t\u2003" * (LONG // 4)])
+@pytest.mark.parametrize("before, after", [("", ""), ("", "end"), ("a", ""), ("it's", "b c"), ("!", "1")])
+def test_very_long_white_space(run, before, after):
+    """The run is one match, without its last character if a word follows; the rest is as in a text with a short run."""
+    codec = byte_bpe.encoding(PATH, PATTERN)
+    text = before + run + after
+    found = byte_bpe.ids_of(codec, text)
+    assert codec.decode_bytes(found.tolist()) == text.encode()
+    piece, rest = (run[:-1], run[-1] + after) if after else (run, "")
+    expected = codec.encode_ordinary(before) + codec._encode_single_piece(piece) + codec.encode_ordinary(rest)
+    assert found.tolist() == expected
+
+
+@pytest.mark.parametrize("n", [4095, 4096, 4097, 5000])
+def test_runs_near_the_limit_equal_the_pattern(n):
+    codec = byte_bpe.encoding(PATH, PATTERN)
+    for text in (" " * n + "a", "a" + "\n" * n, "a" + " \n" * n + "b" + "\u3000" * n + "!" + "\x1c" * n + "c", " " * n + "\x1c"):
+        assert byte_bpe.ids_of(codec, text).tolist() == plain(text)
+
+
+@pytest.mark.parametrize("text", ["x" * 2_000_000, "!" * 2_000_000, "\u6f22" * 1_000_000])
+def test_very_long_words(text):
+    codec = byte_bpe.encoding(PATH, PATTERN)
+    assert codec.decode_bytes(byte_bpe.ids_of(codec, text).tolist()) == text.encode()
