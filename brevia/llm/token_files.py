@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -31,22 +32,59 @@ def _groups(sizes: list[int], limit: int = GROUP) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
+def _binaries(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Sequences laid end to end as an array of little-endian unsigned 32-bit ids."""
+    ends = np.concatenate([[0], 4 * sizes.cumsum()]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4"))])
+
+
 def token_ids(
-    docs: DataFrame, tokenizer_path: str, end_id: int, text: str = "text", doc_id: str = "doc_id"
+    docs: DataFrame, tokenizer_path: str, end_id: int, text: str = "text", doc_id: str = "doc_id", counted: bool = False
 ) -> DataFrame:
-    """(doc_id, ids): ids of each whole text and the end id, little-endian unsigned 32 bit; a null text is empty."""
+    """(doc_id, ids): ids of each whole text and the end id, little-endian unsigned 32 bit; a null text is empty.
+
+    With ``counted`` the rows have a third column, null but for one more row of each task: it holds the counts of all ids in
+    the task's texts, little-endian signed 64 bit, in the order of the ids.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = tokenizer(tokenizer_path, end_id)
+        names = ["doc_id", "ids", "counts"] if counted else ["doc_id", "ids"]
+        counts = np.zeros(0, np.int64)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for group in _groups([len(t or "") for t in texts], TEXT_GROUP):
-                ids = pa.array(codec.encode(texts[group]), pa.binary())
-                keys = batch.column("doc_id")[group.start:group.stop]
-                yield pa.RecordBatch.from_arrays([keys, ids], ["doc_id", "ids"])
+            texts = batch.column("text")
+            for group in _groups(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), TEXT_GROUP):
+                ids, sizes = codec.encode(texts[group.start:group.stop])
+                columns = [batch.column("doc_id")[group.start:group.stop], _binaries(ids, sizes)]
+                if counted:
+                    found = np.bincount(ids, minlength=len(counts))
+                    found[: len(counts)] += counts
+                    counts = found
+                    columns.append(pa.nulls(len(sizes), pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names)
+        if counted:
+            one = pa.array([counts.astype("<i8").tobytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), one], names)
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(work, "doc_id bigint, ids binary")
+    return rows.mapInArrow(work, "doc_id bigint, ids binary" + (", counts binary" if counted else ""))
+
+
+def _summed(found: DataFrame) -> DataFrame:
+    return found.groupBy("id").agg(F.sum("count").alias("count"))
+
+
+def unpacked_counts(counts: DataFrame) -> DataFrame:
+    """(id, count) over all rows of ``counts``, as ``token_ids`` writes them."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0):
+                found = np.frombuffer(raw.as_py(), "<i8")
+                used = np.flatnonzero(found)
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(found[used])], ["id", "count"])
+
+    return _summed(counts.mapInArrow(work, "id bigint, count bigint"))
 
 
 def id_counts(ids: DataFrame) -> DataFrame:
@@ -63,60 +101,50 @@ def id_counts(ids: DataFrame) -> DataFrame:
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["id", "count"])
 
-    return ids.select("ids").mapInArrow(work, "id bigint, count bigint").groupBy("id").agg(F.sum("count").alias("count"))
+    return _summed(ids.select("ids").mapInArrow(work, "id bigint, count bigint"))
 
 
-def write_tokens(ids: DataFrame, path: str, most_bits: int = MOST_BITS) -> None:
+def write_tokens(ids: DataFrame, path: str, most_bits: int = MOST_BITS, counts: DataFrame | None = None) -> None:
     """Write rows (doc_id, ids) to a new folder, in ascending order of doc_id.
 
     The folder holds ``code`` (id and code length: the canonical code follows from them), ``documents`` (one row each with
     the number of ids, the Huffman-coded payload and its checkpoints, in range partitions sorted by doc_id) and ``parts``
     (the ids before each partition). Rows are written by Spark, so a lost task leaves no half file. Null ids come first;
-    documents of one id stand in the order of their payloads. ``ids`` is read twice: stage it.
+    documents of one id stand in the order of a hash of their ids. ``ids`` is read more than once: stage it. ``counts``
+    (id, count) are those of all its ids where they are known. Ids are laid out before they are packed, so that each is
+    packed once.
 
     Only the counts, at most one for each id of the vocabulary, pass the driver.
     """
     spark = ids.sparkSession
-    found = id_counts(ids).collect()
-    counts = np.zeros(max((row["id"] for row in found), default=-1) + 1, np.int64)
+    found = (id_counts(ids) if counts is None else counts).collect()
+    totals = np.zeros(max((row["id"] for row in found), default=-1) + 1, np.int64)
     for row in found:
-        counts[row["id"]] = row["count"]
-    lengths = code_lengths(counts, most_bits)
+        totals[row["id"]] = row["count"]
+    lengths = code_lengths(totals, max(most_bits, (len(found) - 1).bit_length()))
     rows = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
     spark.createDataFrame(rows, "id bigint, bits int").coalesce(1).write.parquet(f"{path}/{_CODE}")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = Code(lengths)
+        code, part, before = Code(lengths), TaskContext.get().partitionId(), 0
         for batch in batches:
             raws = batch.column("ids").to_pylist()
             for group in _groups([len(raw) // 4 for raw in raws]):
                 some = raws[group]
-                ends = np.cumsum([len(raw) // 4 for raw in some])
+                sizes = np.array([len(raw) // 4 for raw in some], np.int64)
+                ends = sizes.cumsum()
                 payloads, points = pack(code, np.frombuffer(b"".join(some), "<u4").astype(np.int64), ends)
-                sizes = np.diff(ends, prepend=0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[group.start:group.stop], pa.array(sizes, pa.int64()),
-                     pa.array(payloads, pa.binary()), pa.array(points, pa.list_(pa.int64()))],
-                    ["doc_id", "n_tokens", "payload", "checkpoints"],
+                    [batch.column("doc_id")[group.start:group.stop], pa.array(sizes), pa.array(payloads, pa.binary()),
+                     pa.array(points, pa.list_(pa.int64())), pa.array(np.full(len(sizes), part)), pa.array(before + ends - sizes)],
+                    ["doc_id", "n_tokens", "payload", "checkpoints", "part", "before"],
                 )
+                before += int(ends[-1])
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            sizes = batch.column("n_tokens").to_numpy()
-            ends = before + np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.full(len(sizes), part), pa.int64()), pa.array(ends - sizes, pa.int64())],
-                [*batch.schema.names, "part", "before"],
-            )
-            before = int(ends[-1]) if len(ends) else before
-
-    fields = "doc_id bigint, n_tokens bigint, payload binary, checkpoints array<bigint>"
-    tie = F.xxhash64("payload")
-    laid = ids.mapInArrow(encode, fields).repartitionByRange(F.col("doc_id"), tie).sortWithinPartitions(
-        F.col("doc_id"), tie, F.col("n_tokens")
-    )
-    laid.mapInArrow(number, f"{fields}, part bigint, before bigint").write.parquet(f"{path}/{_DOCS}")
+    fields = "doc_id bigint, n_tokens bigint, payload binary, checkpoints array<bigint>, part bigint, before bigint"
+    rows = ids.select("doc_id", "ids", F.xxhash64("ids").alias("tie"))
+    laid = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids")
+    laid.select("doc_id", "ids").mapInArrow(encode, fields).write.parquet(f"{path}/{_DOCS}")
     sizes = spark.read.parquet(f"{path}/{_DOCS}").groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).collect()
     base, parts = 0, []
     for row in sorted(sizes, key=lambda r: r["part"]):  # one row for each partition written
@@ -166,4 +194,6 @@ def write_documents(
     docs: DataFrame, path: str, tokenizer_path: str, end_id: int, text: str = "text", doc_id: str = "doc_id"
 ) -> None:
     """Encode and write all documents; the ids are staged, as they are counted first and packed after."""
-    write_tokens(stage(token_ids(docs, tokenizer_path, end_id, text, doc_id), "ids"), path)
+    found = stage(token_ids(docs, tokenizer_path, end_id, text, doc_id, counted=True), "ids")
+    counts = unpacked_counts(found.select("counts").filter(F.col("counts").isNotNull()))
+    write_tokens(found.filter(F.col("counts").isNull()).select("doc_id", "ids"), path, counts=counts)

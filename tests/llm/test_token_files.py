@@ -1,6 +1,8 @@
+import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from brevia.llm import huffman, token_files
@@ -32,6 +34,47 @@ def test_unlimited_lengths_cost_as_much_as_huffman():
     assert (huffman.code_lengths(counts) * counts).sum() == cost
 
 
+def encoded(codec, texts):
+    ids, sizes = codec.encode(pa.array(texts, pa.string()))
+    return [some.tolist() for some in np.split(ids, sizes.cumsum()[:-1])] if len(sizes) else []
+
+
+def test_a_slice_of_a_batch_and_no_end_id():
+    texts = pa.array(["left out", "Hello there", None, "", " a  b ", "left out"])
+    with_end, bare = WordTokenizer(PATH, 7), WordTokenizer(PATH)
+    ids, sizes = with_end.encode(texts[1:5])
+    assert sizes.tolist()[1:3] == [1, 1] and ids[sizes.cumsum() - 1].tolist() == [7] * 4
+    plain, lengths = bare.encode(texts[1:5])
+    assert (lengths + 1 == sizes).all() and plain.tolist() == [i for i in ids.tolist() if i != 7]
+    assert encoded(with_end, []) == [] and bare.encode(pa.array([None], pa.string()))[1].tolist() == [0]
+
+
+def test_other_files_go_through_the_library(tmp_path):
+    from tokenizers import Tokenizer
+
+    with open(PATH, encoding="utf-8") as file:
+        said = json.load(file)
+    said["normalizer"]["normalizers"].pop()  # no lower case
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as file:
+        json.dump(said, file)
+    texts = ["Hello WORLD été", "", None, "a  B"]
+    library = Tokenizer.from_file(path)
+    expected = [library.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    codec = WordTokenizer(path, 1)
+    assert encoded(codec, texts) == expected != encoded(WordTokenizer(PATH, 1), texts) and not codec.by_words
+
+
+def test_counts_of_the_encoding_pass_are_those_of_all_ids(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} common {i}") for i in range(500)] + [(None, None)], "doc_id BIGINT, text STRING")
+    found = token_files.token_ids(docs, PATH, 1, counted=True).cache()
+    counts = token_files.unpacked_counts(found.select("counts").filter("counts IS NOT NULL"))
+    rows = found.filter("counts IS NULL").select("doc_id", "ids")
+    assert rows.count() == 501
+    assert {tuple(r) for r in counts.collect()} == {tuple(r) for r in token_files.id_counts(rows).collect()}
+    found.unpersist()
+
+
 def test_too_many_symbols():
     with pytest.raises(ValueError):
         huffman.code_lengths(np.ones(9, np.int64), 3)
@@ -75,9 +118,9 @@ def test_words_give_the_ids_of_the_whole_text(monkeypatch):
     monkeypatch.setattr(word_tokenizer, "KEPT_PIECES", 3)
     codec = WordTokenizer(PATH, 1)
     every = ["".join(chr(c) for c in range(32, 256)), *(f"a{chr(c)}B'{chr(c)}S" for c in range(1, 256))]
-    assert [np.frombuffer(ids, "<u4").tolist() for ids in codec.encode(every)] == whole(every)
+    assert encoded(codec, every) == whole(every)
     for _ in range(3):
-        assert [np.frombuffer(ids, "<u4").tolist() for ids in codec.encode(TEXTS)] == whole(TEXTS)
+        assert encoded(codec, TEXTS) == whole(TEXTS)
 
 
 def test_files_round_trip(spark):
