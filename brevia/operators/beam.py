@@ -164,25 +164,21 @@ def open_slots(state: DataFrame, position: int, n: int, memory: str = "slot") ->
     )
 
 
-def block_ngrams(n: int) -> tuple[str, str]:
-    """SQL for the n-grams of a slot's memory that a hypothesis could complete, counted, and for the candidates left to it:
-    those that neither repeat the last word nor complete a seen n-gram."""
+def blocked_ids(n: int) -> str:
+    """SQL for the ids that would complete an n-gram of a slot's memory after the ``prefix`` of its hypothesis."""
     if n == 2:
-        count = "size(filter(seen, g -> shiftright(g, 32) = prev))"
-    else:
-        count = "size(filter(seen, g -> startswith(g, prefix)))"
-    completed = "(prefix | cast(c.token_id AS bigint))" if n == 2 else "concat(prefix, cast(c.token_id AS string))"
-    return count, f"filter({{}}, c -> c.token_id <> prev AND NOT array_contains(seen, {completed}))"
+        return "transform(filter(seen, g -> shiftright(g, 32) = prev), g -> cast(g & 4294967295 AS int))"
+    return "transform(filter(seen, g -> startswith(g, prefix)), g -> cast(substring(g, length(prefix) + 1) AS int))"
 
 
 def _opened(state: DataFrame, position: int, n: int, memory: str) -> tuple[DataFrame, str, str]:
-    """``open_slots``, the number of candidates that are blocked at most, and the filter of the allowed ones."""
+    """``open_slots``, the number of candidates that are blocked at most, and the filter of the allowed ones: those that
+    neither repeat the last word nor complete a seen n-gram. The memory is gone through once for each hypothesis."""
     hyps = open_slots(state, position, n, memory)
     if n < 2 or position < n + 1:
         return hyps, "0", "{}"
-    count, allowed = block_ngrams(n)
-    hyps = hyps.selectExpr("*", f"{_gram_prefix(n, 'tokens')} AS prefix").selectExpr("*", f"1 + {count} AS blocked")
-    return hyps, "blocked", allowed
+    hyps = hyps.selectExpr("*", f"{_gram_prefix(n, 'tokens')} AS prefix").selectExpr("*", f"{blocked_ids(n)} AS banned")
+    return hyps, "1 + size(banned)", "filter({}, c -> c.token_id <> prev AND NOT array_contains(banned, c.token_id))"
 
 
 _PAGE = "array<struct<rank:int,token_id:int,log_prob:double,prob:double>>"
@@ -296,8 +292,9 @@ def merge_topk(extended: DataFrame, k: int, n: int = NGRAM_SIZE, backed: bool =
     gram = _gram(n, "heads[m.slot].tokens", "m.token_id")
     grams = "heads[m.slot].grams"
     if n > 1:
-        grams = f"""if(size(heads[m.slot].tokens) + 1 < {n} OR array_contains({grams}, {gram}), {grams},
-                       array_append({grams}, {gram}))"""
+        # Later on a hypothesis has no n-gram twice.
+        grams = f"""if(size(heads[m.slot].tokens) + 1 < {n} OR (
+            size(heads[m.slot].tokens) <= {n} AND array_contains({grams}, {gram})), {grams}, array_append({grams}, {gram}))"""
     beams = f"""transform({best}, (m, place) -> named_struct(
         'slot', place, 'tokens', array_append(heads[m.slot].tokens, m.token_id), 'score', m.total, 'grams', {grams},
         'parent', m.slot))"""
@@ -317,7 +314,7 @@ def beam_step(
 
 def beam_decode(
     seeds: DataFrame, scores: DataFrame | Scorer, length: int = SUMMARY_LENGTH, k: int = BEAM_WIDTH, n: int = NGRAM_SIZE,
-    memory: str = "slot", cut_every: int = 8, broadcast_rows: int | None = None, tail: DataFrame | None = None,
+    memory: str = "slot", cut_every: int = 4, broadcast_rows: int | None = None, tail: DataFrame | None = None,
     discount: float = DISCOUNT,
 ) -> DataFrame:
     """Decode every document to ``length`` positions. Finished hypotheses keep growing past their stop.

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from brevia.constants import BATCH_SIZE, CURRICULUM_STEPS, DOCUMENT_LENGTH, ENCODERS, STOP_WORD, SUMMARY_LENGTH, UNKNOWN_ID
+from brevia.constants import BATCH_SIZE, CURRICULUM_STEPS, DOCUMENT_LENGTH, ENCODERS, STOP_WORD, SUMMARY_LENGTH, UNKNOWN_ID, VOCABULARY_CAP
 from brevia.functions.sequences import pad_truncate, pad_whole
 from brevia.functions.text import tokenise, wrap_target
 from brevia.operators.batching import assign_batches, next_token_rows
@@ -99,9 +99,9 @@ def word_id(vocab: DataFrame, word: str) -> int:
     return vocab.filter(F.col("token") == word).first()["token_id"]
 
 
-def bigram_counts(words: DataFrame, vocab: DataFrame) -> DataFrame:
+def bigram_counts(words: DataFrame, vocab: DataFrame, cap: int = CAP) -> DataFrame:
     """``key, prev, token_id, n``: neighbouring words per language, also unknown ones. Pairs come from inside each row."""
-    ids = encode(words, vocab, cap=CAP, carry=("lang",)).select(F.col("lang").alias("key"), "ids")
+    ids = encode(words, vocab, cap=cap, carry=("lang",)).select(F.col("lang").alias("key"), "ids")
     rows = next_token_rows(ids, ["key"]).select("key", "prev", F.col("real").alias("token_id"))
     return rows.groupBy("key", "prev", "token_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -121,6 +121,14 @@ def scorer(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return vocab, stage(as_scores(bigram_counts(words, vocab)), "scores")
 
 
+def backed_scorer(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vocabulary at the default cap, staged next-word probabilities, and the words' own frequencies to back them off."""
+    words = lines_tokens(spark, sf_dir)
+    vocab = stage(fit_vocab(words, VOCABULARY_CAP), "vocabulary")
+    tail = vocab.crossJoin(F.broadcast(vocab.agg(F.sum("n").alias("total")))).select("token_id", (F.col("n") / F.col("total")).alias("prob"))
+    return vocab, stage(as_scores(bigram_counts(words, vocab, VOCABULARY_CAP)), "scores"), tail
+
+
 def trigram_scorer(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """Vocabulary and a scorer of the last two words of a hypothesis; at its start, of the last word."""
     words = lines_tokens(spark, sf_dir)
@@ -151,10 +159,10 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bigram_counts(words, fit_vocab(words, CAP))
 
 
-def seeds(spark: SparkSession, sf_dir: str, vocab: DataFrame) -> DataFrame:
+def seeds(spark: SparkSession, sf_dir: str, vocab: DataFrame, cap: int = CAP) -> DataFrame:
     """``doc_id, key, prev``: each document with words in its summary starts from the last of them."""
     words = tokens(corpus(spark, sf_dir), F.col("abstracts"), "lang")
-    ids = encode(words, vocab, cap=CAP, carry=("lang",))
+    ids = encode(words, vocab, cap=cap, carry=("lang",))
     last = ids.select("doc_id", F.col("lang").alias("key"), F.get("ids", F.size("ids") - 1).alias("prev"))
     return last.filter(F.col("prev").isNotNull())
 

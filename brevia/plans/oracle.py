@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from brevia.constants import FILTER_CHARS
+from brevia.constants import BEAM_WIDTH, FILTER_CHARS, SUMMARY_LENGTH, VOCABULARY_CAP
+from brevia.operators.beam import DISCOUNT
 from brevia.plans import fixtures as fx
 
 ORACLE: dict[str, str] = {}
@@ -23,7 +24,7 @@ def _words(expression: str, mode: str = "filters") -> str:
     return f"list_filter(string_split({stripped}, ' '), lambda x: x <> '')"
 
 
-def _with(*parts: str) -> str:
+def _with(*parts: str, recursive: bool = False) -> str:
     """WITH clause over the named parts and all they need, each once."""
     names: list[str] = []
 
@@ -35,7 +36,7 @@ def _with(*parts: str) -> str:
 
     for part in parts:
         add(part)
-    return "WITH " + ",\n".join(f"{name} AS MATERIALIZED ({_PARTS[name]})" for name in names) + "\n"
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(f"{name} AS MATERIALIZED ({_PARTS[name]})" for name in names) + "\n"
 
 
 _PARTS: dict[str, str] = {}
@@ -399,6 +400,69 @@ def _beam_parts(prefix: str, length: int, ranked: str, at_start: str = "", at_st
 
 _beam_parts("", fx.BEAM_LENGTH, "ranked")
 _beam_parts("scored_", fx.SCORED_LENGTH, "ranked_trigrams", "AND r.first = 0", "AND r.first = o.tokens[-2]")
+# Decoding at the defaults by recursion over positions; a row holds one hypothesis and its slot's n-grams.
+_part("wide_vocab", f"SELECT * FROM line_all WHERE token_id < {VOCABULARY_CAP}", "line_all")
+_encoded("wide_lines", "line", "wide_vocab", None)
+_encoded("wide_start", "bare", "wide_vocab", None)
+_part("wide_ranked", """
+  SELECT key, prev, token_id, prob, row_number() OVER (PARTITION BY key, prev ORDER BY prob DESC, token_id) AS rank FROM
+  (SELECT key, prev, token_id, n / sum(n) OVER (PARTITION BY key, prev) AS prob FROM
+   (SELECT lang AS key, prev, token_id, count(*) AS n FROM
+    (SELECT lang, token_id AS prev, lead(token_id) OVER (PARTITION BY doc_id ORDER BY pos) AS token_id FROM wide_lines_long)
+    WHERE token_id IS NOT NULL GROUP BY ALL))""", "wide_lines_long")
+_part("wide_tail", f"""
+  SELECT token_id, n / sum(n) OVER () * CAST({DISCOUNT} AS DOUBLE) AS prob,
+         row_number() OVER (ORDER BY n DESC, token_id) AS rank FROM wide_vocab""", "wide_vocab")
+
+
+def _candidates(hyps: str, reach: str) -> str:
+    """Candidates of each hypothesis of a table up to a rank: its own ones and those of the tail, each once."""
+    return f"""
+    SELECT doc_id, slot, token_id, max(prob) AS prob FROM (
+      SELECT h.doc_id, h.slot, r.token_id, r.prob FROM {hyps} h JOIN wide_ranked r ON r.key = h.key AND r.prev = h.prev
+      WHERE r.rank <= {reach}
+      UNION ALL SELECT h.doc_id, h.slot, t.token_id, t.prob FROM {hyps} h JOIN wide_tail t ON t.rank <= {reach})
+    GROUP BY doc_id, slot, token_id"""
+
+
+def _recursion(k: int, length: int) -> str:
+    """Decoding with n-grams of two words, written as prev * 2^32 + next."""
+    return f"""
+first AS MATERIALIZED (
+  SELECT doc_id, lang AS key, ids[-1] AS prev, 0 AS slot FROM wide_start_ids WHERE len(ids) > 0),
+begun AS MATERIALIZED (
+  SELECT f.doc_id, f.key, c.token_id, c.prob, f.prev,
+         row_number() OVER (PARTITION BY f.doc_id ORDER BY c.prob DESC, c.token_id) - 1 AS place
+  FROM first f JOIN ({_candidates('first', str(k))}) c USING (doc_id) QUALIFY place < {k}),
+decoded(doc_id, slot, parent, key, position, prev, tokens, score, grams, seen) USING KEY (doc_id, slot) AS (
+  SELECT doc_id, place, place, key, 2, token_id, [prev, token_id], ln(prob), [prev::BIGINT * 4294967296 + token_id],
+         CAST([] AS BIGINT[])
+  FROM begun
+  UNION
+  (WITH opened AS MATERIALIZED (
+    SELECT *, list_transform(list_filter(met, lambda g: g >> 32 = prev AND position > 2), lambda g: g & 4294967295) AS banned,
+           CASE WHEN position > 2 THEN 1 + len(list_filter(met, lambda g: g >> 32 = prev)) ELSE 0 END AS blocked FROM
+    (SELECT *, CASE WHEN position <= 2 THEN seen
+                    WHEN position > 3 AND parent = slot THEN list_append(seen, grams[-1])
+                    ELSE list_distinct(list_concat(seen, grams)) END AS met
+     FROM decoded WHERE position < {length})),
+  found AS ({_candidates('opened', f'h.blocked + {k}')}),
+  best AS (
+    SELECT o.doc_id, o.slot, f.token_id, o.score + ln(f.prob) AS total,
+           row_number() OVER (PARTITION BY o.doc_id, o.slot ORDER BY f.prob DESC, f.token_id) AS col
+    FROM found f JOIN (SELECT doc_id, slot, score, prev, blocked, banned FROM opened) o
+    ON o.doc_id = f.doc_id AND o.slot = f.slot
+    WHERE o.blocked = 0 OR (f.token_id <> o.prev AND NOT list_contains(o.banned, f.token_id))
+    QUALIFY col <= {k}),
+  merged AS (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(total, 9) DESC, slot, col) - 1 AS place FROM best
+    QUALIFY place < {k})
+  SELECT m.doc_id, m.place, m.slot, p.key, p.position + 1, m.token_id, list_append(p.tokens, m.token_id), m.total,
+         list_append(p.grams, p.prev::BIGINT * 4294967296 + m.token_id), o.met
+  FROM merged m JOIN opened p ON p.doc_id = m.doc_id AND p.slot = m.slot
+  JOIN opened o ON o.doc_id = m.doc_id AND o.slot = m.place))"""
+
+
 _BEAM = "SELECT doc_id, CAST(slot AS INTEGER) AS slot, {} AS tokens, round(score, 6) AS score FROM {}".format
 ORACLE["beam_seed"] = _with("beams_2") + _BEAM(_JOIN("tokens"), "beams_2")
 ORACLE["beam_step"] = _with("beams_3") + _BEAM(_JOIN("tokens"), "beams_3")
@@ -412,6 +476,9 @@ UNION ALL SELECT c.doc_id, NULL, NULL, NULL,
 FROM corpus c LEFT JOIN seeds s USING (doc_id) WHERE c.doc_id NOT IN (SELECT doc_id FROM {_SCORED})"""
 _LAST = f"beams_{fx.BEAM_LENGTH}"
 ORACLE["beam_decode"] = _with(_LAST) + _BEAM(_JOIN("tokens"), _LAST)
+ORACLE["beam_decode_default"] = _with("wide_start_ids", "wide_ranked", "wide_tail", recursive=True).rstrip() + "," + _recursion(
+    BEAM_WIDTH, SUMMARY_LENGTH) + f"""
+SELECT doc_id, CAST(slot AS INTEGER) AS slot, {_JOIN('tokens')} AS tokens, round(score, 5) AS score FROM decoded"""
 ORACLE["ngram_memory"] = _with("open_4") + """
 SELECT doc_id, CAST(slot AS INTEGER) AS slot, array_to_string(list_sort(seen), '|') AS seen FROM open_4"""
 ORACLE["topk_per_hypothesis"] = _with("best_4") + """

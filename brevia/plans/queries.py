@@ -613,6 +613,14 @@ def beam_decode(spark, sf_dir):
     return _beams(_decoder(spark, sf_dir, fx.BEAM_LENGTH))
 
 
+@query
+def beam_decode_default(spark, sf_dir):
+    """Every document decoded at the default length, width and vocabulary, its scores backed off."""
+    vocab, scores, tail = fx.backed_scorer(spark, sf_dir)
+    state = beam.beam_decode(fx.seeds(spark, sf_dir, vocab, fx.VOCABULARY_CAP), scores, tail=tail)
+    return _beams(state, 5)
+
+
 @query
 def beam_decode_large(spark, sf_dir):
     """Candidates joined by key, as if they were too many to broadcast."""
