@@ -32,16 +32,18 @@ def _groups(sizes: list[int], limit: int = GROUP) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-def _binaries(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """Sequences laid end to end as an array of little-endian unsigned 32-bit ids."""
-    ends = np.concatenate([[0], 4 * sizes.cumsum()]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4"))])
+def _binaries(ids: np.ndarray, sizes: np.ndarray, width: int) -> pa.Array:
+    """Sequences laid end to end as an array of little-endian unsigned ids of so many bytes."""
+    ends = np.concatenate([[0], width * sizes.cumsum()]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype(f"<u{width}"))])
 
 
 def token_ids(
-    docs: DataFrame, tokenizer_path: str, end_id: int, text: str = "text", doc_id: str = "doc_id", counted: bool = False
+    docs: DataFrame, tokenizer_path: str, end_id: int, text: str = "text", doc_id: str = "doc_id", counted: bool = False,
+    width: int = 4,
 ) -> DataFrame:
-    """(doc_id, ids): ids of each whole text and the end id, little-endian unsigned 32 bit; a null text is empty.
+    """(doc_id, ids): ids of each whole text and the end id, little-endian unsigned, ``width`` bytes each; a null text is
+    empty.
 
     With ``counted`` the rows have a third column, null but for one more row of each task: it holds the counts of all ids in
     the task's texts, little-endian signed 64 bit, in the order of the ids.
@@ -55,7 +57,7 @@ def token_ids(
             texts = batch.column("text")
             for group in _groups(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), TEXT_GROUP):
                 ids, sizes = codec.encode(texts[group.start:group.stop])
-                columns = [batch.column("doc_id")[group.start:group.stop], _binaries(ids, sizes)]
+                columns = [batch.column("doc_id")[group.start:group.stop], _binaries(ids, sizes, width)]
                 if counted:
                     found = np.bincount(ids, minlength=len(counts))
                     found[: len(counts)] += counts
@@ -87,15 +89,15 @@ def unpacked_counts(counts: DataFrame) -> DataFrame:
     return _summed(counts.mapInArrow(work, "id bigint, count bigint"))
 
 
-def id_counts(ids: DataFrame) -> DataFrame:
+def id_counts(ids: DataFrame, width: int = 4) -> DataFrame:
     """(id, count) over all rows of ``ids``; each task sends one row for each id it has seen."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in batches:
             raws = batch.column("ids").to_pylist()
-            for group in _groups([len(raw) // 4 for raw in raws]):
-                found = np.bincount(np.frombuffer(b"".join(raws[group]), "<u4"), minlength=len(counts))
+            for group in _groups([len(raw) // width for raw in raws]):
+                found = np.bincount(np.frombuffer(b"".join(raws[group]), f"<u{width}"), minlength=len(counts))
                 found[: len(counts)] += counts
                 counts = found
         used = np.flatnonzero(counts)
@@ -104,8 +106,8 @@ def id_counts(ids: DataFrame) -> DataFrame:
     return _summed(ids.select("ids").mapInArrow(work, "id bigint, count bigint"))
 
 
-def write_tokens(ids: DataFrame, path: str, most_bits: int = MOST_BITS, counts: DataFrame | None = None) -> None:
-    """Write rows (doc_id, ids) to a new folder, in ascending order of doc_id.
+def write_tokens(ids: DataFrame, path: str, most_bits: int = MOST_BITS, counts: DataFrame | None = None, width: int = 4) -> None:
+    """Write rows (doc_id, ids) to a new folder, in ascending order of doc_id; ids are ``width`` bytes each.
 
     The folder holds ``code`` (id and code length: the canonical code follows from them), ``documents`` (one row each with
     the number of ids, the Huffman-coded payload and its checkpoints, in range partitions sorted by doc_id) and ``parts``
@@ -117,7 +119,7 @@ def write_tokens(ids: DataFrame, path: str, most_bits: int = MOST_BITS, counts:
     Only the counts, at most one for each id of the vocabulary, pass the driver.
     """
     spark = ids.sparkSession
-    found = (id_counts(ids) if counts is None else counts).collect()
+    found = (id_counts(ids, width) if counts is None else counts).collect()
     totals = np.zeros(max((row["id"] for row in found), default=-1) + 1, np.int64)
     for row in found:
         totals[row["id"]] = row["count"]
@@ -129,11 +131,11 @@ def write_tokens(ids: DataFrame, path: str, most_bits: int = MOST_BITS, counts:
         code, part, before = Code(lengths), TaskContext.get().partitionId(), 0
         for batch in batches:
             raws = batch.column("ids").to_pylist()
-            for group in _groups([len(raw) // 4 for raw in raws]):
+            for group in _groups([len(raw) // width for raw in raws]):
                 some = raws[group]
-                sizes = np.array([len(raw) // 4 for raw in some], np.int64)
+                sizes = np.array([len(raw) // width for raw in some], np.int64)
                 ends = sizes.cumsum()
-                payloads, points = pack(code, np.frombuffer(b"".join(some), "<u4").astype(np.int64), ends)
+                payloads, points = pack(code, np.frombuffer(b"".join(some), f"<u{width}").astype(np.int64), ends)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[group.start:group.stop], pa.array(sizes), pa.array(payloads, pa.binary()),
                      pa.array(points, pa.list_(pa.int64())), pa.array(np.full(len(sizes), part)), pa.array(before + ends - sizes)],
@@ -193,7 +195,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def write_documents(
     docs: DataFrame, path: str, tokenizer_path: str, end_id: int, text: str = "text", doc_id: str = "doc_id"
 ) -> None:
-    """Encode and write all documents; the ids are staged, as they are counted first and packed after."""
-    found = stage(token_ids(docs, tokenizer_path, end_id, text, doc_id, counted=True), "ids")
+    """Encode and write all documents; the ids are staged, as they are counted first and packed after, in two bytes where
+    the vocabulary allows it."""
+    width = 2 if max(end_id, tokenizer(tokenizer_path, end_id).most_id) < 1 << 16 else 4
+    found = stage(token_ids(docs, tokenizer_path, end_id, text, doc_id, counted=True, width=width), "ids")
     counts = unpacked_counts(found.select("counts").filter(F.col("counts").isNotNull()))
-    write_tokens(found.filter(F.col("counts").isNull()).select("doc_id", "ids"), path, counts=counts)
+    write_tokens(found.filter(F.col("counts").isNull()).select("doc_id", "ids"), path, counts=counts,
+                 width=width)

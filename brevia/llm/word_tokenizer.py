@@ -71,7 +71,7 @@ class WordTokenizer:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.end = end_id
+        self.end, self.most_id = end_id, max(self.tokenizer.get_vocab().values(), default=0)
         with open(path, encoding="utf-8") as file:
             said = json.load(file)
         self.by_words = all(said.get(name) == value for name, value in _MADE_FOR.items())
@@ -80,8 +80,10 @@ class WordTokenizer:
         self.long: list[str] = []  # pieces to be forgotten
 
     def _plain_word(self, text: str) -> bytes:
-        known = self.pieces
-        pieces = PIECES.findall(text.lower())
+        known, text = self.pieces, text.lower()
+        if text in known:
+            return known[text]
+        pieces = [text] if text.isascii() and text.isalpha() else PIECES.findall(text)
         for piece in pieces:
             if piece not in known:
                 letters = piece if piece.isascii() and piece.isprintable() else piece.translate(self.letters)
@@ -91,7 +93,7 @@ class WordTokenizer:
                     self.long.append(piece)
         return b"".join([known[piece] for piece in pieces])
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
         """The ids of new words."""
         learnt, others = {}, []
         for word in words:
@@ -106,9 +108,12 @@ class WordTokenizer:
 
     def _word_ids(self, words: list[str]) -> list[bytes]:
         """The ids of different words, as they are kept; long ones, and all if there are too many, are forgotten after."""
-        learnt = self._learn({word for word in words if word not in self.words})
+        found = [*map(self.words.get, words)]
+        new = [at for at, ids in enumerate(found) if ids is None]
+        learnt = self._learn([words[at] for at in new])
+        for at in new:
+            found[at] = learnt[words[at]]
         self.words.update(learnt)
-        found = [self.words[word] for word in words]
         long = [word for word in learnt if len(word) > KEPT_BYTES]
         for kept, most, some in ((self.words, KEPT_WORDS, long), (self.pieces, KEPT_PIECES, self.long)):
             if len(kept) > most:
@@ -133,7 +138,7 @@ class WordTokenizer:
         else:
             lists = pc.ascii_split_whitespace(texts)
             words = lists.flatten().dictionary_encode()
-            known = self._word_ids(words.dictionary.to_pylist())
+            known = self._word_ids(words.dictionary.to_numpy(zero_copy_only=False).tolist())
             table = np.frombuffer(b"".join(known), "<u4")
             lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
             begins, number = lengths.cumsum() - lengths, words.indices.to_numpy()
