@@ -24,7 +24,22 @@ def _head(vocab: DataFrame, most_words: int | None = None) -> DataFrame:
     return short.withColumn("_bytes", running).filter(F.col("_bytes") <= BROADCAST_BYTES).drop("_bytes")
 
 
-def lookup(items: DataFrame, vocab: DataFrame, on: str, most_words: int | None = None) -> DataFrame:
+def _small(vocab: DataFrame, most_words: int | None = None) -> bool:
+    """Whether a vocabulary may be broadcast as a whole."""
+    limit = BROADCAST_WORDS if most_words is None else most_words
+    return fits_broadcast(vocab, ("token",), limit, BROADCAST_BYTES)
+
+
+def _numbered(rows: DataFrame, small: bool) -> DataFrame:
+    """The rows with a number of their own in ``_row``. A large vocabulary reads them more than once: they are staged, so that
+    a row has one number however its tasks are laid out when they run again."""
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    return numbered if small else stage(numbered, "numbered")
+
+
+def lookup(
+    items: DataFrame, vocab: DataFrame, on: str, most_words: int | None = None, small: bool | None = None
+) -> DataFrame:
     """Left join of ``items`` with the vocabulary on ``token`` or ``token_id``.
 
     A vocabulary that is checked to be small, at most ``most_words`` (or the default), is broadcast. A larger one is taken in two parts: its most frequent words,
@@ -32,8 +47,7 @@ def lookup(items: DataFrame, vocab: DataFrame, on: str, most_words: int | None =
     words, and where a frequent one is new to the vocabulary its items are split. Items without a key meet nothing and
     are not shuffled.
     """
-    limit = BROADCAST_WORDS if most_words is None else most_words
-    if fits_broadcast(vocab, ("token",), limit, BROADCAST_BYTES):
+    if _small(vocab, most_words) if small is None else small:
         return items.join(F.broadcast(vocab), on, "left")
     head = stage(_head(vocab, most_words), "head")
     tail = vocab.join(F.broadcast(head.select("token_id")), "token_id", "left_anti").select(*vocab.columns)
@@ -67,9 +81,11 @@ def encode_long(
     tail out of it. A document without words gives one row without position and id. ``_row`` tells rows of one key apart.
     """
     kept = F.slice(words, 1, length) if length is not None else F.col(words)
-    numbered = tokens.select(F.col(key), *carry, F.monotonically_increasing_id().alias("_row"), kept.alias("_words"))
+    known = _ids_below(vocab, cap)
+    small = _small(known, most_words)
+    numbered = _numbered(tokens.select(F.col(key), *carry, kept.alias("_words")), small)
     placed = numbered.select(key, *carry, "_row", F.posexplode_outer("_words").alias("pos", "token"))
-    found = lookup(placed, _ids_below(vocab, cap), "token", most_words)
+    found = lookup(placed, known, "token", most_words, small)
     token_id = F.when(F.col("pos").isNotNull(), F.coalesce("token_id", F.lit(UNKNOWN_ID))).cast("int")
     return found.select(key, *carry, "_row", "pos", token_id.alias("token_id"))
 
@@ -106,11 +122,13 @@ def decode(
 ) -> DataFrame:
     """The text of each id sequence, words joined by a space. Padding and ids outside the vocabulary or cap give the
     unknown word."""
-    numbered = sequences.select(F.col(key), F.monotonically_increasing_id().alias("_row"), F.col(ids).alias("_ids"))
+    known = _ids_below(vocab, cap)
+    small = _small(known)
+    numbered = _numbered(sequences.select(F.col(key), F.col(ids).alias("_ids")), small)
     placed = numbered.select(key, "_row", F.posexplode_outer("_ids").alias("pos", "token_id"))
     # Reserved ids are never in the vocabulary; without a key they are not looked up.
     placed = placed.withColumn("token_id", F.when(F.col("token_id") >= FIRST_WORD_ID, F.col("token_id")))
-    found = lookup(placed, _ids_below(vocab, cap), "token_id")
+    found = lookup(placed, known, "token_id", small=small)
     token = F.coalesce("token", F.lit(UNKNOWN_WORD))
     entries = F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", token.alias("token"))))
     ordered = F.transform(F.sort_array(entries), lambda x: x["token"])

@@ -149,3 +149,17 @@ def test_frequent_word_new_to_the_vocabulary(spark, tokens, monkeypatch):
     fresh = spark.createDataFrame(list(texts.items()), "doc_id BIGINT, tokens ARRAY<STRING>")
     found = dict(encoding.encode(fresh, vocab).collect())
     assert found == {i: models.encode(t, model) for i, t in texts.items()}
+
+
+def test_rows_keep_their_number_in_another_layout(spark):
+    """A large vocabulary reads the rows more than once. Their layout differs each time here: a row must stay one row."""
+    from brevia.operators import encoding
+    from pyspark.sql import functions as F
+
+    rows = spark.range(400).select((F.col("id") % 100).alias("doc_id"), F.expr(
+        "array('common', concat('rare', id), 'common', concat('rare', id + 1))").alias("tokens"))
+    vocab = spark.range(500).select(F.when(F.col("id") == 0, "common").otherwise(F.concat(F.lit("rare"), F.col("id"))).alias(
+        "token"), (F.col("id") + 2).cast("int").alias("token_id"))
+    moved = rows.withColumn("_r", F.rand()).repartition(7, "_r").drop("_r")  # another layout each time it is read
+    found = encoding.encode(moved, vocab, most_words=10).collect()
+    assert len(found) == 400 and all(len(r.ids) == 4 and r.ids[0] == r.ids[2] == 2 for r in found)
