@@ -341,6 +341,8 @@ JOIN (SELECT epoch, step, round(100 * sum(correct) OVER (ORDER BY epoch, step)
                                 / sum(positions) OVER (ORDER BY epoch, step), 4) AS accuracy FROM hits) a
 USING (epoch, step)"""
 
+ORACLE["metrics_rewritten"] = ORACLE["metrics_sink"]
+
 ORACLE["epoch_report"] = _with("losses", "hits") + """
 SELECT l.epoch, l.loss, l.batches, a.accuracy
 FROM (SELECT epoch, round(avg(loss), 6) AS loss, count(*) AS batches FROM losses GROUP BY epoch) l
@@ -522,6 +524,11 @@ ORACLE["summarise"] = _with("summaries") + "SELECT num, generated, error FROM su
 ORACLE["write_pairs"] = _with("summaries") + f"""
 SELECT num, tag, {_NAME} || '_' || tag || '.txt' AS name, CASE WHEN tag = 'encoder' THEN gold ELSE generated END AS text
 FROM summaries, (VALUES ('encoder'), ('decoder')) t(tag) WHERE error IS NULL"""
+ORACLE["committed_runs"] = _with("corpus") + f"""
+SELECT num, tag, {_NAME} || '_' || tag || '.txt' AS name, CASE WHEN tag = 'encoder' THEN gold ELSE generated END AS text
+FROM (SELECT doc_id + 999000 AS num, abstracts AS gold,
+             CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'again ' ELSE '' END || lang AS generated
+      FROM corpus), (VALUES ('encoder'), ('decoder')) t(tag)"""
 ORACLE["route_failures"] = _with(_SCORED, "seeds", "corpus") + f"""
 SELECT num, {_NAME} AS name, doc, gold, error FROM
 (SELECT c.doc_id + 999000 AS num, articles AS doc, abstracts AS gold,

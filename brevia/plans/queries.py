@@ -561,7 +561,22 @@ def metrics_sink(spark, sf_dir):
     path = staged_path(spark, "report")
     metrics_report = metrics.curriculum_report(metrics.batch_loss(preds), preds)
     results.write_metrics(metrics_report, path)
-    return spark.read.parquet(path).select(
+    return results.read_metrics(spark, path, ("epoch", "step")).select(
+        "epoch", "step", F.round("loss", 6).alias("loss"), "batches", F.round("accuracy", 4).alias("accuracy")
+    )
+
+
+@query
+def metrics_rewritten(spark, sf_dir):
+    """An epoch that ran twice and one whose run stopped before its commit: each epoch and step has one row."""
+    preds = stage(fx.predictions(spark, sf_dir), "predictions")
+    path = staged_path(spark, "report")
+    report = stage(metrics.curriculum_report(metrics.batch_loss(preds), preds), "report")
+    first = report.withColumns({"loss": F.lit(-1.0), "batches": F.lit(0).cast("bigint")})
+    results.write_metrics(first, path)
+    first.write.parquet(f"{path}/{results.RUN}=stopped")
+    results.write_metrics(report, path)
+    return results.read_metrics(spark, path, ("epoch", "step")).select(
         "epoch", "step", F.round("loss", 6).alias("loss"), "batches", F.round("accuracy", 4).alias("accuracy")
     )
 
@@ -745,6 +760,22 @@ def write_pairs(spark, sf_dir):
     return results.read_pairs(spark, path).select("num", "tag", "name", "text")
 
 
+@query
+def committed_runs(spark, sf_dir):
+    """Texts of two committed runs, the second one for good documents only, and of one that stopped; then compacted."""
+    path = staged_path(spark, "pairs")
+    documents = fx.pairs(spark, sf_dir).select(
+        (F.col("doc_id") + NUMBER_OFFSET).alias("num"), F.col("abstracts").alias("gold"), F.col("lang").alias("generated"))
+    good = fx.done_rows(spark, sf_dir, NUMBER_OFFSET).filter(F.col("tag") == results.GENERATED_TAG)
+    results.write_pairs(documents, path)
+    again = documents.join(good, "num", "left_semi")
+    results.write_pairs(again.withColumn("generated", F.concat(F.lit("again "), "generated")), path)
+    stopped = results.pair_rows(documents.withColumn("generated", F.lit("stopped")))
+    stopped.write.partitionBy("tag").parquet(f"{path}/{results.RUN}=stopped")
+    results.compact_pairs(spark, path)
+    return results.read_pairs(spark, path)
+
+
 @query
 def summarise_resumed(spark, sf_dir):
     """A second run over the folder of one that stopped: documents without both texts there are decoded, and what they

@@ -21,8 +21,8 @@ def test_pairs_and_restart(spark, tmp_path):
     path = str(tmp_path / "pairs")
     docs = spark.createDataFrame([(n, f"g{n}", f"s{n}") for n in range(4)], "num INT, gold STRING, generated STRING")
     results.write_pairs(docs.filter("num < 2"), path)
-    spark.createDataFrame([(2, "encoder", "g2", "x")], "num INT, tag STRING, text STRING, name STRING").write.mode(
-        "append").partitionBy("tag").parquet(path)
+    spark.createDataFrame([(2, "encoder", "g2", "x")], "num INT, tag STRING, text STRING, name STRING").write.partitionBy(
+        "tag").parquet(f"{path}/{results.RUN}=other")
     done = spark.read.parquet(path)
     assert sorted(r.num for r in results.pending(docs, done).collect()) == [2, 3]
     texts = {(r.num, r.tag): (r.text, r.name) for r in done.collect()}
@@ -175,14 +175,16 @@ def test_summaries_written_again_replace_the_earlier_ones(spark, tmp_path):
     assert [(r.num, r.error) for r in still] == [(7, "second")]
 
 
-def test_only_a_missing_folder_counts_as_empty(spark, tmp_path):
-    from pyspark.errors import AnalysisException
-
-    broken = tmp_path / "broken"
-    broken.mkdir()
-    with pytest.raises(AnalysisException):
-        results.write_texts(spark.createDataFrame([(1, "encoder", "t", "n")], "num INT, tag STRING, text STRING, name STRING"),
-                            str(broken))
+def test_only_a_missing_manifest_counts_as_empty(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "encoder", "t", "n")], "num INT, tag STRING, text STRING, name STRING")
+    (tmp_path / "empty").mkdir()
+    results.write_texts(rows, str(tmp_path / "empty"))
+    assert results.read_pairs(spark, str(tmp_path / "empty")).count() == 1
+    broken = tmp_path / "broken" / "_runs"
+    broken.mkdir(parents=True)
+    (broken / "part.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception, match="part.parquet"):
+        results.read_pairs(spark, str(broken.parent))
 
 
 def test_streams_with_checkpoints_of_their_own_share_a_sink(spark, tmp_path):
@@ -294,3 +296,53 @@ def test_sliced_and_curriculum_rows(spark, pairs, tmp_path):
         (r for r in steps if (r.epoch, r.step) == (e, s)), key=lambda r: (r.batch, r.place))) for e in (1, 2) for s in (1, 2, 3)}
     assert len(set(orders.values())) == 6
     assert all(not any(r.target[2 * r.step:]) for r in steps) and all(not any(r.input[3 * r.step:]) for r in steps)
+
+
+def _texts(spark, rows):
+    return spark.createDataFrame([(*r, "n") for r in rows], "num INT, tag STRING, text STRING, name STRING")
+
+
+def test_runs_count_once_committed_and_stay_right_when_compacted(spark, tmp_path):
+    path = str(tmp_path / "pairs")
+    assert results.read_pairs(spark, path).collect() == [] and results.compact_pairs(spark, path) == 0
+    _texts(spark, [(1, "encoder", "stopped")]).write.partitionBy("tag").parquet(f"{path}/{results.RUN}=z")
+    assert results.read_pairs(spark, path).collect() == []
+    results.write_texts(_texts(spark, []), path)
+    assert results.read_pairs(spark, path).collect() == []
+    for text, nums in (("first", (1, 2, 3)), ("second", (2, 3)), ("third", (3,))):
+        results.write_texts(_texts(spark, [(n, "encoder", text) for n in nums]), path)
+
+    def found():
+        return sorted((r.num, r.text) for r in results.read_pairs(spark, path).collect())
+
+    expected = [(1, "first"), (2, "second"), (3, "third")]
+    assert found() == expected
+    assert results.compact_pairs(spark, path) == 4 and found() == expected
+    assert len(results._committed(spark, path)) == 1
+    results.write_texts(_texts(spark, [(1, "encoder", "fourth")]), path)
+    assert found() == [(1, "fourth"), *expected[1:]]
+    assert results.compact_pairs(spark, path) == 2 and found() == [(1, "fourth"), *expected[1:]]
+
+
+def test_a_run_committed_during_a_compaction_stays(spark, tmp_path):
+    path = str(tmp_path / "pairs")
+    for text in ("a", "b"):
+        results.write_texts(_texts(spark, [(1, "encoder", text), (2, "encoder", text)]), path)
+    runs = results._committed(spark, path)
+    results.write_texts(_texts(spark, [(1, "encoder", "c")]), path)
+    last = results._latest(results._stored(spark, path, runs), ["num", "tag"])
+    results._write_run(last, path, ("tag",), runs)
+    assert sorted((r.num, r.text) for r in results.read_pairs(spark, path).collect()) == [(1, "c"), (2, "b")]
+
+
+def test_runs_with_new_columns_and_with_other_types(spark, tmp_path):
+    path = str(tmp_path / "report")
+    results.write_metrics(spark.createDataFrame([(1, 0.5), (2, 0.4)], "epoch INT, loss DOUBLE"), path)
+    results.write_metrics(spark.createDataFrame([(2, 0.3, 90.0)], "epoch INT, loss DOUBLE, accuracy DOUBLE"), path)
+    rows = results.read_metrics(spark, path).orderBy("epoch").collect()
+    assert list(map(tuple, rows)) == [(1, 0.5, None), (2, 0.3, 90.0)]
+    results.write_metrics(spark.createDataFrame([("3", 0.1)], "epoch STRING, loss DOUBLE"), path)
+    with pytest.raises(ValueError, match="type of epoch"):
+        results.read_metrics(spark, path)
+    with pytest.raises(ValueError, match="names the run"):
+        results.write_metrics(spark.createDataFrame([(1, "x")], "epoch INT, run_id STRING"), path)
