@@ -557,6 +557,7 @@ ORACLE["training_set"] = _with("batches", "doc_padded", "sum_padded") + f"""
 SELECT epoch, CAST(spot // {fx.BATCH_SIZE} AS BIGINT) AS batch, CAST(spot % {fx.BATCH_SIZE} AS INTEGER) AS place,
        b.doc_id, {_JOIN('d.ids')} AS input, {_JOIN('s.ids')} AS target
 FROM batches b JOIN doc_padded d USING (doc_id) JOIN sum_padded s USING (doc_id)"""
+ORACLE["batches_laid_out"] = ORACLE["training_set"]
 
 # Files that arrive, and what is left out of them
 ORACLE["corpus_rejected"] = _with("corpus") + """,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -12,7 +13,7 @@ from brevia.operators import batching, beam, encoding, metrics, repeats, vocabul
 from brevia.operators.joins import fits_broadcast
 from brevia.plans import fixtures as fx, summaries, training
 from brevia.session import stage, staged_path
-from brevia.sources import corpus as source, results, vocabulary as stored
+from brevia.sources import batches, corpus as source, results, vocabulary as stored
 from brevia.streaming.incremental import encode_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -435,6 +436,20 @@ def training_set(spark, sf_dir):
     )
 
 
+@query
+def batches_laid_out(spark, sf_dir):
+    """The training set laid out by batch, and each epoch read back from its files in two ranges of batches."""
+    settings, path = _settings(), staged_path(spark, "batches")
+    encoded = training.prepare(fx.corpus(spark, sf_dir), staged_path(spark, "vocabularies"), settings)
+    training.lay_out(encoded, path, settings, file_batches=2)
+    halves = {row["epoch"]: row["batches"] // 2 for row in batches.batch_counts(spark, path).collect()}
+    ranges = [(e, *r) for e, half in sorted(halves.items()) for r in ((0, half - 1), (half, None))]
+    rows = functools.reduce(DataFrame.unionByName, (batches.read_batches(spark, path, *r) for r in ranges))
+    return rows.select(
+        "epoch", "batch", "place", "doc_id", joined("input").alias("input"), joined("target").alias("target")
+    )
+
+
 @query
 def training_set_sliced(spark, sf_dir):
     """One epoch's rows for several encoders, a row for each encoder's slice."""

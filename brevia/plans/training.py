@@ -16,6 +16,7 @@ from brevia.operators.batching import assign_batches, assign_passes, prefix_curr
 from brevia.operators.encoding import encode
 from brevia.operators.vocabulary import rank_vocab, word_stats
 from brevia.session import stage
+from brevia.sources.batches import FILE_BATCHES, write_batches
 from brevia.sources.corpus import apply_null_policy
 from brevia.sources.vocabulary import read_vocab, write_vocab
 
@@ -154,6 +155,15 @@ def training_set(pairs: DataFrame, vocab_path: str, settings: Settings = Setting
     return batches.join(encoded, "row").select("epoch", "batch", "place", "doc_id", "input", "target")
 
 
+def lay_out(encoded: DataFrame, path: str, settings: Settings = Settings(), file_batches: int = FILE_BATCHES) -> None:
+    """The training set of ``prepare``'s rows as files by batch, for ``read_batches``.
+
+    ``encoded`` is shuffled once, by row, however many epochs there are; each epoch then once to its files.
+    """
+    rows = batches_of(encoded, settings).drop("doc_id").join(encoded, "row")
+    write_batches(rows.select("epoch", "batch", "place", "doc_id", "input", "target"), path, file_batches)
+
+
 def sliced(rows: DataFrame, settings: Settings = Settings(), encoders: int = ENCODERS) -> DataFrame:
     """Training rows for several encoders: ``inputs`` and ``masks``, an equal slice of the input and its mask for each."""
     length = settings.document_length
