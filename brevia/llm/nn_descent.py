@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -27,6 +28,8 @@ MOST_ALONE = 16
 # Components of more vectors than this are large: their vectors are audited apart from the others.
 LARGE = 32
 TARGET = 0.97
+# Lengths of at most this many distinct vectors, beside the most frequent one, need no graph.
+RARE = 1024
 # Members of a component are compared in blocks of this size.
 BLOCK = 1024
 # Lists are made from 8-bit vectors; what they bring this close to the threshold is compared in double precision.
@@ -189,15 +192,23 @@ def _descend(vectors: DataFrame, lists: DataFrame, limit: float, most: int) -> D
     return stage(_lists(found.union(lists.select("rep", "near", "cosine")), sizes.select("rep", "size"), most), "lists")
 
 
-def _compare_members(members: DataFrame, dim: int, threshold: float, block: int, whole: bool = False) -> DataFrame:
+def _parts(found: DataFrame, block: int) -> DataFrame:
+    """``found`` with the number of parts that the members of its component are dealt to, about ``block`` in each."""
+    sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > block)
+    large = stage(sizes.select("root", F.ceil(F.col("size") / F.lit(block)).cast("int").alias("parts")), "large")
+    return found.join(large, "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+
+
+def _compare_members(members: DataFrame, dim: int, threshold: float, block: int) -> DataFrame:
     """(a, b, links, near): links of each member inside its component and the distinct vectors they lead to, summed by
     parts where b is null, and a forest of links.
 
-    Members of a component are compared all with all: that is the list of a vector enlarged to all its neighbours'
-    neighbours. Components above ``block`` are cut in blocks, and tasks compare two blocks each. Counts are returned, and
-    never more links than members. ``whole`` takes all rows as one component, cut in blocks where they lie.
+    Members (``root, parts, rep, copies, embedding``) of a component are compared all with all: that is the list of a
+    vector enlarged to all its neighbours' neighbours. Those of a component in several parts are dealt to them by a hash,
+    so no task has a large component, and tasks compare two parts each. Counts are returned, and never more links than
+    members.
     """
-    out = ["a", "b", "links", "near", "root", "block", "data"]
+    out = ["a", "b", "links", "near", "root", "part", "data"]
 
     def result(
         a: np.ndarray, b: np.ndarray | None, links: np.ndarray | None = None, near: np.ndarray | None = None,
@@ -205,7 +216,7 @@ def _compare_members(members: DataFrame, dim: int, threshold: float, block: int,
         n = len(a)
         none = pa.nulls(n, pa.int64())
         b, links, near = (none if v is None else pa.array(v, pa.int64()) for v in (b, links, near))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), b, links, near, none, none, pa.nulls(n, pa.binary())], out)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), b, links, near, none, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], out)
 
     def compare(x: tuple, y: tuple, same: bool) -> Iterator[pa.RecordBatch]:
         (reps, copies, rows), (others, more, columns) = x, y
@@ -224,44 +235,22 @@ def _compare_members(members: DataFrame, dim: int, threshold: float, block: int,
         none = pa.nulls(1, pa.int64())
         data = b"".join(np.ascontiguousarray(v).tobytes() for v in x)
         return pa.RecordBatch.from_arrays(
-            [none, none, none, none, pa.array([root], pa.int64()), pa.array([at], pa.int64()), pa.array([data], pa.binary())], out)
+            [none, none, none, none, pa.array([root], pa.int64()), pa.array([at], pa.int32()), pa.array([data], pa.binary())], out)
 
     def read(batch: pa.RecordBatch) -> tuple:
         return batch.column("rep").to_numpy(), batch.column("copies").to_numpy(), _unit(_matrix(batch.column("embedding"), dim))
 
-    def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = read(batch)
-            for at in range(0, len(batch), block):
-                yield pack(0, 0, tuple(v[at:at + block] for v in x))
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, number, held = None, 0, []
-
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, number
-            x = tuple(np.concatenate([h[i] for h in held]) for i in range(3))
-            while len(x[0]) > block or (last and number and len(x[0])):
-                yield pack(cut, number, tuple(v[:block] for v in x))
-                number += 1
-                x = tuple(v[block:] for v in x)
-            if last and len(x[0]):
-                yield from compare(x, x, True)
-            held = [] if last else [x]
-
-        for batch in batches:
-            roots = batch.column("root").to_numpy()
-            x, starts = read(batch), _starts(roots)
+        for batch in _runs(batches, "place", block):
+            roots, parts = batch.column("root").to_numpy(), batch.column("part").to_numpy()
+            several = batch.column("parts").to_numpy() > 1
+            starts = np.flatnonzero(np.r_[True, (roots[1:] != roots[:-1]) | (parts[1:] != parts[:-1])])
             for s, e in zip(starts, np.r_[starts[1:], len(roots)]):
-                if held and roots[s] != cut:
-                    yield from flush(True)
-                if roots[s] != cut:
-                    cut, number = int(roots[s]), 0
-                held.append(tuple(v[s:e] for v in x))
-                if sum(len(h[0]) for h in held) > block:
-                    yield from flush(False)
-        if held:
-            yield from flush(True)
+                x = read(batch.slice(s, e - s))
+                if several[s]:
+                    yield pack(int(roots[s]), int(parts[s]), x)
+                else:
+                    yield from compare(x, x, True)
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def unpack(data: bytes) -> tuple:
@@ -270,25 +259,23 @@ def _compare_members(members: DataFrame, dim: int, threshold: float, block: int,
             return reps, copies, np.frombuffer(data, np.float64, n * dim, 16 * n).reshape(n, dim)
 
         for batch in batches:
-            for x, y, same in zip(*(batch.column(c) for c in ("x", "y", "same"))):
+            for x, y, same in zip(*(batch.column(c) for c in ("x_data", "y_data", "same"))):
                 yield from compare(unpack(x.as_py()), unpack(y.as_py()), same.as_py())
 
-    schema = "a bigint, b bigint, links bigint, near bigint, root bigint, block bigint, data binary"
-    if whole:
-        cut = members.select("rep", "copies", "embedding").mapInArrow(cut_all, schema)
-        found = stage(cut.withColumn("block", F.monotonically_increasing_id()), "members")
-    else:
-        found = stage(members.select("root", "rep", "copies", "embedding").repartition("root").sortWithinPartitions(
-            "root").mapInArrow(work, schema), "members")
-    large = found.filter(F.col("data").isNotNull())
-    large = large.repartition("block") if whole else large
-    x, y = (large.select("root", F.col("block").alias(f"{n}_block"), F.col("data").alias(n)) for n in ("x", "y"))
-    if whole:
-        pairs = x.crossJoin(y.drop("root")).filter("x_block <= y_block")
-    else:
-        pairs = x.join(y, "root").filter("x_block <= y_block").repartition("root", "x_block", "y_block")
-    pairs = pairs.select("x", "y", (F.col("x_block") == F.col("y_block")).alias("same"))
-    return stage(found.filter(F.col("a").isNotNull()).union(pairs.mapInArrow(across, schema)).select("a", "b", "links", "near"), "compared")
+    schema = "a bigint, b bigint, links bigint, near bigint, root bigint, part int, data binary"
+    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    dealt = members.select("root", "parts", part.alias("part"), "rep", "copies", "embedding").withColumn(
+        "place", F.xxhash64("root", "part"))
+    found = stage(dealt.repartition("place").sortWithinPartitions("place", "root", "part").mapInArrow(work, schema), "members")
+    large = found.filter(F.col("data").isNotNull()).select("root", "part", "data")
+    # Pairs are made of numbers; each part is then sent to its pairs. Every part is first in half of them.
+    x, y = (large.select("root", F.col("part").alias(n)) for n in ("x", "y"))
+    pairs = x.join(y, "root").filter("x = y OR (x < y) = ((x + y) % 2 = 0)")
+    for n in ("x", "y"):
+        pairs = pairs.join(large.select("root", F.col("part").alias(n), F.col("data").alias(f"{n}_data")), ["root", n])
+    pairs = pairs.select("x_data", "y_data", (F.col("x") == F.col("y")).alias("same"))
+    counted = found.filter(F.col("a").isNotNull()).union(pairs.mapInArrow(across, schema))
+    return stage(counted.select("a", "b", "links", "near"), "compared")
 
 
 def _audit(vectors: DataFrame, counts: DataFrame, roots: DataFrame, dim: int, threshold: float, audited: int) -> float:
@@ -339,16 +326,62 @@ def _audit(vectors: DataFrame, counts: DataFrame, roots: DataFrame, dim: int, th
     return min(held[kind] / linked[kind] if linked[kind] else 1.0 for kind in held)
 
 
+def _graph_links(vectors: DataFrame, dim: int, threshold: float, target: float, block: int) -> DataFrame:
+    """What ``_compare_members`` finds for the vectors of one length, by the neighbour graph."""
+    spark = vectors.sparkSession
+    limit, seen, most = threshold - SLACK, 0, NEIGHBOURS
+    sizes = spark.createDataFrame([], "rep bigint, size int")
+    lists = None
+    n = vectors.count()
+    tables, recall = _tables(n, threshold, target), -1.0
+    while True:
+        last = seen + max(seen, tables)
+        while seen < last:
+            pairs = _table_pairs(vectors, range(seen, min(seen + TABLES, last)), dim, NEIGHBOURS // 2)
+            seen = min(seen + TABLES, last)
+            if lists is not None:
+                sizes = lists.groupBy("rep").agg(F.max("size").alias("size"))
+                pairs = pairs.union(lists.select("rep", "near", "cosine"))
+            lists = stage(_lists(pairs, sizes, most), "lists")
+        for _ in range(ROUNDS):
+            most *= 2
+            lists = _descend(vectors, lists, limit, most)
+        near = lists.filter(F.col("cosine") >= limit).select(F.col("rep").alias("a"), F.col("near").alias("b"))
+        found = stage(components(near).withColumnRenamed("node", "rep"), "found")
+        members = _parts(found, block).join(vectors.select("rep", "copies", "embedding"), "rep")
+        compared = _compare_members(members, dim, threshold, block)
+        counts = compared.filter(F.col("b").isNull()).groupBy("a").agg(
+            F.sum("links").alias("links"), F.sum("near").alias("near")).withColumnRenamed("a", "rep")
+        before, recall = recall, _audit(vectors, counts, found, dim, threshold, AUDITED)
+        if recall >= target:
+            return compared
+        if recall <= before or seen * CHUNK >= n:
+            everything = vectors.withColumns({"root": F.lit(0).cast("bigint"), "parts": F.lit(max(1, -(-n // block)))})
+            return _compare_members(everything, dim, threshold, block)
+
+
+def _rare_links(vectors: DataFrame, width: int, threshold: float, block: int) -> DataFrame:
+    """What ``_compare_members`` finds for vectors of rare lengths up to ``width``: zeros behind them change no cosine,
+    and only vectors of one length are compared."""
+    kind = vectors.schema["embedding"].dataType.elementType
+    zeros = F.array_repeat(F.lit(0).cast(kind), F.lit(width) - F.col("dim"))
+    members = vectors.select(F.col("dim").cast("bigint").alias("root"), F.lit(1).alias("parts"), "rep", "copies",
+                             F.concat("embedding", zeros).alias("embedding"))
+    return _compare_members(members, width, threshold, block)
+
+
 def near_duplicates(
     df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD,
     target: float = TARGET, block: int = BLOCK,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row: links with a cosine of ``threshold`` or more.
 
-    Vectors that are null or zero, that hold a null or a number that is not finite, or that are not as long as most, link
-    with nothing. Equal vectors are one node with a count and link with each other; a vector's 128-bit hash stands for it.
-    The smallest vec_id that can be reached is the component, and its rows are kept. Rows without vec_id take part, their
-    component is null if it has no id at all. Repeated rows are vectors of their own. Labels are not read.
+    Vectors that are null, empty or zero, or that hold a null or a number that is not finite, link with nothing. Vectors
+    link with others of their length: each length of more than ``RARE`` distinct vectors has a graph of its own, at least
+    the most frequent one; vectors of a rarer length are compared with all of it. Equal vectors are one node with a count
+    and link with each other; a vector's 128-bit hash stands for it. The smallest vec_id that can be reached is the
+    component, and its rows are kept. Rows without vec_id take part, their component is null if it has no id at all.
+    Repeated rows are vectors of their own. Labels are not read.
 
     A first graph comes from tables of random hyperplanes; rounds of NN-descent refine it on 8-bit vectors, and lists that
     are full of links double. Components of what is near the threshold are then compared in double precision, so no link
@@ -359,56 +392,38 @@ def near_duplicates(
     """
     spark = df.sparkSession
     rows = df.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding"))
-    common = rows.groupBy(F.size("embedding").alias("dim")).count().filter("dim > 0").orderBy(F.desc("count"), "dim").first()
-    dim = common["dim"] if common else 0
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(
         "embedding", lambda x: x != 0)
-    usable = F.coalesce((F.size("embedding") == dim) & good, F.lit(False))
+    usable = F.coalesce(good, F.lit(False))
     rows = rows.withColumn("usable", usable).withColumns({
         "h1": F.when(F.col("usable"), F.xxhash64("embedding")),
         "h2": F.when(F.col("usable"), F.xxhash64(F.lit(SEED), "embedding")),
     })
     keys = stage(rows.select("vec_id", "h1", "h2"), "keys")
-    vectors = rows.filter("usable").groupBy("h1", "h2").agg(
+    vectors = rows.filter("usable").groupBy("h1", "h2", F.size("embedding").alias("dim")).agg(
         F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            short = _bytes(_short(_unit(_matrix(batch.column("embedding"), dim))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, short], [*batch.schema.names, "short"])
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                part = batch.filter(pa.array(dims == dim))
+                short = _bytes(_short(_unit(_matrix(part.column("embedding"), dim))))
+                yield pa.RecordBatch.from_arrays([*part.columns, short], [*part.schema.names, "short"])
 
     schema = vectors.withColumn("rep", F.lit(0).cast("bigint")).schema.add("short", "binary")
     vectors = stage(vectors.withColumn("rep", F.monotonically_increasing_id()).mapInArrow(shorten, schema), "vectors")
-    limit, seen, most = threshold - SLACK, 0, NEIGHBOURS
-    sizes = spark.createDataFrame([], "rep bigint, size int")
-    lists = None
-    n = vectors.count()
-    tables, recall = _tables(n, threshold, target), -1.0
-    while True:
-        last = seen + max(seen, tables)
-        while seen < last:
-            pairs = _table_pairs(vectors, range(seen, min(seen + TABLES, last)), dim, NEIGHBOURS // 2)
-            seen = min(seen + TABLES, last)
-            if lists is not None:
-                sizes = lists.groupBy("rep").agg(F.max("size").alias("size"))
-                pairs = pairs.union(lists.select("rep", "near", "cosine"))
-            lists = stage(_lists(pairs, sizes, most), "lists")
-        for _ in range(ROUNDS):
-            most *= 2
-            lists = _descend(vectors, lists, limit, most)
-        near = lists.filter(F.col("cosine") >= limit).select(F.col("rep").alias("a"), F.col("near").alias("b"))
-        found = stage(components(near).withColumnRenamed("node", "rep"), "found")
-        compared = _compare_members(found.join(vectors.select("rep", "copies", "embedding"), "rep"), dim, threshold, block)
-        counts = compared.filter(F.col("b").isNull()).groupBy("a").agg(
-            F.sum("links").alias("links"), F.sum("near").alias("near")).withColumnRenamed("a", "rep")
-        before, recall = recall, _audit(vectors, counts, found, dim, threshold, AUDITED)
-        if recall >= target:
-            break
-        if recall <= before or seen * CHUNK >= n:
-            compared = _compare_members(vectors, dim, threshold, block, whole=True)
-            counts = compared.filter(F.col("b").isNull()).groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed(
-                "a", "rep")
-            break
+    lengths = vectors.groupBy("dim").count().orderBy(F.desc("count"), "dim")
+    often = [row["dim"] for row in lengths.filter(F.col("count") > RARE).collect() or lengths.take(1)]
+    # The power of two that a rare length fits in; rare ones are taken in one go for each of these.
+    width = F.expr("shiftleft(1, length(bin(dim - 1)))")
+    rare = vectors.filter(~F.col("dim").isin(often)).withColumn("width", width)
+    parts = [_graph_links(vectors.filter(F.col("dim") == dim), dim, threshold, target, block) for dim in often]
+    for row in rare.select("width").distinct().collect():
+        parts.append(_rare_links(rare.filter(F.col("width") == row["width"]), row["width"], threshold, block))
+    none = spark.createDataFrame([], "a bigint, b bigint, links bigint, near bigint")
+    compared = functools.reduce(DataFrame.union, parts, none)
+    counts = compared.filter(F.col("b").isNull()).groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     linked = components(compared.filter(F.col("b").isNotNull()).select("a", "b")).withColumnRenamed("node", "rep")
     nodes = vectors.select("rep", "h1", "h2", "copies", "least").join(counts, "rep", "left").join(linked, "rep", "left").withColumn(
         "root", F.coalesce("root", "rep"))

@@ -6,6 +6,7 @@ import brute
 import numpy as np
 import pytest
 from brevia.llm import nn_descent
+from brevia.llm.queries import QUERIES
 from pyspark.sql import functions as F
 
 SCHEMA = "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT"
@@ -101,3 +102,50 @@ def test_all_links_where_the_target_is_not_reached(spark):
         out = nn_descent.near_duplicates(df, target=1.1, block=50)
     found = {r.vec_id: (r.n_links, r.component_id) for r in out.collect()}
     assert found == brute.embedding_links(rows)
+
+
+def of_all_lengths(rows):
+    """What brute force gives for the vectors of each length."""
+    expected = {}
+    for size in {len(v) for _, v in rows}:
+        expected.update(brute.embedding_links([(i, v) for i, v in rows if len(v) == size]))
+    return expected
+
+
+def mixed_lengths(seed=5):
+    """Vectors of 24 components, fewer of 8 and of 7, and single ones of others; each with copies and near copies."""
+    pick = np.random.default_rng(seed)
+    rows = []
+    for dim, count in ((24, 120), (8, 40), (7, 30), (1, 4), (64, 1), (65, 2)):
+        for _ in range(count):
+            one = pick.standard_normal(dim)
+            rows += [one, one + 0.2 * pick.standard_normal(dim), one]
+    return list(enumerate([[float(np.float32(x)) for x in row] for row in rows]))
+
+
+@pytest.mark.parametrize("rare", [1024, 50])
+def test_vectors_of_every_length_link(spark, monkeypatch, rare):
+    monkeypatch.setattr(nn_descent, "RARE", rare)
+    rows = mixed_lengths()
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA).repartition(3)
+    found = {r.vec_id: (r.n_links, r.component_id) for r in nn_descent.near_duplicates(df).collect()}
+    assert found == of_all_lengths(rows)
+
+
+def test_registered_query_with_planted_links(spark, tmp_path):
+    rows = list(enumerate(vectors(7))) + [(1000 + i, v) for i, v in mixed_lengths()]
+    spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA).write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = {r.vec_id: r for r in QUERIES["op8_nn_descent"](spark, str(tmp_path)).collect()}
+    expected = of_all_lengths(rows)
+    assert max(n for n, _ in expected.values()) > 50
+    assert {v: (r.n_links, r.component_id, r.kept) for v, r in found.items()} == {
+        v: (n, c, v == c) for v, (n, c) in expected.items()}
+
+
+def test_a_large_component_is_dealt_to_parts(spark):
+    pick = np.random.default_rng(2)
+    centre = pick.standard_normal(24)
+    rows = [(i, [float(x) for x in centre + 0.05 * pick.standard_normal(24)]) for i in range(300)]
+    found = spark.createDataFrame([(0, i) for i, _ in rows] + [(1, 900)], "root BIGINT, rep BIGINT")
+    parted = {(r.root, r.parts) for r in nn_descent._parts(found, 32).collect()}
+    assert parted == {(0, 10), (1, 1)}
