@@ -832,7 +832,8 @@ def resume_skip(spark, sf_dir):
 
 def _stream(spark, sf_dir, vocab, sink, failures, wanted=None):
     schema = "doc_id BIGINT, text STRING, lang STRING"
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "documents*.parquet").parquet(sf_dir)
+    # The table may be one file or a folder of them.
+    files = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents*.parquet")
     files = files if wanted is None else files.filter(wanted)
     arriving = files.select("doc_id", F.col("text").alias("articles"))
     progress = staged_path(spark, "progress")

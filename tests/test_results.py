@@ -346,3 +346,15 @@ def test_runs_with_new_columns_and_with_other_types(spark, tmp_path):
         results.read_metrics(spark, path)
     with pytest.raises(ValueError, match="names the run"):
         results.write_metrics(spark.createDataFrame([(1, "x")], "epoch INT, run_id STRING"), path)
+
+
+def test_a_stream_reads_a_table_that_is_a_folder_of_files(spark, tmp_path):
+    from brevia.plans import queries
+
+    rows = [(i, f"one two three word{i}", "en" if i % 3 else "de") for i in range(40)]
+    documents = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
+    documents.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    for query in (queries.incremental_encode, queries.incremental_encode_restarted):
+        found = {r.doc_id: r.ids for r in query(spark, str(tmp_path)).collect()}
+        assert set(found) == set(range(40))
+        assert found == {r.doc_id: r.ids for r in queries.encode_documents(spark, str(tmp_path)).collect()}
