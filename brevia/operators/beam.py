@@ -2,7 +2,9 @@
 
 ``scores(key, prev, token_id, prob)`` holds the probability of each word after ``prev`` for a document or for any group
 of documents. It may be filled by any job. A scorer that needs more than the last word is given as a function instead: it
-gets ``doc_id, key, slot, tokens`` of all open hypotheses and returns ``doc_id, slot, token_id, prob``.
+gets ``doc_id, key, slot, tokens`` of all open hypotheses and returns ``doc_id, slot, token_id, prob``. One that looks at
+key and tokens only is given as a ``KeyedScorer``. By such a scorer, and by a table, documents with the same key and start
+word have the same beams: each start is decoded once, however many documents share it.
 
 A table of one shared distribution, the tail, may back it off: then each word's probability is the greater one of its own
 after ``prev`` and the discounted one of the tail, and no hypothesis runs out of words.
@@ -15,13 +17,14 @@ whose hypothesis goes on, and takes those of another one as they are. All are bo
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brevia.constants import BEAM_WIDTH, LENGTH_ALPHA, NGRAM_SIZE, SUMMARY_LENGTH
 from brevia.functions.scoring import SCORE_DIGITS, length_norm, log_prob, rank_score
 from brevia.functions.sequences import first_position
-from brevia.operators.joins import BROADCAST_ROWS, fits_broadcast, skew_join
+from brevia.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS, fits_broadcast, skew_join
 from brevia.session import restage, stage
 
 # Documents per task: the state of a document grows with every step, so tasks are cut by documents and not by bytes.
@@ -37,6 +40,16 @@ NOT_SEEDED = "no start word"
 Scorer = Callable[[DataFrame], DataFrame]
 
 
+@dataclass(frozen=True)
+class KeyedScorer:
+    """A scorer that gives hypotheses of the same key and tokens the same probabilities, whatever their document."""
+
+    score: Scorer
+
+    def __call__(self, hyps: DataFrame) -> DataFrame:
+        return self.score(hyps)
+
+
 def page_rows(k: int) -> int:
     """Candidates per page: enough for k and a few blocked ones."""
     return 2 * (k + 1)
@@ -325,13 +338,41 @@ def beam_decode(
     (``token_id, prob``) backs the scores of a table off, see above; it is never joined with the contexts. Documents that
     fail are absent from the result; ``beam_failures`` names them and their cause.
     """
+    seeds = stage(seeds.select("doc_id", "key", "prev"), "seeds")
+    if not callable(scores) or isinstance(scores, KeyedScorer):
+        number = F.monotonically_increasing_id().alias("doc_id")
+        starts = stage(seeds.select("key", "prev").distinct().select(number, "key", "prev"), "starts")
+        found = starts.count()
+        if found < seeds.count():
+            return _shared(seeds, starts, found, _decode(
+                starts, scores, length, k, n, memory, cut_every, broadcast_rows, tail, discount), length, k)
+    return _decode(seeds, scores, length, k, n, memory, cut_every, broadcast_rows, tail, discount)
+
+
+def _shared(seeds: DataFrame, starts: DataFrame, found: int, state: DataFrame, length: int, k: int) -> DataFrame:
+    """The beams of every start for each of its documents. A start that very many documents share is split.
+
+    A key may be null, so starts are met as structs, which are equal where both are null.
+    """
+    start = F.struct("key", "prev").alias("start")
+    beams = state.drop("key").join(starts.select("doc_id", start), "doc_id").drop("doc_id")
+    # Tokens, n-grams and memory of k hypotheses, at 16 bytes an entry.
+    small = found * 16 * k * length * (k + 1) <= BROADCAST_BYTES
+    return skew_join(seeds.select("doc_id", "key", start), beams, ["start"], ["doc_id"], small).select(
+        "doc_id", "key", "beams", "memory")
+
+
+def _decode(
+    seeds: DataFrame, scores: DataFrame | Scorer, length: int, k: int, n: int, memory: str, cut_every: int,
+    broadcast_rows: int | None, tail: DataFrame | None, discount: float,
+) -> DataFrame:
+    """``beam_decode`` of staged seeds, each for itself."""
     if callable(scores):
-        return _decode_scored(stage(seeds.select("doc_id", "key", "prev"), "seeds"), scores, length, k, n, memory)
+        return _decode_scored(seeds, scores, length, k, n, memory)
     pages = stage(page_candidates(scores, k), "candidates")
     tail = None if tail is None else stage(rank_tail(tail, k, length, discount), "tail")
     limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     small = fits_broadcast(pages, ("key",), limit // page_rows(k))
-    seeds = stage(seeds.select("doc_id", "key", "prev"), "seeds")
     cores = seeds.sparkSession.sparkContext.defaultParallelism
     tasks = max(cores, -(-seeds.count() // TASK_DOCUMENTS))
     state, staged = beam_seed(seeds.repartition(tasks, "doc_id"), pages, k, small, n, tail), None

@@ -7,15 +7,13 @@ length, and then at the default one.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from brevia.constants import BATCH_SIZE, CURRICULUM_STEPS, DOCUMENT_LENGTH, ENCODERS, STOP_WORD, SUMMARY_LENGTH, UNKNOWN_ID, VOCABULARY_CAP
 from brevia.functions.sequences import pad_truncate, pad_whole
 from brevia.functions.text import tokenise, wrap_target
 from brevia.operators.batching import assign_batches, next_token_rows
-from brevia.operators.beam import beam_decode, rank_candidates
+from brevia.operators.beam import KeyedScorer, beam_decode, rank_candidates
 from brevia.operators.encoding import encode
 from brevia.operators.joins import fits_broadcast, skew_join
 from brevia.operators.vocabulary import fit_vocab
@@ -129,7 +127,7 @@ def backed_scorer(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return vocab, stage(as_scores(bigram_counts(words, vocab, VOCABULARY_CAP)), "scores"), tail
 
 
-def trigram_scorer(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+def trigram_scorer(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, KeyedScorer]:
     """Vocabulary and a scorer of the last two words of a hypothesis; at its start, of the last word."""
     words = lines_tokens(spark, sf_dir)
     vocab = fit_vocab(words, CAP)
@@ -138,8 +136,9 @@ def trigram_scorer(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Callabl
     places = F.transform(F.sequence(F.lit(1), F.size("ids") - 1), lambda i: F.struct(
         F.get("before", i - 1).alias("first"), F.get("ids", i - 1).alias("prev"), F.get("ids", i).alias("token_id")))
     rows = padded.filter(F.size("ids") > 1).select("key", F.explode(places).alias("p")).select("key", "p.*")
-    # The bigrams stand in for hypotheses of one word: their first word is 0.
-    rows = rows.filter("first <> 0").union(rows.select("key", F.lit(0), "prev", "token_id"))
+    # The bigrams stand in for hypotheses of one word: their first word is 0. One pass over the texts gives both.
+    firsts = F.explode(F.when(F.col("first") == 0, F.array(F.lit(0))).otherwise(F.array("first", F.lit(0)))).alias("first")
+    rows = rows.select("key", firsts, "prev", "token_id")
     found = rows.groupBy("key", "first", "prev", "token_id").agg(F.count(F.lit(1)).alias("n"))
     totals = found.groupBy("key", "first", "prev").agg(F.sum("n").alias("total"))
     scores = stage(found.join(totals, ["key", "first", "prev"]).select(
@@ -151,7 +150,7 @@ def trigram_scorer(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Callabl
             F.coalesce(F.try_element_at("tokens", F.lit(-2)), F.lit(0)).alias("first"))
         return at.join(scores, ["key", "first", "prev"]).select("doc_id", "slot", "token_id", "prob")
 
-    return vocab, score
+    return vocab, KeyedScorer(score)
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:

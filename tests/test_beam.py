@@ -247,3 +247,32 @@ def test_staged_states_replace_each_other(spark, monkeypatch):
     state = beam.beam_decode(seeds, table, 12, 2, 3, cut_every=2)
     assert len(set(glob.glob(f"{folder}/brevia/*/beams-*")) - before) == 1
     assert beam.hypotheses(state).count() == 12
+
+
+def test_documents_of_one_start_are_decoded_once(spark):
+    """A scorer of key and tokens, and a table, see each start once; a scorer of documents sees every document."""
+    scores = [(key, p, t, 0.3 - t / 100) for key in ("x", "y") for p in range(2, 8) for t in range(2, 8) if t != p]
+    table = spark.createDataFrame(scores, "key STRING, prev INT, token_id INT, prob DOUBLE")
+    seen = []
+
+    def scorer(hyps):
+        seen.append(hyps.select("doc_id").distinct().count())
+        at = hyps.withColumn("prev", F.element_at("tokens", -1))
+        return at.join(table, ["key", "prev"]).select("doc_id", "slot", "token_id", "prob")
+
+    plain = [(i, "xy"[i % 2], 2 + i % 4) for i in range(40)] + [(99, None, 3), (98, None, 3)]
+    seeds = spark.createDataFrame(plain, "doc_id BIGINT, key STRING, prev INT")
+    tail = spark.createDataFrame([(t, 0.2) for t in range(2, 8)], "token_id INT, prob DOUBLE")
+
+    def rows(source, **more):
+        return sorted(map(tuple, beam.hypotheses(beam.beam_decode(seeds, source, 5, 3, 2, **more)).collect()))
+
+    each = rows(scorer)
+    assert len(each) == 3 * 40 and set(seen) == {40, 42}
+    seen.clear()
+    assert rows(beam.KeyedScorer(scorer)) == each and set(seen) == {4, 5}
+    assert rows(table) == each
+    # A missing key is a start of its own: the tail alone decodes it, for both of its documents.
+    backed = rows(table, tail=tail)
+    assert {r[0] for r in backed} == {r[0] for r in plain}
+    assert [r[1:] for r in backed if r[0] == 98] == [r[1:] for r in backed if r[0] == 99]
