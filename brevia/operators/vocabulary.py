@@ -10,36 +10,53 @@ from brevia.session import stage
 
 # First-seen order packs document and position into one BIGINT, which keeps the aggregation a hash aggregation.
 _POSITION_BITS = 24
-_DOCUMENT_BITS = 39
+# The same for numbered ids: an array has no more positions than these.
+_WIDE_POSITION_BITS = 31
 
 # Words that may meet in one task for ranking.
 ONE_TASK_WORDS = 4_000_000
 _BUCKETS_PER_DOUBLING = 8
 
 
-def _packed(doc: Column, pos: Column) -> Column:
-    fits = (doc >= 0) & (doc < F.lit(1 << _DOCUMENT_BITS)) & (pos < F.lit(1 << _POSITION_BITS))
-    packed = F.shiftleft(doc.cast("bigint"), _POSITION_BITS).bitwiseOR(pos.cast("bigint"))
+def _packed(doc: Column, pos: Column, position_bits: int) -> Column:
+    fits = (doc >= 0) & (doc < F.lit(1 << (63 - position_bits))) & (pos < F.lit(1 << position_bits))
+    packed = F.shiftleft(doc.cast("bigint"), position_bits).bitwiseOR(pos.cast("bigint"))
     too_large = F.raise_error(F.lit("document id or position too large to pack, pass wide=True")).cast("bigint")
     return F.when(fits, packed).otherwise(too_large)
 
 
-def word_stats(tokens: DataFrame, key: str = "doc_id", words: str = "tokens", wide: bool | None = None) -> DataFrame:
+def is_wide(tokens: DataFrame, key: str = "doc_id") -> bool:
+    """Whether ids are no whole numbers."""
+    return tokens.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long")
+
+
+def number_ids(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``df`` with its ids replaced by their places, from 0, among all different ids in order; rows of one id share a place."""
+    ids = rank_rows(df.select(F.col(key).alias("_id")).distinct(), [F.col("_id")], "_place", start=0)
+    placed = df.join(ids, F.col(key).eqNullSafe(F.col("_id")))
+    return placed.withColumn(key, F.col("_place")).drop("_id", "_place")
+
+
+def word_stats(
+    tokens: DataFrame, key: str = "doc_id", words: str = "tokens", wide: bool | None = None, numbered: bool = False
+) -> DataFrame:
     """Per word: occurrences ``n``, documents ``df`` and its ``first`` appearance by (document, position).
 
     Each document is one row, so its distinct words are listed behind its words and both are counted in one
-    aggregation by word. Only per-task word counts are shuffled. ``wide`` keeps ``first`` as a struct: always for keys that
-    are not whole numbers, and to be asked for where ids are negative or need more than 39 bits.
+    aggregation by word. Only per-task word counts are shuffled. ``wide`` puts the places of the ids in for them, which keeps
+    the aggregation a hash aggregation: always for keys that are not whole numbers, and to be asked for where ids are
+    negative or need more than 39 bits. ``numbered`` tells that the caller has done so with ``number_ids``.
     """
-    if wide is None:
-        wide = tokens.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long")
+    wide = is_wide(tokens, key) if wide is None else wide
+    if wide and not numbered:
+        tokens = number_ids(tokens.select(key, words), key)
     listed = tokens.select(
         F.col(key).alias("_doc"),
         F.size(words).alias("_size"),
         F.posexplode(F.concat(F.col(words), F.array_distinct(words))).alias("_pos", "token"),
     )
     is_word = F.col("_pos") < F.col("_size")
-    place = F.struct("_doc", "_pos") if wide else _packed(F.col("_doc"), F.col("_pos"))
+    place = _packed(F.col("_doc"), F.col("_pos"), _WIDE_POSITION_BITS if wide or numbered else _POSITION_BITS)
     return listed.groupBy("token").agg(
         F.count_if(is_word).alias("n"),
         F.count_if(~is_word).alias("df"),

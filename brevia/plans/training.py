@@ -14,7 +14,7 @@ from brevia.functions.sequences import pad_truncate, padding_mask, split_chunks,
 from brevia.functions.text import tokenise, wrap_target
 from brevia.operators.batching import assign_batches, assign_passes, prefix_curriculum
 from brevia.operators.encoding import encode
-from brevia.operators.vocabulary import rank_vocab, word_stats
+from brevia.operators.vocabulary import is_wide, number_ids, rank_vocab, word_stats
 from brevia.session import stage
 from brevia.sources.batches import FILE_BATCHES, write_batches
 from brevia.sources.corpus import apply_null_policy
@@ -55,11 +55,16 @@ def _marked(side: Column, token: Column) -> Column:
 
 
 def fit_vocabularies(pairs: DataFrame, path: str, settings: Settings = Settings()) -> None:
-    """Fit and save the vocabularies of both sides, counted in one pass. The marker words must survive the summary cap."""
+    """Fit and save the vocabularies of both sides, counted in one pass. The marker words must survive the summary cap.
+
+    Ids that do not pack are numbered first, while the texts are still whole.
+    """
+    wide = is_wide(pairs) if settings.wide is None else settings.wide
+    pairs = number_ids(pairs.select("doc_id", "articles", "abstracts")) if wide else pairs
     words = _side_words(pairs, settings.mode).select(
         "doc_id", F.transform("tokens", lambda t: _marked(F.col("side"), t)).alias("tokens")
     )
-    stats = stage(word_stats(words, wide=settings.wide), "words")
+    stats = stage(word_stats(words, wide=wide, numbered=wide), "words")
     caps = {DOCUMENT_SIDE: settings.document_cap, SUMMARY_SIDE: settings.summary_cap}
     for side, cap in caps.items():
         own = stats.filter(F.col("token").startswith(side + _MARK)).withColumn(

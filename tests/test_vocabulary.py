@@ -163,3 +163,18 @@ def test_rows_keep_their_number_in_another_layout(spark):
     moved = rows.withColumn("_r", F.rand()).repartition(7, "_r").drop("_r")  # another layout each time it is read
     found = encoding.encode(moved, vocab, most_words=10).collect()
     assert len(found) == 400 and all(len(r.ids) == 4 and r.ids[0] == r.ids[2] == 2 for r in found)
+
+
+@pytest.mark.parametrize("cast", ["string", "bigint"])
+def test_wide_ids_keep_the_hash_aggregation_and_the_order(spark, cast):
+    texts = [("b", ["y", "x"]), ("b", ["z"]), ("a", ["x", "w", "w"]), ("c", ["v"]), (None, ["u"])]
+    order = {"a": -5, "b": 7, "c": 1 << 50, None: None}
+    rows = [(i if cast == "string" else order[i], words) for i, words in texts]
+    df = spark.createDataFrame(rows, f"doc_id {cast}, tokens ARRAY<STRING>")
+    stats = vocabulary.word_stats(df, wide=True)
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    ids = ids_of(vocabulary.rank_vocab(stats))
+    assert [w for w, _ in sorted(ids.items(), key=lambda x: x[1]) if w not in "yz"] == ["x", "w", "u", "v"]
+    assert ids["u"] < min(ids["y"], ids["z"]) and max(ids["y"], ids["z"]) < ids["v"]
+    assert {r.token: (r.n, r.df) for r in stats.collect()}["x"] == (2, 2)
