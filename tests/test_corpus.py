@@ -76,3 +76,20 @@ def test_places_in_split_text_files(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert found == {**{str(i): 70 + i for i in range(3000)}, "z": 9}
+
+
+def test_csv_files_of_rejected_rows_are_more_where_rows_are(spark, monkeypatch):
+    import glob
+
+    from brevia import session
+    from brevia.plans import queries
+
+    folder = session.shared_folder(spark).removeprefix("file:")
+    found = {}
+    for most in (5_000, 10):
+        before = set(glob.glob(f"{folder}/brevia/*/csv-*"))
+        monkeypatch.setattr(queries, "CSV_FILE_ROWS", most)
+        found[most] = sorted(map(str, queries.corpus_rejected(spark, "/root/testdata/sf0.001").collect()))
+        (written,) = set(glob.glob(f"{folder}/brevia/*/csv-*")) - before
+        assert len(glob.glob(f"{written}/part=*/*.txt")) == (4 if most == 5_000 else 20)
+    assert found[10] == found[5_000] and len(found[10]) == 400
