@@ -166,7 +166,8 @@ def lay_out(encoded: DataFrame, path: str, settings: Settings = Settings(), file
     ``encoded`` is shuffled once, by row, however many epochs there are; each epoch then once to its files.
     """
     rows = batches_of(encoded, settings).drop("doc_id").join(encoded, "row")
-    write_batches(rows.select("epoch", "batch", "place", "doc_id", "input", "target"), path, file_batches)
+    batches = -(-encoded.count() // settings.batch_size)
+    write_batches(rows.select("epoch", "batch", "place", "doc_id", "input", "target"), path, file_batches, batches)
 
 
 def sliced(rows: DataFrame, settings: Settings = Settings(), encoders: int = ENCODERS) -> DataFrame:

@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 FILE_BATCHES = 64  # batches that lie in one file
+MOST_FILES = 256  # files of an epoch; where they would be more, each holds more batches
 _LAYOUT = "_layout"
 _ENTRY = "epoch int, batches bigint, file_batches bigint"
 
 
-def write_batches(rows: DataFrame, path: str, file_batches: int = FILE_BATCHES) -> None:
+def write_batches(rows: DataFrame, path: str, file_batches: int = FILE_BATCHES, batches: int | None = None) -> None:
     """Write rows with ``epoch, batch, place`` into a new folder: one file for each ``file_batches`` batches of an epoch.
 
-    Rows lie in their file by batch and place. They are shuffled once, by the file that they go to, and a file has at most
-    ``file_batches`` times the batch size of them, so no task has more whatever the data. The layout is entered when all
-    files are there; a folder without it, of a job that stopped, is not read.
+    Rows lie in their file by batch and place. They are shuffled once, by the file that they go to. An epoch of more than
+    ``MOST_FILES`` such files has a multiple of ``file_batches`` batches in each, as many folders of a few rows cost more than
+    their rows; the layout has the number, and Parquet's statistics skip the other batches of a file. ``batches`` is the
+    number of batches of the longest epoch, counted here where it is not given. The layout is entered when all files are
+    there; a folder without it, of a job that stopped, is not read.
     """
     if file_batches < 1:
         raise ValueError("file_batches must be at least 1")
+    if batches is None:
+        batches = (rows.agg(F.max("batch")).first()[0] or 0) + 1
+    file_batches *= max(1, -(-batches // (file_batches * MOST_FILES)))
     laid = rows.withColumn("epoch", F.col("epoch").cast("int")).withColumn(
         "part", F.floor(F.col("batch") / F.lit(file_batches)).cast("bigint"))
     order = ["epoch", "part", "batch", "place"]

@@ -46,3 +46,16 @@ def test_a_layout_that_stopped_is_not_read(spark, tmp_path):
         batches.read_batches(spark, path, 1)
     with pytest.raises(ValueError, match="at least 1"):
         batches.write_batches(_rows(spark), str(tmp_path / "other"), 0)
+
+
+def test_an_epoch_has_a_bounded_number_of_files(spark, tmp_path, monkeypatch):
+    """Where files would be too many each holds a multiple of the batches asked for; ranges are read as before."""
+    monkeypatch.setattr(batches, "MOST_FILES", 4)
+    path, rows = str(tmp_path / "laid"), _rows(spark)
+    for place, given in ((path, None), (path + "-given", 13)):
+        batches.write_batches(rows.repartition(7), place, 2, given)
+        assert sorted(map(tuple, batches.batch_counts(spark, place).collect())) == [(1, 13, 4), (2, 13, 4)]
+    assert len(list((tmp_path / "laid").glob("epoch=1/part=*/*.parquet"))) == 4
+    for first, last in ((0, None), (3, 3), (5, 9), (12, 99)):
+        wanted = rows.filter((F.col("epoch") == 1) & F.col("batch").between(first, 99 if last is None else last))
+        assert _ordered(batches.read_batches(spark, path, 1, first, last)) == _ordered(wanted)
