@@ -12,6 +12,9 @@ from brevia.session import stage
 # Words that may be broadcast: at most this many, and none longer than this in a part of a larger vocabulary.
 BROADCAST_WORDS = 500_000
 BROADCAST_WORD_BYTES = 4096
+# A vocabulary of ids below this and of so many bytes is put beside every sequence as one array, to decode in place.
+ARRAY_WORDS = 4096
+ARRAY_BYTES = 64 * 1024
 
 
 def _head(vocab: DataFrame, most_words: int | None = None) -> DataFrame:
@@ -117,12 +120,28 @@ def encode_lengthwise(
     ).drop("_row")
 
 
+def _word_array(vocab: DataFrame) -> DataFrame | None:
+    """One row with the words of a short vocabulary at the places of their ids; None where it is not short."""
+    known = vocab.filter(F.col("token_id") >= FIRST_WORD_ID)
+    size = known.agg(F.max("token_id").alias("top"), F.sum(F.octet_length("token")).alias("bytes")).first()
+    if (size["top"] or 0) >= ARRAY_WORDS or (size["bytes"] or 0) > ARRAY_BYTES:
+        return None
+    places = known.sparkSession.range((size["top"] or 0) + 1).join(F.broadcast(known), F.col("id") == F.col("token_id"), "left")
+    entries = F.sort_array(F.collect_list(F.struct("id", "token")))
+    return places.agg(F.transform(entries, lambda x: x["token"]).alias("_words"))
+
+
 def decode(
     sequences: DataFrame, vocab: DataFrame, cap: int = -1, key: str = "doc_id", ids: str = "ids", text: str = "text"
 ) -> DataFrame:
     """The text of each id sequence, words joined by a space. Padding and ids outside the vocabulary or cap give the
-    unknown word."""
+    unknown word. With a short vocabulary nothing is shuffled: the words are looked up by place."""
     known = _ids_below(vocab, cap)
+    words = _word_array(known)
+    if words is not None:
+        beside = sequences.select(F.col(key), F.col(ids).alias("_ids")).crossJoin(F.broadcast(words))
+        found = F.transform("_ids", lambda i: F.coalesce(F.get("_words", i), F.lit(UNKNOWN_WORD)))
+        return beside.select(key, F.coalesce(F.array_join(found, " "), F.lit("")).alias(text))
     small = _small(known)
     numbered = _numbered(sequences.select(F.col(key), F.col(ids).alias("_ids")), small)
     placed = numbered.select(key, "_row", F.posexplode_outer("_ids").alias("pos", "token_id"))

@@ -178,3 +178,16 @@ def test_wide_ids_keep_the_hash_aggregation_and_the_order(spark, cast):
     assert [w for w, _ in sorted(ids.items(), key=lambda x: x[1]) if w not in "yz"] == ["x", "w", "u", "v"]
     assert ids["u"] < min(ids["y"], ids["z"]) and max(ids["y"], ids["z"]) < ids["v"]
     assert {r.token: (r.n, r.df) for r in stats.collect()}["x"] == (2, 2)
+
+
+def test_a_short_vocabulary_decodes_without_a_shuffle(spark, tokens, monkeypatch):
+    vocab = vocabulary.fit_vocab(tokens)
+    ids = spark.createDataFrame(
+        [(1, [0, 1, 2, 999, 3]), (2, []), (3, None), (4, [-1, None, 4])], "doc_id BIGINT, ids ARRAY<INT>")
+    short = encoding.decode(ids, vocab)
+    plan = short._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Generate" not in plan
+    monkeypatch.setattr(encoding, "ARRAY_WORDS", 3)
+    long = encoding.decode(ids, vocab)
+    assert "Generate" in long._jdf.queryExecution().executedPlan().toString()
+    assert dict(short.collect()) == dict(long.collect()) and short.count() == 4
