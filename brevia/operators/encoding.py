@@ -37,7 +37,7 @@ def _numbered(rows: DataFrame, small: bool) -> DataFrame:
     """The rows with a number of their own in ``_row``. A large vocabulary reads them more than once: they are staged, so that
     a row has one number however its tasks are laid out when they run again."""
     numbered = rows.withColumn("_row", F.monotonically_increasing_id())
-    return numbered if small else stage(numbered, "numbered")
+    return numbered if small else stage(numbered, "numbered", "zstd")
 
 
 def lookup(
@@ -56,7 +56,7 @@ def lookup(
     tail = vocab.join(F.broadcast(head.select("token_id")), "token_id", "left_anti").select(*vocab.columns)
     # One pass over the items: the few that the head does not hold are staged and go on.
     met = items.join(F.broadcast(head.withColumn("_met", F.lit(True))), on, "left")
-    rest = stage(met.filter(F.col("_met").isNull() & F.col(on).isNotNull()).select(*items.columns), "rare")
+    rest = stage(met.filter(F.col("_met").isNull() & F.col(on).isNotNull()).select(*items.columns), "rare", "zstd")
     others = skew_join(rest, tail, [on], [name for name in items.columns if name != on], False, "left")
     return met.filter(F.col("_met").isNotNull() | F.col(on).isNull()).drop("_met").unionByName(others)
 

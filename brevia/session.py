@@ -54,14 +54,14 @@ def staged_path(spark: SparkSession, name: str) -> str:
     return f"{base}/brevia/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def stage(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, by Spark's own or another ``compression``, and read it back.
 
     Used where a plan must be cut or a result is read more than once. A written table survives lost executors,
     is computed once, and gives the optimiser its true size.
     """
     path = staged_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -191,3 +191,15 @@ def test_a_short_vocabulary_decodes_without_a_shuffle(spark, tokens, monkeypatch
     long = encoding.decode(ids, vocab)
     assert "Generate" in long._jdf.queryExecution().executedPlan().toString()
     assert dict(short.collect()) == dict(long.collect()) and short.count() == 4
+
+
+def test_rows_staged_for_a_large_vocabulary_are_packed_well(spark, tokens):
+    import glob
+
+    from brevia import session
+
+    folder = session.shared_folder(spark).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/brevia/*/*"))
+    encoding.encode(tokens, vocabulary.fit_vocab(tokens), most_words=4).count()
+    new = [f for f in set(glob.glob(f"{folder}/brevia/*/*")) - before if "/numbered-" in f or "/rare-" in f]
+    assert len(new) == 2 and all(glob.glob(f"{f}/*.zstd.parquet") or glob.glob(f"{f}/*.zst*") for f in new)
