@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from brevia.session import ship_modules
+
 # A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_shipped: set[str] = set()
 # Rows and bytes of an Arrow batch, in place of Spark's defaults: a task holds some batches of texts at a time.
 _BATCHES = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"),
@@ -20,25 +17,11 @@ _BATCHES = {
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package's modules to the Python workers, once an application, for sessions started without them.
-
-    Arrow batches of texts are made smaller than Spark's defaults; settings of the user's own are left alone.
-    """
-    context = spark.sparkContext
+    """``ship_modules``; Arrow batches of texts are made smaller than Spark's defaults, settings of the user's own left alone."""
     for name, (default, smaller) in _BATCHES.items():
         if spark.conf.get(name) == default:
             spark.conf.set(name, smaller)
-    if context.applicationId in _shipped:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(), f"{os.path.basename(package)}.zip")
-    with zipfile.ZipFile(path, "w") as archive:
-        for folder, _, names in os.walk(package):
-            for name in sorted(n for n in names if n.endswith(".py")):
-                full = os.path.join(folder, name)
-                archive.write(full, os.path.relpath(full, os.path.dirname(package)))
-    context.addPyFile(path)
-    _shipped.add(context.applicationId)
+    ship_modules(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

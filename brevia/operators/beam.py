@@ -24,12 +24,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from brevia.constants import BEAM_WIDTH, LENGTH_ALPHA, NGRAM_SIZE, SUMMARY_LENGTH
 from brevia.functions.scoring import SCORE_DIGITS, length_norm, log_prob, rank_score
 from brevia.functions.sequences import first_position
+from brevia.operators import beam_tasks
 from brevia.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS, fits_broadcast, skew_join
 from brevia.session import restage, stage
 
 # Documents per task: the state of a document grows with every step, so tasks are cut by documents and not by bytes.
 TASK_DOCUMENTS = 20_000
 
+# Decodes of more positions are run to the end inside tasks: Spark plans and runs each step of the others.
+STEPS = 32
+
 # What the tail's probabilities count for beside those after a word.
 DISCOUNT = 0.4
 
@@ -369,8 +373,14 @@ def _decode(
     """``beam_decode`` of staged seeds, each for itself."""
     if callable(scores):
         return _decode_scored(seeds, scores, length, k, n, memory)
-    pages = stage(page_candidates(scores, k), "candidates")
     tail = None if tail is None else stage(rank_tail(tail, k, length, discount), "tail")
+    if n == 2 and length > STEPS and broadcast_rows is None:
+        contexts = stage(beam_tasks.contexts_of(rank_candidates(scores), k * length + k + 1), "contexts")
+        sizes = contexts.groupBy("key").agg(F.sum(F.size("token_id")).alias("size"))
+        found = sizes.agg(F.coalesce(F.max("size"), F.lit(0)).alias("most"), F.coalesce(F.sum("size"), F.lit(0)).alias("all")).first()
+        if found["most"] <= beam_tasks.TASK_CANDIDATES:
+            return beam_tasks.decode(seeds, contexts, found["all"], tail, length, k, memory)
+    pages = stage(page_candidates(scores, k), "candidates")
     limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     small = fits_broadcast(pages, ("key",), limit // page_rows(k))
     cores = seeds.sparkSession.sparkContext.defaultParallelism

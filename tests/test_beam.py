@@ -276,3 +276,49 @@ def test_documents_of_one_start_are_decoded_once(spark):
     backed = rows(table, tail=tail)
     assert {r[0] for r in backed} == {r[0] for r in plain}
     assert [r[1:] for r in backed if r[0] == 98] == [r[1:] for r in backed if r[0] == 99]
+
+
+@pytest.mark.parametrize("k, length, memory, backed", [
+    (2, 16, "slot", True), (3, 14, "lineage", True), (3, 9, "slot", False), (2, 9, "lineage", False), (6, 40, "slot", True), (1, 12, "slot", True)])
+def test_decoding_inside_tasks(spark, monkeypatch, k, length, memory, backed):
+    """Long decodes take no Spark job for each position, and give what the steps give: beams, n-grams and memory."""
+    from brevia.operators import beam_tasks
+
+    scores = {c: f for c, f in table(k + length, words=12).items() if not backed or c[1] % 4}
+    words = {t: w / 100 for t, w in zip(range(2, 26 + 4 * k), [9, 9, 9, 8, 30] * 10)}
+    seeds, rows, plain = frames(spark, scores, 12)
+    more = {"memory": memory}
+    if backed:
+        more["tail"] = spark.createDataFrame(list(words.items()), "token_id INT, prob DOUBLE")
+        seeds, plain = seeds.union(spark.createDataFrame([(90, None, 3)], seeds.schema)), [*plain, (90, None, 3)]
+    monkeypatch.setattr(beam_tasks, "TOGETHER", 5)
+    monkeypatch.setattr(beam_tasks, "LEAST_STARTS", 4)
+
+    def step(*_, **__):
+        raise AssertionError("a step of its own")
+
+    def known(state):
+        return sorted((
+            r.doc_id, r.key or "", [(b.slot, b.tokens, round(b.score, 6), b.grams, b.parent) for b in r.beams],
+            [sorted(m) for m in r.memory]) for r in state.collect())
+
+    steps = known(beam.beam_decode(seeds, rows, length, k, 2, **more)) if length < 20 else None
+    with monkeypatch.context() as patch:
+        patch.setattr(beam, "STEPS", 3)
+        patch.setattr(beam, "beam_step", step)
+        state = beam.beam_decode(seeds, rows, length, k, 2, **more)
+        found = known(state)
+    expected = Backed(scores, words) if backed else scores
+    assert check(state, expected, plain, length, k, 2, lineage=memory == "lineage") > 0
+    assert steps is None or found == steps
+
+
+def test_a_key_with_too_many_candidates_is_decoded_by_steps(spark, monkeypatch):
+    from brevia.operators import beam_tasks
+
+    scores = table(3, words=12)
+    seeds, rows, plain = frames(spark, scores, 12)
+    monkeypatch.setattr(beam, "STEPS", 3)
+    monkeypatch.setattr(beam_tasks, "TASK_CANDIDATES", 10)
+    monkeypatch.setattr(beam_tasks, "decode", None)
+    assert check(beam.beam_decode(seeds, rows, 6, 2, 2), scores, plain, 6, 2, 2) > 0
