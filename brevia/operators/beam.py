@@ -375,11 +375,25 @@ def _decode(
         return _decode_scored(seeds, scores, length, k, n, memory)
     tail = None if tail is None else stage(rank_tail(tail, k, length, discount), "tail")
     if n == 2 and length > STEPS and broadcast_rows is None:
-        contexts = stage(beam_tasks.contexts_of(rank_candidates(scores), k * length + k + 1), "contexts")
-        sizes = contexts.groupBy("key").agg(F.sum(F.size("token_id")).alias("size"))
-        found = sizes.agg(F.coalesce(F.max("size"), F.lit(0)).alias("most"), F.coalesce(F.sum("size"), F.lit(0)).alias("all")).first()
-        if found["most"] <= beam_tasks.TASK_CANDIDATES:
-            return beam_tasks.decode(seeds, contexts, found["all"], tail, length, k, memory)
+        reach = k * length + k + 1
+        contexts = stage(beam_tasks.contexts_of(rank_candidates(scores), reach), "contexts", "zstd")
+        depth, found, again = beam_tasks.depth_of(contexts, reach, page_rows(k))
+        if depth is not None:
+            state, cut = beam_tasks.decode(seeds, contexts, depth, found, tail, length, k, memory)
+            if depth == reach or cut.isEmpty():
+                return state
+            rest = stage(seeds.join(cut, "doc_id", "left_semi"), "rest")
+            if again:
+                return state.unionByName(beam_tasks.decode(rest, contexts, reach, found, tail, length, k, memory)[0])
+            return state.unionByName(_steps(rest, scores, length, k, n, memory, cut_every, broadcast_rows, tail))
+    return _steps(seeds, scores, length, k, n, memory, cut_every, broadcast_rows, tail)
+
+
+def _steps(
+    seeds: DataFrame, scores: DataFrame, length: int, k: int, n: int, memory: str, cut_every: int, broadcast_rows: int | None,
+    tail: DataFrame | None,
+) -> DataFrame:
+    """``_decode`` over a table of scores, each position by a step of its own; ``tail`` is ranked."""
     pages = stage(page_candidates(scores, k), "candidates")
     limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     small = fits_broadcast(pages, ("key",), limit // page_rows(k))

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from brevia.functions.scoring import SCORE_DIGITS
 from brevia.session import ship_modules, stage
@@ -26,8 +26,10 @@ TOGETHER = 256
 # unless keys fall together.
 LEAST_STARTS = 256
 TASK_STARTS = 4_000
-# Candidates of a task, 20 bytes each; a key with more of them is decoded step by step.
-TASK_CANDIDATES = 16_000_000
+# Candidates of a task, 20 bytes each. Where a key has more, its lists are cut to a depth at which it has not; starts that
+# need to look further are decoded again with whole lists of at most so many candidates, beyond that step by step.
+TASK_CANDIDATES = 6_000_000
+WHOLE_CANDIDATES = 24_000_000
 
 # Lists gone through at once.
 FOUND_TOGETHER = 10_000
@@ -113,8 +115,9 @@ def enough(token_id, allowed, k: int, width: int):
 class Decoder:
     """Decodes starts over the candidates of their contexts: lists by the code of key and word before."""
 
-    def __init__(self, codes, own: Lists, tail: Lists | None, length: int, k: int, lineage: bool):
-        self.codes, self.own, self.tail, self.length, self.k, self.lineage = codes, own, tail, length, k, lineage
+    def __init__(self, codes, own: Lists, is_cut, tail: Lists | None, length: int, k: int, lineage: bool):
+        self.codes, self.own, self.is_cut, self.tail = codes, own, is_cut, tail
+        self.length, self.k, self.lineage = length, k, lineage
         self.width = 2 * (k + 1)
         contexts = np.arange(len(codes))
         words = (codes & 0xFFFFFFFF).astype(np.int32)
@@ -148,13 +151,15 @@ class Decoder:
         return [column.reshape(*shape, -1) for column in found]
 
     def decode(self, key, start):
-        """Tokens, scores, parents, n-grams and the slots that have seen them, and which of the starts have not failed."""
+        """Tokens, scores, parents, n-grams and the slots that have seen them, which of the starts have not failed, and which
+        need more candidates than their lists hold."""
         count, k, length = len(start), self.k, self.length
         rows, nodes = np.arange(count)[:, None], k * (length - 1)
         first, last, own_place, tail_place = (np.full((count, nodes), NOWHERE, np.int32) for _ in range(4))
         held, seen = (np.zeros((count, k, nodes), bool) for _ in range(2))
         words, parents = [], []
         prev, score, alive, none = start[:, None].astype(np.int64), np.zeros((count, 1)), np.ones(count, bool), np.zeros(0, np.int64)
+        cut = np.zeros(count, bool)
         for position in range(1, length):
             shape, size = prev.shape, k * (position - 1)
             context = self.context(np.broadcast_to(key[:, None], shape).ravel(), prev.ravel())
@@ -172,7 +177,9 @@ class Decoder:
                 if self.tail is not None:
                     tail_places = np.concatenate([tail_place[hyps // k, node], self.tail_place(prev.ravel())])
             token_id, log_prob, prob, allowed, places = self.continuations(context, shape, blocked, own_places, tail_places)
-            alive &= enough(token_id, allowed, k, self.width).all(axis=1)
+            own = allowed[:, :, :self.width].sum(axis=2)
+            cut |= alive & ((own < k) & self.is_cut[context].reshape(shape)).any(axis=1)
+            alive &= ~cut & enough(token_id, allowed, k, self.width).all(axis=1)
             if not alive.any():
                 break
             slot, column, score = k_best(score, token_id, log_prob, prob, allowed, k)
@@ -189,7 +196,7 @@ class Decoder:
             parents.append(slot if position > 1 else np.tile(np.arange(k), (count, 1)))
             prev = word.astype(np.int64)
         if not alive.any():
-            return None, None, None, None, None, alive
+            return None, None, None, None, None, alive, cut
         tokens, at = np.empty((count, k, length), np.int32), np.tile(np.arange(k), (count, 1))
         for position in range(length - 1, 0, -1):
             tokens[:, :, position] = words[position - 1][rows, at]
@@ -198,7 +205,7 @@ class Decoder:
         size = k * (length - 2)
         grams = (first[:, :size].astype(np.int64) << 32) | last[:, :size]
         slots = (seen[:, :, :size] * (1 << np.arange(k, dtype=np.int64))[None, :, None]).sum(axis=1)
-        return tokens, score, parents[-1], grams, slots, alive
+        return tokens, score, parents[-1], grams, slots, alive, cut
 
 
 def _flat(column):
@@ -213,25 +220,28 @@ def _lists(values) -> pa.Array:
 
 
 def decode_table(starts: pa.Table, contexts: pa.Table, tail, length: int, k: int, lineage: bool, schema: pa.Schema) -> pa.Table:
-    """The beams of one task's starts over its contexts (``key, prev, token_id, log_prob, prob``)."""
+    """The beams of one task's starts over its contexts (``key, prev, token_id, log_prob, prob, whole``, the size of
+    the whole list). Starts that need more candidates than there are have no lists, and ``cut`` is true."""
     names = contexts["key"].unique()
     key, prev = (pc.index_in(t["key"], value_set=names).fill_null(-1).to_numpy() for t in (contexts, starts))
     own_code = (key.astype(np.int64) << 32) | contexts["prev"].to_numpy()
     contexts = contexts.take(np.argsort(own_code))
     token_id, sizes = _flat(contexts["token_id"])
     own = Lists(np.append(sizes, 0), token_id, _flat(contexts["log_prob"])[0], _flat(contexts["prob"])[0])
+    is_cut = np.append(contexts["whole"].to_numpy() > sizes, False)
     decoder = Decoder(
-        np.append(np.sort(own_code), np.iinfo(np.int64).max), own, tail and Lists(*tail), length, k, lineage)
+        np.append(np.sort(own_code), np.iinfo(np.int64).max), own, is_cut, tail and Lists(*tail), length, k, lineage)
+    del contexts, token_id
     start, found = starts["prev"].to_numpy(), []
     for at in range(0, len(start), TOGETHER):
         part = slice(at, at + TOGETHER)
-        *values, alive = decoder.decode(prev[part].astype(np.int64), start[part])
-        if not alive.any():
-            continue
-        which = np.flatnonzero(alive)
-        some = starts.select(["doc_id", "key"]).take(which + at).combine_chunks()
-        columns = [*some.columns, *(_lists(v[which]) for v in values)]
-        found.append(pa.table(columns, names=schema.names).cast(schema))
+        *values, alive, cut = decoder.decode(prev[part].astype(np.int64), start[part])
+        for which, lists in ((alive, values), (cut, None)):
+            some = starts.select(["doc_id", "key"]).slice(at, len(which)).filter(pa.array(which)).combine_chunks()
+            if len(some):
+                lists = [pa.nulls(len(some), f.type) for f in schema][2:-1] if lists is None else [_lists(v[which]) for v in lists]
+                columns = [*some.columns, *lists, pa.array(np.full(len(some), which is cut))]
+                found.append(pa.table(columns, names=schema.names).cast(schema))
     return pa.concat_tables(found) if found else schema.empty_table()
 
 
@@ -242,6 +252,19 @@ def contexts_of(ranked: DataFrame, reach: int) -> DataFrame:
     return kept.groupBy("key", "prev").agg(entries).select("key", "prev", "c.token_id", "c.log_prob", "c.prob")
 
 
+def depth_of(contexts: DataFrame, reach: int, least: int) -> tuple[int | None, int, bool]:
+    """The depth to which lists are cut so that no key has too many candidates, None where there is none of at least
+    ``least``; all candidates at that depth; and whether no key has too many for being decoded again with whole lists."""
+    depths = [reach]
+    while depths[-1] // 2 >= least:
+        depths.append(depths[-1] // 2)
+    sums = [F.sum(F.least(F.size("token_id"), F.lit(d))).alias(f"s{d}") for d in depths]
+    found = contexts.groupBy("key").agg(*sums).agg(*(
+        F.coalesce(of(f"s{d}"), F.lit(0)).alias(f"{name}{d}") for d in depths for name, of in (("most", F.max), ("all", F.sum)))).first()
+    depth = next((d for d in depths if found[f"most{d}"] <= TASK_CANDIDATES), None)
+    return depth, found[f"all{depth or reach}"], found[f"most{reach}"] <= WHOLE_CANDIDATES
+
+
 def deal(starts: DataFrame, contexts: DataFrame, tasks: int, share: int) -> tuple[DataFrame, DataFrame]:
     """Both with the number of their task. A key with more starts than a share is split, its contexts copied to each part."""
     counts = starts.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(share)).alias("_parts"))
@@ -260,16 +283,19 @@ def deal(starts: DataFrame, contexts: DataFrame, tasks: int, share: int) -> tupl
 
 
 def decode(
-    starts: DataFrame, contexts: DataFrame, candidates: int, tail: DataFrame | None, length: int, k: int, memory: str
-) -> DataFrame:
-    """State of every start (``doc_id, key, prev``) that does not fail, as of ``beam.beam_decode`` with n-grams of two words.
+    starts: DataFrame, contexts: DataFrame, depth: int, candidates: int, tail: DataFrame | None, length: int, k: int, memory: str
+) -> tuple[DataFrame, DataFrame]:
+    """State of every start (``doc_id, key, prev``) that does not fail, as of ``beam.beam_decode`` with n-grams of two words;
+    and the ids of those that need candidates beyond the depth.
 
-    ``contexts`` as of ``contexts_of``, ``candidates`` in all; ``tail`` as of ``beam.rank_tail``.
+    ``contexts`` as of ``contexts_of``, ``candidates`` in all down to the depth; ``tail`` as of ``beam.rank_tail``.
     """
     spark = starts.sparkSession
     ship_modules(spark)
     number = starts.count()
     tasks = max(spark.sparkContext.defaultParallelism, -(-number // TASK_STARTS), -(-candidates // TASK_CANDIDATES))
+    lists = (F.slice(name, 1, depth).alias(name) for name in ("token_id", "log_prob", "prob"))
+    contexts = contexts.select("key", "prev", *lists, F.size("token_id").alias("whole"))
     placed, copied = deal(starts, contexts, tasks, max(LEAST_STARTS, -(-number // tasks)))
     # The tail is as long as a hypothesis can ever reach, whatever the vocabulary.
     words = None if tail is None else tail.first()["tail"]
@@ -277,7 +303,8 @@ def decode(
         [len(words)], *(np.array([w[c] for w in words], t) for c, t in (("token_id", "i4"), ("log_prob", "f8"), ("prob", "f8"))))
     key = StructField("key", starts.schema["key"].dataType)
     lists = {"tokens": IntegerType(), "scores": DoubleType(), "parents": IntegerType(), "grams": LongType(), "slots": LongType()}
-    schema = StructType([starts.schema["doc_id"], key, *(StructField(name, ArrayType(kind)) for name, kind in lists.items())])
+    schema = StructType([starts.schema["doc_id"], key, *(StructField(name, ArrayType(kind)) for name, kind in lists.items()),
+                         StructField("cut", BooleanType())])
 
     def work(some: pa.Table, own: pa.Table) -> pa.Table:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -292,4 +319,5 @@ def decode(
     beams = f"""transform({tokens}, (b, s) -> named_struct(
         'slot', s, 'tokens', b, 'score', scores[s], 'grams', {grams}, 'parent', parents[s]))"""
     seen = f"transform(sequence(0, {k - 1}), s -> array_distinct(filter(grams, (g, i) -> getbit(slots[i], s) = 1)))"
-    return found.selectExpr("doc_id", "key", f"{beams} AS beams", f"{seen} AS memory")
+    state = found.filter("NOT cut").selectExpr("doc_id", "key", f"{beams} AS beams", f"{seen} AS memory")
+    return state, found.filter("cut").select("doc_id")

@@ -320,5 +320,31 @@ def test_a_key_with_too_many_candidates_is_decoded_by_steps(spark, monkeypatch):
     seeds, rows, plain = frames(spark, scores, 12)
     monkeypatch.setattr(beam, "STEPS", 3)
     monkeypatch.setattr(beam_tasks, "TASK_CANDIDATES", 10)
-    monkeypatch.setattr(beam_tasks, "decode", None)
+    monkeypatch.setattr(beam_tasks, "decode", None)  # no depth is so small
     assert check(beam.beam_decode(seeds, rows, 6, 2, 2), scores, plain, 6, 2, 2) > 0
+
+
+@pytest.mark.parametrize("whole", [10_000, 0])
+def test_starts_that_need_more_candidates_than_a_cut_list_holds(spark, monkeypatch, whole):
+    """With 6 of 12 candidates at hand, starts that look further are decoded again: by whole lists, or by steps."""
+    from brevia.operators import beam_tasks
+
+    scores = table(5, words=12, keys=("x",))
+    seeds, rows, plain = frames(spark, scores, 12)
+    seeds, plain = seeds.filter("key = 'x'"), [p for p in plain if p[1] == "x"]
+    cuts, decode = [], beam_tasks.decode
+
+    def counted(*args):
+        state, cut = decode(*args)
+        cuts.append((args[2], cut.count()))
+        return state, cut
+
+    monkeypatch.setattr(beam, "STEPS", 3)
+    monkeypatch.setattr(beam_tasks, "TASK_CANDIDATES", 12 * 6)
+    monkeypatch.setattr(beam_tasks, "WHOLE_CANDIDATES", whole)
+    monkeypatch.setattr(beam_tasks, "decode", counted)
+    tail = {t: 0.002 / t for t in range(2, 42)}
+    tail_rows = spark.createDataFrame(list(tail.items()), "token_id INT, prob DOUBLE")
+    state = beam.beam_decode(seeds, rows, 26, 2, 2, tail=tail_rows)
+    assert check(state, Backed(scores, tail), plain, 26, 2, 2) == len(plain)
+    assert cuts[0][0] == 6 and cuts[0][1] > 0 and len(cuts) == (2 if whole else 1)
